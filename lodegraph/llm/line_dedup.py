@@ -74,7 +74,7 @@ def with_company(distinct: DataFrame) -> DataFrame:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(key, kind, first, line): the deletion neighbourhood of lines with company.
+    """(h1, h2, first, kind, key): the deletion neighbourhood of lines with company.
 
     Kind 0: one word deleted, its place and the length being part of the key; 1: all words; 2: one word deleted, by
     the words alone. Only places in the half that isn't shared can be the edit's.
@@ -82,18 +82,19 @@ def variants(lines: DataFrame) -> DataFrame:
     n = F.size("words")
     at = lambda i: F.array_contains("shared", F.lit(i))
     head, shorter = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    places = F.sequence(F.lit(1), n)
-    replaced = F.filter(places, lambda i: (at(0) & (i > head)) | (at(1) & (i <= head)))
-    deleted = F.filter(places, lambda i: (at(2) & (i > shorter)) | (at(3) & (i <= shorter + 1)))
+    replaced = lambda i: (at(0) & (i > head)) | (at(1) & (i <= head))
+    deleted = lambda i: (at(2) & (i > shorter)) | (at(3) & (i <= shorter + 1))
     without = lambda i: F.array_join(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, n)), " ")
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: replaced(i) | deleted(i))
+    cut = F.transform(places, lambda i: F.struct(i.alias("i"), replaced(i).alias("r"), deleted(i).alias("d"), F.xxhash64(without(i)).alias("h")))
+    keyed = lines.withColumn("words", _words()).select("h1", "h2", "first", n.alias("n"), F.xxhash64("line").alias("whole"), cut.alias("cut"))
+    kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
     keys = F.concat(
-        F.transform(replaced, lambda i: F.struct(F.lit(0).alias("kind"), F.xxhash64(n, i, without(i)).alias("key"))),
-        F.array(F.struct(F.lit(1).alias("kind"), F.xxhash64("line").alias("key"))),
-        F.transform(deleted, lambda i: F.struct(F.lit(2).alias("kind"), F.xxhash64(without(i)).alias("key"))),
-    )
-    return lines.withColumn("words", _words()).select("h1", "h2", "first", "line", F.explode(F.array_distinct(keys)).alias("v")).select(
-        "h1", "h2", "first", "line", (F.col("v.kind") > 0).alias("by_words"), F.col("v.kind").alias("kind"), F.col("v.key").alias("key")
+        F.transform(F.filter("cut", lambda c: c["r"]), lambda c: kind(0, F.xxhash64("n", c["i"], c["h"]))),
+        F.array(kind(1, F.col("whole"))),
+        F.transform(F.filter("cut", lambda c: c["d"]), lambda c: kind(2, c["h"])),
     )
+    return keyed.select("h1", "h2", "first", F.explode(F.array_distinct(keys)).alias("v")).select("h1", "h2", "first", "v.kind", "v.key")
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -110,14 +111,20 @@ def _one_edit(a: str, b: str) -> Column:
     return F.when(F.size(x) == F.size(y), same_length).otherwise((F.abs(F.size(x) - F.size(y)) == 1) & (spliced == other))
 
 
-def near_later(keyed: DataFrame) -> DataFrame:
-    """(h1, h2) of lines one edit away from an earlier line."""
-    least = keyed.groupBy("key", "kind").agg(F.min(F.struct("first", "line")).alias("r"))
+def near_later(keyed: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h1, h2) of lines one edit away from an earlier line.
+
+    A line meets the earliest one of each of its keys; each such pair once is verified on the words.
+    """
+    least = keyed.groupBy("key", "kind").agg(F.min(F.struct("first", "h1", "h2")).alias("r"), F.count("*").alias("k"))
     # partners: kind 0 meets kind 0; all words (1) meet one word deleted (2), and the other way round
-    partner = least.select("key", F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind")).alias("kind"), F.col("r.first").alias("r_first"), F.col("r.line").alias("r_line"))
-    met = keyed.join(partner, ["key", "kind"]).where("r_first < first")
-    checked = met.withColumn("x", _words()).withColumn("y", F.split("r_line", " ", -1)).where(_one_edit("x", "y"))
-    return checked.select("h1", "h2").distinct()
+    other = F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind"))
+    partner = least.where("kind > 0 or k > 1").select("key", other.alias("kind"), "r")
+    met = keyed.join(partner, ["key", "kind"]).where("r.first < first")
+    pairs = met.select("h1", "h2", F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2")).distinct()
+    words = lines.select("h1", "h2", _words().alias("x"))
+    theirs = lines.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), _words().alias("y"))
+    return pairs.join(words, ["h1", "h2"]).join(theirs, ["r1", "r2"]).where(_one_edit("x", "y")).select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,7 +142,9 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         .select(F.split("t", "\n", -1).alias("all"), F.explode("w").alias("w"))
         .select("w.h1", "w.h2", "w.first", "w.shared", F.expr("all[w.place]").alias("line"))
     )
-    near = near_later(materialise(variants(materialise(found.dropDuplicates(["h1", "h2"])))))
+    # a row that repeats an id and a text finds its lines again, with the same hashes
+    candidates = materialise(found.dropDuplicates(["h1", "h2"]))
+    near = near_later(materialise(variants(candidates)), candidates)
     repeated = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
     gone = places.join(repeated, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "version", "place") != F.col("first")))
     return gone.groupBy("doc", "version").agg(F.collect_set("place").alias("drop"))

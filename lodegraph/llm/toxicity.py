@@ -9,7 +9,7 @@ judged by what it shares with others (inflected forms of a stem), and what only
 A text's evidence is the difference of its toxic and its ordinary log-likelihood over its distinct words, normalised by
 length (the root of their number, so that long texts' noise and not their size is taken out); a word whose two
 likelihoods are within a factor ``exp(NEUTRAL)`` is neutral. A logistic function fitted on labelled rows that gave no
-counts makes the score.
+counts, moved by the classes' shares among all training labels, makes the score.
 
 Sample bound: at most ``PER_CLASS`` labelled rows of each class (as many of either), those of least hash, in four of
 five parts for counts and the fifth for the logistic fit. The n-grams of that sample bound the model's size, which
@@ -181,6 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     model = Model({(r["history"], r["char"]): (r["ordinary"], r["toxic"]) for r in table})
     seen = _evidence(sample.where("part = 0"), model, ["toxic"]).toArrow()  # a fifth of the bounded sample
     model.slope, model.offset = logistic(seen["evidence"].to_numpy(), seen["toxic"].to_numpy())
+    known = labels.where(fold(F.col("doc_id")) != HELD_OUT).agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("zero")).first()
+    model.offset += math.log(max(known["one"], 1) / max(known["zero"], 1))  # the sample has as many of either class
     return model
 
 
