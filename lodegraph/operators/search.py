@@ -50,7 +50,7 @@ def with_rank(rows: DataFrame, *order: Column | str, rank: str = "rank") -> Data
     return rows.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
 
 
-def fuse(left: DataFrame, right: DataFrame, weight: float, k: int = 20, both: float = 0.015, top: float = 0.02) -> DataFrame:
+def fuse(left: DataFrame, right: DataFrame, weight: float, k: int = 20, both: float = 0.015, top: float = 0.02, digits: int = 4) -> DataFrame:
     """Weighted reciprocal ranks of two ranked lists (name, rank, score): keyword results left, vector results right.
 
     A name in both lists gets ``both``; a keyword score of 60 or more gets ``top``.
@@ -60,7 +60,7 @@ def fuse(left: DataFrame, right: DataFrame, weight: float, k: int = 20, both: fl
     joined = a.join(b, "name", "full_outer")
     part = lambda r, w: F.coalesce(F.lit(w) / (F.lit(k) + F.col(r)), F.lit(0.0))
     bonus = F.when(F.col("kr").isNotNull() & F.col("vr").isNotNull(), both).otherwise(0.0) + F.when(F.col("ks") >= 60, top).otherwise(0.0)
-    return joined.withColumn("rrf", F.bround(part("kr", 1 - weight) + part("vr", weight) + bonus, 4))
+    return joined.withColumn("rrf", F.bround(part("kr", 1 - weight) + part("vr", weight) + bonus, digits))
 
 
 def boost(base: Column, namespace: Column, project: str, archived: Column, language: Column | None = None) -> Column:

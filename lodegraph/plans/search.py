@@ -134,11 +134,11 @@ def f05(t):
     return t.part.select("p_partkey", X.match_tier(F.col("p_name"), "red").alias("tier"))
 
 
-@query("f06_scored_fulltext", f"SELECT doc_id, round(score * 10 + CASE WHEN lower(source) = 'src1' THEN 100 WHEN starts_with(lower(source), 'src1') THEN 80 WHEN contains(lower(source), 'src1') THEN 60 ELSE 0 END, 2) AS score FROM ({_BM25}) JOIN documents USING (doc_id)")
+@query("f06_scored_fulltext", f"SELECT doc_id, round(score * 10 + CASE WHEN lower(source) = 'src1' THEN 100 WHEN starts_with(lower(source), 'src1') THEN 80 WHEN contains(lower(source), 'src1') THEN 60 ELSE 0 END, 3) AS score FROM ({_BM25}) JOIN documents USING (doc_id)")
 def f06(t):
     hits = S.bm25(t.documents, ["the", "license"], "doc_id", "text").withColumn("bm25", F.round("bm25", 4))
     joined = hits.join(t.documents.select("doc_id", "source"), "doc_id")
-    return joined.select("doc_id", F.round(F.col("bm25") * 10 + X.match_tier(F.col("source"), "src1", 0), 2).alias("score"))
+    return joined.select("doc_id", F.round(F.col("bm25") * 10 + X.match_tier(F.col("source"), "src1", 0), 3).alias("score"))
 
 
 _LOCAL = """, found AS (
