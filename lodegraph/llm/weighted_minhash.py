@@ -24,7 +24,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, text_column
@@ -81,71 +82,96 @@ def fingerprint(text: str) -> bytes:
     return (mixed >> np.uint64(48)).astype("<u2").tobytes()
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The share of equal samples of two fingerprints in hexadecimal."""
-    places = F.sequence(F.lit(1), F.lit(4 * SAMPLES - 3), F.lit(4))
-    same = F.filter(places, lambda i: F.substring(a, i, F.lit(4)) == F.substring(b, i, F.lit(4)))
-    return F.size(same) / F.lit(float(SAMPLES))
+def likeness(a: bytes, b: bytes) -> float:
+    """The share of equal samples of two fingerprints."""
+    return float((np.frombuffer(a, "<u2") == np.frombuffer(b, "<u2")).mean())
 
 
-def followers(keys: DataFrame) -> DataFrame:
-    """(doc_id, mark, n), one row per document, -> with ``next``: the key that follows, the first after the last.
+def edited(text: str, following: str) -> str:
+    """The text with its last quarter replaced by as much of the start of the following document."""
+    n = len(text) // 4
+    return text[: len(text) - n] + following[:n]
 
-    Ranges of ids are ordered each on their own; the last row of a range takes the first of the next range that has rows.
-    """
-    key = F.struct("doc_id", "mark")
-    dealt = materialise(keys.repartitionByRange("doc_id", "mark").withColumn("range", F.spark_partition_id()))
-    firsts = dealt.groupBy("range").agg(F.min(key).alias("first"))
-    after = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))
-    start = firsts.select(F.min_by("first", "range").alias("start"))
-    ahead = F.lead(key).over(Window.partitionBy("range").orderBy("doc_id", "mark"))
-    return (
-        dealt.withColumn("ahead", ahead)
-        .join(after, "range")
-        .crossJoin(F.broadcast(start))  # one row
-        .select("doc_id", "mark", "n", F.coalesce("ahead", "after", "start").alias("next"))
-    )
 
+_COLUMNS = ("n_chars long", "edited_sha256 binary", "fingerprint binary", "edited_fingerprint binary", "near_edited double", "near_next double")
 
-def edited_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, next, text, edited): the last quarter of each text replaced by the start of the next document."""
-    body = text_column(docs, text)
-    rows = docs.select(F.col(key).alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("mark"))
-    light = rows.groupBy("doc_id", "mark").agg(F.first(F.char_length("text")).alias("n"))
-    chain = materialise(followers(light))
-    quarter = F.floor(F.col("n") / 4).cast("int")
-    asked = chain.select(F.col("doc_id").alias("to_id"), F.col("mark").alias("to_mark"), "next", "n")
-    lent = rows.join(asked, rows["doc_id"].eqNullSafe(asked["next.doc_id"]) & (rows["mark"] == asked["next.mark"])).select(
-        "to_id", "to_mark", "next", F.substring("text", F.lit(1), quarter).alias("start")
-    )
-    lent = lent.groupBy("to_id", "to_mark").agg(F.first("next").alias("next"), F.first("start").alias("start"))
-    both = rows.join(lent, rows["doc_id"].eqNullSafe(lent["to_id"]) & (rows["mark"] == lent["to_mark"]))
-    length = F.char_length("text")
-    kept = F.substring("text", F.lit(1), (length - F.floor(length / 4)).cast("int"))
-    return both.select("doc_id", "mark", "next", "text", F.concat(kept, "start").alias("edited"))
 
+def _described(text: str, own: bytes, following: str, theirs: bytes) -> tuple:
+    new = edited(text, following)
+    changed = fingerprint(new)
+    return len(text), hashlib.sha256(new.encode()).digest(), own, changed, likeness(own, changed), likeness(own, theirs)
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    small_batches(docs.sparkSession)
+
+def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ranges of documents in ascending order of ids, each described with the one that follows it in its range.
+
+    ``edge`` is null for those rows. The first document of a range and its last, whose follower isn't in the range,
+    come as rows with ``edge`` 'first' and 'last', their ``text`` and, the last, its number of ``copies``.
+    """
     kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("doc_id"), text_column(docs, text).alias("text"))
+    ordered = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("doc_id", "mark").sortWithinPartitions("doc_id", "mark", "text").select("doc_id", "text")
+    names = ["doc_id", "part", "edge", "text", "copies", *(c.split()[0] for c in _COLUMNS)]
+    kinds = [None, pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, id_kind = TaskContext.get().partitionId(), None, None
+        nothing = (None,) * len(_COLUMNS)
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k or id_kind) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         for batch in batches:
-            texts, edited = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            columns = [
-                pa.array([len(x) for x in texts], pa.int64()),
-                pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-                *(pa.array([fingerprint(x).hex() for x in side], pa.string()) for side in (texts, edited)),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "mark", "next", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"])
-
-    schema = f"doc_id {kind}, mark long, next struct<doc_id:{kind},mark:bigint>, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string"
-    prints = materialise(edited_texts(docs, key, text).mapInArrow(run, schema))
-    theirs = prints.groupBy(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    joined = prints.join(theirs, prints["next.doc_id"].eqNullSafe(theirs["t_id"]) & (prints["next.mark"] == theirs["t_mark"]))
-    return joined.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
-    )
+            out, id_kind = [], batch.schema.field(0).type
+            for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and held[:2] == (doc_id, x):
+                    held = (*held[:3], held[3] + 1)
+                    continue
+                own = fingerprint(x)
+                if held:
+                    row = _described(held[1], held[2], x, own)
+                    out += [(held[0], part, None, None, held[3], *row)]
+                else:
+                    out.append((doc_id, part, "first", x, 1, *nothing))
+                held = (doc_id, x, own, 1)
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of([(held[0], part, "last", held[1], held[3], *nothing)])
+
+    schema = f"doc_id {kind}, part int, edge string, text string, copies long, {', '.join(_COLUMNS)}"
+    return materialise(ordered.mapInArrow(run, schema))
+
+
+def range_ends(described: DataFrame) -> DataFrame:
+    """The last document of each range, described with the first of the next range; the very last with the very first.
+
+    There are two rows for each range here, not for each document.
+    """
+    kind = described.schema["doc_id"].dataType.simpleString()
+    firsts = described.where("edge = 'first'").select("part", "text")
+    after = firsts.select("part", F.lead("text").over(Window.orderBy("part")).alias("after"))
+    start = firsts.select(F.min_by("text", "part").alias("start"))
+    lasts = described.where("edge = 'last'").select("doc_id", "part", "text", "copies")
+    pairs = lasts.join(after, "part").crossJoin(start).select("doc_id", "copies", "text", F.coalesce("after", "start").alias("following"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_described(x, fingerprint(x), y, fingerprint(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+            columns = [pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "copies", *(c.split()[0] for c in _COLUMNS)])
+
+    return pairs.mapInArrow(run, f"doc_id {kind}, copies long, {', '.join(_COLUMNS)}")
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    small_batches(docs.sparkSession)
+    described = in_order(docs, key, text)
+    inner = described.where("edge is null").drop("part", "edge", "text")
+    every = inner.unionByName(range_ends(described))
+    copies = every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    text_of = lambda c: F.lower(F.hex(c)).alias(c)
+    return copies.select("doc_id", "n_chars", text_of("edited_sha256"), text_of("fingerprint"), text_of("edited_fingerprint"), "near_edited", "near_next")
