@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-PROJECTIONS = 48
-WIDTH = 2.7
-RATIO = 1.2
-THRESHOLD = 0.7
+PROJECTIONS = 60
+WIDTH = 2.0
+RATIO = 1.15
+THRESHOLD = 0.6
+#: The first radius: this part of the least distance among the first vectors of a block, dealt at random.
+FIRST_LOOK, START = 256, 0.8
 #: Vectors of a block and queries of a chunk.
-BLOCK, CHUNK = 8192, 512
+BLOCK, CHUNK = 16384, 512
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -59,7 +61,7 @@ def index(vectors: DataFrame, blocks: int) -> DataFrame:
         v = _matrix(table["v"])
         h = v @ directions(v.shape[1])
         order = np.argsort(h, axis=0, kind="stable")
-        parts = [table["id"].to_numpy().astype("<i8"), v.astype("<f8"), order.T.astype("<i4"), np.take_along_axis(h, order, 0).T.astype("<f8")]
+        parts = [table["id"].to_numpy().astype("<i8"), v.astype("<f8"), order.T.astype("<i8"), np.take_along_axis(h, order, 0).T.astype("<f8")]
         row = {"block": pa.array([table["block"][0].as_py()], pa.int64())} | {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in zip(("ids", "v", "ord", "h"), parts, strict=True)}
         return pa.table(row)
 
@@ -72,22 +74,22 @@ def search(ids: np.ndarray, v: np.ndarray, order: np.ndarray, h: np.ndarray, own
     n, m = len(ids), len(h)
     centre = q @ directions_of(len(q))
     need = int(np.ceil(THRESHOLD * m))
-    hits, distance = np.zeros(n, np.int32), np.full(n, np.nan)
+    hits, distance = np.zeros(n, np.int64), np.full(n, np.nan)
     low = np.array([np.searchsorted(h[j], centre[j]) for j in range(m)])
     high = low.copy()
-    at = np.clip(low, 0, n - 1)
-    radius = max(float(np.median(np.abs(h[np.arange(m), at] - centre))), 1e-9)
+    # windows are nested, so the first may be as wide as nearly all queries need: below the distance of the k-th
+    seen = np.sqrt(((v[:FIRST_LOOK] - q) ** 2).sum(1))
+    radius = max(START * float(seen[seen > 0].min(initial=seen.max())), 1e-9)
     allowed = ids != own
     while True:
         reach = WIDTH * radius / 2
+        covered = []
         for j in range(m):
             a, b = np.searchsorted(h[j], (centre[j] - reach, centre[j] + reach + 1e-12))
             a, b = min(a, low[j]), max(b, high[j])
-            if a < low[j]:
-                hits[order[j, a : low[j]]] += 1
-            if b > high[j]:
-                hits[order[j, high[j] : b]] += 1
+            covered += [order[j, a : low[j]], order[j, high[j] : b]]
             low[j], high[j] = a, b
+        hits += np.bincount(np.concatenate(covered), minlength=n)
         new = np.flatnonzero((hits >= need) & np.isnan(distance) & allowed)
         if len(new):
             distance[new] = np.sqrt(((v[new] - q) ** 2).sum(1))
@@ -129,7 +131,7 @@ def nearest(rows: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id",
                 ids, v, order, h, q_ids, q_v = (batch.column(i)[r].as_py() for i in range(6))
                 ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
                 v, q_v = np.frombuffer(v, "<f8").reshape(len(ids), -1), np.frombuffer(q_v, "<f8").reshape(len(q_ids), -1)
-                order, h = np.frombuffer(order, "<i4").reshape(-1, len(ids)), np.frombuffer(h, "<f8").reshape(-1, len(ids))
+                order, h = np.frombuffer(order, "<i8").reshape(-1, len(ids)), np.frombuffer(h, "<f8").reshape(-1, len(ids))
                 for q, x in zip(q_ids, q_v, strict=True):
                     near, far = search(ids, v, order, h, int(q), x, k)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), q)), pa.array(near), pa.array(far)], names=["query_id", "vec_id", "score"])
