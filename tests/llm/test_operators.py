@@ -1,0 +1,434 @@
+"""The training-data operators against brute force, round trips and held-out rows, and their edge cases."""
+
+import hashlib
+import itertools
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from conftest import SMALL
+from lodegraph.llm import ann, bpe, components, html_text, line_dedup, packing, queries, sharding, simhash, token_store, toxicity, weighted_minhash
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+#: Nulls in each column, empty and repeated rows, ties, odd white space, a special token, a long unsplit text.
+ODD = [
+    (1, None, None, None, None),
+    (2, "", "en", "s", 0),
+    (3, "one two", "en", None, 7),
+    (4, "one two", "en", None, 7),
+    (5, "a b c d e\nsame line of words here\n\nx", "en", "s", 3),
+    (6, "same line of words here\nsame line of other here\nq", None, "s", 3),
+    (7, "x" * 40_000, "en", "s", 40_000),
+    (8, "é漢" * 20_000 + " <|endoftext|> tail", "en", "s", 1),
+    (9, " \t\n ", "en", "s", 4),
+    (10, "A b c \U0001f600  d", "en", "s", 9),
+    (11, "again and again and again", "en", "s", 25),
+    (11, "again and again and again", "en", "s", 25),
+    (None, "no id here at all", "en", "s", 5),
+    (None, None, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SMALL}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows with extra columns whose names the operators also use."""
+    names = {"fingerprint": "f", "component_id": "c", "line": "l", "key": "k", "h": "h", "ids": "i", "bucket": "b", "evidence": "e", "t": "t"}
+    df = spark.createDataFrame(ODD, DOC).repartition(3)
+    return df.withColumns({k: F.lit(v) for k, v in names.items()})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def shards_of(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["shard"], []).append(r["slot"])
+    return out
+
+
+# op1
+
+
+def brute_fingerprint(text):
+    words = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode()).split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_classes(rows):
+    prints = [(i, brute_fingerprint(t)) for i, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (prints[a][1] ^ prints[b][1]).bit_count() <= 3:
+            parent[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(prints):
+        if i is not None:
+            least[root(k)] = min(i, least.get(root(k), i))
+    return Counter((i, f"{f:016x}", least.get(root(k))) for k, (i, f) in enumerate(prints))
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_simhash_against_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    got = Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    assert got == brute_classes(texts(df))
+
+
+def test_pigeonring_loses_no_link(spark):
+    random.seed(3)
+    base = [random.getrandbits(64) for _ in range(40)]
+    near = [x ^ sum(1 << b for b in random.sample(range(64), k)) for x in base for k in (1, 2, 3, 3, 4)]
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in base + near})
+    got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
+    got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 140)}}
+
+
+def test_keep_earliest_leaves_one_of_each_class(odd):
+    kept = simhash.keep_earliest(odd)
+    ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+    assert 3 in ids and 4 not in ids and ids.count(None) == 2 and {1, 2, 9} <= set(ids)
+    assert kept.columns == odd.columns
+
+
+# op2
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_token_files_hold_all_ids(request, table):
+    df = request.getfixturevalue(table)
+    rows = sorted(texts(df), key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest(r[1].encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(r[1].encode(), 42) >> 63)))
+    library = bpe.library(WORDS)
+    want, start = [], 0
+    for i, t in rows:
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = token_store.stored_documents(df, WORDS, 2).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+
+
+def test_every_token_is_directly_addressable():
+    ids = np.array([0, 1, 255, 256, 70_000, 2**32 - 1, 5] * 300, "<u4")
+    file = token_store.TokenFile(token_store.pack(3, np.array([7, 9]), np.array([1000, 2100]), ids))
+    assert (file.all() == ids).all() and file.number == 3 and list(file.ends) == [1000, 2100]
+    assert [file[i] for i in range(0, len(ids), 17)] == [int(ids[i]) for i in range(0, len(ids), 17)]
+    with pytest.raises(IndexError):
+        file[len(ids)]
+
+
+# op3
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_packing_is_whole_and_gapless(request, table):
+    df = request.getfixturevalue(table)
+    library = bpe.library(BYTES)
+    got = packing.pack(df, BYTES, 0).collect()
+    pieces = Counter()
+    for _, t in texts(df):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(min(first, len(ids)), len(ids) + 1, 2048)]
+        pieces.update((k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts)))
+    assert Counter((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == pieces
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= 1.02 * -(-sum(r["length"] for r in got) // 2048) + 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_plan_is_best_fit_decreasing(seed):
+    random.seed(seed)
+    lengths = [random.choice([random.randint(1, 100), random.randint(1, 40), 50]) for _ in range(400)]
+    rooms, used = [], 0
+    for x in sorted(lengths, reverse=True):
+        fits = [i for i, r in enumerate(rooms) if r >= x]
+        if fits:
+            rooms[min(fits, key=lambda i: rooms[i])] -= x
+        else:
+            rooms.append(100 - x)
+            used += 1
+    runs = packing.plan(dict(Counter(lengths)), 100)
+    assert sum(b - a for _, a, b, _, _ in runs) == len(lengths)
+    assert 1 + max(first + b - a - 1 for _, a, b, first, _ in runs) == used
+
+
+# op4
+
+
+def brute_lines(rows):
+    def near(a, b):
+        x, y = a.split(" "), b.split(" ")
+        if min(len(x), len(y)) < line_dedup.LEAST_WORDS or abs(len(x) - len(y)) > 1:
+            return False
+        if len(x) == len(y):
+            return sum(p != q for p, q in zip(x, y, strict=True)) <= 1
+        short, long = sorted((x, y), key=len)
+        return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+    first = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        for p, line in enumerate(t.split("\n")):
+            if line.strip(" "):
+                first.setdefault(line, (i, p))
+    late = {x for x in first if any(first[y] < first[x] and near(x, y) for y in first if y != x)}
+    out = []
+    for i, t in rows:
+        kept = [x for p, x in enumerate(t.split("\n")) if i is None or not x.strip(" ") or first[x] == (i, p) and x not in late]
+        out.append((i, "\n".join(kept)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_lines_against_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == df.columns
+    assert Counter(texts(got)) == brute_lines(texts(df))
+
+
+def test_line_edits(spark):
+    base = "the quick brown fox jumps over it"
+    lines = [base, base + " now", "the brown fox jumps over it", base.replace("fox", "cat"), base.replace("fox", "cat").replace("over", "on"), "a b c d", "a b c e", base]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {0: base, 1: "", 2: "", 3: "", 4: "", 5: lines[5], 6: lines[6], 7: ""}
+
+
+def test_line_query_against_sql(spark, duck):
+    got = queries.op4_line_dedup(spark, SMALL).collect()
+    want = duck.execute(f"SELECT doc_id, kept_chars, kept_md5 FROM ({queries.oracle_sql()['op4_line_dedup']})").fetchall()
+    assert sorted((r["doc_id"], r["kept_chars"], r["kept_md5"]) for r in got) == sorted(want)
+
+
+# op5
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_shards_are_even_and_whole(request, table):
+    df = request.getfixturevalue(table)
+    got = sharding.assign(df, 24).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in texts(df))
+    shards = shards_of(got)
+    assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+    sizes = [len(shards.get(i, [])) for i in range(24)]
+    assert max(sizes) - min(sizes) <= 1 and all(r["law"] == "rows" and r["grown_shard"] is None for r in got)
+
+
+def test_fisher_yates_is_a_permutation_and_uniform(spark):
+    df = spark.range(3000).select(F.col("id"), F.array(*[F.lit(i) for i in range(4)]).alias("a"))
+    rows = [tuple(r[0]) for r in df.select(sharding.fisher_yates(F.col("a"), F.col("id"), 5)).collect()]
+    counts = Counter(rows)
+    assert len(counts) == 24 and all(sorted(r) == [0, 1, 2, 3] for r in counts) and max(counts.values()) < 190 and min(counts.values()) > 75
+
+
+def test_shards_are_written_in_order(spark, docs, tmp_path):
+    out = sharding.write_shards(docs, f"file://{tmp_path}/s", 4)
+    assert Counter(texts(out)) == Counter(texts(docs)) and all(sorted(s) == list(range(len(s))) for s in shards_of(out.collect()).values())
+
+
+# op6
+
+
+def test_neighbours_against_brute_force(spark):
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    data = {r["vec_id"]: np.array(r["embedding"], float) for r in rows.collect()}
+    got = ann.nearest(rows, every=10, k=10).collect()
+    hits, total = 0, 0
+    for q in (i for i in data if i % 10 == 0):
+        want = sorted((float(np.sqrt(((v - data[q]) ** 2).sum())), i) for i, v in data.items() if i != q)[:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r[0] for r in mine] == list(range(1, len(mine) + 1))
+        assert all(s == pytest.approx(float(np.sqrt(((data[i] - data[q]) ** 2).sum())), abs=1e-12) for _, i, s in mine)
+        hits, total = hits + len({i for _, i, _ in mine} & {i for _, i in want}), total + len(want)
+    assert hits >= 0.9 * total
+
+
+def test_neighbours_edge_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (8, [1.0, None]), (None, [2.0, 1.0]), (2, [1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("v", F.lit(2))
+    got = sorted(tuple(r) for r in ann.nearest(df, every=100, k=10).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 2, 2, 1.0), (0, 3, 2, 1.0)]
+    assert ann.nearest(df.limit(0), every=100).collect() == []
+
+
+# op7
+
+
+def labelled(spark, n=400):
+    random.seed(1)
+    plain = [f"w{random.randint(0, 60)}" for _ in range(4000)]
+    rows, labels = [], []
+    for i in range(n):
+        toxic = i % 4 == 0
+        words = random.sample(plain, 30) + [random.choice(["zorgling", "zorgler", "zorgs", "vexmuck"]) for _ in range(4 * toxic)]
+        random.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = labelled(spark)
+    got = {r["doc_id"]: r for r in toxicity.scores(rows, labels).collect()}
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i]["held_out"] == (i in held) for i in got) and len(held) > 40
+    assert sum(got[i]["predicted"] == (i % 4 == 0) for i in held) >= 0.97 * len(held)
+    assert all((r["score"] >= 0.5) == bool(r["predicted"]) and 0 <= r["score"] <= 1 for r in got.values())
+    kept = {r["doc_id"] for r in toxicity.keep_ordinary(rows, labels).collect()}
+    assert kept == {i for i in got if not got[i]["predicted"]}
+
+
+def test_toxicity_edge_cases(spark, odd, empty):
+    rows, labels = labelled(spark)
+    both = rows.unionByName(odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000)).withColumn("toxic", F.lit("x"))
+    more = labels.unionByName(spark.createDataFrame([(None, 1), (5, None), (999_999, 1), (0, 1)], "doc_id long, toxic int"))
+    got = toxicity.scores(both, more).collect()
+    assert len(got) == 400 + len(ODD) and len({r["score"] for r in got if r["doc_id"] in (10_001, 10_002, 10_009)}) == 1
+    none = labels.where("toxic = 0")
+    assert {r["score"] for r in toxicity.scores(rows, none).collect()} == {0.0} and toxicity.keep_ordinary(rows, none).count() == 400
+    assert toxicity.scores(empty, labels).collect() == [] and toxicity.keep_ordinary(empty, labels).collect() == []
+
+
+# op8
+
+
+@pytest.mark.parametrize("leaf", [1, 5, 64])
+def test_tree_gives_the_library_s_ids(leaf):
+    random.seed(leaf)
+    alphabet = ["a", "b", "the", "s", "'", "'s", "'ll", "1", "23", " ", "  ", "\n", "\t", "é", "é", "漢", "\x1c", "!", "?!", "<|endoftext|>", "<|endof", "text|>", "\U0001f600", "　", "\x85", "Σ", "x" * 7]
+    library, tree, word, words = bpe.library(BYTES), bpe.TreeEncoder(BYTES, leaf=leaf), bpe.WordEncoder(WORDS), bpe.library(WORDS)
+    for _ in range(500):
+        s = "".join(random.choices(random.sample(alphabet, random.randint(1, 9)), k=random.randint(0, 80)))
+        ids = library.encode(s, add_special_tokens=False).ids
+        assert tree.tree(s).tolist() == ids and tree.decode(np.array(ids, "<u4")) == library.decode(ids, skip_special_tokens=False)
+        assert word.encode_batch([s])[0].tolist() == words.encode(s, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("table", ["docs", "odd", "empty"])
+def test_encoding_and_decoding(request, table):
+    df = request.getfixturevalue(table)
+    library = bpe.library(BYTES)
+    want = Counter()
+    for i, t in texts(df):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, bpe.encode_decode(df, BYTES).collect())) == want
+
+
+# op9
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (None, ""),
+        ("", ""),
+        ("plain &lt;b&gt; 1 < 2", "plain <b> 1 < 2"),
+        ("<p>One<p>Two<br>three", "One\n\nTwo\nthree"),
+        ("<head><title>T</title></head><body>x<script>var a='</p>';</script>y<style>p{}</style><!-- <p>no -->z", "xyz"),
+        ("<div hidden>no</div><p style='display: none'>no</p><span aria-hidden=true>no</span>yes", "yes"),
+        ("<ul><li>a<li>b<ol start=4><li>c<li>d</ol></ul>", "- a\n- b\n  4. c\n  5. d"),
+        ("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>x<td>22</table>", "Name       N\nlong name  1\nx          22"),
+        ("<pre>  a\n    b</pre>c", "  a\n    b\n\nc"),
+        ("a <b>b <i>c</b> d</i> e", "a b c d e"),
+        ("<p>open <unclosed", "open <unclosed"),
+        ("x<!-- never ends <p>y", "x"),
+    ],
+)
+def test_page_text(page, want):
+    assert html_text.page_text(page) == want
+
+
+def test_deep_and_large_pages():
+    assert html_text.page_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert len(html_text.page_text("<p>word " * 20_000).split()) == 20_000
+
+
+def test_all_visible_words_are_kept(spark):
+    import re
+
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("html").collect():
+        body = re.sub(r"(?s)<head>.*?</head>|<(script|style)[^>]*>.*?</\1>|<!--.*?-->", "", r["html"])
+        words = re.sub(r"<[a-zA-Z/!][^>]*>", " ", body).replace("&copy;", "©").replace("&middot;", "·").replace("&amp;", "&").split()
+        assert Counter(w for w in html_text.page_text(r["html"]).split() if w != "-") >= Counter(w for w in words if "&" not in w and w != "-")
+
+
+def test_extract_edge_cases(spark):
+    df = spark.createDataFrame([(1, None), (None, "<p>a"), (2, "<p>b"), (2, "<p>b")], "page_id long, html string").withColumn("text", F.lit("clash"))
+    assert Counter(map(tuple, html_text.extract(df).collect())) == Counter([(1, ""), (None, "a"), (2, "b"), (2, "b")])
+    assert html_text.extract(df.limit(0)).collect() == []
+
+
+# op10
+
+
+def jaccard(a, b):
+    a, b = Counter(a.lower().split()), Counter(b.lower().split())
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_fingerprints_against_brute_force(docs):
+    rows = sorted(texts(docs))
+    got = {r["doc_id"]: r for r in weighted_minhash.fingerprints(docs).collect()}
+    errors = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        n = len(t) // 4
+        new = t[: len(t) - n] + following[:n]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert got[i]["fingerprint"] == weighted_minhash.fingerprint(t).hex() and got[i]["edited_fingerprint"] == weighted_minhash.fingerprint(new).hex()
+        errors.append((got[i]["near_edited"] - jaccard(t, new), got[i]["near_next"] - jaccard(t, following)))
+    e = np.array(errors)
+    assert abs(e.mean(0)).max() < 0.02 and np.sqrt((e**2).mean(0)).max() < 0.08
+
+
+def test_fingerprint_edge_cases(odd, empty, spark):
+    got = weighted_minhash.fingerprints(odd).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in ODD)
+    same = [r for r in got if r["doc_id"] == 11]
+    assert same[0] == same[1] and weighted_minhash.fingerprints(empty).collect() == []
+    only = weighted_minhash.fingerprints(spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")).first()
+    assert only["edited_sha256"] == hashlib.sha256(b"a b c d e fa b").hexdigest()[:64] or only["near_next"] == 1.0
