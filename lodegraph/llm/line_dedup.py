@@ -31,6 +31,13 @@ from .common import materialise
 
 #: Words from which a line may differ by one word from an earlier one.
 LEAST_WORDS = 5
+#: Keys of 8 bytes that a broadcast may have: 4 MB.
+BROADCAST_KEYS = 500_000
+
+
+def _hashes() -> tuple[Column, Column]:
+    """The two halves of a line's 128-bit hash."""
+    return F.xxhash64("line"), F.xxhash64(F.lit(7), "line")
 
 
 def _words() -> Column:
@@ -65,16 +72,34 @@ def distinct_lines(places: DataFrame) -> DataFrame:
     return places.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), F.first("keys").alias("keys"))
 
 
+def among(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is among the distinct ``keys``: by a broadcast up to BROADCAST_KEYS of them, counted
+    first, and by a join of both sides' shuffles beyond. Both keep the same rows."""
+    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if small else keys, key, "left_semi")
+
+
 def with_company(distinct: DataFrame) -> DataFrame:
-    """(h1, h2, first, shared): lines that share a half with another line; ``shared``: which of the four keys."""
-    keys = distinct.where("keys is not null").select("h1", "h2", "first", F.posexplode("keys").alias("which", "key"))
+    """(h1, shared): lines that share a half with another line; ``shared``: which of the four keys.
+
+    Lines are told apart by ``h1`` here; should two share it, both are candidates, and only that.
+    """
+    keys = distinct.where("keys is not null").select("h1", F.posexplode("keys").alias("which", "key"))
     # both lengths' keys of a line can be equal only by chance, so a count above one means another line
-    shared = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    return keys.join(shared, "key").groupBy("h1", "h2").agg(F.first("first").alias("first"), F.collect_set("which").alias("shared"))
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
+    return materialise(among(keys, shared, "key").groupBy("h1").agg(F.collect_set("which").alias("shared")))
+
+
+def texts_of(docs: DataFrame, company: DataFrame, distinct: DataFrame, key: str, text: str) -> DataFrame:
+    """(h1, h2, first, shared, line) of the lines in ``company``, each from its earliest place."""
+    h1, h2 = _hashes()
+    lines = lines_of(docs, key, text).withColumns({"h1": h1, "h2": h2})
+    found = among(lines, company.select("h1"), "h1").groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    return found.join(company, "h1").join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "shared", "line")
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, kind, key): the deletion neighbourhood of lines with company.
+    """(h1, h2, kind, key): the deletion neighbourhood of lines with company.
 
     Kind 0: one word deleted, its place and the length being part of the key; 1: all words; 2: one word deleted, by
     the words alone. Only places in the half that isn't shared can be the edit's.
@@ -87,14 +112,14 @@ def variants(lines: DataFrame) -> DataFrame:
     without = lambda i: F.array_join(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, n)), " ")
     places = F.filter(F.sequence(F.lit(1), n), lambda i: replaced(i) | deleted(i))
     cut = F.transform(places, lambda i: F.struct(i.alias("i"), replaced(i).alias("r"), deleted(i).alias("d"), F.xxhash64(without(i)).alias("h")))
-    keyed = lines.withColumn("words", _words()).select("h1", "h2", "first", n.alias("n"), F.xxhash64("line").alias("whole"), cut.alias("cut"))
+    keyed = lines.withColumn("words", _words()).select("h1", "h2", n.alias("n"), F.xxhash64("line").alias("whole"), cut.alias("cut"))
     kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
     keys = F.concat(
         F.transform(F.filter("cut", lambda c: c["r"]), lambda c: kind(0, F.xxhash64("n", c["i"], c["h"]))),
         F.array(kind(1, F.col("whole"))),
         F.transform(F.filter("cut", lambda c: c["d"]), lambda c: kind(2, c["h"])),
     )
-    return keyed.select("h1", "h2", "first", F.explode(F.array_distinct(keys)).alias("v")).select("h1", "h2", "first", "v.kind", "v.key")
+    return keyed.select("h1", "h2", F.explode(F.array_distinct(keys)).alias("v")).select("h1", "h2", "v.kind", "v.key")
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -116,12 +141,14 @@ def near_later(keyed: DataFrame, lines: DataFrame) -> DataFrame:
 
     A line meets the earliest one of each of its keys; each such pair once is verified on the words.
     """
-    least = keyed.groupBy("key", "kind").agg(F.min(F.struct("first", "h1", "h2")).alias("r"), F.count("*").alias("k"))
-    # partners: kind 0 meets kind 0; all words (1) meet one word deleted (2), and the other way round
+    # a key of one line alone meets nobody; all words (kind 1) and one word deleted (kind 2) meet each other
+    met = keyed.withColumn("meets", F.xxhash64(F.col("kind") == 0, "key"))
+    shared = materialise(met.groupBy("meets").agg(F.count("*").alias("k")).where("k > 1").select("meets"))
+    met = materialise(among(met, shared, "meets").join(lines.select("h1", "h2", "first"), ["h1", "h2"]))
+    least = met.groupBy("key", "kind").agg(F.min(F.struct("first", "h1", "h2")).alias("r"))
     other = F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind"))
-    partner = least.where("kind > 0 or k > 1").select("key", other.alias("kind"), "r")
-    met = keyed.join(partner, ["key", "kind"]).where("r.first < first")
-    pairs = met.select("h1", "h2", F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2")).distinct()
+    partner = least.select("key", other.alias("kind"), "r")
+    pairs = met.join(partner, ["key", "kind"]).where("r.first < first").select("h1", "h2", F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2")).distinct()
     words = lines.select("h1", "h2", _words().alias("x"))
     theirs = lines.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), _words().alias("y"))
     return pairs.join(words, ["h1", "h2"]).join(theirs, ["r1", "r2"]).where(_one_edit("x", "y")).select("h1", "h2").distinct()
@@ -129,24 +156,15 @@ def near_later(keyed: DataFrame, lines: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, version, drop): the places, from 0, of the lines that each text loses."""
-    lines = lines_of(docs, key, text)
-    hashed = lines.select("doc", "version", "place", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "line", _words().alias("words"))
-    places = materialise(hashed.select("doc", "version", "place", "h1", "h2", _half_keys().alias("keys")))
+    h1, h2 = _hashes()
+    hashed = lines_of(docs, key, text).select("doc", "version", "place", h1.alias("h1"), h2.alias("h2"), _words().alias("words"))
+    places = hashed.select("doc", "version", "place", "h1", "h2", _half_keys().alias("keys"))
     distinct = materialise(distinct_lines(places))
     company = with_company(distinct)
-    wanted = company.select(F.col("first.doc").alias("doc"), F.col("first.version").alias("version"), F.struct(F.col("first.place").alias("place"), "h1", "h2", "first", "shared").alias("w"))
-    by_doc = wanted.groupBy("doc", "version").agg(F.collect_list("w").alias("w"))
-    own = docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("t"))
-    found = (
-        own.join(by_doc, ["doc", "version"])
-        .select(F.split("t", "\n", -1).alias("all"), F.explode("w").alias("w"))
-        .select("w.h1", "w.h2", "w.first", "w.shared", F.expr("all[w.place]").alias("line"))
-    )
-    # a row that repeats an id and a text finds its lines again, with the same hashes
-    candidates = materialise(found.dropDuplicates(["h1", "h2"]))
+    candidates = materialise(texts_of(docs, company, distinct, key, text))
     near = near_later(materialise(variants(candidates)), candidates)
     repeated = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
-    gone = places.join(repeated, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "version", "place") != F.col("first")))
+    gone = places.drop("keys").join(repeated, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "version", "place") != F.col("first")))
     return gone.groupBy("doc", "version").agg(F.collect_set("place").alias("drop"))
 
 
