@@ -1,17 +1,18 @@
 """Toxicity by two class-conditional Kneser-Ney models of words as character sequences, with shared backoff counts.
 
 A word is a run of non-space characters, lower-cased and without the punctuation at its ends; it is read as
-characters between a start and an end mark, each after up to ``ORDER - 1`` characters of the same word. Per class:
-discounted counts (in how many training texts the word of that n-gram occurs), interpolated with one backoff
-distribution that both classes share, the Kneser-Ney continuation counts over both. A rare expression is therefore
-judged by what it shares with others (inflected forms of a stem), and what only backs off decides nothing.
+characters between a start and an end mark, each after up to ``ORDER - 1`` characters of the same word. Counts are the
+training texts in which a word with the n-gram occurs. Both classes' discounted counts are interpolated with one shared
+Kneser-Ney distribution, of both classes' counts and their continuation counts, which weighs as much as ``BACKOFF``
+occurrences of the n-gram: a rare expression is judged by the stem it shares with others, and what only backs off
+decides nothing.
 
 A text's evidence is the difference of its toxic and its ordinary log-likelihood over its distinct words, normalised by
-length (the root of their number, so that long texts' noise and not their size is taken out); a word whose two
-likelihoods are within a factor ``exp(NEUTRAL)`` is neutral. A logistic function fitted on labelled rows that gave no
-counts, moved by the classes' shares among all training labels, makes the score.
+length (the root of their number, so that neither long texts' noise nor their size decides); a word whose toxic
+likelihood isn't ``exp(NEUTRAL)`` times its ordinary one is neutral. A logistic function fitted on labelled rows that
+gave no counts makes the score.
 
-Sample bound: at most ``PER_CLASS`` labelled rows of each class (as many of either), those of least hash, in four of
+Sample bound: at most ``PER_CLASS`` labelled rows of each class, those of least hash, in four of
 five parts for counts and the fifth for the logistic fit. The n-grams of that sample bound the model's size, which
 makes it fit to broadcast. Every document is scored over its whole text.
 
@@ -40,10 +41,10 @@ ORDER = 5
 #: Training texts from which an n-gram is kept.
 LEAST_COUNT = 2
 DISCOUNT = 0.75
-#: Weight of the shared distribution against a class's own counts, in occurrences.
-BACKOFF = 20.0
-#: Log-likelihood ratios of a word below this are neutral.
-NEUTRAL = 1.5
+#: Weight of the shared distribution against a class's own counts, in occurrences of the n-gram.
+BACKOFF = 3.0
+#: Words whose log-likelihood ratio is below this are neutral: ordinary words don't excuse a toxic one.
+NEUTRAL = 2.5
 FOLDS, HELD_OUT = 5, 0
 #: Words whose ratio a worker remembers; it starts anew beyond that.
 CACHE_WORDS = 500_000
@@ -73,44 +74,42 @@ class Model:
 
     def __init__(self, counts: dict[tuple[str, str], tuple[int, int]]):
         """``counts``: (history, character) -> training texts, ordinary and toxic."""
-        after: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-        shorter: Counter = Counter()  # shared continuation counts: histories a shorter n-gram was seen with
+        after: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
+        shorter: Counter = Counter()  # continuation counts: histories that a shorter n-gram was seen with
         shorter_after: Counter = Counter()
         for (history, char), c in counts.items():
-            after[history][0] += c[0]
-            after[history][1] += c[1]
+            n = after[history]
+            n[0], n[1], n[2] = n[0] + c[0], n[1] + c[1], n[2] + 1
             for j in range(1, len(history) + 1):
                 shorter[history[j:], char] += 1
                 shorter_after[history[j:]] += 1
         kinds = len({char for _, char in counts}) + 1
         memo: dict[tuple[str, str], float] = {}
 
-        def shared(history: str, char: str) -> float:
+        def continued(history: str, char: str) -> float:
             if (key := (history, char)) not in memo:
                 n, total = shorter[key], shorter_after[history]
                 if not history:
                     memo[key] = (n + 0.5) / (total + 0.5 * kinds)
                 else:
-                    back = shared(history[1:], char)
-                    memo[key] = (max(n - DISCOUNT, 0) + 5 * back) / (total + 5)
+                    memo[key] = (max(n - DISCOUNT, 0) + 5 * continued(history[1:], char)) / (total + 5)
             return memo[key]
 
         self.seen: dict[str, float] = {}
-        self.unseen = {h: math.log((n[0] + BACKOFF) / (n[1] + BACKOFF)) for h, n in after.items()}
         for (history, char), c in counts.items():
-            back = BACKOFF * shared(history[1:], char)
-            p = [(max(c[k] - DISCOUNT, 0) + back) / (after[history][k] + BACKOFF) for k in (0, 1)]
+            n = after[history]
+            shared = (max(sum(c) - DISCOUNT, 0) + DISCOUNT * n[2] * continued(history[1:], char)) / (n[0] + n[1])
+            # a class's count, discounted, and the shared distribution worth BACKOFF occurrences of this n-gram
+            p = [(max(c[k] - DISCOUNT, 0) + BACKOFF) / (n[k] * shared + BACKOFF) for k in (0, 1)]
             self.seen[history + char] = math.log(p[1] / p[0])
         self.slope, self.offset = 0.0, 0.0
         self.known: dict[str, float] = {}
 
     def ratio(self, word: str) -> float:
-        """Toxic minus ordinary log-likelihood of one word, 0 where it says little."""
-        total = 0.0
-        for history, char in ngrams(word):
-            x = self.seen.get(history + char)
-            total += self.unseen.get(history, 0.0) if x is None else x
-        total = total if abs(total) > NEUTRAL else 0.0
+        """Toxic minus ordinary log-likelihood of one word, 0 where it isn't clearly a toxic one."""
+        get = self.seen.get
+        total = math.fsum(get(history + char, 0.0) for history, char in ngrams(word))
+        total = total if total > NEUTRAL else 0.0
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         self.known[word] = total
@@ -132,10 +131,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     own = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("toxic in (0, 1) and __id is not null").where(fold(F.col("__id")) != HELD_OUT)
     own = own.groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}  # two rows
-    n = min(per_class, sizes.get(0, 0), sizes.get(1, 0))
     order = (F.xxhash64("__id"), F.col("__id"))
-    picked = own.where("toxic = 0").orderBy(*order).limit(n).unionByName(own.where("toxic = 1").orderBy(*order).limit(n))
+    picked = own.where("toxic = 0").orderBy(*order).limit(per_class).unionByName(own.where("toxic = 1").orderBy(*order).limit(per_class))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     # 2 * PER_CLASS ids at most, so the broadcast has a bound
     return rows.join(F.broadcast(picked), rows["doc_id"] == picked["__id"]).select(
@@ -160,6 +157,9 @@ def _evidence(rows: DataFrame, model: Model, kept: list[str]) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """Count the sample's n-grams in Spark, then fit the score on the rest of the sample; None without both classes."""
     small_batches(docs.sparkSession)
+    known = labels.where(fold(F.col("doc_id")) != HELD_OUT).agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("zero")).first()
+    if not known["one"] or not known["zero"]:
+        return None
     sample = materialise(training_rows(docs, labels, per_class))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +181,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     model = Model({(r["history"], r["char"]): (r["ordinary"], r["toxic"]) for r in table})
     seen = _evidence(sample.where("part = 0"), model, ["toxic"]).toArrow()  # a fifth of the bounded sample
     model.slope, model.offset = logistic(seen["evidence"].to_numpy(), seen["toxic"].to_numpy())
-    known = labels.where(fold(F.col("doc_id")) != HELD_OUT).agg(F.count_if(F.col("toxic") == 1).alias("one"), F.count_if(F.col("toxic") == 0).alias("zero")).first()
-    model.offset += math.log(max(known["one"], 1) / max(known["zero"], 1))  # the sample has as many of either class
     return model
 
 
