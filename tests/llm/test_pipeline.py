@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest import SMALL
 from lodegraph.llm import simhash, toxicity
-from test_operators import DOC, ODD, brute_classes, brute_lines, texts
+from test_llm_operators import DOC, ODD, brute_classes, brute_lines, texts
 
 
 def test_stages_and_their_columns(spark):
