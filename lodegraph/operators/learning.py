@@ -17,6 +17,38 @@ def clamped_weight(feedback: Column) -> Column:
     return F.aggregate(feedback, F.lit(1.0), step)
 
 
+def step_map(good: Column) -> Column:
+    """One feedback as a map x -> min(max(x + add, low), high)."""
+    wide = F.lit(1e9)
+    return F.struct(
+        F.when(good, GAIN).otherwise(-LOSS).alias("add"), F.when(good, -wide).otherwise(BOTTOM).alias("low"), F.when(good, F.lit(TOP)).otherwise(wide).alias("high")
+    )
+
+
+def composed(maps: Column) -> Column:
+    """An ordered array of such maps as one map: they are closed under composition, so parts of a log fold apart."""
+
+    def then(f: Column, g: Column) -> Column:
+        bound = lambda x: F.least(F.greatest(x + g["add"], g["low"]), g["high"])
+        return F.struct((f["add"] + g["add"]).alias("add"), bound(f["low"]).alias("low"), bound(f["high"]).alias("high"))
+
+    same = F.struct(F.lit(0.0).alias("add"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+    return F.aggregate(maps, same, then)
+
+
+def folded_weights(log: DataFrame, key: str, order: list[str], good: Column) -> DataFrame:
+    """(key, weight) of a whole feedback log: each key's days fold on their own, then the days of the key.
+
+    A key with very many rows is spread over its days; what is gathered for a key is one map a day.
+    """
+    rows = log.select(key, F.to_date(order[0]).alias("day"), *order, step_map(good).alias("m"))
+    day = F.array_sort(F.collect_list(F.struct(*order, "m")))
+    days = rows.groupBy(key, "day").agg(composed(F.transform(day, lambda x: x["m"])).alias("m"))
+    whole = F.array_sort(F.collect_list(F.struct("day", "m")))
+    folded = days.groupBy(key).agg(composed(F.transform(whole, lambda x: x["m"])).alias("m"))
+    return folded.select(key, F.least(F.greatest(1.0 + F.col("m.add"), F.col("m.low")), F.col("m.high")).alias("weight"))
+
+
 def dual_score(positive: Column, negative: Column) -> Column:
     """(p - n / 2) / (p + n + 1)."""
     return (positive - 0.5 * negative) / (positive + negative + 1)

@@ -75,9 +75,7 @@ SELECT user_id, round(arg_max(w, rn), 4) AS weight FROM f GROUP BY user_id"""
 
 @query("m08_clamped_weight_fold", _FOLD)
 def m08(t):
-    log = F.array_sort(F.collect_list(F.struct("ts", "event_id", (F.col("event_type") != "error").alias("good"))))
-    g = t.events.groupBy("user_id").agg(F.transform(log, lambda x: x["good"]).alias("log"))
-    return g.select("user_id", F.round(L.clamped_weight(F.col("log")), 4).alias("weight"))
+    return L.folded_weights(t.events, "user_id", ["ts", "event_id"], F.col("event_type") != "error").select("user_id", F.round("weight", 4).alias("weight"))
 
 
 @query("m09_dual_score", "SELECT user_id, p, n, round((p - 0.5 * n) / (p + n + 1), 4) AS relevance FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') * 2 + count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY user_id)")

@@ -21,6 +21,21 @@ def test_clamped_weight(spark, log, want):
     assert one(df.select(L.clamped_weight(F.col("log")))) == pytest.approx(want)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_folded_weights_equal_the_sequence(spark, seed):
+    import random
+
+    random.seed(seed)
+    rows = [(k, f"2024-01-{1 + i // 7:02d} 00:00:{i % 60:02d}", i, random.random() < 0.5 + 0.1 * seed) for k in range(3) for i in range(60)]
+    log = spark.createDataFrame(rows, "k int, ts string, i int, good boolean").withColumn("ts", F.to_timestamp("ts"))
+    got = {r["k"]: r["weight"] for r in L.folded_weights(log, "k", ["ts", "i"], F.col("good")).collect()}
+    for k in range(3):
+        w = 1.0
+        for _, _, _, good in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            w = min(w + 0.2, 2.0) if good else max(w - 0.1, 0.1)
+        assert got[k] == pytest.approx(w)
+
+
 def test_dual_score(spark):
     assert one(spark.range(1).select(L.dual_score(F.lit(3), F.lit(2)))) == pytest.approx(1 / 3)
 
