@@ -7,7 +7,9 @@ shingle is hashed by XXH64 with seed 42; a bit is set if more than half of the h
 Links: fingerprints at most three bits apart. Four segments of 16 bits on a ring share a budget of 3, so some segment
 starts a chain whose running sums stay within 3/4, 6/4, 9/4 and 12/4 bits, that is 0, 1, 2 and 3. Each fingerprint
 is indexed by every pair of consecutive segments and probes with the second segment unchanged or one bit flipped, so
-the join key already settles the first two links of the chain; the third link and the full distance follow.
+the join key already settles the first two links of the chain; the third link and the full distance follow. Where many
+different fingerprints share two segments, those two bits apart or less are connected first, each through the
+neighbours it shares, so that a dense group doesn't become all its pairs.
 
 Defined cases: equal fingerprints are one class before any candidate is made, so a group of copies is one row; null
 ``doc_id`` rows get a class too (its least non-null id, null if there is none); repeated rows come back repeated;
@@ -29,6 +31,8 @@ from .common import materialise, small_batches, text_column
 from .components import connected_components
 
 MAX_BITS = 3
+#: Fingerprints with two segments in common from which a crowd is connected through stars.
+CROWD = 64
 SEGMENTS, SEGMENT_BITS = 4, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -67,18 +71,41 @@ def _segment(column: str, at):
     return F.shiftrightunsigned(F.col(column), at * SEGMENT_BITS).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
 
 
+def _starts(fps: DataFrame) -> DataFrame:
+    """(fp, label, start, tag, second): the ring's four starts; start and first segment make the tag."""
+    parts = fps.select("fp", "label", F.array(*[_segment("fp", i) for i in range(SEGMENTS)]).alias("s"))
+    starts = parts.select("fp", "label", "s", F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])).alias("start"))
+    tag = F.col("start").cast("long") * (1 << 2 * SEGMENT_BITS) + F.expr("s[start]") * (1 << SEGMENT_BITS)
+    return starts.select("fp", "label", "start", tag.alias("tag"), F.expr(f"s[(start + 1) % {SEGMENTS}]").alias("second"))
+
+
+def crowded(fps: DataFrame, least: int | None = None) -> DataFrame:
+    """The fingerprints that share a start and two segments with ``CROWD`` or more."""
+    index = _starts(fps.withColumn("label", F.col("fp"))).select("fp", (F.col("tag") + F.col("second")).alias("key"))
+    full = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= (CROWD if least is None else least)).select("key")
+    return index.join(full, "key", "left_semi").select("fp").distinct()
+
+
+def stars(fps: DataFrame) -> DataFrame:
+    """(u, v): every two fingerprints at most two bits apart are connected through these links.
+
+    Two such have a neighbour in common, so each goes to the least fingerprint of each of its 65 neighbours (itself
+    included); all who meet at one are within two bits of each other, and a crowd of n gives n links there.
+    """
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
+    near = fps.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("meet"))
+    least = near.groupBy("meet").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("meet", "v")
+    return near.join(least, "meet").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` values -> (u, v) with u < v at most three bits apart."""
-    parts = fps.select("fp", F.array(*[_segment("fp", i) for i in range(SEGMENTS)]).alias("s"))
-    starts = parts.select("fp", "s", F.explode(F.array(*[F.lit(i) for i in range(SEGMENTS)])).alias("start"))
-    first, second = F.expr("s[start]"), F.expr(f"s[(start + 1) % {SEGMENTS}]")
-    tag = F.col("start").cast("long") * (1 << 2 * SEGMENT_BITS) + first * (1 << SEGMENT_BITS)
-    index = starts.select(F.col("fp").alias("v"), "start", (tag + second).alias("key"))
+    """(fp, label) -> (u, v) with u < v, at most three bits apart and of different labels."""
+    starts = _starts(fps)
+    index = starts.select(F.col("fp").alias("v"), F.col("label").alias("v_label"), "start", (F.col("tag") + F.col("second")).alias("key"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(SEGMENT_BITS)])
-    probes = starts.select("fp", (tag).alias("tag"), second.alias("second"), F.explode(flips).alias("flip")).select(
-        F.col("fp").alias("u"), (F.col("tag") + F.col("second").bitwiseXOR(F.col("flip"))).alias("key")
+    probes = starts.select(F.col("fp").alias("u"), F.col("label").alias("u_label"), "tag", "second", F.explode(flips).alias("flip")).select(
+        "u", "u_label", (F.col("tag") + F.col("second").bitwiseXOR(F.col("flip"))).alias("key")
     )
-    found = probes.join(index, "key").where("u < v")
     differ = F.expr("u ^ v")
     chain = F.expr(
         " + ".join(
@@ -87,13 +114,29 @@ def links(fps: DataFrame) -> DataFrame:
         )
         + " <= 2"
     )
-    return found.where(chain & (F.bit_count(differ) <= MAX_BITS)).select("u", "v").distinct()
+    # all conditions stand in the join, so only links are rows
+    on = (probes["key"] == index["key"]) & (F.col("u") < F.col("v")) & (F.col("u_label") != F.col("v_label")) & chain & (F.bit_count(differ) <= MAX_BITS)
+    return probes.join(index, on).select("u", "v").distinct()
+
+
+def all_links(fps: DataFrame) -> DataFrame:
+    """Distinct ``fp`` values -> (u, v) links whose components are those of all pairs at most three bits apart.
+
+    Crowds are connected through stars first; the join then makes no pairs inside what is connected already.
+    """
+    full = materialise(crowded(fps))
+    if full.isEmpty():
+        return links(fps.withColumn("label", F.col("fp")))
+    near = materialise(stars(full))
+    labels = connected_components(near).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    labelled = fps.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    return links(materialise(labelled)).unionByName(near)
 
 
 def _classes(base: DataFrame) -> DataFrame:
     """(key, fp) rows -> (fp, component): the least key of the class that each fingerprint belongs to."""
     fps = materialise(base.groupBy("fp").agg(F.min("key").alias("least")))
-    comps = connected_components(links(fps.select("fp")))
+    comps = connected_components(all_links(fps.select("fp")))
     labelled = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("label")
     )

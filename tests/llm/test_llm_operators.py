@@ -108,10 +108,33 @@ def test_pigeonring_loses_no_link(spark):
     base = [random.getrandbits(64) for _ in range(40)]
     near = [x ^ sum(1 << b for b in random.sample(range(64), k)) for x in base for k in (1, 2, 3, 3, 4)]
     signed = sorted({x - (1 << 64) if x >> 63 else x for x in base + near})
-    got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
+    fps = spark.createDataFrame([(x, x) for x in signed], "fp long, label long")
+    got = {(r["u"], r["v"]) for r in simhash.links(fps).collect()}
     assert got == {(a, b) for a, b in itertools.combinations(signed, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
 
 
+@pytest.mark.parametrize("crowd", [1, 3, 64])
+def test_crowds_have_the_same_classes(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    random.seed(7)
+    base = [random.getrandbits(64) for _ in range(6)]
+    near = [x ^ sum(1 << b for b in random.sample(range(64), k)) for x in base for k in [1] * 30 + [2] * 20 + [3] * 10 + [5] * 5]
+    signed = sorted({x - (1 << 64) if x >> 63 else x for x in base + near})
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    comp = dict(tuple(r) for r in components.connected_components(simhash.all_links(fps)).collect())
+    parent = {x: x for x in signed}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(signed, 2):
+        if ((a ^ b) & (2**64 - 1)).bit_count() <= 3 and root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert all(comp.get(x, x) == root(x) for x in signed)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
@@ -229,6 +252,11 @@ def test_lines_against_brute_force(request, table):
     assert Counter(texts(got)) == brute_lines(texts(df))
 
 
+def test_lines_without_broadcasts(monkeypatch, docs):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
+    assert Counter(texts(line_dedup.dedup_lines(docs))) == brute_lines(texts(docs))
+
+
 def test_line_edits(spark):
     base = "the quick brown fox jumps over it"
     lines = [base, base + " now", "the brown fox jumps over it", base.replace("fox", "cat"), base.replace("fox", "cat").replace("over", "on"), "a b c d", "a b c e", base]
