@@ -135,7 +135,10 @@ def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id"
             name = f"{base}/part-{part:08d}-{made:08d}.dac"
             with store.open_output_stream(f"{name}.{attempt}.tmp") as out:
                 out.write(pack(number, np.array(keys, np.int64), np.cumsum(sizes), np.concatenate(ids)))
-            store.move(f"{name}.{attempt}.tmp", name)
+            if store.get_file_info(name).type == arrow_fs.FileType.NotFound:
+                store.move(f"{name}.{attempt}.tmp", name)
+            else:  # an earlier attempt at this task has written the same bytes
+                store.delete_file(f"{name}.{attempt}.tmp")
             done = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, len(keys), held)], names=["file", "documents", "ids"])
             made, held = made + 1, 0
             keys.clear()
