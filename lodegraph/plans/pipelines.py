@@ -13,7 +13,7 @@ from ..operators import search as S
 from ..operators import state as Z
 from ..sources.bindings import sql
 from .catalog import query
-from .search import local_search
+from .search import LOCAL_SQL, local_search
 
 _WORDS = ["red", "plate"]
 
@@ -198,6 +198,7 @@ def p28(t):
     return t.supplier.select("s_suppkey", F.explode(hits).alias("blocker"))
 
 
-@query("entry_local_search")
+@query("entry_local_search", sql(LOCAL_SQL, "functions", "calls"))
 def flagship(t):
-    return local_search(t, "plate")
+    found = local_search(t, "plate")
+    return found.select("id", "name", "score", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))

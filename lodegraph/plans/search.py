@@ -141,7 +141,7 @@ def f06(t):
     return joined.select("doc_id", F.round(F.col("bm25") * 10 + X.match_tier(F.col("source"), "src1", 0), 3).alias("score"))
 
 
-_LOCAL = """, found AS (
+LOCAL_SQL = """, found AS (
   SELECT id, name, CASE WHEN lower(name) = 'plate' THEN 100 WHEN starts_with(lower(name), 'plate') THEN 80 ELSE 60 END AS score
   FROM functions WHERE contains(lower(name), 'plate')),
 outs AS (SELECT src AS id, list_sort(list(dst))[1:5] AS callees FROM calls GROUP BY 1),
@@ -159,7 +159,7 @@ def local_search(t, q: str, limit: int = 20):
     return joined.select("id", "name", "score", "callees", "callers").orderBy(F.desc("score"), "name", "id").limit(limit)
 
 
-@query("f07_local_search", sql(_LOCAL, "functions", "calls"))
+@query("f07_local_search", sql(LOCAL_SQL, "functions", "calls"))
 def f07(t):
     return local_search(t, _Q).select("id", "name", "score", F.array_join("callees", ",").alias("callees"), F.array_join("callers", ",").alias("callers"))
 
