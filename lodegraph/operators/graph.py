@@ -1,10 +1,14 @@
-"""Bounded traversal, impact and structure of a directed graph of (src, dst, type) edges."""
+"""Bounded traversal, impact and structure of a directed graph of (src, dst, type) edges.
+
+Traversals write the edges they join again and again to the shared folder first."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 MAX_DEPTH = 4
 
 
@@ -22,7 +26,7 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
     """
     depth = max(1, min(depth, MAX_DEPTH))
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
+    step = stored(edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct())
     walk = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("chain"))
     found = None
     for length in range(1, depth + 1):
@@ -39,15 +43,16 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
 def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(start, node, distance): least distances up to ``depth``, the start itself left out.
 
-    Level by level with one row per pair, so dense graphs don't multiply walks.
+    Level by level with one row per pair, so dense graphs don't multiply walks. The edges and each level are written
+    once, so no level computes those before it again.
     """
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct()
+    step = stored(edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct())
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
     front = seen
     for distance in range(1, max(1, min(depth, MAX_DEPTH)) + 1):
         ahead = front.join(step, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
-        front = ahead.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(distance))
+        front = stored(ahead.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(distance)))
         seen = seen.unionByName(front)
     return seen.where("distance > 0")
 
