@@ -157,11 +157,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_earliest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the least of their class, with all columns as they were.
 
-    A document without words (or null text) has no shingle to compare and stays, as does one without an id. Of rows
-    that repeat the surviving id, all stay with equal ids: the row, not the copy, is what an id names.
+    Texts without words are one class like any other. Rows without an id stay, and so do all rows that repeat the
+    surviving id: an id names the row, not the copy.
     """
     classes = near_duplicates(docs, key, text)
-    gone = classes.where("doc_id <> component_id and fingerprint <> '0000000000000000'").select(
-        F.col("doc_id").alias("__gone")
-    )
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone.distinct(), docs[key] == F.col("__gone"), "left_anti")
