@@ -164,6 +164,7 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     candidates = materialise(texts_of(docs, company, distinct, key, text))
     near = near_later(materialise(variants(candidates)), candidates)
     repeated = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
+    repeated = materialise(repeated)  # read anew, both sides of the next join are plain shuffles, so a hot line can be split
     gone = places.drop("keys").join(repeated, ["h1", "h2"]).where(F.col("near") | (F.struct("doc", "version", "place") != F.col("first")))
     return gone.groupBy("doc", "version").agg(F.collect_set("place").alias("drop"))
 
