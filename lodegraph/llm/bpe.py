@@ -21,6 +21,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from .common import small_batches, text_column
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words a worker remembers; it starts anew beyond that, so its memory is bounded.
+#: Distinct words a worker remembers; beyond that it keeps the quarter that came first, so its memory is bounded.
 CACHE_WORDS = 1_000_000
 #: Characters of a leaf; a longer text is halved.
 LEAF_CHARS = 4096
@@ -153,13 +154,28 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = library(path)
-        self.reset()
-
-    def reset(self) -> None:
+        letters = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
+        same = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (letters, letters.lower()))
+        self.folds = next(same) == next(same)  # the file doesn't tell A-Z from a-z
         self.numbers, self.done = self.Numbers(), 0
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def forget(self) -> None:
+        """Keep the quarter of the words that came first, the common ones among them."""
+        kept = self.Numbers()
+        kept.update(islice(self.numbers.items(), CACHE_WORDS // 4))
+        self.numbers, self.done = kept, len(kept)
+        self.used = int(self.starts[self.done - 1] + self.sizes[self.done - 1])
+
+    def words(self, text: str) -> list[bytes]:
+        """What stands between ASCII white space, in lower case where the file makes no difference: special tokens are
+        sought in the text as it is, and a combining mark (U+0300 to U+033F) may join the lower-case letter only."""
+        raw = text.encode()
+        if self.folds and b"<|" not in raw and b"\xcc" not in raw:
+            raw = raw.lower()
+        return raw.split()
+
     @staticmethod
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
@@ -179,9 +195,9 @@ class WordEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > CACHE_WORDS:
-            self.reset()
+            self.forget()
         number = self.numbers.__getitem__
-        words = [np.fromiter(map(number, cut), np.int64, len(cut)) for cut in (x.encode().split() for x in texts)]
+        words = [np.fromiter(map(number, cut), np.int64, len(cut)) for cut in map(self.words, texts)]
         if self.done < len(self.numbers):
             self._learn()
         out = []

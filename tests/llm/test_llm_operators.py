@@ -366,7 +366,7 @@ def test_toxicity_edge_cases(spark, odd, empty):
 @pytest.mark.parametrize("leaf", [1, 5, 64])
 def test_tree_gives_the_library_s_ids(leaf):
     random.seed(leaf)
-    alphabet = ["a", "b", "the", "s", "'", "'s", "'ll", "1", "23", " ", "  ", "\n", "\t", "é", "é", "漢", "\x1c", "!", "?!", "<|endoftext|>", "<|endof", "text|>", "\U0001f600", "　", "\x85", "Σ", "x" * 7]
+    alphabet = ["a", "b", "the", "s", "'", "'s", "'ll", "1", "23", " ", "  ", "\n", "\t", "é", "é", "漢", "\x1c", "!", "?!", "<|endoftext|>", "<|endof", "text|>", "\U0001f600", "　", "\x85", "Σ", "x" * 7, "The", "H\u0331", "E\u0301", "İ", "<|ENDOFTEXT|>", "<|endoftext|>"]
     library, tree, word, words = bpe.library(BYTES), bpe.TreeEncoder(BYTES, leaf=leaf), bpe.WordEncoder(WORDS), bpe.library(WORDS)
     for _ in range(500):
         s = "".join(random.choices(random.sample(alphabet, random.randint(1, 9)), k=random.randint(0, 80)))
@@ -375,6 +375,16 @@ def test_tree_gives_the_library_s_ids(leaf):
         assert word.encode_batch([s])[0].tolist() == words.encode(s, add_special_tokens=False).ids
 
 
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    random.seed(2)
+    encoder, library = bpe.WordEncoder(WORDS), bpe.library(WORDS)
+    for _ in range(60):
+        batch = [" ".join(f"Word{random.randint(0, 99)}é" for _ in range(12)) for _ in range(3)]
+        want = [x.ids for x in library.encode_batch(batch, add_special_tokens=False)]
+        assert [x.tolist() for x in encoder.encode_batch(batch)] == want
+
+
 @pytest.mark.parametrize("table", ["docs", "odd", "empty"])
 def test_encoding_and_decoding(request, table):
     df = request.getfixturevalue(table)
