@@ -1,7 +1,8 @@
 """Layout-aware text of HTML pages.
 
 A tree builder takes tags as browsers' rules imply them (a block ends an open paragraph, an item the item before it, a
-cell the cell before it, unclosed tags end with their parents); the renderer walks the tree: hidden elements
+cell the cell before it, the first thing a head can't hold the head, a cell without a row starts one, unclosed tags
+end with their parents); the renderer walks the tree: hidden elements
 give nothing, blocks stand on lines of their own with one empty line between paragraphs, lists get markers and
 indentation, cells of a table are padded to the width of their columns, and ``pre`` keeps its spacing. All text
 that a reader would see is kept, navigation and footers included.
@@ -48,6 +49,19 @@ ENDS = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: What may stand in these elements; any other tag or text ends them.
+HOLDS = {
+    "head": frozenset("head base basefont bgsound link meta title noscript noframes style script template".split()),
+    "colgroup": frozenset("col template".split()),
+}
+SECTIONS = frozenset("thead tbody tfoot".split())
+#: A part of a table -> the elements it may stand in; what is open within the nearest of them ends.
+CONTEXT = {
+    **dict.fromkeys(("td", "th"), SECTIONS | {"tr", "table"}),
+    "tr": SECTIONS | {"table"},
+    **dict.fromkeys((*SECTIONS, "caption", "colgroup"), frozenset({"table"})),
+    "col": frozenset({"colgroup", "table"}),
+}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _GONE = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
 _ATTRIBUTE = r"(?:^|\s){}\s*=\s*[\"']?([^\s\"'>]*)"
@@ -61,6 +75,26 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+def _text(stack: list[Node], text: str) -> None:
+    if stack[-1].tag in HOLDS and text.strip(" \t\n\r\f"):
+        stack.pop()
+    stack[-1].children.append(text)
+
+
+def _place(stack: list[Node], tag: str) -> None:
+    """End what a part of a table can't stand in and open the row that a cell implies."""
+    for i in range(len(stack) - 1, 0, -1):
+        if stack[i].tag in CONTEXT[tag]:
+            del stack[i + 1 :]
+            if tag in ("td", "th") and stack[i].tag != "tr" and len(stack) < DEPTH:
+                row = Node("tr")
+                stack[i].children.append(row)
+                stack.append(row)
+            break
+        if stack[i].tag in ("table", "template"):
+            break
+
+
 def tree(page: str) -> Node:
     """The tree of a page, its children being texts and nodes."""
     root = Node("#root")
@@ -68,10 +102,10 @@ def tree(page: str) -> Node:
     while at < len(page):
         found = _TOKEN.search(page, at)
         if not found:
-            stack[-1].children.append(html.unescape(page[at:]))
+            _text(stack, html.unescape(page[at:]))
             break
         if found.start() > at:
-            stack[-1].children.append(html.unescape(page[at : found.start()]))
+            _text(stack, html.unescape(page[at : found.start()]))
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
@@ -96,6 +130,10 @@ def tree(page: str) -> Node:
                     break
             elif tag not in ENDS and stack[i].tag in BLOCKS:
                 break
+        if stack[-1].tag in HOLDS and tag not in HOLDS[stack[-1].tag]:
+            stack.pop()
+        if tag in CONTEXT:
+            _place(stack, tag)
         node = Node(tag, found[3])
         stack[-1].children.append(node)
         if tag in RAW:
@@ -236,18 +274,25 @@ def _rows(node: Node) -> Iterator[Node]:
         if not isinstance(child, str) and child.tag not in HIDDEN and not _GONE.search(child.attributes):
             if child.tag == "tr":
                 yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
+            elif child.tag in SECTIONS:
                 yield from _rows(child)
 
 
+def _loose(node: Node) -> Iterator[Node | str]:
+    """What stands in a table or its sections outside of rows."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag not in SECTIONS | {"tr", "colgroup", "col"}:
+            yield child
+        elif child.tag in SECTIONS and not _GONE.search(child.attributes):
+            yield from _loose(child)
+
+
 def _table(node: Node) -> list[str]:
-    """The caption, then rows whose cells begin at the same place in every row."""
+    """The caption and what stands outside of rows, then rows whose cells begin at the same place in every row."""
     lines: list[str] = []
     grid: list[list[list[str]]] = []
     loose = Node("div")
-    for child in node.children:
-        if isinstance(child, str) or child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
-            loose.children.append(child)
+    loose.children.extend(_loose(node))
     lines += _inner(loose)
     for row in _rows(node):
         cells: list[list[str]] = []

@@ -420,6 +420,23 @@ def test_page_text(page, want):
     assert html_text.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>T</title><h1>Hi</h1><p>text", "Hi\n\ntext"),
+        ("<html><head>\n<meta charset=utf-8><style>p{}</style>\nplain <b>text</b>", "plain text"),
+        ("<head><noscript><p>no</noscript><template><p>no</template><title>T</title><div>yes</div>", "yes"),
+        ("<table><thead><th>Name<th>Age</thead><tbody><td>x<td>1<tr><td>long name<td>22</table>", "Name       Age\nx          1\nlong name  22"),
+        ("<table><td>a<td>b<tr><td>cc<td>d</table>", "a   b\ncc  d"),
+        ("<table><tbody>bare<tr><td>a<td>b</tr><div>text</div></tbody></table>", "bare\ntext\na  b"),
+        ("<table><colgroup><col><col><tr><td>a<td>b</table>", "a  b"),
+        ("<table><tr><td>a<table><td>b<td>c</table><td>d</table>", "a     d\n\nb  c"),
+    ],
+)
+def test_implied_tags(page, want):
+    assert html_text.page_text(page) == want
+
+
 def test_deep_and_large_pages():
     assert html_text.page_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(html_text.page_text("<p>word " * 20_000).split()) == 20_000
