@@ -5,7 +5,11 @@ cell the cell before it, the first thing a head can't hold the head, a cell with
 end with their parents); the renderer walks the tree: hidden elements
 give nothing, blocks stand on lines of their own with one empty line between paragraphs, lists get markers and
 indentation, cells of a table are padded to the width of their columns, and ``pre`` keeps its spacing. All text
-that a reader would see is kept, navigation and footers included.
+that a reader would see is kept, navigation and footers included; of a select that is the shown option, or all
+options where it is a list box.
+
+Hidden: the attribute ``hidden`` unless the style sets a display, a style with display none or visibility hidden or
+collapse, ``aria-hidden=true``; each with all it contains.
 
 Defined cases: null or empty HTML gives an empty text; markup that never ends is text from its ``<`` on, an unclosed
 comment or script hides what follows; elements nested deeper than ``DEPTH`` join their ancestor at that depth; repeated
@@ -28,7 +32,7 @@ DEPTH = 256
 # Fixed values of the HTML standard: element classes by their names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object svg canvas audio video noembed noframes select".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object svg canvas audio video noembed noframes".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table "
@@ -47,6 +51,7 @@ ENDS = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
 #: What may stand in these elements; any other tag or text ends them.
@@ -63,8 +68,10 @@ CONTEXT = {
     "col": frozenset({"colgroup", "table"}),
 }
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_GONE = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.I)
-_ATTRIBUTE = r"(?:^|\s){}\s*=\s*[\"']?([^\s\"'>]*)"
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_DECLARATION = re.compile(r"(?:\"[^\"]*\"|'[^']*'|\([^)]*\)|[^;])+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -75,6 +82,39 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
+def attributes(node: Node) -> dict[str, str]:
+    """Names in lower case and values; of repeated names the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(node.attributes):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def style(value: str) -> dict[str, str]:
+    """Properties and values of a style attribute: the last of a name counts, the last important one before it."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in _DECLARATION.findall(_COMMENT.sub("", value)):
+        name, _, what = declaration.partition(":")
+        what, mark, _ = what.partition("!")
+        name, what = name.strip().lower(), what.strip().lower()
+        if what and (mark or not found.get(name, (False, ""))[0]):
+            found[name] = (bool(mark), what)
+    return {name: what for name, (_, what) in found.items()}
+
+
+def gone(node: Node) -> bool:
+    """Whether the element gives no text for its class or its own attributes."""
+    if node.tag in HIDDEN:
+        return True
+    if not _MAY_HIDE.search(node.attributes):
+        return False
+    own = attributes(node)
+    look = style(own.get("style", ""))
+    if look.get("display", "none" if "hidden" in own else "") == "none" or look.get("visibility") in ("hidden", "collapse"):
+        return True
+    return own.get("aria-hidden", "").strip().lower() == "true"
+
+
 def _text(stack: list[Node], text: str) -> None:
     if stack[-1].tag in HOLDS and text.strip(" \t\n\r\f"):
         stack.pop()
@@ -209,13 +249,14 @@ def render(node: Node, out: Writer, pre: bool = False) -> None:
                 out.text(child)
             continue
         tag = child.tag
-        if tag in HIDDEN or child.attributes and _GONE.search(child.attributes):
+        if gone(child):
             continue
         if tag == "br":
             out.line_break()
         elif tag == "img":
-            alt = re.search(r"(?:^|\s)alt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", child.attributes)
-            out.text(html.unescape(alt[1] or alt[2] or "") if alt else "")
+            out.text(attributes(child).get("alt", ""))
+        elif tag == "select":
+            _select(child, out)
         elif tag == "table":
             _fixed(out, _table(child), 1)
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -242,22 +283,59 @@ def _fixed(out: Writer, lines: list[str], gap: int) -> None:
     out.block(gap)
 
 
+def _options(node: Node, off: bool = False) -> Iterator[tuple[Node, dict[str, str], bool]]:
+    """Groups and options of a select in order: the element, its attributes, whether it is disabled."""
+    for child in node.children:
+        if not isinstance(child, str):
+            own = attributes(child)
+            if child.tag in ("option", "optgroup"):
+                yield child, own, off or "disabled" in own
+            if child.tag != "option":
+                yield from _options(child, off or child.tag == "optgroup" and "disabled" in own)
+
+
+def _select(node: Node, out: Writer) -> None:
+    """The option that a closed select shows: the last selected one, else the first that can be chosen."""
+    own, found = attributes(node), list(_options(node))
+    if "multiple" in own or own.get("size", "").strip() not in ("", "0", "1"):
+        for child, its, _ in found:
+            if not gone(child):
+                out.block(0)
+                _option(child, its, out)
+                out.block(0)
+        return
+    options = [x for x in found if x[0].tag == "option"]
+    shown = [x for x in options if "selected" in x[1]][-1:] or [x for x in options if not x[2]][:1]
+    for child, its, _ in shown:
+        _option(child, its, out)
+
+
+def _option(node: Node, own: dict[str, str], out: Writer) -> None:
+    if own.get("label") or node.tag == "optgroup":
+        out.text(own.get("label", ""))
+    else:
+        render(node, out)
+
+
 def _inner(node: Node) -> list[str]:
     inner = Writer()
-    render(node, inner)
+    if node.tag == "select":
+        _select(node, inner)
+    else:
+        render(node, inner)
     return inner.result()
 
 
 def _list(node: Node) -> list[str]:
     """Items with a dash or their number; what an item holds besides its first line is indented below it."""
-    start = re.search(_ATTRIBUTE.format("start"), node.attributes)
-    number = int(start[1]) if start and start[1].isdigit() and len(start[1]) < 10 else 1
+    start = attributes(node).get("start", "").strip()
+    number = int(start) if start.isdecimal() and len(start) < 10 else 1
     lines: list[str] = []
     for child in node.children:
         if isinstance(child, str):
             lines += [x for x in [_fold(_SPACE.sub(" ", child))] if x]
             continue
-        if child.tag in HIDDEN or _GONE.search(child.attributes):
+        if gone(child):
             continue
         body = _inner(child)
         if child.tag == "li":
@@ -271,7 +349,7 @@ def _list(node: Node) -> list[str]:
 
 def _rows(node: Node) -> Iterator[Node]:
     for child in node.children:
-        if not isinstance(child, str) and child.tag not in HIDDEN and not _GONE.search(child.attributes):
+        if not isinstance(child, str) and not gone(child):
             if child.tag == "tr":
                 yield child
             elif child.tag in SECTIONS:
@@ -283,7 +361,7 @@ def _loose(node: Node) -> Iterator[Node | str]:
     for child in node.children:
         if isinstance(child, str) or child.tag not in SECTIONS | {"tr", "colgroup", "col"}:
             yield child
-        elif child.tag in SECTIONS and not _GONE.search(child.attributes):
+        elif child.tag in SECTIONS and not gone(child):
             yield from _loose(child)
 
 
@@ -300,11 +378,11 @@ def _table(node: Node) -> list[str]:
             if isinstance(cell, str):
                 if cell.strip():
                     cells.append([_fold(_SPACE.sub(" ", cell))])
-            elif cell.tag not in HIDDEN and not _GONE.search(cell.attributes):
+            elif not gone(cell):
                 cells.append(_inner(cell))
-                span = re.search(_ATTRIBUTE.format("colspan"), cell.attributes)
-                if span and span[1].isdigit():
-                    cells += [[]] * (min(int(span[1]), 100) - 1)
+                span = attributes(cell).get("colspan", "").strip()
+                if span.isdecimal():
+                    cells += [[]] * (min(int(span[:4]), 100) - 1)
         grid.append(cells)
     width: dict[int, int] = {}
     for cells in grid:

@@ -437,6 +437,40 @@ def test_implied_tags(page, want):
     assert html_text.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    ['title="a hidden gem"', 'class="nav hidden md:flex"', 'style="overflow: hidden !important"', "data-css='display:none'",
+     'title="x style=display:none"', 'style="background: url(a;display:none)"', 'style="/*display:none*/color:red"',
+     'style="display:none; display:block"', 'hidden style="display:block"', "data-hidden", "aria-hidden=false", 'title="aria-hidden=true"'],
+)
+def test_values_hide_nothing(attribute):
+    assert html_text.page_text(f"<body {attribute}><p>yes<table {attribute}><tr {attribute}><td {attribute}>a</table><ul><li {attribute}>b</ul>") == "yes\n\na\n\n- b"
+
+
+@pytest.mark.parametrize(
+    "attribute",
+    ["HIDDEN", "hidden=''", "class=a hidden", "style=display:none", 'STYLE="color:red;DISPLAY : none !important"', "style='visibility:hidden'",
+     "style='display:none!important;display:block'", "title='>' hidden", 'data-x="1"hidden'],
+)
+def test_hidden_elements(attribute):
+    assert html_text.page_text(f"<div {attribute}>no</div>yes") == "yes"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("a <select><option>x<option selected>y<option>z</select> b", "a y b"),
+        ("a <select><option disabled>x<option>y<option>z</select> b", "a y b"),
+        ("a <select><optgroup label=G><option>x<optgroup label=H><option selected hidden>y</select> b", "a y b"),
+        ("<select multiple><optgroup label=G><option>x<option label=L>y</select>", "G\nx\nL"),
+        ("<ul><select><option>x<option>y</select></ul>", "  x"),
+        ("<select></select>b", "b"),
+    ],
+)
+def test_select_shows_its_option(page, want):
+    assert html_text.page_text(page) == want
+
+
 def test_deep_and_large_pages():
     assert html_text.page_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(html_text.page_text("<p>word " * 20_000).split()) == 20_000
