@@ -18,7 +18,7 @@ an empty table gives an empty result; other columns are ignored (``near_duplicat
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -34,12 +34,12 @@ MAX_BITS = 3
 #: Fingerprints with two segments in common from which a crowd is connected through stars.
 CROWD = 64
 SEGMENTS, SEGMENT_BITS = 4, 16
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of one text, unsigned."""
-    words = (text or "").encode("utf-8").translate(_LOWER).split()
+    words = (text or "").encode("utf-8").translate(LOWER).split()
     if not words:
         return 0
     if len(words) < width:
@@ -133,10 +133,10 @@ def all_links(fps: DataFrame) -> DataFrame:
     return links(materialise(labelled)).unionByName(near)
 
 
-def _classes(base: DataFrame) -> DataFrame:
-    """(key, fp) rows -> (fp, component): the least key of the class that each fingerprint belongs to."""
+def classes(base: DataFrame, link: Callable[[DataFrame], DataFrame] = all_links) -> DataFrame:
+    """(key, fp) rows -> (fp, component): the least key of the class that each fingerprint belongs to by ``link``."""
     fps = materialise(base.groupBy("fp").agg(F.min("key").alias("least")))
-    comps = connected_components(all_links(fps.select("fp")))
+    comps = connected_components(link(fps.select("fp")))
     labelled = fps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("label")
     )
@@ -147,7 +147,7 @@ def _classes(base: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (least id reachable)."""
     base = materialise(fingerprints(docs, key, text))
-    return base.join(_classes(base), "fp").select(
+    return base.join(classes(base), "fp").select(
         F.col("key").alias("doc_id"),
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("component").alias("component_id"),
@@ -160,6 +160,10 @@ def keep_earliest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     Texts without words are one class like any other. Rows without an id stay, and so do all rows that repeat the
     surviving id: an id names the row, not the copy.
     """
-    classes = near_duplicates(docs, key, text)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    return least_of_class(docs, near_duplicates(docs, key, text), key)
+
+
+def least_of_class(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` without those whose ``component_id`` in ``found`` is another id than theirs."""
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone.distinct(), docs[key] == F.col("__gone"), "left_anti")

@@ -1,11 +1,14 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from lodegraph.llm import simhash, toxicity
+from lodegraph.llm import near_copies, simhash, toxicity
 from test_llm_operators import DOC, ODD, brute_classes, brute_lines, texts
 
 
@@ -44,3 +47,36 @@ def test_stages_take_odd_rows(spark, rows):
 def test_one_of_each_class_stays(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "a b c d"), (4, "A b c d")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_earliest(docs).collect()) == [1, 3]
+
+
+def test_near_copies_against_brute_force(spark):
+    """Copies with scattered edits, a crowd among them: the stage keeps the least of each component at 0.8 or more."""
+    random.seed(5)
+    rows, near = [], {0.8: 0, 0.9: 0, 0.95: 0}
+    for base in range(40):
+        words = [f"w{random.randrange(50_000)}" for _ in range(400)]
+        rows.append(" ".join(words))
+        for edits in [*range(1, 20, 2)] if base else [*range(1, 20, 2)] * 8:
+            copy = list(words)
+            for at in random.sample(range(400), edits):
+                copy[at] = f"x{random.randrange(50_000)}"
+            rows.append(" ".join(copy))
+    rows += ["", "one two", "One  two", "one two three"]
+    sets = [set(near_copies.shingles(x).tolist()) for x in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * len(sets[a] | sets[b]):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+            for k in near:
+                near[k] += 5 * both < 5 * len(sets[a] | sets[b]) and both >= k * len(sets[a] | sets[b])
+    assert all(near.values())
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()}
+    assert kept == {root(i) for i in range(len(rows))}
