@@ -87,7 +87,8 @@ def s09(t):
 @query("s10_packet_loader", sql(", packets AS (SELECT p_brand AS repo, p_type AS pattern, list_sort(list(DISTINCT p_name)) AS rules FROM part GROUP BY 1, 2) SELECT repo, pattern, unnest(rules) AS rule FROM packets"))
 def s10(t):
     inner = t.part.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set("p_name")).alias("rules"))
-    packets = inner.groupBy("p_brand").agg(F.collect_list(F.struct(F.col("p_type").alias("name"), "rules")).alias("patterns"))
+    # a packet per brand and pattern: all names of a brand in one row would have no bound
+    packets = inner.select("p_brand", F.array(F.struct(F.col("p_type").alias("name"), "rules")).alias("patterns"))
     lines = packets.select(F.to_json(F.struct(F.col("p_brand").alias("repo"), "patterns")).alias("packet"))
     parsed = lines.select(F.from_json("packet", "repo string, patterns array<struct<name:string,rules:array<string>>>").alias("p"))
     patterns = parsed.select("p.repo", F.explode("p.patterns").alias("q"))

@@ -44,3 +44,9 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_packets_hold_one_pattern(spark):
+    """No step of s10 gathers all patterns of a brand into one row."""
+    plan = QUERIES["s10_packet_loader"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" in plan
