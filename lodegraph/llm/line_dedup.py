@@ -2,8 +2,11 @@
 
 A line is what stands between newlines; blank lines are kept and never compared. Of each set of equal lines the earliest
 (by ``doc_id``, then place) stays, and so does a line no earlier one is within the edit bound of: one word inserted,
-deleted or replaced, for lines of ``LEAST_WORDS`` words or more, which leaves at least four words in five alike.
-Shorter lines are compared for equality. Words are what single blanks separate.
+deleted or replaced, for lines of ``LEAST_WORDS`` words or more, which leaves at least four words in five alike, the
+least likeness that counts.
+Shorter lines are compared for equality. Words are what single blanks separate. A line also goes if the earlier line it
+is near to goes itself, as in any class of copies the earliest of which stays: of a chain of lines, each one word from
+the one before, only the first is kept, though its ends may be several words apart.
 
 Steps. Equal lines meet by a 128-bit hash, combined before the shuffle. Each distinct line gives keys of its halves, cut
 where a partner of its own length or one word shorter would be cut: one edit leaves a half as it is, so lines
@@ -24,7 +27,7 @@ empty result; other columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -45,16 +48,14 @@ def _words() -> Column:
 
 
 def _half_keys() -> Column:
-    """Hashes of the head and tail of a line for partners of the same length, and for those of one word less."""
-    n = F.size("words")
+    """Hashes of the head and tail of a line for partners of the same length, and for those of one word less; cut at
+    blanks in place, without an array of words."""
+    n = F.col("n")
 
     def pair(base: Column) -> list[Column]:
         head = F.floor(base / 2).cast("int")
-        tail = base - head
-        return [
-            F.xxhash64(F.lit(1), base, F.array_join(F.slice("words", 1, head), " ")),
-            F.xxhash64(F.lit(2), base, F.array_join(F.slice("words", n - tail + 1, tail), " ")),
-        ]
+        ends = ((1, head), (2, head - base))
+        return [F.xxhash64(F.lit(k), base, F.call_function("substring_index", F.col("line"), F.lit(" "), count)) for k, count in ends]
 
     return F.when(n >= LEAST_WORDS, F.array(*pair(n), *pair(n - 1)))
 
@@ -103,23 +104,36 @@ def variants(lines: DataFrame) -> DataFrame:
 
     Kind 0: one word deleted, its place and the length being part of the key; 1: all words; 2: one word deleted, by
     the words alone. Only places in the half that isn't shared can be the edit's.
+
+    A sequence of words is hashed as the xor of its words' hashes, each taken with its place, so no variant is ever
+    spelled out: a word deleted takes its hash away and moves the words after it up by one place, and a running xor
+    along the line has the hashes of all its variants, in time linear in its words.
     """
     n = F.size("words")
-    at = lambda i: F.array_contains("shared", F.lit(i))
-    head, shorter = F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")
-    replaced = lambda i: (at(0) & (i > head)) | (at(1) & (i <= head))
-    deleted = lambda i: (at(2) & (i > shorter)) | (at(3) & (i <= shorter + 1))
-    without = lambda i: F.array_join(F.concat(F.slice("words", 1, i - 1), F.slice("words", i + 1, n)), " ")
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: replaced(i) | deleted(i))
-    cut = F.transform(places, lambda i: F.struct(i.alias("i"), replaced(i).alias("r"), deleted(i).alias("d"), F.xxhash64(without(i)).alias("h")))
-    keyed = lines.withColumn("words", _words()).select("h1", "h2", n.alias("n"), F.xxhash64("line").alias("whole"), cut.alias("cut"))
+    words = lines.repartition("h1", "h2").withColumn("words", _words()).select("h1", "h2", "shared", n.alias("n"), F.posexplode("words").alias("at", "word"))
+    i = F.col("at") + 1
+    placed = words.select("h1", "h2", "shared", "n", i.alias("i"), F.xxhash64("word", i).alias("here"), F.xxhash64("word", i - 1).alias("moved"))
+    line = Window.partitionBy("h1", "h2")
+    before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = placed.select(
+        "*",
+        F.bit_xor("here").over(line).alias("all"),
+        F.bit_xor("moved").over(line).alias("all_moved"),
+        # words before stay in place: in the hash of all words moved they count as here instead
+        F.coalesce(F.bit_xor(F.col("here").bitwiseXOR(F.col("moved"))).over(before), F.lit(0).cast("long")).alias("stay"),
+    )
+    at = lambda k: F.array_contains("shared", F.lit(k))
+    head, shorter = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
+    replaced = (at(0) & (F.col("i") > head)) | (at(1) & (F.col("i") <= head))
+    deleted = (at(2) & (F.col("i") > shorter)) | (at(3) & (F.col("i") <= shorter + 1))
+    without = F.col("all_moved").bitwiseXOR(F.col("stay")).bitwiseXOR(F.col("moved"))
     kind = lambda k, key: F.struct(F.lit(k).alias("kind"), key.alias("key"))
-    keys = F.concat(
-        F.transform(F.filter("cut", lambda c: c["r"]), lambda c: kind(0, F.xxhash64("n", c["i"], c["h"]))),
-        F.array(kind(1, F.col("whole"))),
-        F.transform(F.filter("cut", lambda c: c["d"]), lambda c: kind(2, c["h"])),
+    keys = F.array(
+        F.when(replaced, kind(0, F.xxhash64("n", "i", F.col("all").bitwiseXOR(F.col("here"))))),
+        F.when(F.col("i") == 1, kind(1, F.col("all"))),
+        F.when(deleted, kind(2, without)),
     )
-    return keyed.select("h1", "h2", F.explode(F.array_distinct(keys)).alias("v")).select("h1", "h2", "v.kind", "v.key")
+    return hashed.select("h1", "h2", F.explode(F.array_compact(keys)).alias("v")).select("h1", "h2", "v.kind", "v.key")
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -157,7 +171,8 @@ def near_later(keyed: DataFrame, lines: DataFrame) -> DataFrame:
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, version, drop): the places, from 0, of the lines that each text loses."""
     h1, h2 = _hashes()
-    hashed = lines_of(docs, key, text).select("doc", "version", "place", h1.alias("h1"), h2.alias("h2"), _words().alias("words"))
+    blanks = F.octet_length("line") - F.octet_length(F.call_function("replace", "line", F.lit(" "), F.lit("")))
+    hashed = lines_of(docs, key, text).select("doc", "version", "place", "line", h1.alias("h1"), h2.alias("h2"), (blanks + 1).alias("n"))
     places = hashed.select("doc", "version", "place", "h1", "h2", _half_keys().alias("keys"))
     distinct = materialise(distinct_lines(places))
     company = with_company(distinct)

@@ -66,7 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-#: Lines by the definition in line_dedup: equal lines after the first go, and lines one word from an earlier one.
+#: Lines by the definition in line_dedup: equal lines after the first go, and lines one word from an earlier one, also
+#: where that one goes itself (a chain keeps its first line only).
 _OP4 = r"""
 WITH places AS (
   SELECT doc_id, p AS place, list_extract(lines, p) AS line

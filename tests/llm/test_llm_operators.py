@@ -264,6 +264,21 @@ def test_line_edits(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {0: base, 1: "", 2: "", 3: "", 4: "", 5: lines[5], 6: lines[6], 7: ""}
 
 
+def test_chains_keep_their_first_line(spark):
+    """A line near an earlier one goes even if that one goes too; one that is near later lines only stays."""
+    rows = ["a b c d e", "a b c d x", "a b c y x", "p q r s t", "p q r z y", "p q r s y"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == {0: rows[0], 1: "", 2: "", 3: rows[3], 4: rows[4], 5: ""}
+    assert Counter(texts(line_dedup.dedup_lines(df))) == brute_lines(texts(df))
+
+
+def test_very_long_lines(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    lines = [words, [*words[:777], "x", *words[778:]], words[:500] + words[501:], words[:500] + words[502:], [*words[:9], "y", *words[9:]]]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    assert {r["doc_id"] for r in line_dedup.dedup_lines(df).where("text <> ''").collect()} == {0}  # the fourth is near the third
+
+
 def test_line_query_against_sql(spark, duck):
     got = queries.op4_line_dedup(spark, SMALL).collect()
     want = duck.execute(f"SELECT doc_id, kept_chars, kept_md5 FROM ({queries.oracle_sql()['op4_line_dedup']})").fetchall()
