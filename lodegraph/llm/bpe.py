@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_column
+from .common import small_batches, spread, text_column
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -277,7 +277,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     """One row per document: ``doc_id``, ``n_tokens``, ``ids_sha256`` (little-endian 32-bit ids), ``decoded_sha256``."""
     small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc_id"), text_column(docs, text).alias("text"))
+    rows = spread(docs.select(F.col(key).alias("doc_id"), text_column(docs, text).alias("text")))
     schema = _DIGEST.format(kind=kind)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,6 +39,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where they lie in fewer partitions than there are: a small table in one file keeps one
+    task busy. Larger tables stay as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def text_column(docs: DataFrame, name: str = "text") -> Column:
     """The text as a string, empty where null."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_column
+from .common import small_batches, spread, text_column
 
 DEPTH = 256
 # Fixed values of the HTML standard: element classes by their names.
@@ -412,4 +412,4 @@ def extract(pages: DataFrame, key: str = "page_id", markup: str = "html") -> Dat
             found = pa.array([page_text(x.as_py()) for x in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), found], names=[key, "text"])
 
-    return pages.select(F.col(key), text_column(pages, markup).alias("html")).mapInArrow(run, f"`{key}` {kind}, text string")
+    return spread(pages.select(F.col(key), text_column(pages, markup).alias("html"))).mapInArrow(run, f"`{key}` {kind}, text string")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import tree_encoder
-from .common import materialise, small_batches, text_column
+from .common import materialise, small_batches, spread, text_column
 
 CAPACITY = 2048
 #: Groups that share one length's ranking.
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key:
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    rows = docs.select(F.col(key).alias("doc_id"), text_column(docs, text).alias("text"))
+    rows = spread(docs.select(F.col(key).alias("doc_id"), text_column(docs, text).alias("text")))
     return materialise(rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_column
+from .common import materialise, small_batches, spread, text_column
 from .components import connected_components
 
 MAX_BITS = 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), text_column(docs, text).alias("text")).mapInArrow(run, f"key {kind}, fp long")
+    return spread(docs.select(F.col(key).alias("key"), text_column(docs, text).alias("text"))).mapInArrow(run, f"key {kind}, fp long")
 
 
 def _segment(column: str, at):

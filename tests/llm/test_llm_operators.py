@@ -364,6 +364,81 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i in got if not got[i]["predicted"]}
 
 
+def brute_toxicity(rows, labels):
+    """Both classes' models by their definition, from words counted one by one; the evidence of every text."""
+    toxic = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    counts, tails, after = [Counter(), Counter()], {}, {}
+    fits = {i for i in toxic if part_of(i) == 0}
+    every = set()
+    for i, t in rows:
+        for w in {x for x in t.lower().split()}:
+            for g in toxicity.ngrams(w):
+                every.add(g)
+                if i in toxic and i not in fits:
+                    counts[toxic[i]][g] += 1
+    for h, c in every:
+        for j in range(1, len(h) + 1):
+            tails.setdefault((h[j:], c), set()).add(h[j - 1])
+    for (h, c), before in tails.items():
+        after.setdefault(h, {})[c] = len(before)
+    characters = len({c for _, c in every}) + 1
+
+    def shared(h, c):
+        lower = shared(h[1:], c) if h else 1 / characters
+        n = after[h]
+        return (max(n.get(c, 0) - toxicity.SHARED_DISCOUNT, 0) + toxicity.SHARED_DISCOUNT * len(n) * lower) / sum(n.values())
+
+    def p(k, h, c):
+        own = {x: n for (y, x), n in counts[k].items() if y == h}
+        if not own:
+            return shared(h[1:], c)
+        lost = sum(min(n, toxicity.DISCOUNT) for n in own.values())
+        return (max(own.get(c, 0) - toxicity.DISCOUNT, 0) + lost * shared(h[1:], c)) / sum(own.values())
+
+    def evidence(t):
+        words = t.lower().split()
+        ratios = [sum(np.log(p(1, h, c) / p(0, h, c)) for h, c in toxicity.ngrams(w)) for w in words]
+        return float(np.mean([np.log1p(toxicity.MIXED * np.expm1(r)) for r in ratios])) if words else 0.0
+
+    return counts, p, evidence, characters
+
+
+def part_of(i):
+    """Spark's pmod(xxhash64('part', id), 5): the id's hash is seeded by the string's."""
+    seed = xxhash.xxh64_intdigest(b"part", 42)
+    return (lambda h: (h - (1 << 64) if h >> 63 else h) % 5)(xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), seed))
+
+
+def test_toxicity_models_against_brute_force(spark, monkeypatch):
+    rows, labels = labelled(spark, 60)
+    data, marks = [tuple(r) for r in rows.collect()], [tuple(r) for r in labels.collect()]
+    counts, p, evidence, characters = brute_toxicity(data, marks)
+    known = toxicity.label_rows(labels)
+    got = {(r["history"], r["char"]): r for r in toxicity.probabilities(toxicity.gram_counts(toxicity.with_labels(rows, known))).collect()}
+    assert set(got) == set(counts[0]) | set(counts[1])
+    for (h, c), r in got.items():
+        assert r["ordinary_p"] == pytest.approx(p(0, h, c)) and r["toxic_p"] == pytest.approx(p(1, h, c))
+    # after each history the seen characters have their own probabilities, and all others what is left
+    for h in {h for h, _ in got}:
+        mine = [r for (x, _), r in got.items() if x == h]
+        unseen = 1 - sum(r["shared"] for r in mine)
+        for k in ("ordinary", "toxic"):
+            assert sum(r[f"{k}_p"] for r in mine) + mine[0][f"{k}_rest"] * unseen == pytest.approx(1)
+    model = toxicity.fit(rows, labels)
+    want = {i: evidence(t) for i, t in data}
+    assert {i: model.scorer.evidence(t) for i, t in data} == pytest.approx(want)
+    texts_ = rows.select("doc_id", "text")
+    assert {r[0]: r[1] for r in toxicity.evidence_by_join(texts_, model.table).collect()} == pytest.approx(want)
+    slope, offset = model.slope, model.offset
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(rows, labels).collect()}
+    assert got == pytest.approx({i: 1 / (1 + np.exp(-(np.arcsinh(e / model.scale) * slope + offset))) for i, e in want.items()})
+    kept = {r["doc_id"] for r in toxicity.keep_ordinary(rows, labels).collect()}
+    monkeypatch.setattr(toxicity, "MODEL_ROWS", 0)
+    monkeypatch.setattr(toxicity, "LABEL_ROWS", 0)
+    assert {r["doc_id"]: r["score"] for r in toxicity.scores(rows, labels).collect()} == pytest.approx(got)
+    assert {r["doc_id"] for r in toxicity.keep_ordinary(rows.withColumn("row", F.lit(1)), labels).collect()} == kept
+
+
 def test_toxicity_edge_cases(spark, odd, empty):
     rows, labels = labelled(spark)
     both = rows.unionByName(odd.select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 10_000)).withColumn("toxic", F.lit("x"))
