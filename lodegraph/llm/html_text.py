@@ -2,17 +2,20 @@
 
 A tree builder takes tags as browsers' rules imply them (a block ends an open paragraph, an item the item before it, a
 cell the cell before it, the first thing a head can't hold the head, a cell without a row starts one, unclosed tags
-end with their parents); the renderer walks the tree: hidden elements
-give nothing, blocks stand on lines of their own with one empty line between paragraphs, lists get markers and
-indentation, cells of a table are padded to the width of their columns, and ``pre`` keeps its spacing. All text
-that a reader would see is kept, navigation and footers included; of a select that is the shown option, or all
-options where it is a list box.
-
-Hidden: the attribute ``hidden`` unless the style sets a display, a style with display none or visibility hidden or
-collapse, ``aria-hidden=true``; each with all it contains.
-
-Defined cases: null or empty HTML gives an empty text; markup that never ends is text from its ``<`` on, an unclosed
-comment or script hides what follows; elements nested deeper than ``DEPTH`` join their ancestor at that depth; repeated
+end with their parents; a slash before the end of a tag closes nothing but in SVG and MathML); the renderer walks the
+tree: hidden elements give nothing, blocks stand on lines of their own with one empty line between paragraphs, lists get
+markers and indentation (``start``, ``reversed``, ``value``), cells of a table are padded to the width of their columns,
+where cells over several columns or rows keep the others in place and wide characters count as two, and ``pre`` keeps
+its spacing. All text that a reader would see is kept, navigation, footers and the text of drawings included; of a
+select that is the shown option, or all options where it is a list box.
+
+Hidden: the attribute ``hidden`` unless the style sets a display, and a style with display none, each with all it contains;
+a style with visibility hidden or collapse, but for what is visible again within. What is hidden from screen readers only
+(``aria-hidden``) is text like any other.
+
+Defined cases: null or empty HTML gives an empty text; a tag that never ends is text from its ``<`` on, markup within it
+included, and an unclosed comment or script hides what follows, so each page is read once, in time linear in its length; elements
+nested deeper than ``DEPTH`` join their ancestor at that depth, which changes the layout only; repeated
 rows come back repeated; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,10 @@ DEPTH = 256
 # Fixed values of the HTML standard: element classes by their names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object svg canvas audio video noembed noframes".split())
+HIDDEN = frozenset("head script style template noscript title meta link datalist iframe object canvas audio video noembed noframes desc defs symbol metadata annotation".split())
+#: Elements of other languages: a slash closes tags in them, and each text of a drawing stands apart.
+FOREIGN = frozenset(("svg", "math"))
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534  # of a cell
 BLOCKS = frozenset(
     "address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table "
@@ -67,8 +74,10 @@ CONTEXT = {
     **dict.fromkeys((*SECTIONS, "caption", "colgroup"), frozenset({"table"})),
     "col": frozenset({"colgroup", "table"}),
 }
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_COMMENT_TAG = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+# quotes count after = only; nothing is tried twice, so a tag is read in one pass
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)*+)>")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _MAY_HIDE = re.compile("hidden|style", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _DECLARATION = re.compile(r"(?:\"[^\"]*\"|'[^']*'|\([^)]*\)|[^;])+")
@@ -102,17 +111,30 @@ def style(value: str) -> dict[str, str]:
     return {name: what for name, (_, what) in found.items()}
 
 
-def gone(node: Node) -> bool:
-    """Whether the element gives no text for its class or its own attributes."""
+def shown(node: Node, inherited: bool) -> tuple[bool, bool]:
+    """Whether the element is laid out at all, and whether its own text is visible."""
     if node.tag in HIDDEN:
-        return True
+        return False, False
     if not _MAY_HIDE.search(node.attributes):
-        return False
+        return True, inherited
     own = attributes(node)
     look = style(own.get("style", ""))
-    if look.get("display", "none" if "hidden" in own else "") == "none" or look.get("visibility") in ("hidden", "collapse"):
-        return True
-    return own.get("aria-hidden", "").strip().lower() == "true"
+    visibility = look.get("visibility", "")
+    visible = visibility == "visible" or inherited and visibility not in ("hidden", "collapse")
+    return look.get("display", "none" if "hidden" in own else "") != "none", visible
+
+
+def _number(value: str | None, least: int, most: int, default: int) -> int:
+    """A whole number as attributes give it: what stands behind its digits is ignored."""
+    found = re.match(r"\s*([+-]?\d{1,9})(?!\d)", value or "", re.A)
+    return min(int(found[1]), most) if found and int(found[1]) >= least else default
+
+
+def _width(text: str) -> int:
+    """Columns of a fixed-width screen: wide characters take two, combining marks none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 def _text(stack: list[Node], text: str) -> None:
@@ -140,16 +162,28 @@ def tree(page: str) -> Node:
     root = Node("#root")
     stack, at = [root], 0
     while at < len(page):
-        found = _TOKEN.search(page, at)
-        if not found:
+        begin = page.find("<", at)
+        while begin >= 0 and not (page[begin + 1 : begin + 2] in ("!", "?") or page[begin + 1 : begin + 3].lstrip("/")[:1].isalpha() and page[begin + 1 : begin + 3].isascii()):
+            begin = page.find("<", begin + 1)
+        if begin < 0:
             _text(stack, html.unescape(page[at:]))
             break
-        if found.start() > at:
-            _text(stack, html.unescape(page[at : found.start()]))
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        if begin > at:
+            _text(stack, html.unescape(page[at:begin]))
+        if page[begin + 1] in "!?":
+            comment = _COMMENT_TAG.match(page, begin)
+            end = comment.end() if comment else page.find(">", begin) + 1
+            if not end:
+                _text(stack, html.unescape(page[begin:]))
+                break
+            at = end
             continue
+        found = _TAG.match(page, begin)
+        if not found:
+            _text(stack, html.unescape(page[begin:]))
+            break
+        at = found.end()
+        tag = found[2].lower()
         if found[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -181,8 +215,9 @@ def tree(page: str) -> Node:
             node.children.append(html.unescape(page[at : close.start() if close else len(page)]))
             end = page.find(">", close.start()) if close else -1
             at = end + 1 if end >= 0 else len(page)
-        elif tag not in VOID and not found[3].rstrip().endswith("/") and len(stack) < DEPTH:
-            stack.append(node)
+        elif tag not in VOID and len(stack) < DEPTH:
+            if not found[3].rstrip().endswith("/") or tag not in FOREIGN and not any(x.tag in FOREIGN for x in stack):
+                stack.append(node)
     return root
 
 
@@ -236,9 +271,11 @@ def _fold(line: str) -> str:
     return re.sub(" +", " ", line).strip(" ")
 
 
-def render(node: Node, out: Writer, pre: bool = False) -> None:
+def render(node: Node, out: Writer, pre: bool = False, visible: bool = True) -> None:
     for child in node.children:
         if isinstance(child, str):
+            if not visible:
+                continue
             if pre:
                 first, *rest = child.split("\n")
                 out.now.append(first)
@@ -249,32 +286,38 @@ def render(node: Node, out: Writer, pre: bool = False) -> None:
                 out.text(child)
             continue
         tag = child.tag
-        if gone(child):
+        there, seen = shown(child, visible)
+        if not there:
             continue
         if tag == "br":
             out.line_break()
         elif tag == "img":
-            out.text(attributes(child).get("alt", ""))
+            out.text(attributes(child).get("alt", "") if seen else "")
         elif tag == "select":
-            _select(child, out)
+            if seen:
+                _select(child, out)
         elif tag == "table":
-            _fixed(out, _table(child), 1)
+            _fixed(out, _table(child, seen), 1)
         elif tag in ("ul", "ol", "menu", "dir"):
-            _fixed(out, _list(child), 0)
+            _fixed(out, _list(child, seen), 0)
             out.block(1 if node.tag not in ("li", "nav") else 0)
         elif tag == "pre":
             out.block(1)
             inner = Writer()
             inner.now.append("\x00")
-            render(child, inner, True)
+            render(child, inner, True, seen)
             _fixed(out, inner.result(), 1)
         elif tag in BLOCKS:
             gap = 1 if tag in SPACED else 0
             out.block(gap)
-            render(child, out, pre)
+            render(child, out, pre, seen)
             out.block(gap)
+        elif tag == "text":  # of a drawing
+            out.text(" ")
+            render(child, out, pre, seen)
+            out.text(" ")
         else:
-            render(child, out, pre)
+            render(child, out, pre, seen)
 
 
 def _fixed(out: Writer, lines: list[str], gap: int) -> None:
@@ -299,14 +342,14 @@ def _select(node: Node, out: Writer) -> None:
     own, found = attributes(node), list(_options(node))
     if "multiple" in own or own.get("size", "").strip() not in ("", "0", "1"):
         for child, its, _ in found:
-            if not gone(child):
+            if all(shown(child, True)):
                 out.block(0)
                 _option(child, its, out)
                 out.block(0)
         return
     options = [x for x in found if x[0].tag == "option"]
-    shown = [x for x in options if "selected" in x[1]][-1:] or [x for x in options if not x[2]][:1]
-    for child, its, _ in shown:
+    chosen = [x for x in options if "selected" in x[1]][-1:] or [x for x in options if not x[2]][:1]
+    for child, its, _ in chosen:
         _option(child, its, out)
 
 
@@ -317,43 +360,52 @@ def _option(node: Node, own: dict[str, str], out: Writer) -> None:
         render(node, out)
 
 
-def _inner(node: Node) -> list[str]:
+def _inner(node: Node, visible: bool = True) -> list[str]:
     inner = Writer()
     if node.tag == "select":
-        _select(node, inner)
+        if visible:
+            _select(node, inner)
     else:
-        render(node, inner)
+        render(node, inner, False, visible)
     return inner.result()
 
 
-def _list(node: Node) -> list[str]:
+def _list(node: Node, visible: bool = True) -> list[str]:
     """Items with a dash or their number; what an item holds besides its first line is indented below it."""
-    start = attributes(node).get("start", "").strip()
-    number = int(start) if start.isdecimal() and len(start) < 10 else 1
+    own = attributes(node)
+    items = [(child, *shown(child, visible)) for child in node.children if not isinstance(child, str)]
+    step = -1 if "reversed" in own else 1
+    count = sum(child.tag == "li" and there for child, there, _ in items)
+    number = _number(own.get("start"), -(10**9), 10**9, count if step < 0 else 1)
+    seen = iter(items)
     lines: list[str] = []
     for child in node.children:
         if isinstance(child, str):
-            lines += [x for x in [_fold(_SPACE.sub(" ", child))] if x]
+            lines += [x for x in [_fold(_SPACE.sub(" ", child))] if x and visible]
             continue
-        if gone(child):
+        _, there, sees = next(seen)
+        if not there:
             continue
-        body = _inner(child)
+        body = _inner(child, sees)
         if child.tag == "li":
+            number = _number(attributes(child).get("value"), -(10**9), 10**9, number)
             mark = f"{number}. " if node.tag == "ol" else "- "
-            number += 1
+            number += step
             lines += [(mark if i == 0 else " " * len(mark)) + x for i, x in enumerate(body)]
         else:
             lines += ["  " + x for x in body]
     return lines
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _rows(node: Node, visible: bool) -> Iterator[tuple[Node, bool, Node]]:
+    """Rows of a table, whether their text is visible, and what they stand in."""
     for child in node.children:
-        if not isinstance(child, str) and not gone(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in SECTIONS:
-                yield from _rows(child)
+        if not isinstance(child, str):
+            there, seen = shown(child, visible)
+            if there and child.tag == "tr":
+                yield child, seen, node
+            elif there and child.tag in SECTIONS:
+                yield from _rows(child, seen)
 
 
 def _loose(node: Node) -> Iterator[Node | str]:
@@ -361,37 +413,71 @@ def _loose(node: Node) -> Iterator[Node | str]:
     for child in node.children:
         if isinstance(child, str) or child.tag not in SECTIONS | {"tr", "colgroup", "col"}:
             yield child
-        elif child.tag in SECTIONS and not gone(child):
+        elif child.tag in SECTIONS and shown(child, True)[0]:
             yield from _loose(child)
 
 
-def _table(node: Node) -> list[str]:
+def _cells(node: Node, visible: bool) -> Iterator[list[tuple[int, int, list[str]]]]:
+    """The cells of each row: first column, columns, lines. Cells that reach down from rows above keep their columns."""
+    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers there
+    part = None
+    for row, seen, parent in _rows(node, visible):
+        if parent is not part:
+            taken, part = {}, parent  # no cell reaches out of its part of the table
+        cells: list[tuple[int, int, list[str]]] = []
+        below: dict[int, int] = {}
+        at = 0
+        for cell in row.children:
+            own: dict[str, str] = {}
+            if isinstance(cell, str):
+                if not cell.strip() or not seen:
+                    continue
+                body = [_fold(_SPACE.sub(" ", cell))]
+            else:
+                there, sees = shown(cell, seen)
+                if not there:
+                    continue
+                own, body = attributes(cell), _inner(cell, sees)
+            while at in taken:
+                at += 1
+            columns = _number(own.get("colspan"), 1, MOST_COLUMNS, 1)
+            rows = _number(own.get("rowspan"), 0, MOST_ROWS, 1) or MOST_ROWS
+            if rows > 1:
+                below.update(dict.fromkeys(range(at, at + columns), rows))
+            cells.append((at, columns, body))
+            at += columns
+        taken = {c: n - 1 for c, n in {**taken, **below}.items() if n > 1}
+        yield cells
+
+
+def _table(node: Node, visible: bool = True) -> list[str]:
     """The caption and what stands outside of rows, then rows whose cells begin at the same place in every row."""
-    lines: list[str] = []
-    grid: list[list[list[str]]] = []
     loose = Node("div")
     loose.children.extend(_loose(node))
-    lines += _inner(loose)
-    for row in _rows(node):
-        cells: list[list[str]] = []
-        for cell in row.children:
-            if isinstance(cell, str):
-                if cell.strip():
-                    cells.append([_fold(_SPACE.sub(" ", cell))])
-            elif not gone(cell):
-                cells.append(_inner(cell))
-                span = attributes(cell).get("colspan", "").strip()
-                if span.isdecimal():
-                    cells += [[]] * (min(int(span[:4]), 100) - 1)
-        grid.append(cells)
-    width: dict[int, int] = {}
+    lines = _inner(loose, visible)
+    grid = list(_cells(node, visible))
+    width: dict[int, int] = {}  # of the columns where a cell begins
+    for cells in grid:
+        for at, columns, body in cells:
+            most = max(map(_width, body), default=0)
+            width[at] = max(width.get(at, 0), most if columns == 1 else 0)
     for cells in grid:
-        for i, cell in enumerate(cells):
-            width[i] = max(width.get(i, 0), max(map(len, cell), default=0))
+        for at, columns, body in cells:
+            if columns > 1:  # a cell over several columns widens the last of them, where they are too narrow together
+                covered = sorted(c for c in range(at, at + columns) if c in width)
+                room = sum(width[c] for c in covered) + 2 * (len(covered) - 1)
+                width[covered[-1]] += max(0, max(map(_width, body), default=0) - room)
+    begins, place = {}, 0
+    for column in sorted(width):
+        begins[column], place = place, place + width[column] + 2
     for cells in grid:
-        for k in range(max(map(len, cells), default=0)):
-            line = "  ".join((cell[k] if k < len(cell) else "").ljust(width[i]) for i, cell in enumerate(cells))
-            lines.append(line.rstrip())
+        for k in range(max((len(body) for _, _, body in cells), default=0)):
+            line, filled = [], 0
+            for at, _, body in cells:
+                if k < len(body) and body[k]:
+                    line += [" " * (begins[at] - filled), body[k]]
+                    filled = begins[at] + _width(body[k])
+            lines.append("".join(line).rstrip())
     return lines
 
 

@@ -3,8 +3,11 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -497,7 +500,7 @@ def test_encoding_and_decoding(request, table):
         ("plain &lt;b&gt; 1 < 2", "plain <b> 1 < 2"),
         ("<p>One<p>Two<br>three", "One\n\nTwo\nthree"),
         ("<head><title>T</title></head><body>x<script>var a='</p>';</script>y<style>p{}</style><!-- <p>no -->z", "xyz"),
-        ("<div hidden>no</div><p style='display: none'>no</p><span aria-hidden=true>no</span>yes", "yes"),
+        ("<div hidden>no</div><p style='display: none'>no</p><span aria-hidden=true>and </span>yes", "and yes"),
         ("<ul><li>a<li>b<ol start=4><li>c<li>d</ol></ul>", "- a\n- b\n  4. c\n  5. d"),
         ("<table><tr><th>Name<th>N<tr><td>long name<td>1<tr><td>x<td>22</table>", "Name       N\nlong name  1\nx          22"),
         ("<pre>  a\n    b</pre>c", "  a\n    b\n\nc"),
@@ -561,6 +564,48 @@ def test_select_shows_its_option(page, want):
     assert html_text.page_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div style='visibility:hidden'>no<p>no<span style='visibility: visible'>yes</span></div>", "yes"),
+        ("<table style=visibility:hidden><tr><td>no<td style=visibility:visible>yes</table><ul style=visibility:collapse><li>no</ul>", "  yes"),
+        ("<div hidden/>no</div>yes<br/>yes", "yes\nyes"),
+        ("<svg><title>no</title><rect/><text>one</text><g/><text>two</text></svg>three", "one two three"),
+        ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+        ("<p title=it's>one<p data-x=a\"b>two", "one\n\ntwo"),
+        ("<p class=\"a>one</p>", "one"),
+        ("<a href=x?a=b&c=\"d\">link</a>", "link"),
+        ("a <b no end \"x <p>y", "a y"),
+    ],
+)
+def test_visibility_and_odd_tags(page, want):
+    assert html_text.page_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"),
+        ("<ol reversed><li>a<li>b<li hidden>no<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol start=-1><li>a<li>b<li value=x>c</ol>", "-1. a\n0. b\n1. c"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A  b\n   c"),
+        ("<table><tr><td>a<td rowspan=0>R<td>x<tr><td>bb<td>y<tbody><tr><td>c<td>d<td>e</table>", "a   R  x\nbb     y\nc   d  e"),
+        ("<table><tr><td colspan=2>long head<td>z<tr><td>a<td>b<td>c</table>", "long head  z\na  b       c"),
+        ("<table><tr><td colspan=5000>h<td>z<tr><td>a</table>", "h  z\na"),
+        ("<table><tr><td>漢字<td>x<tr><td>abc<td>y<tr><td>e\u0301<td>z</table>", "漢字  x\nabc   y\ne\u0301     z"),
+    ],
+)
+def test_lists_and_tables(page, want):
+    assert html_text.page_text(page) == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a b='", '<a b=">" ', "<!", "<?x ", "<a b=", "</a ", "<p ", "<td rowspan=9 ", "<", "<!--x", "<a b='c\""])
+def test_pages_are_read_in_linear_time(unit):
+    page, began = unit * (1_000_000 // len(unit)), time.time()
+    html_text.page_text("<p>x" + page)
+    assert time.time() - began < 8
+
+
 def test_deep_and_large_pages():
     assert html_text.page_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert len(html_text.page_text("<p>word " * 20_000).split()) == 20_000
@@ -575,6 +620,42 @@ def test_all_visible_words_are_kept(spark):
         assert Counter(w for w in html_text.page_text(r["html"]).split() if w != "-") >= Counter(w for w in words if "&" not in w and w != "-")
 
 
+class Reading(HTMLParser):
+    """Another reading of what is visible: the library's parser, with a count of the hidden elements that are open."""
+
+    def __init__(self):
+        super().__init__()
+        self.words, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = dict(attrs)
+        css = (own.get("style") or "").replace(" ", "").lower()
+        hides = tag in ("head", "script", "style", "template", "noscript", "title") or "hidden" in own or "display:none" in css
+        if tag not in html_text.VOID and (hides or self.open):
+            self.open.append(tag)
+        elif tag == "img" and not self.open:
+            self.words += (own.get("alt") or "").split()
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not self.open:
+            self.words += data.split()
+
+
+@pytest.mark.parametrize("folder", [SMALL, SMALL.replace("0.001", "0.01")])
+def test_another_reading_sees_the_same_words(spark, folder):
+    letters = lambda words: Counter("".join(words)) - Counter({"-": 10**9})
+    for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html").collect():
+        reading = Reading()
+        reading.feed(r["html"] or "")
+        reading.close()
+        mine, theirs = (letters(w for w in x if not re.fullmatch(r"\d+\.", w)) for x in (html_text.page_text(r["html"]).split(), reading.words))
+        assert mine == theirs, r["page_id"]
+
+
 def test_extract_edge_cases(spark):
     df = spark.createDataFrame([(1, None), (None, "<p>a"), (2, "<p>b"), (2, "<p>b")], "page_id long, html string").withColumn("text", F.lit("clash"))
     assert Counter(map(tuple, html_text.extract(df).collect())) == Counter([(1, ""), (None, "a"), (2, "b"), (2, "b")])
