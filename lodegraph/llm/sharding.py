@@ -1,86 +1,118 @@
 """Sharding in a random order by the two-pass external shuffle, in DataFrame functions only.
 
-Pass one scatters the rows uniformly into buckets small enough for a task's memory, by a seeded hash of the row's identity
-and its number among equal rows. Pass two shuffles each bucket by Fisher-Yates, whose choices are seeded hashes too, so that a task that
-runs again makes the same order. The buckets in their order are a uniform permutation of all rows; shard s of S takes
-its places from ceil(s N / S) on, so shards' row counts are at most one apart (law ``rows``) and slots have no gap.
-
-Defined cases: a null text has size 8 and the empty text's crc32; rows that repeat are told apart by a number, so they
-spread like others; null ids are kept; with fewer rows than shards some shards are empty; an empty
-table gives an empty result; other columns are ignored by ``assign`` and kept by ``write_shards``.
+Pass one scatters whole records uniformly into buckets that fit a task's memory, by a seeded hash of the record and of its
+number among equal records. Pass two shuffles each bucket by Fisher-Yates and writes it. The buckets in their order are a
+uniform permutation of all records; shard s of S takes the places from ceil(s N / S) on, so shards' row counts are at
+most one apart (law ``rows``) and slots have no gap.
+
+Where a bucket begins is known before any record moves: records are hashed in a light pass, which counts the buckets.
+Records that repeat are counted there too, carried once and told apart by a number, so they spread like others.
+Fisher-Yates is Spark's own ``shuffle`` of an array, drawing from a generator seeded for each partition; buckets come to it in
+order, so a task that runs again writes the same files. Spark's committer keeps the files of one attempt only.
+
+Defined cases: a null text has size 8 and the empty text's crc32; null ids are kept; with fewer rows than shards
+some shards are empty; an empty table gives an empty result; other columns are kept in the shards. Columns ``shard`` and ``slot``
+are added to them, with underscores in front where the table has columns of these names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, prefix_offsets, text_column
+from .common import materialise, prefix_offsets, shared_dir, text_column
 
-#: Rows of a bucket on average, and bytes of texts; a bucket's shuffle moves references, so rows bind first.
-BUCKET_ROWS, BUCKET_BYTES = 512, 64 << 20
+#: Bytes of the texts of a bucket on average: a task holds a bucket a few times over.
+BUCKET_BYTES = 8 << 20
 OVERHEAD = 8
-
-
-def _draw(seed: int, bucket: Column, i: Column) -> Column:
-    """The place in 0..i that element i changes with."""
-    return F.pmod(F.xxhash64(F.lit(seed), bucket, i), i.cast("long") + 1).cast("int")
-
-
-def fisher_yates(items: Column, bucket: Column, seed: int) -> Column:
-    """The array in a random order: from the last element down, each changes places with one at or before it."""
-
-    def swap(a: Column, i: Column) -> Column:
-        j = _draw(seed, bucket, i)
-        n = F.size(a)
-        swapped = F.concat(F.slice(a, 1, j), F.slice(a, i + 1, 1), F.slice(a, j + 2, i - j - 1), F.slice(a, j + 1, 1), F.slice(a, i + 2, n))
-        return F.when(i == j, a).otherwise(swapped)
-
-    steps = F.when(F.size(items) > 1, F.sequence(F.size(items) - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, items, swap)
-
-
-def assign(docs: DataFrame, shards: int = 24, seed: int = 11, key: str = "doc_id", text: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    body = text_column(docs, text)
-    light = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    # equal rows are counted and numbered, so that no key gathers in one bucket
-    rows = materialise(
-        light.groupBy("doc_id", "size", "text_crc32")
-        .agg(F.count("*").alias("copies"))
-        .select("doc_id", "size", "text_crc32", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    )
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    buckets = max(1, -(-total["n"] // bucket_rows), -(-total["bytes"] // BUCKET_BYTES))
-    scattered = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32", "copy"), F.lit(buckets)))
-    members = F.array_sort(F.collect_list(F.struct("doc_id", "copy", "size", "text_crc32")))
-    gathered = materialise(scattered.groupBy("bucket").agg(F.count("*").alias("n"), members.alias("members")))
-    starts = prefix_offsets(gathered.select("bucket", "n"), "bucket", "n", "base").select("bucket", "base")
-    shuffled = gathered.select("bucket", F.posexplode(fisher_yates(F.col("members"), F.col("bucket"), seed)).alias("at", "m"))
-    place = F.col("base") + F.col("at")
-    placed = shuffled.join(starts, "bucket").select("m.doc_id", "m.size", "m.text_crc32", place.alias("place"))
-    first = F.expr(f"cast((cast(shard as decimal(20,0)) * {max(total['n'], 1)} + {shards - 1}) div {shards} as bigint)")
-    return placed.withColumn("shard", F.expr(f"cast(cast(place as decimal(30,0)) * {shards} div {max(total['n'], 1)} as int)")).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+#: Repeated records whose hashes a broadcast may have; more are joined by a shuffle of both sides.
+BROADCAST_ROWS = 500_000
+
+
+def fisher_yates(items: Column, seed: int) -> Column:
+    """The array in a random order: each element in turn changes places with one before it or itself."""
+    return F.shuffle(items, F.lit(seed))
+
+
+def _identity(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole record; maps, which have no hash, by their JSON."""
+    columns = [F.to_json(docs[c]) if isinstance(docs.schema[c].dataType, T.MapType) else docs[c] for c in docs.columns]
+    # a null counts for nothing in a hash, so their places stand beside
+    nulls = F.concat(*[docs[c].isNull().cast("int").cast("string") for c in docs.columns])
+    return F.xxhash64(nulls, *columns), F.xxhash64(F.lit(7), nulls, *columns)
+
+
+def _bucket(seed: int, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), "h1", "h2", "copy"), F.lit(buckets))
+
+
+def _copies() -> Column:
+    return F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+
+
+def numbered(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(h1, h2, copy, record): every record once, those that repeat with numbers from 1 on."""
+    h1, h2 = _identity(docs)
+    rows = docs.select(h1.alias("h1"), h2.alias("h2"), F.struct(*[docs[c] for c in docs.columns]).alias("record"))
+    count = repeated.limit(BROADCAST_ROWS + 1).count()
+    once = rows.withColumn("copy", F.lit(1).cast("long"))
+    if not count:
+        return once.select("h1", "h2", "copy", "record")
+    keys = F.broadcast(repeated) if count <= BROADCAST_ROWS else repeated
+    single = once.join(keys, ["h1", "h2"], "left_anti")
+    # equal records are combined before they move
+    many = rows.join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("record").alias("record"))
+    return single.select("h1", "h2", "copy", "record").unionByName(many.select("h1", "h2", _copies(), "record"))
+
+
+def own_names(columns: list[str]) -> tuple[str, str]:
+    """Names for the shard and slot that no column has."""
+    names = []
+    for name in ("shard", "slot"):
+        while name.lower() in [c.lower() for c in columns]:
+            name = f"_{name}"
+        names.append(name)
+    return names[0], names[1]
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 11, text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Write ``docs`` as Parquet folders ``shard=0``, ... whose files hold the rows by slot; the written table."""
+    spark = docs.sparkSession
+    h1, h2 = _identity(docs)
+    sizes = docs.select(h1.alias("h1"), h2.alias("h2"), (F.octet_length(text_column(docs, text)).cast("long") + OVERHEAD).alias("size"))
+    light = materialise(sizes.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("size").alias("size")))
+    total = light.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("size") * F.col("copies")), F.lit(0)).alias("bytes")).first()
+    # small enough for memory, and a few for each task
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(-(-total["bytes"] // bucket_bytes), min(4 * tasks, total["n"]), 1)
+    counts = light.select("h1", "h2", _copies()).select(_bucket(seed, buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    starts = materialise(prefix_offsets(materialise(counts), "bucket", "n", "base").select("bucket", "base"))
+
+    scattered = numbered(docs, light.where("copies > 1").select("h1", "h2")).withColumn("bucket", _bucket(seed, buckets))
+    order = ("bucket", "h1", "h2", "copy")
+    ordered = scattered.repartition("bucket").sortWithinPartitions(*order)
+    members = F.collect_list(F.struct(F.struct("h1", "h2", "copy").alias("mark"), "record"))
+    by_mark = lambda a, b: F.when(a["mark"] < b["mark"], -1).when(a["mark"] > b["mark"], 1).otherwise(0)
+    gathered = ordered.groupBy("bucket").agg(F.array_sort(members, by_mark).alias("members"))
+    placed = gathered.join(starts, "bucket").select("base", F.posexplode(fisher_yates(F.col("members"), seed)).alias("at", "m"))
+    n = max(total["n"], 1)
+    shard, slot = own_names(docs.columns)
+    place = placed.select("m.record.*", (F.col("base") + F.col("at")).alias("__place"))
+    where = place.withColumn(shard, F.expr(f"cast(cast(__place as decimal(30,0)) * {shards} div {n} as int)"))
+    first = F.expr(f"cast((cast(`{shard}` as decimal(20,0)) * {n} + {shards - 1}) div {shards} as bigint)")
+    out = where.withColumn(slot, F.col("__place") - first).drop("__place")
+    out.sortWithinPartitions(shard, slot).write.partitionBy(shard).option("compression", "zstd").parquet(path)
+    fields = [*docs.schema.fields, T.StructField(slot, T.LongType()), T.StructField(shard, T.IntegerType())]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def assign(docs: DataFrame, shards: int = 24, seed: int = 11, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Write the shards into the shared folder and read them back: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    written = write_shards(docs, shared_dir(docs.sparkSession), shards, seed, text, bucket_bytes)
+    shard, slot = own_names(docs.columns)
+    body = text_column(written, text)
+    return written.select(
+        F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), F.col(shard).alias("shard"), F.col(slot).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 24, seed: int = 11, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write ``docs`` as Parquet folders ``shard=0``, ... whose files hold the rows by slot; the written table.
-
-    Rows are matched to their places by id, size, checksum and number among equal rows.
-    """
-    from pyspark.sql import Window
-
-    marks = ["__size", "__crc"]
-    body = text_column(docs, text)
-    marked = docs.withColumn(marks[0], F.octet_length(body).cast("long") + OVERHEAD).withColumn(marks[1], F.crc32(body.cast("binary")))
-    places = assign(docs, shards, seed, key, text).select(F.col("doc_id").alias("__id"), F.col("size").alias(marks[0]), F.col("text_crc32").alias(marks[1]), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    own = Window.partitionBy(key, *marks).orderBy(F.xxhash64(text))
-    theirs = Window.partitionBy("__id", *marks).orderBy("__shard", "__slot")
-    left = marked.withColumn("__copy", F.row_number().over(own))
-    right = places.withColumn("__copy", F.row_number().over(theirs))
-    joined = left.join(right, left[key].eqNullSafe(right["__id"]) & (left["__size"] == right["__size"]) & (left["__crc"] == right["__crc"]) & (left["__copy"] == right["__copy"]))
-    out = joined.select(*[docs[c] for c in docs.columns], F.col("__shard").alias("shard"), F.col("__slot").alias("slot"))
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)

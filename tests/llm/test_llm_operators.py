@@ -304,14 +304,73 @@ def test_shards_are_even_and_whole(request, table):
 
 def test_fisher_yates_is_a_permutation_and_uniform(spark):
     df = spark.range(3000).select(F.col("id"), F.array(*[F.lit(i) for i in range(4)]).alias("a"))
-    rows = [tuple(r[0]) for r in df.select(sharding.fisher_yates(F.col("a"), F.col("id"), 5)).collect()]
+    rows = [tuple(r[0]) for r in df.select(sharding.fisher_yates(F.col("a"), 5)).collect()]
     counts = Counter(rows)
     assert len(counts) == 24 and all(sorted(r) == [0, 1, 2, 3] for r in counts) and max(counts.values()) < 190 and min(counts.values()) > 75
 
 
+def plain_fisher_yates(n, seed):
+    """Elements 0 to n - 1 in a random order, drawing from the same generator: a Mersenne Twister seeded by two words."""
+    twister = np.random.RandomState(np.array([seed >> 32 & 0xFFFFFFFF, seed & 0xFFFFFFFF]))
+
+    def below(m):
+        while True:
+            bits = int(twister.randint(0, 1 << 32, dtype=np.uint64)) >> 1
+            if m & -m == m:
+                return m * bits >> 31
+            if bits - bits % m + m - 1 < 1 << 31:
+                return bits % m
+
+    out = []
+    for i in range(n):
+        j = below(i + 1)
+        out.append(i)
+        out[i], out[j] = out[j], i
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 1000, 4097])
+def test_fisher_yates_against_a_plain_one(spark, n):
+    df = spark.range(0, 1, 1, 1).select(sharding.fisher_yates(F.expr(f"slice(sequence(0, {n}), 1, {n})"), 11))
+    assert list(df.first()[0]) == plain_fisher_yates(n, 11)
+
+
+def test_one_bucket_is_shuffled_and_written(spark, docs, tmp_path):
+    """All records in one bucket: their order in the shards is the plain shuffle of their order by hash."""
+    few = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string").coalesce(1)
+    h1, h2 = sharding._identity(few)
+    ordered = [r["doc_id"] for r in few.orderBy(h1, h2).collect()]
+    tasks = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        buckets = [sharding.write_shards(few, f"file://{tmp_path}/{k}", 3, bucket_bytes=k) for k in (1 << 20, 100)]
+        rows = [sorted((r["shard"], r["slot"], r["doc_id"]) for r in x.collect()) for x in buckets]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    assert [[s for s, _, _ in r] for r in rows] == [[0] * 17 + [1] * 17 + [2] * 16] * 2
+    assert sorted(i for _, _, i in rows[0]) == sorted(i for _, _, i in rows[1]) == list(range(50))
+    assert rows[0] != rows[1] and [i for _, _, i in rows[0]] != ordered
+
+
 def test_shards_are_written_in_order(spark, docs, tmp_path):
     out = sharding.write_shards(docs, f"file://{tmp_path}/s", 4)
     assert Counter(texts(out)) == Counter(texts(docs)) and all(sorted(s) == list(range(len(s))) for s in shards_of(out.collect()).values())
+    for file in (tmp_path / "s").glob("shard=*/*.parquet"):
+        slots = [r["slot"] for r in spark.read.parquet(f"file://{file}").select("slot").collect()]
+        assert slots == sorted(slots)
+
+
+def test_shards_keep_every_column(spark, odd, tmp_path):
+    """Columns of the names that the shards add, repeated records and maps."""
+    df = odd.withColumns({"shard": F.lit("s"), "SLOT": F.lit(1), "m": F.create_map(F.lit("a"), F.col("doc_id")), "copy": F.lit(0)})
+    df = df.unionByName(df).unionByName(df.limit(0))
+    for rows in (sharding.BROADCAST_ROWS, 0):
+        out = sharding.write_shards(df, f"file://{tmp_path}/{rows}", 5)
+        assert out.columns == [*df.columns, "_slot", "_shard"]
+        key = lambda r: repr(tuple(r)[: len(df.columns)])
+        assert Counter(map(key, out.collect())) == Counter(map(key, df.collect()))
+        sizes = Counter(r["_shard"] for r in out.collect())
+        assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 5
 
 
 # op6
