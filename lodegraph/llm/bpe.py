@@ -34,6 +34,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words a worker remembers; beyond that it keeps the quarter that came first, so its memory is bounded.
 CACHE_WORDS = 1_000_000
+#: Words of letters that the library encodes as one text.
+JOINT_WORDS = 64
 #: Characters of a leaf; a longer text is halved.
 LEAF_CHARS = 4096
 #: Characters above which the halves of a text are rows of their own, for different tasks.
@@ -157,6 +159,9 @@ class WordEncoder:
         letters = "A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"
         same = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (letters, letters.lower()))
         self.folds = next(same) == next(same)  # the file doesn't tell A-Z from a-z
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size() if suffix else 0
+        self.ends = np.array([self.tokenizer.id_to_token(i).endswith(suffix) for i in range(size)], bool)
         self.numbers, self.done = self.Numbers(), 0
         self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -170,9 +175,10 @@ class WordEncoder:
 
     def words(self, text: str) -> list[bytes]:
         """What stands between ASCII white space, in lower case where the file makes no difference: special tokens are
-        sought in the text as it is, and a combining mark (U+0300 to U+033F) may join the lower-case letter only."""
+        sought in the text as it is, and a combining mark may join the lower-case letter only. All marks that join a
+        letter of ASCII stand in U+0300 to U+037F, whose first bytes are 0xCC and 0xCD."""
         raw = text.encode()
-        if self.folds and b"<|" not in raw and b"\xcc" not in raw:
+        if self.folds and b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
             raw = raw.lower()
         return raw.split()
 
@@ -180,14 +186,35 @@ class WordEncoder:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """The library's ids of each word. Words of letters alone go to it many in a text, as each has one last token."""
+        lone = [i for i, w in enumerate(words) if not len(self.ends) or not w.isalpha()]
+        apart = set(lone)
+        joint = [i for i in range(len(words)) if i not in apart]
+        groups = [joint[k : k + JOINT_WORDS] for k in range(0, len(joint), JOINT_WORDS)]
+        texts = [" ".join(words[i] for i in group) for group in groups] + [words[i] for i in lone]
+        found = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = [NOTHING] * len(words)
+        for group, ids in zip(groups, found, strict=False):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(group):
+                own = np.split(ids, cuts[:-1])
+            else:  # the file cuts letters otherwise
+                own = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast([words[i] for i in group], add_special_tokens=False)]
+            for i, x in zip(group, own, strict=True):
+                out[i] = x
+        for i, ids in zip(lone, found[len(groups) :], strict=True):
+            out[i] = ids
+        return out
+
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         for at in range(0, len(new), 8192):
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in new[at : at + 8192]], add_special_tokens=False)]
+            found = self._encoded([w.decode() for w in new[at : at + 8192]])
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             total, to = int(sizes.sum()), self.done + len(found)
             self.pool = self._room(self.pool, self.used + total)
-            self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), "<u4", total)
+            self.pool[self.used : self.used + total] = np.concatenate(found)
             self.starts, self.sizes = self._room(self.starts, to), self._room(self.sizes, to)
             self.sizes[self.done : to] = sizes
             self.starts[self.done : to] = self.used + np.cumsum(sizes) - sizes

@@ -10,9 +10,10 @@ documents' ids (signed 64-bit, the lowest value for null) and end positions (uns
 (unsigned 64-bit), its chunks (unsigned 8-bit), its bitmap (bytes, low bit first, to a multiple of the block) and
 its rank directory (unsigned 64-bit).
 
-Files are written by tasks into the shared folder under a temporary name and renamed at the end; a task that is run
-again writes the same bytes. Documents are dealt to files by ranges of ``doc_id`` and sorted in them, so file numbers
-follow ascending ids (nulls first, as Spark sorts them). ``manifest`` rows (file, documents, ids) give each file's start.
+Tasks make the bytes of files and Spark's own writer puts them into the shared folder, a file for each record, followed by
+one byte that the format doesn't use; so any file system that Spark reaches will do, and its committer keeps the files of one attempt only.
+Documents are dealt to files by ranges of ``doc_id`` and sorted in them, so file numbers
+follow ascending ids (nulls first, as Spark sorts them).
 
 Defined cases: null text counts as empty, so only the end id is written; repeated rows are written repeatedly, each
 with its own start; an empty table leaves no file and an empty result; other columns are ignored.
@@ -21,11 +22,10 @@ with its own start; an empty table leaves no file and an empty result; other col
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -61,89 +61,91 @@ def pack(number: int, doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) ->
 
 
 class TokenFile:
-    """Reader of one file's bytes."""
+    """Reader of one file: of its bytes, or of ranges that ``source(at, n)`` fetches, so that one id takes a few small reads."""
 
-    def __init__(self, raw: bytes):
-        if raw[:4] != MAGIC:
+    def __init__(self, source: bytes | Callable[[int, int], bytes]):
+        self.read = source if callable(source) else lambda at, n: source[at : at + n]
+        if self.read(0, 4) != MAGIC:
             raise ValueError("not a token file")
-        self.number, documents, self.n, count = struct.unpack_from("<4Q", raw, 4)
-        at = 4 + 32
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(raw, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.doc_ids, self.ends = take("<i8", documents), take("<u8", documents).astype(np.int64)
-        self.levels = []
+        self.number, self.documents, self.n, count = struct.unpack("<4Q", self.read(4, 32))
+        at = 36 + 16 * self.documents
+        self.levels: list[tuple[int, int, int, int]] = []  # entries, places of chunks, bitmap and directory
         for _ in range(count):
-            n = int(take("<u8", 1)[0])
+            n = struct.unpack("<Q", self.read(at, 8))[0]
             blocks = -(-n // RANK_BLOCK)
-            self.levels.append((take("u1", n), take("u1", blocks * RANK_BLOCK // 8), take("<u8", blocks)))
+            bitmap = at + 8 + n
+            self.levels.append((n, at + 8, bitmap, bitmap + blocks * RANK_BLOCK // 8))
+            at = bitmap + blocks * (RANK_BLOCK // 8 + 8)
+
+    def _array(self, kind: str, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.read(at, n * np.dtype(kind).itemsize), kind)
+
+    @property
+    def doc_ids(self) -> np.ndarray:
+        return self._array("<i8", 36, self.documents)
+
+    @property
+    def ends(self) -> np.ndarray:
+        return self._array("<u8", 36 + 8 * self.documents, self.documents).astype(np.int64)
 
     def __getitem__(self, i: int) -> int:
         """Id ``i`` of the file by direct look-ups."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bitmap, directory) in enumerate(self.levels):
-            value |= int(chunks[i]) << (CHUNK_BITS * k)
-            if not bitmap[i >> 3] >> (i & 7) & 1:
+        for k, (_, chunks, bitmap, directory) in enumerate(self.levels):
+            value |= self.read(chunks + i, 1)[0] << (CHUNK_BITS * k)
+            block, inside = divmod(i, RANK_BLOCK)
+            bits = int.from_bytes(self.read(bitmap + block * RANK_BLOCK // 8, RANK_BLOCK // 8), "little")
+            if not bits >> inside & 1:
                 break
-            block = i // RANK_BLOCK
-            inside = np.unpackbits(bitmap[block * RANK_BLOCK // 8 : (i >> 3) + 1], bitorder="little")[: i - block * RANK_BLOCK]
-            i = int(directory[block]) + int(inside.sum())
+            i = struct.unpack("<Q", self.read(directory + 8 * block, 8))[0] + (bits & (1 << inside) - 1).bit_count()
         return value
 
     def all(self) -> np.ndarray:
         """Every id, level by level."""
         out = np.zeros(self.n, "<u4")
-        where = None
-        for k, (chunks, bitmap, _) in enumerate(self.levels):
-            value = chunks.astype(np.uint32) << np.uint32(CHUNK_BITS * k)
-            if where is None:
-                out |= value
-                where = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
-            else:
-                out[where] |= value
-                where = where[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)]
+        where = np.arange(self.n)
+        for k, (n, chunks, bitmap, directory) in enumerate(self.levels):
+            out[where] |= self._array("u1", chunks, n).astype(np.uint32) << np.uint32(CHUNK_BITS * k)
+            where = where[np.unpackbits(self._array("u1", bitmap, directory - bitmap), count=n, bitorder="little").astype(bool)]
         return out
 
 
-def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode ``docs`` and write token files into ``folder``; the written manifest: file, documents, ids."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def opened(spark: SparkSession, path: str) -> TokenFile:
+    """A file of any file system that Spark reaches, read by ranges."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(place)
+
+    def read(at: int, n: int) -> bytes:
+        stream.seek(at)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n))
+
+    return TokenFile(read)
+
+
+def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id", text: str = "text") -> None:
+    """Encode ``docs`` and write token files into ``folder``."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_column(docs, text).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        store, base = arrow_fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
+        part, made, held = TaskContext.get().partitionId(), 0, 0
         encode = word_encoder(path).encode_batch
-        last, made = np.array([end], "<u4"), 0
+        last = np.array([end], "<u4")
         keys: list[int] = []
         ids: list[np.ndarray] = []
-        held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal made, held
-            number = (part << 32) + made
-            sizes = np.array([len(x) for x in ids], np.int64)
-            name = f"{base}/part-{part:08d}-{made:08d}.dac"
-            with store.open_output_stream(f"{name}.{attempt}.tmp") as out:
-                out.write(pack(number, np.array(keys, np.int64), np.cumsum(sizes), np.concatenate(ids)))
-            if store.get_file_info(name).type == arrow_fs.FileType.NotFound:
-                store.move(f"{name}.{attempt}.tmp", name)
-            else:  # an earlier attempt at this task has written the same bytes
-                store.delete_file(f"{name}.{attempt}.tmp")
-            done = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, len(keys), held)], names=["file", "documents", "ids"])
+            ends = np.cumsum([len(x) for x in ids])
+            raw = pack((part << 32) + made, np.array(keys, np.int64), ends, np.concatenate(ids))
             made, held = made + 1, 0
             keys.clear()
             ids.clear()
-            return done
+            return pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["content"])
 
         for batch in batches:
             for k, found in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
@@ -155,7 +157,9 @@ def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id"
         if keys:
             yield close()
 
-    return materialise(ordered.mapInArrow(run, "file long, documents long, ids long"))
+    files = ordered.mapInArrow(run, "content binary")
+    # the text writer puts down a value's bytes as they are
+    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,26 +169,26 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 file = TokenFile(raw.as_py())
-                ids = file.all()
-                begins = np.concatenate([np.zeros(1, np.int64), file.ends[:-1]])
-                for at in range(0, len(file.ends), 256):
-                    to = min(at + 256, len(file.ends))
+                ids, doc_ids, ends = file.all(), file.doc_ids, file.ends
+                begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+                for at in range(0, len(ends), 256):
+                    to = min(at + 256, len(ends))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.full(to - at, file.number, np.int64)),
-                            pa.array(file.doc_ids[at:to], mask=file.doc_ids[at:to] == NULL_ID),
+                            pa.array(doc_ids[at:to], mask=doc_ids[at:to] == NULL_ID),
                             pa.array(begins[at:to]),
-                            pa.array([ids[b:e].tobytes() for b, e in zip(begins[at:to], file.ends[at:to], strict=True)], pa.binary()),
+                            pa.array([ids[b:e].tobytes() for b, e in zip(begins[at:to], ends[at:to], strict=True)], pa.binary()),
                         ],
                         names=["file", "doc_id", "at", "ids"],
                     )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder).select("content")
+    files = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
     return files.mapInArrow(run, "file long, doc_id long, at long, ids binary")
 
 
 def file_starts(manifest: DataFrame) -> DataFrame:
-    """(file, base): the ids before each file, in the order of partitions and of the files of each."""
+    """(file, ids) -> (file, base): the ids before each file, in the order of partitions and of the files of each."""
     parts = manifest.withColumn("part", F.shiftright("file", 32))
     totals = parts.groupBy("part").agg(F.sum("ids").alias("ids"))
     inside = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
@@ -196,9 +200,9 @@ def stored_documents(docs: DataFrame, path: str, end: int, key: str = "doc_id",
     """Write all documents as token files and read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    manifest = write(docs, folder, path, end, key, text)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
+    write(docs, folder, path, end, key, text)
     # only counts and sums meet the files' starts, not the ids
-    found = read(spark, folder).select("file", "doc_id", "at", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    sizes = ("file", "doc_id", "at", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    found = materialise(read(spark, folder).select(*sizes))
+    manifest = materialise(found.groupBy("file").agg(F.sum("n_tokens").alias("ids")))
     return found.join(file_starts(manifest), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -4,7 +4,9 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import time
+import unicodedata
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -177,6 +179,19 @@ def test_every_token_is_directly_addressable():
         file[len(ids)]
 
 
+def test_tokens_are_read_by_ranges(spark, docs, tmp_path, monkeypatch):
+    token_store.write(docs, f"file://{tmp_path}/t", WORDS, 2)
+    paths = [p for p in (tmp_path / "t").glob("part-*") if p.stat().st_size]
+    whole = token_store.TokenFile(paths[0].read_bytes())
+    reads = []
+    ranged = token_store.opened(spark, f"file://{paths[0]}")
+    inner = ranged.read
+    ranged.read = lambda at, n: reads.append(n) or inner(at, n)
+    places = [0, whole.n - 1, *range(0, whole.n, whole.n // 50 + 1)]
+    assert [ranged[i] for i in places] == whole.all()[places].tolist()
+    assert max(reads) <= token_store.RANK_BLOCK // 8 and len(reads) <= 3 * len(whole.levels) * len(places)
+
+
 # op3
 
 
@@ -527,6 +542,23 @@ def test_tree_gives_the_library_s_ids(leaf):
         assert word.encode_batch([s])[0].tolist() == words.encode(s, add_special_tokens=False).ids
 
 
+def test_words_with_combining_marks():
+    """Every mark of U+0300 to U+037F after every letter of ASCII, special tokens and words of many kinds."""
+    encoder, library = bpe.WordEncoder(WORDS), bpe.library(WORDS)
+    marks = [chr(c) for c in range(0x300, 0x380)]
+    texts = [" ".join(x + m + y for x in string.ascii_letters) for m in marks for y in ("", "\u0301", "b")]
+    texts += ["A<|startoftext|>B", "<|STARTOFTEXT|> Q", "ab, cd'LL don't X1Y2 İSTANBUL ΣΑΣ ﬁ \u212a\u0327 K\u0327", "\u1e97 T\u0308", "中文A字", "ǅ ʰx ªb"]
+    assert [x.tolist() for x in encoder.encode_batch(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_all_marks_that_join_a_letter_are_guarded():
+    for c in map(chr, range(0x80, 0x110000)):
+        parts = unicodedata.normalize("NFD", c) if not 0xD800 <= ord(c) < 0xE000 else "x"
+        if unicodedata.combining(parts[0]):
+            joins = any(len(unicodedata.normalize("NFC", x + parts[0])) == 1 for x in string.ascii_letters)
+            assert not joins or c.encode()[0] in (0xCC, 0xCD), hex(ord(c))
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
     random.seed(2)
