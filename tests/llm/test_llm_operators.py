@@ -405,6 +405,46 @@ def test_neighbours_against_brute_force(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("block", [16_384, 500])
+def test_recall_and_verified_share(spark, block):
+    """On 2,000 vectors, in one block and in several: nine in ten neighbours found, few vectors verified."""
+    rows = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/embeddings.parquet").select("vec_id", "embedding")
+    ids, v = (np.array(x) for x in zip(*((r[0], np.array(r[1], float)) for r in rows.collect()), strict=True))
+    got = {}
+    for r in ann.nearest(rows, every=20, k=10, block=block).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    arrays = ann.sorted_arrays(v)
+    hits, verified = [], []
+    for q, x in zip(ids, v, strict=True):
+        if q % 20 == 0:
+            far = np.sqrt(((v - x) ** 2).sum(1))
+            far[ids == q] = np.inf
+            hits.append(len(got[q] & set(ids[np.argsort(far)[:10]])))
+            verified.append(ann.search(ids, v, *arrays, int(q), x, 10)[2])
+    print("recall", sum(hits) / (10 * len(hits)), "verified", sum(verified) / (len(ids) * len(verified)))
+    assert sum(hits) >= 9 * len(hits)
+    assert sum(verified) <= 0.15 * len(ids) * len(verified)
+
+
+def test_neighbours_of_several_lengths(spark):
+    random.seed(4)
+    vectors = [(i, [random.gauss(0, 1) for _ in range(3 + i % 3)]) for i in range(300)]
+    vectors += [(300 + i, vectors[i][1]) for i in range(0, 60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    for block in (1000, 40):
+        got = {}
+        for r in ann.nearest(df, every=10, k=4, block=block).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+        hits = 0
+        for q, x in vectors:
+            if q % 10 == 0:
+                want = sorted((float(np.sqrt(((np.array(y) - x) ** 2).sum())), i) for i, y in vectors if i != q and len(y) == len(x))[:4]
+                mine = sorted(got[q])
+                assert [r for r, _, _ in mine] == [1, 2, 3, 4] and [s for _, s, _ in mine] == sorted(s for _, s, _ in mine)
+                hits += len({i for _, i in want} & {i for _, _, i in mine})
+        assert hits >= 0.9 * 4 * 36
+
+
 def test_neighbours_edge_cases(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (8, [1.0, None]), (None, [2.0, 1.0]), (2, [1.0, 1.0])]
