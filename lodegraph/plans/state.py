@@ -91,11 +91,13 @@ def m10(t):
     return t.events.groupBy("user_id").agg((F.sum(rate) / 10.0).alias("penalty"))
 
 
-@query("m11_deletion_penalty", "SELECT conv_id, sum(CASE WHEN prev IS NOT NULL AND NOT contains(text, substr(prev, 1, 5)) THEN 2.0 ELSE 0.0 END)::DOUBLE AS penalty FROM (SELECT conv_id, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY conv_id")
+@query("m11_deletion_penalty", "SELECT conv_id, sum(CASE WHEN prev IS NOT NULL AND NOT list_has_all(w, prev) THEN 2.0 ELSE 0.0 END)::DOUBLE AS penalty FROM (SELECT conv_id, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1)) AS w FROM conversations)) GROUP BY conv_id")
 def m11(t):
-    prev = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    lost = t.conversations.select("conv_id", "text", prev.alias("prev")).withColumn("p", F.when(F.col("prev").isNotNull() & ~F.contains("text", F.substring("prev", 1, 5)), 2.0).otherwise(0.0))
-    return lost.groupBy("conv_id").agg(F.sum("p").alias("penalty"))
+    """Every word of the turn before is looked for: one that is gone costs the penalty."""
+    rows = t.conversations.select("conv_id", "turn", F.array_distinct(X.tokens(F.col("text"))).alias("w"))
+    before = rows.withColumn("prev", F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn")))
+    lost = F.col("prev").isNotNull() & (F.size(F.array_except("prev", "w")) > 0)
+    return before.groupBy("conv_id").agg(F.sum(F.when(lost, 2.0).otherwise(0.0)).alias("penalty"))
 
 
 @query("m12_co_use", "SELECT a, b, count(*) AS n FROM (SELECT event_type AS a, unnest([lead(event_type, 1) OVER w, lead(event_type, 2) OVER w, lead(event_type, 3) OVER w]) AS b FROM (SELECT *, ts AS t2 FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE b IS NOT NULL AND a <> b GROUP BY ALL")
@@ -165,21 +167,38 @@ def m23(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.filter(kept, lambda x: x % 7 != 0).cast("array<string>"), ",").alias("parts"))
 
 
-@query("m24_identity_merge", "SELECT coalesce(target, o_custkey) AS owner, count(*) AS n FROM orders LEFT JOIN (SELECT c_custkey AS c, c_custkey - 1 AS target FROM customer WHERE c_custkey % 10 = 1) ON c = o_custkey GROUP BY 1")
+#: The tables that name an owner, and the column.
+_OWNED = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id", "conversations": "conv_id", "labels": "doc_id"}
+_MERGED = "SELECT c_custkey AS c, c_custkey - 1 AS target FROM customer WHERE c_custkey % 10 = 1"
+
+
+@query("m24_identity_merge", f"WITH m AS ({_MERGED}) " + " UNION ALL ".join(f"SELECT '{x}' AS kind, coalesce(target, {c}) AS owner, count(*) AS n FROM {x} LEFT JOIN m ON m.c = {c} GROUP BY ALL" for x, c in _OWNED.items()))
 def m24(t):
-    merged = t.customer.where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") - 1).alias("target"))
-    return t.orders.select("o_custkey").join(merged, "o_custkey", "left").groupBy(F.coalesce("target", "o_custkey").alias("owner")).agg(F.count("*").alias("n"))
+    """One identity goes over into another in five tables."""
+    merged = t.customer.where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("owner"), (F.col("c_custkey") - 1).alias("target"))
+    rows = [getattr(t, x).select(F.lit(x).alias("kind"), F.col(c).cast("long").alias("owner")) for x, c in _OWNED.items()]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    counts = every.groupBy("kind", "owner").agg(F.count("*").alias("n"))  # combined first, so that few rows meet the mapping
+    return counts.join(merged, "owner", "left").groupBy("kind", F.coalesce("target", "owner").alias("owner")).agg(F.sum("n").alias("n"))
 
 
-@query("m25_version_conflicts", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> (l % 4) THEN 'conflict' ELSE 'ok' END AS outcome FROM orders JOIN (SELECT l_orderkey, max(l_linenumber) AS l FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+@query("m25_version_conflicts", "SELECT o_orderkey, CASE WHEN v IS NULL AND base = 0 THEN 'created' WHEN v = base THEN 'updated' WHEN force THEN 'forced' ELSE 'conflict' END AS outcome, CASE WHEN coalesce(v, 0) = base OR force THEN coalesce(v, 0) + 1 ELSE v END AS version FROM (SELECT o_orderkey, o_orderkey % 4 AS base, o_orderstatus = 'P' AS force FROM orders) LEFT JOIN (SELECT l_orderkey, CAST(max(l_linenumber) AS BIGINT) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
 def m25(t):
-    held = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("l"))
-    return t.orders.select("o_orderkey").join(held, "o_orderkey").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != F.col("l") % 4, "conflict").otherwise("ok").alias("outcome"))
+    """A write names the version it was made from; another stored one is a conflict unless the write is forced."""
+    held = t.lineitem.where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").cast("long").alias("v"))
+    asked = t.orders.select("o_orderkey", (F.col("o_orderkey") % 4).alias("base"), (F.col("o_orderstatus") == "P").alias("force"))
+    return Z.versioned(asked.join(held, "o_orderkey", "left"), "v", "base", "force").select("o_orderkey", "outcome", "version")
 
 
-@query("m26_nested_export", "SELECT conv_id, '[' || string_agg('{\"turn\":' || turn || ',\"role\":\"' || role || '\"}', ',' ORDER BY turn, role) || ']' AS turns FROM conversations GROUP BY conv_id")
+@query("m26_nested_export", "SELECT conv_id, '{\"conv_id\":' || conv_id || ',\"sources\":[' || string_agg(DISTINCT '\"' || role || '\"', ',' ORDER BY '\"' || role || '\"') || '],\"revisions\":[' || string_agg('{\"version\":' || v || ',\"turn\":' || turn || ',\"role\":\"' || role || '\",\"chars\":' || length(text) || '}', ',' ORDER BY v) || ']}' AS item FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS v FROM conversations) GROUP BY conv_id")
 def m26(t):
-    return t.conversations.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role")))).alias("turns"))
+    """An item with the sources it came from and all its revisions, as JSON. The texts stay out, so an item's row stays small."""
+    rows = Z.revisions(t.conversations.select("conv_id", "turn", "role", F.length("text").alias("chars")), "conv_id", "turn", "role")
+    revision = F.struct(F.col("revision").alias("version"), "turn", "role", "chars")
+    items = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("sources"), F.array_sort(F.collect_list(revision)).alias("revisions"))
+    return items.select("conv_id", F.to_json(F.struct("conv_id", "sources", "revisions")).alias("item"))
 
 
 @query("m29_backfill_batches", "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1) // 100 AS batch FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -231,9 +250,8 @@ def w07(t):
 
 @query("w08_greedy_budget", "WITH RECURSIVE c AS (SELECT conv_id, length(text) // 3 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations), f AS (SELECT conv_id, 0::BIGINT AS rn, 0::BIGINT AS used, 0 AS n FROM (SELECT DISTINCT conv_id FROM c) UNION ALL SELECT c.conv_id, c.rn, CASE WHEN used + cost <= 300 THEN used + cost ELSE used END, CASE WHEN used + cost <= 300 THEN n + 1 ELSE n END FROM f JOIN c ON c.conv_id = f.conv_id AND c.rn = f.rn + 1) SELECT conv_id, arg_max(n, rn) AS fitted FROM f GROUP BY conv_id")
 def w08(t):
-    costs = F.array_sort(F.collect_list(F.struct("turn", X.token_estimate(F.col("text")).alias("cost"))))
-    g = t.conversations.groupBy("conv_id").agg(F.transform(costs, lambda x: x["cost"]).alias("costs"))
-    return g.select("conv_id", Z.greedy_budget(F.col("costs"), 300).alias("fitted"))
+    costs = t.conversations.select("conv_id", "turn", X.token_estimate(F.col("text")).alias("cost"))
+    return Z.ordered_fold(costs, "conv_id", ["turn"], (0, 0), Z.greedy(300), "used long, fitted long").select("conv_id", "fitted")
 
 
 @query("w09_section_budget", "SELECT conv_id, CASE WHEN a <= 100 THEN a ELSE 0 END + CASE WHEN CASE WHEN a <= 100 THEN a ELSE 0 END + b <= 100 THEN b ELSE 0 END AS used FROM (SELECT conv_id, coalesce(max(CASE WHEN turn = 0 THEN length(text) // 3 END), 0) AS a, coalesce(max(CASE WHEN turn = 1 THEN length(text) // 3 END), 0) AS b FROM conversations GROUP BY conv_id)")
@@ -400,35 +418,92 @@ def v04(t):
     return A.sessions(t.events, "user_id", "ts", 60).groupBy("user_id", "session").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id")).select("user_id", "event_id")
 
 
-@query("v05_repeat_suppression", "WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), f AS (SELECT user_id, rn, s AS last, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.s - last >= 86400 THEN e.s ELSE last END, CASE WHEN e.s - last >= 86400 THEN n + 1 ELSE n END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, arg_max(n, rn) AS accepted FROM f GROUP BY user_id")
+_SUPPRESSED = """WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, rn, s AS last, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.s - last >= 86400 THEN e.s ELSE last END, CASE WHEN e.s - last >= 86400 THEN n + 1 ELSE n END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1)
+SELECT user_id, arg_max(n, rn) AS accepted FROM f GROUP BY user_id"""
+
+
+@query("v05_repeat_suppression", _SUPPRESSED)
 def v05(t):
-    times = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_timestamp("ts"))).alias("times"))
-    return times.select("user_id", F.size(Z.suppressed(F.col("times"), 86400)).alias("accepted"))
+    # repeats within a second change nothing, so a busy user's log shrinks before it is sorted
+    times = t.events.select("user_id", F.unix_timestamp("ts").alias("at")).distinct()
+    return Z.ordered_fold(times, "user_id", ["at"], (0, 0), Z.suppression(86400), "last long, accepted long").select("user_id", "accepted")
 
 
-@query("v09_queue_claims", sql(", r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY priority, requested_at, job_id) AS rn FROM jobs WHERE status <> 'succeeded') SELECT owner, job_id, CASE WHEN status = 'running' THEN 2 ELSE 1 END AS attempt FROM r WHERE rn = 1", "jobs"))
-def v09(t):
-    due = t.jobs.where("status <> 'succeeded'").groupBy("owner").agg(F.min_by(F.struct("job_id", "status"), F.struct("priority", "requested_at", "job_id")).alias("j"))
-    return due.select("owner", "j.job_id", F.when(F.col("j.status") == "running", 2).otherwise(1).alias("attempt"))
+#: The log as (user_id, at, event_id, action): kinds of events stand for actions, a user for a job or reminder.
+def _log(t, actions: dict[str, str]):
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in actions.items() for x in kv]), F.col("event_type"))
+    return t.events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", action.alias("action"))
 
 
-@query("v10_retry_or_dead_letter", "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS attempts, CASE WHEN count(*) FILTER (WHERE event_type = 'error') < 15 THEN 'retry' ELSE 'dead_letter' END AS outcome FROM events GROUP BY user_id")
-def v10(t):
-    n = F.count_if(F.col("event_type") == "error")
-    return t.events.groupBy("user_id").agg(n.alias("attempts"), F.when(n < 15, "retry").otherwise("dead_letter").alias("outcome"))
+def _folded(state: str, start: str, cases: str, extra: str = "") -> str:
+    """SQL that walks each user's log in order; ``cases`` are the state's columns after an event."""
+    return f"""WITH RECURSIVE e AS (SELECT user_id, event_type AS k, epoch_us(ts) AS s, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT user_id, 0::BIGINT AS rn, {start} FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, rn2, {cases} FROM (SELECT f.*, k, s, id, e.rn AS rn2{extra} FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+SELECT f.user_id, {state} FROM f JOIN (SELECT user_id, max(rn) AS rn FROM f GROUP BY user_id) USING (user_id, rn)"""
 
 
-_LIFE = {"signup": "scheduled", "view": "snoozed", "click": "rescheduled", "error": "retry_scheduled", "purchase": "delivered"}
+_QUEUE = _folded(
+    "status, attempts::BIGINT AS attempts, expired::BIGINT AS expired, refused::BIGINT AS refused",
+    "'queued' AS status, -1::BIGINT AS holder, 0::BIGINT AS until, 0 AS attempts, 0 AS expired, 0 AS refused",
+    """CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') THEN 'queued' WHEN k = 'click' AND may THEN 'running' WHEN k = 'purchase' AND held THEN 'succeeded' WHEN k = 'error' AND held THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') OR k IN ('purchase', 'error') AND held THEN -1 WHEN k = 'click' AND may THEN id % 3 ELSE holder END,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') OR k = 'purchase' AND held THEN s WHEN k = 'click' AND may OR k = 'view' AND held THEN s + 43200000000 WHEN k = 'error' AND held THEN CASE WHEN attempts < 3 THEN s + 10800000000 ELSE s END ELSE until END,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') THEN 0 WHEN k = 'click' AND may THEN attempts + 1 ELSE attempts END,
+ CASE WHEN k = 'click' AND may AND status = 'running' THEN expired + 1 ELSE expired END,
+ CASE WHEN k IN ('view', 'purchase', 'error') AND NOT held THEN refused + 1 ELSE refused END""",
+    ", status IN ('queued', 'running') AND until <= s AS may, status = 'running' AND holder = id % 3 AS held",
+)
 
 
-@query("v11_reminder_lifecycle", "WITH c AS (SELECT user_id, min(CASE WHEN event_type = 'purchase' THEN {'t': ts, 'e': event_id} END) AS done FROM events GROUP BY user_id) SELECT e.user_id, CASE arg_max(event_type, {'t': ts, 'e': event_id}) WHEN 'signup' THEN 'scheduled' WHEN 'view' THEN 'snoozed' WHEN 'click' THEN 'rescheduled' WHEN 'error' THEN 'retry_scheduled' ELSE 'delivered' END AS state, max(late) AS invalid FROM (SELECT e.*, done, count(*) FILTER (WHERE done IS NOT NULL AND {'t': ts, 'e': event_id} > done) OVER (PARTITION BY e.user_id) AS late FROM events e JOIN c USING (user_id)) e WHERE done IS NULL OR {'t': ts, 'e': event_id} <= done GROUP BY e.user_id")
+@query("v09_queue_claims", _QUEUE)
+def v09(t):
+    """Claims of due jobs and of ended leases, heartbeats, completions by the holder only; three workers."""
+    log = _log(t, {"signup": "enqueue", "click": "claim", "view": "heartbeat", "purchase": "complete", "error": "fail"}).withColumn("worker", F.col("event_id") % 3)
+    done = Z.ordered_fold(log, "user_id", ["at", "event_id"], ("queued", -1, 0, 0, 0, 0), Z.queue_step, "status string, holder long, until long, attempts long, expired long, refused long")
+    return done.select("user_id", "status", "attempts", "expired", "refused")
+
+
+_RETRY = _folded(
+    "outcome, attempts::BIGINT AS attempts, next_at, early::BIGINT AS early",
+    "'scheduled' AS outcome, 0 AS attempts, 0::BIGINT AS next_at, 0 AS early",
+    """CASE WHEN k = 'signup' AND NOT waits THEN 'scheduled' WHEN tries AND k = 'click' THEN 'delivered' WHEN tries THEN CASE WHEN attempts + 1 < 3 THEN 'retry' ELSE 'dead_letter' END ELSE outcome END,
+ CASE WHEN k = 'signup' AND NOT waits THEN 0 WHEN tries THEN attempts + 1 ELSE attempts END,
+ CASE WHEN k = 'signup' AND NOT waits OR tries AND (k = 'click' OR attempts + 1 >= 3) THEN s WHEN tries THEN s + (attempts + 1) * 10800000000 ELSE next_at END,
+ CASE WHEN k IN ('click', 'error') AND waits AND s < next_at THEN early + 1 ELSE early END""",
+    ", outcome IN ('scheduled', 'retry') AS waits, outcome IN ('scheduled', 'retry') AND k IN ('click', 'error') AND s >= next_at AS tries",
+)
+
+
+@query("v10_retry_or_dead_letter", _RETRY)
+def v10(t):
+    log = _log(t, {"signup": "schedule", "click": "deliver", "error": "fail"}).where("action is not null")
+    users = t.events.select("user_id").distinct()
+    done = Z.ordered_fold(log, "user_id", ["at", "event_id"], ("scheduled", 0, 0, 0), Z.retry_step, "outcome string, attempts long, next_at long, early long")
+    fresh = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return users.join(done, "user_id", "left").select("user_id", fresh("outcome", "scheduled"), fresh("attempts", 0), fresh("next_at", 0), fresh("early", 0))
+
+
+_LIFE = _folded(
+    "state, attempts::BIGINT AS attempts, errors::BIGINT AS errors",
+    "'none' AS state, 0 AS attempts, 0 AS errors",
+    """CASE WHEN NOT fits THEN state WHEN k = 'signup' THEN 'scheduled' WHEN k = 'view' THEN 'snoozed' WHEN k = 'click' AND id % 4 = 0 THEN 'canceled' WHEN k = 'click' THEN 'rescheduled' WHEN k = 'purchase' THEN 'delivered'
+  WHEN user_id % 3 = 0 THEN 'failed' WHEN attempts + 1 < 3 THEN 'retry_scheduled' ELSE 'dead_letter' END,
+ CASE WHEN NOT fits THEN attempts WHEN k = 'signup' THEN 0 WHEN k IN ('purchase', 'error') THEN attempts + 1 ELSE attempts END,
+ CASE WHEN fits THEN errors ELSE errors + 1 END""",
+    """, CASE WHEN k = 'signup' THEN state NOT IN ('scheduled', 'snoozed', 'rescheduled', 'retry_scheduled') WHEN k = 'view' OR k = 'click' AND id % 4 <> 0 THEN state NOT IN ('none', 'canceled', 'delivered')
+  ELSE state IN ('scheduled', 'snoozed', 'rescheduled', 'retry_scheduled') END AS fits""",
+)
+
+
+@query("v11_reminder_lifecycle", _LIFE)
 def v11(t):
-    at = F.struct("ts", "event_id")
-    done = t.events.groupBy("user_id").agg(F.min(F.when(F.col("event_type") == "purchase", at)).alias("done"))
-    rows = t.events.join(done, "user_id").withColumn("late", F.coalesce(at > F.col("done"), F.lit(False)))
-    state = F.create_map(*[F.lit(x) for kv in _LIFE.items() for x in kv])
-    g = rows.groupBy("user_id").agg(F.max_by(F.when(~F.col("late"), F.col("event_type")), F.when(~F.col("late"), at)).alias("last"), F.count_if("late").alias("invalid"))
-    return g.select("user_id", F.element_at(state, F.col("last")).alias("state"), "invalid")
+    """Eight states; of clicks every fourth event cancels, a third of the reminders isn't retried."""
+    log = _log(t, {"signup": "schedule", "view": "snooze", "click": "reschedule", "purchase": "deliver", "error": "fail"})
+    action = F.when((F.col("action") == "reschedule") & (F.col("event_id") % 4 == 0), "cancel").otherwise(F.col("action"))
+    log = log.withColumn("action", action).withColumn("retries", F.col("user_id") % 3 != 0)
+    return Z.ordered_fold(log, "user_id", ["at", "event_id"], ("none", 0, 0), Z.reminder_step, "state string, attempts long, errors long")
 
 
 @query("v12_conversation_state", sql(", p AS (SELECT *, lag(intent) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM turns) SELECT conv_id, turn, least(3, count(*) FILTER (WHERE before IS NOT NULL AND before <> intent) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) AS level FROM p", "turns"))
