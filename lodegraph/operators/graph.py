@@ -40,8 +40,9 @@ def paths(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
     return found
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """(start, node, distance): least distances up to ``depth``, the start itself left out.
+def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False, chains: bool = False) -> DataFrame:
+    """(start, node, distance): least distances up to ``depth``, the start itself left out; with ``chain``, the least of
+    the shortest ways as an array of nodes, where ``chains`` asks for it.
 
     Level by level with one row per pair, so dense graphs don't multiply walks. The edges and each level are written
     once, so no level computes those before it again.
@@ -49,14 +50,35 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = stored(edges.select(F.col(a).alias("from"), F.col(b).alias("to")).distinct())
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("distance"))
+    seen = seen.withColumn("chain", F.array("node")) if chains else seen
     front = seen
     for distance in range(1, max(1, min(depth, MAX_DEPTH)) + 1):
-        ahead = front.join(step, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
-        front = stored(ahead.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(distance)))
+        joined = front.join(step, F.col("node") == F.col("from"))
+        if chains:
+            ahead = joined.select("start", F.col("to").alias("node"), F.concat("chain", F.array("to")).alias("chain")).groupBy("start", "node").agg(F.min("chain").alias("chain"))
+        else:
+            ahead = joined.select("start", F.col("to").alias("node")).distinct()
+        front = stored(ahead.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(distance)))
         seen = seen.unionByName(front)
     return seen.where("distance > 0")
 
 
+def cycles(edges: DataFrame, depth: int) -> DataFrame:
+    """(length, chain) of the simple cycles of 2 to ``depth`` edges, each once, from its least node on.
+
+    A walk only goes on to nodes greater than its first, so each cycle grows from one start; ``depth`` is clamped.
+    """
+    step = stored(edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct())
+    walk = step.where("from < to").select(F.col("from").alias("start"), F.col("to").alias("node"), F.array("from", "to").alias("chain"))
+    found = None
+    for length in range(2, max(2, min(depth, MAX_DEPTH)) + 1):
+        ahead = stored(walk.join(step, F.col("node") == F.col("from")).where((F.col("to") >= F.col("start")) & ((F.col("to") == F.col("start")) | ~F.array_contains("chain", F.col("to")))))
+        closed = ahead.where("to = start").select(F.lit(length).alias("length"), "chain")
+        found = closed if found is None else found.unionByName(closed)
+        walk = ahead.where("to > start").select("start", F.col("to").alias("node"), F.concat("chain", F.array("to")).alias("chain"))
+    return found
+
+
 def impact_risk(direct, indirect, modules, data):
     """min(100, 15 direct + 5 indirect + 10 modules + 8 data) and its band."""
     score = F.least(F.lit(100), 15 * direct + 5 * indirect + 10 * modules + 8 * data)

@@ -29,11 +29,14 @@ def versioned(writes: DataFrame, held: str, base: str, force: str) -> DataFrame:
     return writes.withColumn("outcome", outcome).withColumn("version", F.when((stored == F.col(base)) | F.col(force), stored + 1).otherwise(F.col(held)))
 
 
-def ordered_fold(rows: DataFrame, key: str, order: Sequence[str], start: tuple, step: Callable[..., tuple], result: str) -> DataFrame:
+def ordered_fold(
+    rows: DataFrame, key: str, order: Sequence[str], start: tuple, step: Callable[..., tuple], result: str, each: Callable[..., tuple | None] | None = None
+) -> DataFrame:
     """(key, *state) after each key's rows in order; ``result`` names and types the columns of the state.
 
     Spark deals and sorts the rows; they pass a task one by one and only the state of the key at hand is held, so a key
-    may have any number of rows. ``step(state, *values)`` takes the columns that aren't the key.
+    may have any number of rows. ``step(state, *values)`` takes the columns that aren't the key. With ``each(before,
+    after, *values)`` the rows are what it makes of each row, None being none, instead of the last state.
     """
     values = [c for c in rows.columns if c != key]
     kind = rows.schema[key].dataType.simpleString()
@@ -52,18 +55,30 @@ def ordered_fold(rows: DataFrame, key: str, order: Sequence[str], start: tuple,
             done = []
             for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if state is None or k != now:
-                    if state is not None:
+                    if state is not None and each is None:
                         done.append((now, *state))
                     now, state = k, start
-                state = step(state, *row)
+                before, state = state, step(state, *row)
+                if each and (found := each(before, state, *row)) is not None:
+                    done.append((k, *found))
             if done:
                 yield out(done)
-        if state is not None:
+        if state is not None and each is None:
             yield out([(now, *state)])
 
     return ready.mapInArrow(run, f"{key} {kind}, {result}")
 
 
+def numbered(rows: DataFrame, key: str, run: int = 4096) -> DataFrame:
+    """``rows`` with ``number``, 0, 1, ... by an integer key: runs of keys are counted, their starts summed, and each run
+    is numbered on its own, so the one task that sees all runs has a row for each ``run`` keys."""
+    cut = rows.withColumn("__run", F.floor(F.col(key) / run))
+    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy("__run").agg(F.count("*").alias("__n")).select("__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__run").orderBy(key)) - 1
+    return cut.withColumn("__place", place).join(starts, "__run").withColumn("number", F.col("__start") + F.col("__place")).drop("__run", "__place", "__start")
+
+
 def suppressed(times: Column, gap: int) -> Column:
     """The accepted ones of an ordered array of seconds, for logs of a bounded size: each at least ``gap`` after the last accepted."""
     take = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept)

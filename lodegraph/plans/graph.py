@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import search as S
 from ..sources.bindings import sql
+from ..sources.scratch import stored
 from .catalog import query
 
 
@@ -55,15 +56,16 @@ def g05(t):
 
 
 _REVERSE = """, walk AS (
-  SELECT id AS target, id AS node, 0 AS d FROM functions WHERE end_line = 9
-  UNION SELECT w.target, c.src, w.d + 1 FROM walk w JOIN calls c ON c.dst = w.node WHERE w.d < 2),
-hit AS (SELECT target, node, min(d) AS distance FROM walk WHERE node <> target GROUP BY ALL)"""
+  SELECT id AS target, id AS node, 0 AS d, [id] AS chain FROM functions WHERE end_line = 9
+  UNION SELECT w.target, c.src, w.d + 1, list_append(w.chain, c.src) FROM walk w JOIN calls c ON c.dst = w.node WHERE w.d < 3),
+hit AS (SELECT target, node, min(d) AS distance, array_to_string(min({'d': d, 'c': chain}).c, '>') AS chain FROM walk WHERE node <> target GROUP BY ALL)"""
 
 
-@query("g06_blast_radius", sql(_REVERSE + " SELECT target, node, distance FROM hit", "functions", "calls", recursive=True))
+@query("g06_blast_radius", sql(_REVERSE + " SELECT target, node, distance, chain FROM hit", "functions", "calls", recursive=True))
 def g06(t):
-    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 2, reverse=True)
-    return hit.select(F.col("start").alias("target"), "node", "distance")
+    """Dependents up to distance 3, each with a chain that leads to it."""
+    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 3, reverse=True, chains=True)
+    return hit.select(F.col("start").alias("target"), "node", "distance", F.array_join("chain", ">").alias("chain"))
 
 
 @query("g07_impact_risk", sql(_REVERSE + """, agg AS (SELECT target, count(*) FILTER (WHERE distance = 1) AS direct, count(*) FILTER (WHERE distance > 1) AS indirect, count(DISTINCT f.module) AS modules
@@ -71,7 +73,7 @@ def g06(t):
 SELECT target, direct, indirect, modules, least(100, 15 * direct + 5 * indirect + 10 * modules) AS risk,
  CASE WHEN least(100, 15 * direct + 5 * indirect + 10 * modules) >= 80 THEN 'CRITICAL' WHEN least(100, 15 * direct + 5 * indirect + 10 * modules) >= 50 THEN 'HIGH' WHEN least(100, 15 * direct + 5 * indirect + 10 * modules) >= 20 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM agg""", "functions", "calls", recursive=True))
 def g07(t):
-    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 2, reverse=True).join(t.functions.select(F.col("id").alias("node"), "module"), "node")
+    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 3, reverse=True).join(t.functions.select(F.col("id").alias("node"), "module"), "node")
     agg = hit.groupBy(F.col("start").alias("target")).agg(F.count_if(F.col("distance") == 1).alias("direct"), F.count_if(F.col("distance") > 1).alias("indirect"), F.countDistinct("module").alias("modules"))
     score, band = G.impact_risk(F.col("direct"), F.col("indirect"), F.col("modules"), F.lit(0))
     return agg.select("target", "direct", "indirect", "modules", score.alias("risk"), band.alias("band"))
@@ -113,17 +115,18 @@ def g11(t):
     return _hot(t).where(risk > 10).select("id", F.round(risk, 2).alias("risk"))
 
 
-@query("g12_ontology_checks", sql("""SELECT 'orphan' AS kind, id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)
+@query("g12_ontology_checks", sql(""", imports AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module) SELECT 'orphan' AS kind, id FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)
 UNION ALL SELECT 'god_module', src FROM edges WHERE type = 'DEFINES' GROUP BY src HAVING count(*) >= 5
-UNION ALL SELECT 'cycle', a.src || '<>' || a.dst FROM calls a JOIN calls b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
-UNION ALL SELECT 'stale', id FROM churn WHERE last_change < (SELECT max(last_change) FROM churn) - INTERVAL 365 DAY""", "nodes", "edges", "churn"))
+UNION ALL SELECT 'cycle', a.src || '<>' || a.dst FROM imports a JOIN imports b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst
+UNION ALL SELECT 'stale', id FROM churn WHERE last_change < (SELECT max(last_change) FROM churn) - INTERVAL 365 DAY""", "functions", "edges", "churn"))
 def g12(t):
     edges = t.edges
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
     orphans = t.nodes.select("id").join(ends, "id", "left_anti").select(F.lit("orphan").alias("kind"), "id")
     gods = edges.where("type = 'DEFINES'").groupBy("src").agg(F.count("*").alias("n")).where("n >= 5").select(F.lit("god_module").alias("kind"), F.col("src").alias("id"))
-    back = t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    cycles = t.calls.select("src", "dst").join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.lit("cycle").alias("kind"), F.concat("src", F.lit("<>"), "dst").alias("id"))
+    mutual = stored(imports(t))
+    back = mutual.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    cycles = mutual.join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.lit("cycle").alias("kind"), F.concat("src", F.lit("<>"), "dst").alias("id"))
     last = t.churn.agg(F.max("last_change").alias("asof"))
     stale = t.churn.crossJoin(F.broadcast(last)).where(F.col("last_change") < F.col("asof") - F.expr("interval 365 days")).select(F.lit("stale").alias("kind"), "id")  # one row
     return orphans.unionByName(gods).unionByName(cycles).unionByName(stale)
@@ -131,8 +134,10 @@ def g12(t):
 
 @query("g13_duplicate_names", sql("SELECT name, count(*) AS n, array_to_string(list_sort(list(DISTINCT namespace))[1:5], ',') AS namespaces FROM functions GROUP BY name HAVING count(*) > 1 ORDER BY n DESC, name LIMIT 20", "functions"))
 def g13(t):
-    groups = t.functions.groupBy("name").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("namespace")), 1, 5).alias("ns")).where("n > 1")
-    return groups.orderBy(F.desc("n"), "name").limit(20).select("name", "n", F.array_join("ns", ",").alias("namespaces"))
+    groups = stored(t.functions.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "name").limit(20))
+    of_them = t.functions.join(F.broadcast(groups.select("name")), "name", "left_semi")  # 20 rows
+    few = S.capped(of_them, "name", "namespace", 5, "ns")
+    return groups.join(few, "name", "left").select("name", "n", F.array_join("ns", ",").alias("namespaces"))
 
 
 @query("g14_resolve_ambiguous", sql(""", b AS (SELECT name, id, round_even((CASE WHEN namespace = 'Brand#2' THEN 1.5 ELSE 1.0 END) * (CASE WHEN end_line > 40 THEN 0.3 ELSE 1.0 END), 6) AS boost, namespace FROM functions),
@@ -183,17 +188,21 @@ def g19(t):
     return rows.select("id", F.round(text + 0.3 * F.col("changes") + 2 * F.exp(-rate * F.datediff("asof", "last_change")), 3).alias("score"))
 
 
-@query("g20_hubs_and_cycles", sql(_DEG + """ SELECT 'hub' AS kind, id FROM deg WHERE fan_in >= 3 UNION ALL SELECT 'cycle3', a.src FROM calls a JOIN calls b ON a.dst = b.src JOIN calls c ON b.dst = c.src AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src GROUP BY a.src""", "calls"))
+@query("g20_hubs_and_cycles", sql(_DEG + """, imports AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module),
+ every AS (SELECT 'call' AS kind, src, dst FROM calls UNION ALL SELECT 'import', src, dst FROM imports),
+ walk AS (SELECT kind, src AS start, dst AS node, [src, dst] AS chain FROM every WHERE src < dst
+  UNION ALL SELECT w.kind, start, e.dst, list_append(chain, e.dst) FROM walk w JOIN every e ON e.src = w.node AND e.kind = w.kind WHERE w.node <> start AND len(chain) <= 4 AND e.dst >= start AND (e.dst = start OR NOT list_contains(chain, e.dst)))
+ SELECT 'hub' AS kind, id FROM deg WHERE fan_in >= 3 UNION ALL SELECT kind || '_cycle' || (len(chain) - 1), array_to_string(chain[:-2], '>') FROM walk WHERE node = start""", "functions", "calls", recursive=True))
 def g20(t):
+    """Hubs, and the simple cycles of up to four calls or module imports."""
     hubs = G.degrees(t.calls).where("fan_in >= 3").select(F.lit("hub").alias("kind"), "id")
-    a, b, c = (t.calls.select(F.col("src").alias(f"{x}s"), F.col("dst").alias(f"{x}d")) for x in "abc")
-    rings = a.join(b, F.col("ad") == F.col("bs")).where("as < bs").join(c, (F.col("bd") == F.col("cs")) & (F.col("cd") == F.col("as"))).where("as < cs")
-    return hubs.unionByName(rings.select(F.lit("cycle3").alias("kind"), F.col("as").alias("id")).distinct())
+    named = lambda kind, rings: rings.select(F.concat(F.lit(kind), "length").alias("kind"), F.array_join("chain", ">").alias("id"))
+    return hubs.unionByName(named("call_cycle", G.cycles(t.calls, 4))).unionByName(named("import_cycle", G.cycles(imports(t), 4)))
 
 
 @query("g21_confidence_impact", sql(_REVERSE + " SELECT target, node, distance, round(0.9 * power(0.7, distance - 1), 4) AS confidence FROM hit", "functions", "calls", recursive=True))
 def g21(t):
-    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 2, reverse=True)
+    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 3, reverse=True)
     return hit.select(F.col("start").alias("target"), "node", "distance", F.round(0.9 * F.pow(F.lit(0.7), F.col("distance") - 1), 4).alias("confidence"))
 
 
@@ -206,11 +215,11 @@ def g22(t):
     return rows.select("id", F.least(s, F.lit(100)).alias("score"), F.when(s >= 75, "critical").when(s >= 50, "high").when(s >= 30, "medium").otherwise("low").alias("band"))
 
 
-@query("g23_test_suggestions", sql(_REVERSE + ", r AS (SELECT *, row_number() OVER (PARTITION BY target, distance ORDER BY node) AS rn FROM hit) SELECT target, node, distance FROM r WHERE (distance = 1 AND rn <= 10) OR (distance = 2 AND rn <= 5)", "functions", "calls", recursive=True))
+@query("g23_test_suggestions", sql(_REVERSE + ", r AS (SELECT *, row_number() OVER (PARTITION BY target, distance = 1 ORDER BY distance, node) AS rn FROM hit) SELECT target, node, distance FROM r WHERE (distance = 1 AND rn <= 10) OR (distance > 1 AND rn <= 5)", "functions", "calls", recursive=True))
 def g23(t):
-    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 2, reverse=True)
-    rn = F.row_number().over(Window.partitionBy("start", "distance").orderBy("node"))
-    return hit.withColumn("rn", rn).where("(distance = 1 and rn <= 10) or (distance = 2 and rn <= 5)").select(F.col("start").alias("target"), "node", "distance")
+    hit = G.reach(t.calls, t.functions.where("end_line = 9"), 3, reverse=True)
+    rn = F.row_number().over(Window.partitionBy("start", F.col("distance") == 1).orderBy("distance", "node"))
+    return hit.withColumn("rn", rn).where("(distance = 1 and rn <= 10) or (distance > 1 and rn <= 5)").select(F.col("start").alias("target"), "node", "distance")
 
 
 @query("g24_module_rollup", sql("SELECT a.module AS src_module, b.module AS dst_module, count(*) AS weight, count(*) > 5 AS strong FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module GROUP BY ALL", "functions", "calls"))
@@ -236,8 +245,18 @@ def g26(t):
 
 @query("g27_module_docs", sql("SELECT module, count(*) AS functions, count(DISTINCT namespace) AS namespaces, array_to_string(list_sort(list(DISTINCT name))[1:8], ',') AS names, max(end_line) AS longest FROM functions GROUP BY module", "functions"))
 def g27(t):
-    docs = t.functions.groupBy("module").agg(F.count("*").alias("functions"), F.countDistinct("namespace").alias("namespaces"), F.array_sort(F.collect_set("name")).alias("n"), F.max("end_line").alias("longest"))
-    return docs.select("module", "functions", "namespaces", F.array_join(F.slice("n", 1, 8), ",").alias("names"), "longest")
+    docs = t.functions.groupBy("module").agg(F.count("*").alias("functions"), F.countDistinct("namespace").alias("namespaces"), F.max("end_line").alias("longest"))
+    few = S.capped(t.functions, "module", "name", 8, "n")
+    return docs.join(few, "module", "left").select("module", "functions", "namespaces", F.array_join("n", ",").alias("names"), "longest")
+
+
+#: Modules that call each other's functions: src, dst.
+_IMPORTS = ", imports AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module)"
+
+
+def imports(t):
+    a, b = (t.functions.select(F.col("id").alias(x), F.col("module").alias(f"{x}_module")) for x in ("src", "dst"))
+    return t.calls.join(a, "src").join(b, "dst").where("src_module <> dst_module").select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst")).distinct()
 
 
 # Joins that the retrieval and state queries are made of.
@@ -279,20 +298,23 @@ def j06(t):
     return found.groupBy("start", "node").agg(F.min("length").alias("nearest"), F.count("*").alias("walks"))
 
 
-@query("j07_two_cycles", sql("SELECT a.src AS a, a.dst AS b FROM calls a JOIN calls b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst", "calls"))
+@query("j07_two_cycles", sql(_IMPORTS + " SELECT a.src AS a, a.dst AS b FROM imports a JOIN imports b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst", "functions", "calls"))
 def j07(t):
-    back = t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return t.calls.select("src", "dst").join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    edges = stored(imports(t))
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return edges.join(back, ["src", "dst"], "left_semi").where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
 
-@query("j08_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("j08_anti_join", sql("SELECT id FROM functions f WHERE NOT EXISTS (SELECT 1 FROM calls WHERE src = f.id OR dst = f.id)", "functions", "calls"))
 def j08(t):
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Functions with no call at all, in either direction."""
+    ends = t.calls.select(F.explode(F.array("src", "dst")).alias("id"))
+    return t.functions.select("id").join(ends, "id", "left_anti")
 
 
 @query("j09_semi_join_in_order", "SELECT ord, doc_id FROM (SELECT unnest([7, 3, 3, 11, 999999]) AS doc_id, unnest([0, 1, 2, 3, 4]) AS ord) WHERE doc_id IN (SELECT doc_id FROM documents)")
 def j09(t):
-    wanted = t.region.limit(1).select(F.posexplode(F.array(*[F.lit(x) for x in (7, 3, 3, 11, 999999)])).alias("ord", "doc_id"))
+    wanted = t.spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in (7, 3, 3, 11, 999999)])).alias("ord", "doc_id"))
     return wanted.join(t.documents.select("doc_id"), "doc_id", "left_semi").select("ord", "doc_id")
 
 
@@ -313,7 +335,7 @@ def j11(t):
 
 @query("j12_two_key_lookup", sql("SELECT DISTINCT f.id, w.w FROM functions f JOIN (SELECT DISTINCT c_mktsegment AS w FROM customer UNION SELECT 'red plate' UNION SELECT 'Brand#2:old rod') w ON f.name = w.w OR f.namespace || ':' || f.name = w.w", "functions"))
 def j12(t):
-    words = t.customer.select(F.col("c_mktsegment").alias("w")).union(t.region.limit(1).select(F.explode(X.strings(["red plate", "Brand#2:old rod"])))).distinct()
+    words = t.customer.select(F.col("c_mktsegment").alias("w")).union(t.spark.range(1).select(F.explode(X.strings(["red plate", "Brand#2:old rod"])))).distinct()
     keys = t.functions.select("id", F.explode(F.array("name", F.concat("namespace", F.lit(":"), "name"))).alias("w"))
     return keys.join(words, "w").select("id", "w").distinct()
 
@@ -347,7 +369,7 @@ def j16(t):
 
 @query("j17_reference_validation", "SELECT name, count(p_partkey) > 0 AS found FROM (SELECT unnest(['red plate', 'no such', 'old rod']) AS name) LEFT JOIN part ON p_name = name GROUP BY name")
 def j17(t):
-    names = t.region.limit(1).select(F.explode(X.strings(["red plate", "no such", "old rod"])).alias("name"))
+    names = t.spark.range(1).select(F.explode(X.strings(["red plate", "no such", "old rod"])).alias("name"))
     known = t.part.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n"))
     return names.join(known, "name", "left").select("name", (F.coalesce("n", F.lit(0)) > 0).alias("found"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import search as S
 from ..sources.bindings import sql
+from ..sources.scratch import stored
 from .catalog import query
 
 
@@ -137,9 +138,8 @@ def f05(t):
 
 @query("f06_scored_fulltext", f"SELECT doc_id, round(score * 10 + CASE WHEN lower(source) = 'src1' THEN 100 WHEN starts_with(lower(source), 'src1') THEN 80 WHEN contains(lower(source), 'src1') THEN 60 ELSE 0 END, 3) AS score FROM ({_BM25}) JOIN documents USING (doc_id)")
 def f06(t):
-    hits = S.bm25(t.documents, ["the", "license"], "doc_id", "text").withColumn("bm25", F.round("bm25", 4))
-    joined = hits.join(t.documents.select("doc_id", "source"), "doc_id")
-    return joined.select("doc_id", F.round(F.col("bm25") * 10 + X.match_tier(F.col("source"), "src1", 0), 3).alias("score"))
+    hits = S.bm25(t.documents, ["the", "license"], "doc_id", "text", ["source"]).withColumn("bm25", F.round("bm25", 4))
+    return hits.select("doc_id", F.round(F.col("bm25") * 10 + X.match_tier(F.col("source"), "src1", 0), 3).alias("score"))
 
 
 LOCAL_SQL = """, found AS (
@@ -152,12 +152,14 @@ FROM found f LEFT JOIN outs USING (id) LEFT JOIN ins USING (id) ORDER BY score D
 
 
 def local_search(t, q: str, limit: int = 20):
-    """Functions by name with up to five callees and callers, lists capped before they are joined."""
-    found = S.keyword_search(t.functions, q, ["name"])
-    outs = S.capped(t.calls, "src", "dst", 5, "callees").withColumnRenamed("src", "id")
-    ins = S.capped(t.calls, "dst", "src", 5, "callers").withColumnRenamed("dst", "id")
+    """Functions by name with up to five callees and callers, of the functions that the limit leaves only."""
+    found = stored(S.keyword_search(t.functions, q, ["name"], limit).select("id", "name", "score"))
+    ids = F.broadcast(found.select("id"))  # ``limit`` rows
+    near = lambda by: t.calls.join(ids, F.col(by) == F.col("id"), "left_semi")
+    outs = S.capped(near("src"), "src", "dst", 5, "callees").withColumnRenamed("src", "id")
+    ins = S.capped(near("dst"), "dst", "src", 5, "callers").withColumnRenamed("dst", "id")
     joined = found.join(outs, "id", "left").join(ins, "id", "left")
-    return joined.select("id", "name", "score", "callees", "callers").orderBy(F.desc("score"), "name", "id").limit(limit)
+    return joined.select("id", "name", "score", "callees", "callers").orderBy(F.desc("score"), "name", "id")
 
 
 @query("f07_local_search", sql(LOCAL_SQL, "functions", "calls"))

@@ -201,11 +201,10 @@ def m26(t):
     return items.select("conv_id", F.to_json(F.struct("conv_id", "sources", "revisions")).alias("item"))
 
 
-@query("m29_backfill_batches", "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) - 1) // 100 AS batch FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("m29_backfill_batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def m29(t):
     todo = t.documents.select("doc_id").join(t.embeddings, F.col("doc_id") == F.col("vec_id"), "left_anti")
-    place = F.row_number().over(Window.partitionBy(F.col("doc_id") % 16).orderBy("doc_id")) - 1
-    return todo.select("doc_id", F.floor(place / 100).alias("batch"))
+    return Z.numbered(todo, "doc_id").select("doc_id", F.floor(F.col("number") / 100).alias("batch"))
 
 
 # Windows and budgets.
@@ -310,15 +309,16 @@ def t06(t):
     return S.rerank(t.part, ["red", "plate"], "p_name", "p_type", kind).select("p_partkey", F.round("rerank", 4).alias("score"))
 
 
-_LISTS = """WITH k AS (SELECT p_name AS name, max(p_size) AS score FROM part GROUP BY 1), kr AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS r FROM k), v AS (SELECT p_name AS name, count(*) AS score FROM part WHERE contains(p_name, 'plate') OR contains(p_name, 'rod') GROUP BY 1), vr AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS r FROM v)
+_LISTS = """WITH k AS (SELECT p_name AS name, max(p_size) AS score FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40), kr AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS r FROM k), v AS (SELECT p_name AS name, count(*) AS score FROM part WHERE contains(p_name, 'plate') OR contains(p_name, 'rod') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40), vr AS (SELECT *, row_number() OVER (ORDER BY score DESC, name) AS r FROM v)
 SELECT coalesce(kr.name, vr.name) AS name, round_even(coalesce(0.4 / (20 + kr.r), 0) + coalesce(0.6 / (20 + vr.r), 0) + CASE WHEN kr.r IS NOT NULL AND vr.r IS NOT NULL THEN 0.015 ELSE 0 END + CASE WHEN kr.score >= 49 THEN 0.02 ELSE 0 END, 7) AS rrf FROM kr FULL JOIN vr ON kr.name = vr.name"""
 
 
 @query("t07_rank_fusion", _LISTS)
 def t07(t):
-    # one row per distinct name: the two ranked lists that are fused
-    k = t.part.groupBy(F.col("p_name").alias("name")).agg(F.max("p_size").alias("score"))
-    v = t.part.where("contains(p_name, 'plate') or contains(p_name, 'rod')").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("score"))
+    """Two result lists of twice the result's limit, as a search fetches them, then fused by rank."""
+    best = lambda rows: rows.orderBy(F.desc("score"), "name").limit(40)
+    k = best(t.part.groupBy(F.col("p_name").alias("name")).agg(F.max("p_size").alias("score")))
+    v = best(t.part.where("contains(p_name, 'plate') or contains(p_name, 'rod')").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("score")))
     left = S.with_rank(k, F.desc("score"), "name").withColumn("score", F.col("score") + 11)
     return S.fuse(left, S.with_rank(v, F.desc("score"), "name"), 0.6, digits=7).select("name", "rrf")
 

@@ -1,4 +1,4 @@
-"""Streams over the events table, each drained and compared with its batch twin's SQL."""
+"""Streams over the events as they arrive, out of order and late, compared with SQL that knows which rows come too late."""
 
 from __future__ import annotations
 
@@ -7,28 +7,47 @@ from pyspark.sql import functions as F
 from ..streaming import streams as R
 from .catalog import query
 
+#: Each event with the part it arrives in and ``mark``: the watermark, a day behind the newest event of the parts before.
+_ARRIVED = """e AS (SELECT *, CAST(least(3, (day(ts) - 1) // 8 + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END) AS INT) AS part FROM events),
+m AS (SELECT part, max(ts) AS newest FROM e GROUP BY part),
+a AS (SELECT e.*, (SELECT date_trunc('millisecond', max(newest)) - INTERVAL 1 DAY FROM m WHERE m.part < e.part) AS mark FROM e)"""
+_DELAY = "1 day"
 
-@query("v01_stream_timeline", "SELECT date_trunc('hour', ts) AS start, count(*) AS n FROM events GROUP BY 1")
+
+def _late_counts(unit: str) -> str:
+    return f"WITH {_ARRIVED}, b AS (SELECT time_bucket(INTERVAL 1 {unit}, ts) AS start, mark FROM a) SELECT start, count(*) AS n FROM b WHERE mark IS NULL OR start + INTERVAL 1 {unit} > mark GROUP BY 1"
+
+
+def _counts(t, width: str):
+    log = R.Arrivals(t)
+    counts = R.drained(log, R.late_counts(log.stream, width, _DELAY), ["start"])
+    return counts.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("v01_stream_timeline", _late_counts("HOUR"))
 def v01s(t):
-    return R.drained(R.late_counts(R.event_stream(t), "1 hour", "60 days"), ["start"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return _counts(t, "1 hour")
 
 
-@query("v05_stream_suppression", "WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), f AS (SELECT user_id, rn, s AS last, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.rn, CASE WHEN e.s - last >= 86400 THEN e.s ELSE last END, CASE WHEN e.s - last >= 86400 THEN n + 1 ELSE n END FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1) SELECT user_id, CAST(arg_max(n, rn) AS BIGINT) AS accepted FROM f GROUP BY user_id")
+@query("v05_stream_suppression", f"""WITH RECURSIVE {_ARRIVED}, k AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM a WHERE mark IS NULL OR ts > mark),
+f AS (SELECT user_id, rn, s AS last, 1 AS n FROM k WHERE rn = 1 UNION ALL SELECT k.user_id, k.rn, CASE WHEN k.s - last >= 86400 THEN k.s ELSE last END, CASE WHEN k.s - last >= 86400 THEN n + 1 ELSE n END FROM f JOIN k ON k.user_id = f.user_id AND k.rn = f.rn + 1)
+SELECT user_id, CAST(arg_max(n, rn) AS BIGINT) AS accepted FROM f GROUP BY user_id""")
 def v05s(t):
-    return R.drained(R.accepted(R.event_stream(t), "user_id", 86400), ["user_id"]).select("user_id", "accepted")
+    log = R.Arrivals(t)
+    return R.drained(log, R.accepted(log.stream, "user_id", 86400, _DELAY), ["user_id"]).select("user_id", "accepted")
 
 
 @query("v07_incremental_sync", "SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type FROM events GROUP BY user_id")
 def v07s(t):
-    return R.drained(R.incremental_upsert(R.event_stream(t), "user_id"), ["user_id"])
+    log = R.Arrivals(t)
+    return R.drained(log, R.incremental_upsert(log.stream, "user_id"), ["user_id"])
 
 
-@query("v08_polling_cursor", "SELECT event_type, max(event_id) AS cursor FROM events GROUP BY event_type")
+@query("v08_polling_cursor", f"WITH {_ARRIVED} SELECT event_type, max(event_id) AS cursor, count(*) AS handled, CAST(sum(CASE WHEN part % 2 = 1 THEN 2 ELSE 1 END) AS BIGINT) AS deliveries FROM a GROUP BY event_type")
 def v08s(t):
-    cursor = R.event_stream(t).groupBy("event_type").agg(F.max("event_id").alias("cursor"))
-    return R.drained(cursor, ["event_type"])
+    return R.polled(R.Arrivals(t), "event_type", "event_id")
 
 
-@query("v17_watermarked_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY 1")
+@query("v17_watermarked_counts", _late_counts("DAY"))
 def v17s(t):
-    return R.drained(R.late_counts(R.event_stream(t), "1 day", "60 days"), ["start"]).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    return _counts(t, "1 day")

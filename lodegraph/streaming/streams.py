@@ -1,8 +1,9 @@
 """Structured Streaming twins of the state operators.
 
-A stream reads the same table as its batch twin. ``drained`` runs a query until the input is used up, with a
-checkpoint in the shared folder; each micro-batch's changed rows are written once under its number (a repeated batch
-overwrites its own folder, so the sink is idempotent), and the newest row of each key is the result.
+A stream reads a log that arrives in parts, some of its rows out of order and late. ``drained`` appends one part after the
+other and runs a query until it is used up, each time from the checkpoint in the shared folder; each micro-batch's changed rows are
+written once under its number (a repeated batch overwrites its own folder, so the sink is idempotent), and the newest
+row of each key is the result.
 """
 
 from __future__ import annotations
@@ -10,31 +11,52 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.state import suppression
 from ..sources.bindings import Tables
 from ..sources.scratch import folder
 
 
-def event_stream(t: Tables, most_files: int = 1000) -> DataFrame:
-    """The events table as a file stream; ``ts`` as an instant."""
-    path = f"{t.sf_dir}/event[s].parquet"  # a pattern, since the table may be one file
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", most_files).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+#: Parts in which the events arrive: by eight days each, but every tenth event two parts late.
+ARRIVALS = 4
 
 
-def drained(stream: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
-    """Run ``stream`` over all that is there and return the newest row of each key."""
+def arrival() -> Column:
+    """The part that an event arrives in."""
+    week = F.floor((F.dayofmonth("ts") - 1) / 8)
+    return F.least(F.lit(ARRIVALS - 1), week + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)).cast("int")
+
+
+class Arrivals:
+    """The events as a file stream whose files are appended part by part; ``ts`` is an instant."""
+
+    def __init__(self, t: Tables):
+        self.events, self.path = t.events, f"{folder(t.spark)}/arrivals"
+        # an empty append makes the folder that the stream watches
+        self.events.limit(0).write.parquet(self.path)
+        stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(self.path)
+        self.stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def append(self, part: int) -> None:
+        self.events.where(arrival() == part).write.mode("append").parquet(self.path)
+
+
+def drained(log: Arrivals, stream: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
+    """Run ``stream`` over all parts of the log and return the newest row of each key."""
     spark, base = stream.sparkSession, folder(stream.sparkSession)
 
     def keep(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
-    running.awaitTermination()
+    for part in range(ARRIVALS):
+        log.append(part)
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+        running.awaitTermination()
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
     columns = [c for c in stream.columns if c not in keys]
     if not columns:
@@ -42,20 +64,63 @@ def drained(stream: DataFrame, keys: Sequence[str], mode: str = "update") -> Dat
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(*keys, "row.*")
 
 
-def accepted(stream: DataFrame, key: str, gap: int) -> DataFrame:
-    """(key, last, accepted): how many events of each key came ``gap`` seconds or more after the last accepted one."""
+def polled(log: Arrivals, group: str, value: str) -> DataFrame:
+    """(group, cursor, handled, deliveries): a consumer that saves its offset after a batch, so that a batch is handled at least once.
+
+    Every second batch fails after its rows are handled and before its offset is saved; the query starts again from the
+    checkpoint and the batch comes anew. What is delivered twice is seen in ``deliveries``, while ``handled`` counts each once.
+    """
+    spark, base = log.stream.sparkSession, folder(log.stream.sparkSession)
+    failed: set[int] = set()
+
+    def handle(rows: DataFrame, number: int) -> None:
+        again = int(number in failed)
+        rows.select(group, value).write.mode("overwrite").parquet(f"{base}/rows/batch={number}/attempt={again}")
+        if number % 2 and not again:
+            failed.add(number)
+            raise RuntimeError("the consumer fails before it saves its offset")
+
+    for part in range(ARRIVALS):
+        log.append(part)
+        for _ in range(2):
+            running = log.stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(handle).trigger(availableNow=True).start()
+            try:
+                running.awaitTermination()
+                break
+            except StreamingQueryException:
+                if not failed:
+                    raise
+    kinds = [log.stream.schema[group], log.stream.schema[value], T.StructField("batch", T.IntegerType()), T.StructField("attempt", T.IntegerType())]
+    rows = spark.read.schema(T.StructType(kinds)).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
+    return rows.groupBy(group).agg(F.max(value).alias("cursor"), F.countDistinct(value).alias("handled"), F.count("*").alias("deliveries"))
+
+
+def accepted(stream: DataFrame, key: str, gap: int, delay: str) -> DataFrame:
+    """(key, last, accepted): how many events of each key came ``gap`` seconds or more after the last accepted one, in the
+    order of their times.
+
+    Events wait in the state until the watermark has passed them, then no earlier one can come; those more than ``delay``
+    behind the newest are late and dropped by Spark. A row tells what the waiting ones would add so far.
+    """
+    step = suppression(gap)
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (-1, 0)
-        seconds = sorted(s for frame in frames for s in frame["s"])
-        for s in seconds:
-            if n == 0 or s - last >= gap:
-                last, n = s, n + 1
-        state.update((last, n))
-        yield pd.DataFrame({key: [k[0]], "last": [last], "accepted": [n]})
-
-    rows = stream.select(key, F.unix_timestamp("ts").alias("s"))
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, last long, accepted long", "last long, n long", "update", GroupStateTimeout.NoTimeout)
+        last, n, waiting = state.get if state.exists else (-1, 0, [])
+        every = sorted({*waiting, *(s for frame in frames for s in frame["s"].tolist())})
+        mark = state.getCurrentWatermarkMs() // 1000
+        past, waiting = [s for s in every if s < mark], [s for s in every if s >= mark]
+        for s in past:
+            last, n = step((last, n), s)
+        state.update((last, n, waiting))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0] * 1000 + 1000, state.getCurrentWatermarkMs() + 1))
+        shown = (last, n)
+        for s in waiting:
+            shown = step(shown, s)
+        yield pd.DataFrame({key: [k[0]], "last": [shown[0]], "accepted": [shown[1]]})
+
+    rows = stream.withWatermark("ts", delay).select(key, "ts", F.unix_timestamp("ts").alias("s"))
+    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, last long, accepted long", "last long, n long, waiting array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def incremental_upsert(stream: DataFrame, key: str) -> DataFrame:
@@ -65,7 +130,9 @@ def incremental_upsert(stream: DataFrame, key: str) -> DataFrame:
 
 def late_counts(stream: DataFrame, width: str, delay: str) -> DataFrame:
     """(start, n) of buckets; events later than ``delay`` behind the newest one no longer change closed buckets."""
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", width).start.alias("start")).agg(F.count("*").alias("n"))
+    # the group is the window itself: of its start alone Spark wouldn't know when it closes
+    counts = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), "n")
 
 
 def session_counts(stream: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
