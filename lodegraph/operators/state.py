@@ -107,6 +107,16 @@ def greedy(budget: int) -> Callable[..., tuple]:
     return lambda state, _, cost: (state[0] + cost, state[1] + 1) if state[0] + cost <= budget else state
 
 
+def downgrading(least: int) -> Callable[..., tuple]:
+    """Step of (left,): an item costs what it asks for, ``least`` where only that is left, nothing where not even that is."""
+    return lambda state, *row: (state[0] - (row[-1] if state[0] >= row[-1] else least if state[0] >= least else 0),)
+
+
+def granted(least: int) -> Callable[..., tuple | None]:
+    """(node, level) of an item that ``downgrading`` has let in: its own level, or 1."""
+    return lambda before, after, _, node, level, cost: (node, level) if before[0] >= cost else (node, 1) if before[0] >= least else None
+
+
 #: Of the work queue and the retries: lease and delay in microseconds, attempts.
 LEASE, DELAY, MOST_ATTEMPTS = 12 * 3600 * 1_000_000, 3 * 3600 * 1_000_000, 3
 

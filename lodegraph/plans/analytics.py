@@ -338,9 +338,19 @@ def x15(t):
     return t.pages.select("page_id", base.alias("basename"), F.regexp_extract(base, r"\.([a-z]+)$", 1).alias("suffix"))
 
 
-@query("x16_cyclomatic_text", r"SELECT page_id, 1 + len(regexp_extract_all(html, '<(p|li|a)[ >]')) + 2 * len(regexp_extract_all(html, '<h[1-6]')) AS complexity FROM pages")
+# What adds a branch; an else-if counts twice, as its if is counted too. A word begins where no other goes on.
+BRANCHES = (r"(?:^|[^A-Za-z0-9_])if\s*\(", r"(?:^|[^A-Za-z0-9_])else\s+if\s*\(", r"(?:^|[^A-Za-z0-9_])case\s+", r"&&|\|\|", r"(?:^|[^A-Za-z0-9_])(?:for|while)\s*\(", r"\?[^?:]+:", r"(?:^|[^A-Za-z0-9_])catch\s*\(")
+_CYCLOMATIC = " + ".join(f"len(regexp_extract_all(html, '{p}'))" for p in BRANCHES)
+
+
+@query("x16_cyclomatic_text", f"SELECT page_id, 1 + {_CYCLOMATIC} AS complexity, CASE WHEN {_CYCLOMATIC} < 5 THEN 'low' WHEN {_CYCLOMATIC} < 10 THEN 'fair' WHEN {_CYCLOMATIC} < 20 THEN 'high' ELSE 'very high' END AS band FROM pages")
 def x16(t):
-    return t.pages.select("page_id", (1 + F.regexp_count("html", F.lit("<(p|li|a)[ >]")) + 2 * F.regexp_count("html", F.lit("<h[1-6]"))).alias("complexity"))
+    total = F.lit(1)
+    for p in BRANCHES:
+        total = total + F.regexp_count("html", F.lit(p))
+    rows = t.pages.select("page_id", total.alias("complexity"))
+    c = F.col("complexity")
+    return rows.withColumn("band", F.when(c <= 5, "low").when(c <= 10, "fair").when(c <= 20, "high").otherwise("very high"))
 
 
 @query("x17_naming_rules", sql("SELECT id, regexp_matches(name, '^[a-z]+( [a-z]+)*$') AS lower_words, regexp_matches(coalesce(namespace, ''), '^Brand#[0-9]+$') AS branded FROM nodes", "nodes"))

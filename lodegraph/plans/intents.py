@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.scratch import folder
+from ..operators import search as S
+from ..sources.bindings import sql
+from ..sources.scratch import folder, stored
 from .catalog import query
 
 # The patterns of the three query intents, scored by the number of their matches.
@@ -50,10 +52,20 @@ def f13(t):
     return t.benchmark.select("item_id", ((F.size(F.split("text", " ", -1)) >= 3) | F.lower("text").rlike("^(how|what|why) ")).alias("natural"))
 
 
-@query("f14_search_strategy", f"SELECT item_id, greatest(CASE WHEN local_score >= global_score THEN 0.6 ELSE 0.4 END, 0.6)::DOUBLE AS vector_weight, CASE WHEN local_score >= global_score THEN 2 ELSE 1 END AS hops FROM ({_ROUTE})")
+# Weights of vector, keyword and graph search, hops and result limit of each intent.
+STRATEGIES = {"LOCAL": (0.6, 0.3, 0.1, 2, 5), "GLOBAL": (0.2, 0.3, 0.5, 4, 15), "HYBRID": (0.4, 0.3, 0.3, 3, 10)}
+_PARTS = ("vector_weight", "keyword_weight", "graph_weight", "hops", "result_limit")
+
+
+@query("f14_search_strategy", "SELECT item_id, intent, greatest(vector_weight, CASE WHEN len(string_split(text, ' ')) >= 3 OR regexp_matches(lower(text), '^(how|what|why) ') THEN 0.6 ELSE 0 END)::DOUBLE AS vector_weight, keyword_weight::DOUBLE AS keyword_weight, graph_weight::DOUBLE AS graph_weight, hops, result_limit FROM (SELECT item_id, text, CASE WHEN local_score >= global_score AND local_score >= hybrid_score THEN 'LOCAL' WHEN global_score >= hybrid_score THEN 'GLOBAL' ELSE 'HYBRID' END AS intent FROM (" + _ROUTE.replace("SELECT item_id,", "SELECT item_id, text,") + ")) JOIN (VALUES " + ", ".join(f"('{k}', {', '.join(map(str, v))})" for k, v in STRATEGIES.items()) + f") s(intent, {', '.join(_PARTS)}) USING (intent)")
 def f14(t):
-    local = F.col("local_score") >= F.col("global_score")
-    return _routed(t).select("item_id", F.greatest(F.when(local, 0.6).otherwise(0.4), F.lit(0.6)).alias("vector_weight"), F.when(local, 2).otherwise(1).alias("hops"))
+    """The intent's strategy; a sentence in natural language raises the weight of vectors to 0.6."""
+    a, b, c = F.col("local_score"), F.col("global_score"), F.col("hybrid_score")
+    routed = _routed(t).withColumn("intent", F.when((a >= b) & (a >= c), "LOCAL").when(b >= c, "GLOBAL").otherwise("HYBRID"))
+    of = F.create_map(*[x for k, v in STRATEGIES.items() for x in (F.lit(k), F.struct(*[F.lit(y).alias(n) for y, n in zip(v, _PARTS, strict=True)]))])
+    sentence = (F.size(F.split("text", " ", -1)) >= 3) | F.lower("text").rlike("^(how|what|why) ")
+    found = routed.select("item_id", "intent", sentence.alias("sentence"), F.element_at(of, F.col("intent")).alias("s")).select("item_id", "intent", "sentence", "s.*")
+    return found.withColumn("vector_weight", F.greatest("vector_weight", F.when(F.col("sentence"), 0.6).otherwise(0.0))).drop("sentence")
 
 
 # Words of the prompt intents, three points for each that occurs; the first of the best wins.
@@ -70,10 +82,33 @@ def f15(t):
     return scored.select("conv_id", "turn", F.when(F.col("m") == 0, "IMPLEMENT").otherwise(first).alias("intent"), F.col("m").alias("points"))
 
 
-@query("f16_target_extraction", r"SELECT page_id, coalesce(nullif(regexp_extract(url, '/([a-z0-9_-]+)\.html', 1), ''), nullif(regexp_extract(url, '/([0-9]+)', 1), ''), 'none') AS target FROM pages")
+# What stands for a target in a prompt, tried in this order; the third and fourth look at whole words.
+TARGET_PATTERNS = (
+    r"([a-zA-Z_][A-Za-z0-9_]+)\s*(?:함수|클래스|메서드|모듈)(?:를|을|의|에)",
+    r"([a-zA-Z_][A-Za-z0-9_]{2,})\s*(?:에서|에 대한)",
+    r"(?:함수|클래스|메서드|모듈)\s+([a-zA-Z_][A-Za-z0-9_]+)",
+    r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$",
+    r"^[A-Z][a-zA-Z0-9]{2,}$",
+    r"([A-Za-z0-9_]+)\.(?:py|tsx|ts|jsx|js)(?:[^A-Za-z0-9_]|$)",
+)
+# Capitalised words that name nothing.
+NO_TARGETS = ("The", "This", "That", "What", "How", "For", "With", "From", "About", "After", "Before", "MANDATORY", "BEFORE", "DEVELOPMENT", "Knowledge", "Skipping")
+_TARGET = ", ".join(f"nullif(regexp_extract(html, '{p}', 1), '')" for p in TARGET_PATTERNS[:3])
+
+
+@query("f16_target_extraction", f"""SELECT page_id, coalesce({_TARGET},
+  (list_sort(list_transform(list_zip(snakes, range(len(snakes))), lambda z: {{'n': -length(z[1]), 'i': z[2], 'x': z[1]}})))[1].x, pascals[1], nullif(regexp_extract(html, '{TARGET_PATTERNS[5]}', 1), ''), 'none') AS target
+ FROM (SELECT page_id, html, list_filter(w, lambda x: regexp_matches(x, '{TARGET_PATTERNS[3]}')) AS snakes, list_filter(w, lambda x: regexp_matches(x, '{TARGET_PATTERNS[4]}') AND x NOT IN ({", ".join(f"'{x}'" for x in NO_TARGETS)})) AS pascals
+  FROM (SELECT page_id, html, regexp_extract_all(html, '([A-Za-z0-9_]+)', 1) AS w FROM pages))""")
 def f16(t):
-    pick = lambda p: F.nullif(F.regexp_extract("url", p, 1), F.lit(""))
-    return t.pages.select("page_id", F.coalesce(pick(r"/([a-z0-9_-]+)\.html"), pick("/([0-9]+)"), F.lit("none")).alias("target"))
+    """The first pattern that finds something: named kinds, the longest word in snake case, the first in capitals, a file."""
+    pick = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
+    words = F.regexp_extract_all("html", F.lit("([A-Za-z0-9_]+)"), 1)
+    rows = t.pages.select("page_id", "html", words.alias("w"))
+    snakes = F.filter("w", lambda x: x.rlike(TARGET_PATTERNS[3]))
+    longest = F.nullif(F.aggregate(snakes, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)), F.lit(""))
+    pascals = F.filter("w", lambda x: x.rlike(TARGET_PATTERNS[4]) & ~x.isin(*NO_TARGETS))
+    return rows.select("page_id", F.coalesce(*map(pick, TARGET_PATTERNS[:3]), longest, F.try_element_at(pascals, F.lit(1)), pick(TARGET_PATTERNS[5]), F.lit("none")).alias("target"))
 
 
 # Weights of words that tell a development context.
@@ -107,9 +142,27 @@ def x05(t):
     return t.events.crossJoin(asof).select("event_id", F.round(F.col("value") / 100 + F.when(F.col("event_type") == "purchase", 0.5).otherwise(0.0) + fresh, 6).alias("signal"))
 
 
-@query("x06_identifier_count", r"SELECT page_id, len(list_distinct(regexp_extract_all(html, 'href=.(/[A-Za-z0-9_]+)', 1))) AS identifiers FROM pages")
+# How a rendered context names what it holds.
+CONTEXT_PATTERNS = (r"\[(?:Function|Class|Module|Pattern)\]\s+([A-Za-z0-9_]+)", r"경로:\s*`([^`]+)`", r"##\s+\d+\.\s+\[(?:Function|Class|Module)\]\s+([A-Za-z0-9_]+)", r"호출자?:\s*(.+)")
+_RENDER = ", r AS (SELECT f.id, '## 1. [Function] ' || replace(name, ' ', '_') || chr(10) || '경로: `' || namespace || '.' || module || '.' || f.id || '`' || chr(10) || '호출: ' || coalesce(o.l, '') AS text FROM functions f LEFT JOIN (SELECT src, array_to_string(list_sort(list(dst))[1:10], ', ') AS l FROM calls GROUP BY 1) o ON o.src = f.id)"
+
+
+@query("x06_identifier_count", sql(_RENDER + rf""", i AS (SELECT id, list_distinct(list_concat(regexp_extract_all(text, '{CONTEXT_PATTERNS[0]}', 1), list_transform(regexp_extract_all(text, '{CONTEXT_PATTERNS[1]}', 1), lambda p: string_split(p, '.')[-1]),
+  regexp_extract_all(text, '{CONTEXT_PATTERNS[2]}', 1), list_filter(flatten(list_transform(regexp_extract_all(text, '{CONTEXT_PATTERNS[3]}', 1), lambda c: list_transform(string_split(c, ','), lambda x: trim(x)))), lambda x: length(x) > 1))) AS names FROM r)
+ SELECT id, len(names) AS identifiers, len(list_filter(names, lambda x: contains('red plate', lower(x)) OR contains(lower(x), 'red plate') OR contains(lower(x), 'red') OR contains(lower(x), 'plate'))) AS matched FROM i""", "functions", "calls"))
 def x06(t):
-    return t.pages.select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit("href=.(/[A-Za-z0-9_]+)"), 1))).alias("identifiers"))
+    """A function's context as it is rendered, the identifiers that the patterns find in it, and how many the query is near to."""
+    outs = S.capped(t.calls, "src", "dst", 10, "o").withColumnRenamed("src", "id")
+    rows = t.functions.join(outs, "id", "left")
+    text = F.concat(F.lit("## 1. [Function] "), F.replace("name", F.lit(" "), F.lit("_")), F.lit("\n경로: `"), F.concat_ws(".", "namespace", "module", "id"), F.lit("`\n호출: "), F.coalesce(F.array_join("o", ", "), F.lit("")))
+    found = lambda p: F.regexp_extract_all("text", F.lit(p), 1)
+    calls = F.filter(F.flatten(F.transform(found(CONTEXT_PATTERNS[3]), lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x)))), lambda x: F.length(x) > 1)
+    paths = F.transform(found(CONTEXT_PATTERNS[1]), lambda p: F.substring_index(p, ".", -1))
+    names = F.array_distinct(F.concat(found(CONTEXT_PATTERNS[0]), paths, found(CONTEXT_PATTERNS[2]), calls))
+    low = lambda x, w: F.contains(F.lower(x), F.lit(w))
+    near = lambda x: F.contains(F.lit("red plate"), F.lower(x)) | low(x, "red plate") | low(x, "red") | low(x, "plate")
+    named = rows.select("id", text.alias("text")).select("id", names.alias("names"))
+    return named.select("id", F.size("names").alias("identifiers"), F.size(F.filter("names", near)).alias("matched"))
 
 
 @query("x08_timestamp_normalise", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 7200 WHEN event_id % 3 = 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS utc_seconds FROM events")
@@ -146,9 +199,18 @@ def p01(t):
     return each("heading", "<h[1-6]>([^<]*)<").unionByName(each("link", "<a href=.([^>]*).>"))
 
 
-@query("p02_sync_pages", r"SELECT name, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=.([^>]*).>', 1)) AS name FROM pages) GROUP BY name")
+_LINKS = r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href=.([^>]*).>', 1))) AS name FROM pages"
+
+
+@query("p02_sync_pages", f"WITH new AS ({_LINKS}), old AS (SELECT page_id, name FROM new WHERE length(name) % 2 = 0 UNION ALL SELECT DISTINCT page_id, 'gone' FROM new WHERE page_id % 5 = 0), j AS (SELECT coalesce(n.page_id, o.page_id) AS page_id, n.name AS n, o.name AS o FROM new n FULL JOIN old o ON n.page_id = o.page_id AND n.name = o.name) SELECT page_id, count(n) AS stored, count(*) FILTER (WHERE o IS NULL) AS added, count(*) FILTER (WHERE n IS NULL) AS removed, CASE WHEN count(*) FILTER (WHERE o IS NULL OR n IS NULL) > 0 THEN 2 ELSE 1 END AS version FROM j GROUP BY page_id")
 def p02(t):
-    return p01(t).where("kind = 'link'").groupBy("name").agg(F.countDistinct("page_id").alias("pages"), F.min("page_id").alias("first_page"))
+    """A page's new entities are upserted, those gone from it removed, and the change is logged with a new version."""
+    new = stored(p01(t).where("kind = 'link'").select("page_id", "name").distinct())
+    gone = new.where("page_id % 5 = 0").select("page_id", F.lit("gone").alias("name")).distinct()
+    old = new.where("length(name) % 2 = 0").unionByName(gone)
+    both = new.withColumn("n", F.lit(1)).join(old.withColumn("o", F.lit(1)), ["page_id", "name"], "full_outer")
+    added, removed = F.count_if(F.col("o").isNull()), F.count_if(F.col("n").isNull())
+    return both.groupBy("page_id").agg(F.count("n").alias("stored"), added.alias("added"), removed.alias("removed"), F.when(added + removed > 0, 2).otherwise(1).alias("version"))
 
 
 @query("p03_project_index", r"SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS project, count(*) AS files, sum(length(html)) AS chars FROM pages GROUP BY 1")

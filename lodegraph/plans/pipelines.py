@@ -12,6 +12,7 @@ from ..operators import learning as L
 from ..operators import search as S
 from ..operators import state as Z
 from ..sources.bindings import sql
+from ..sources.scratch import stored
 from .catalog import query
 from .search import LOCAL_SQL, local_search
 
@@ -57,17 +58,51 @@ def p06(t):
     return hybrid_search(t, "plate", 3).select("name", "rrf")
 
 
-@query("p07_guardrails", "SELECT doc_id, hits FROM (SELECT doc_id, CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'warranties') AS INT) AS hits FROM documents) WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 3")
-def p07(t):
-    hits = t.documents.select("doc_id", X.keyword_hits(F.col("text"), ["license", "warranties"]).alias("hits")).where("hits > 0")
-    return hits.orderBy(F.desc("hits"), "doc_id").limit(3)
+#: What a result list talks about: words its names have, and words that no guardrail has but whose context a keyword names.
+_CONTEXTS = {"seen": ("license", "warranties"), "unseen": ("zzqx", "zzqy")}
+_GUARD = """SELECT doc_id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM
+ (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = '{0}')) AS f0, len(list_filter(w, lambda x: x = '{1}')) AS f1 FROM w),
+ (SELECT count(*) AS n, avg(len(w)) AS avgdl, count(*) FILTER (WHERE list_contains(w, '{0}')) AS d0, count(*) FILTER (WHERE list_contains(w, '{1}')) AS d1 FROM w) WHERE f0 + f1 > 0"""
 
 
-@query("p08_rag_context", "WITH c AS (SELECT doc_id, CAST(contains(lower(text), 'license') AS INT) * 2 + CAST(contains(lower(text), 'the') AS INT) AS s, length(text) // 3 AS cost FROM documents), top AS (SELECT * FROM c WHERE s > 0 ORDER BY s DESC, doc_id LIMIT 15), b AS (SELECT *, sum(cost) OVER (ORDER BY s DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM top) SELECT doc_id, used FROM b WHERE used <= 4000")
+@query("p07_guardrails", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1) AS w FROM documents), "
+    + ", ".join(f"{k} AS (SELECT '{k}' AS context, doc_id, 'fulltext' AS mode, score FROM ({_GUARD.format(*words)}) WHERE score > 0.5 ORDER BY round(score, 9) DESC, doc_id LIMIT 2)" for k, words in _CONTEXTS.items())
+    + ", found AS (SELECT context, doc_id, mode FROM seen UNION ALL SELECT context, doc_id, mode FROM unseen), fallback AS (SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'warranties') ORDER BY doc_id LIMIT 2)"
+    + " SELECT * FROM found UNION ALL SELECT c.context, doc_id, 'keyword' FROM fallback, (VALUES ('seen'), ('unseen')) c(context) WHERE c.context NOT IN (SELECT context FROM found)")
+def p07(t):
+    """At most two of the three best guardrails by full text with a score above 0.5; a context without any gets those
+    that a keyword names."""
+    found = None
+    for context, words in _CONTEXTS.items():
+        hits = S.bm25(t.documents, words, "doc_id", "text").where("bm25 > 0.5").orderBy(F.desc(F.round("bm25", 9)), "doc_id").limit(3).limit(2)
+        rows = hits.select(F.lit(context).alias("context"), "doc_id", F.lit("fulltext").alias("mode"))
+        found = rows if found is None else found.unionByName(rows)
+    found = stored(found)  # two rows a context
+    named = t.documents.where(X.any_keyword(F.col("text"), ["warranties"])).orderBy("doc_id").limit(2)
+    contexts = named.select(F.explode(X.strings(list(_CONTEXTS))).alias("context"), "doc_id", F.lit("keyword").alias("mode"))
+    return found.unionByName(contexts.join(F.broadcast(found.select("context").distinct()), "context", "left_anti"))
+
+
+_RAG = _HYBRID.replace("LIMIT 20", "LIMIT 30") + """, h AS (SELECT name, row_number() OVER (ORDER BY rrf DESC, name) AS pos FROM (SELECT * FROM f ORDER BY rrf DESC, name LIMIT 15)),
+s AS (SELECT functions.name, max(nn.score) AS score FROM (SELECT * FROM nn WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 10) nn JOIN functions USING (id) GROUP BY 1),
+u AS (SELECT coalesce(h.name, s.name) AS name, h.name IS NOT NULL AS hybrid, round(s.score, 6) AS similarity, row_number() OVER (ORDER BY h.pos IS NULL, h.pos, s.score DESC, s.name) AS pos FROM h FULL JOIN s ON h.name = s.name),
+c AS (SELECT name, hybrid, similarity, pos, sum((length('[Function:' || name || ']') + 40) // 3) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM u)
+SELECT '[Function:' || name || ']' AS citation, CASE WHEN hybrid THEN 'hybrid' ELSE 'vector' END AS mode, similarity, CAST(used AS BIGINT) AS used FROM c WHERE used <= 300"""
+
+
+@query("p08_rag_context", sql(_RAG, "functions"))
 def p08(t):
-    s = F.contains(F.lower("text"), F.lit("license")).cast("int") * 2 + F.contains(F.lower("text"), F.lit("the")).cast("int")
-    top = t.documents.select("doc_id", s.alias("s"), X.token_estimate(F.col("text")).alias("cost")).where("s > 0").orderBy(F.desc("s"), "doc_id").limit(15)
-    return Z.budget_prefix(top.withColumn("one", F.lit(1)), "one", "cost", 4000, F.desc("s"), "doc_id").select("doc_id", "used")
+    """Hybrid search (15) with vector search (10, similarity 0.5 or more): the first of a name wins and takes the other's
+    similarity over; the context ends where its token budget does, and each item in it is a citation."""
+    hybrid = S.with_rank(hybrid_search(t, "plate", 3, 30).select("name", "rrf").orderBy(F.desc("rrf"), "name").limit(15), F.desc("rrf"), "name", rank="pos")
+    q = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("q"))
+    best = S.vector_search(t.embeddings, q, "vec_id", "embedding", 30, 0.5).select(F.concat(F.lit("p"), "vec_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(10)
+    near = t.functions.select("id", "name").join(F.broadcast(best), "id").groupBy("name").agg(F.max("score").alias("score"))  # 10 rows
+    merged = hybrid.join(near, "name", "full_outer").withColumn("late", F.col("pos").isNull())
+    item = F.concat(F.lit("[Function:"), "name", F.lit("]"))
+    costed = merged.select("late", "pos", "score", "name", item.alias("citation"), F.floor((F.length(item) + 40) / 3).alias("cost"), F.lit(1).alias("one"))
+    fits = Z.budget_prefix(costed, "one", "cost", 300, "late", "pos", F.desc("score"), "name")  # 25 rows at most
+    return fits.select("citation", F.when(F.col("late"), "vector").otherwise("hybrid").alias("mode"), F.round("score", 6).alias("similarity"), "used")
 
 
 @query("p09_assist_context", sql(" SELECT f.id, f.name, count(DISTINCT g.id) AS siblings FROM functions f JOIN functions g ON f.module = g.module AND f.namespace = g.namespace AND f.id <> g.id GROUP BY ALL", "functions"))
@@ -153,9 +188,34 @@ def p20(t):
     return t.events.where("event_type = 'click'").select("event_id", F.explode(X.strings(["context_provided", "code_generation", "code_validation"])).alias("kind"))
 
 
-@query("p21_audited_broker_query", "SELECT lang, source, count(*) FILTER (WHERE contains(lower(text), 'license')) AS allowed, count(*) AS seen FROM documents GROUP BY ALL")
+#: Who may ask: workspaces that opted in, each with the projects it may see (none: all), and those whose provider is down.
+_SCOPES = {"en": ("src1", "src2", "src3"), "de": (), "fr": ("src1",)}
+_DOWN = ("fr",)
+_ALLOWED = "CASE lang " + " ".join(f"WHEN '{k}' THEN {f'source IN ({chr(44).join(chr(39) + x + chr(39) for x in v)})' if v else 'true'}" for k, v in _SCOPES.items()) + " ELSE false END"
+
+
+@query("p21_audited_broker_query", f"""WITH asked AS (SELECT DISTINCT lang, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL),
+hits AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents WHERE contains(lower(coalesce(text, '')), 'license'))
+SELECT a.lang, a.source, CASE WHEN a.lang NOT IN ({", ".join(f"'{x}'" for x in _SCOPES)}) THEN 'not_enabled' WHEN NOT ok THEN 'out_of_scope' WHEN a.lang IN ('fr') THEN 'unavailable' ELSE 'succeeded' END AS status,
+ count(h.doc_id) AS results, coalesce(string_agg(h.doc_id, ',' ORDER BY h.doc_id), '') AS items
+FROM (SELECT lang, source, {_ALLOWED} AS ok FROM asked) a LEFT JOIN hits h ON h.lang = a.lang AND h.source = a.source AND rn <= 5 AND ok AND a.lang NOT IN ('fr') GROUP BY ALL""")
 def p21(t):
-    return t.documents.groupBy("lang", "source").agg(F.count_if(X.matches(F.col("text"), "license")).alias("allowed"), F.count("*").alias("seen"))
+    """Each workspace (a language) asks about each project (a source): the request is refused, the provider is down, or up
+    to five hits of that scope come back; every request leaves an audit row."""
+    docs = t.documents.where("lang is not null and source is not null")
+    asked = docs.select("lang", "source").distinct()
+    allowed = F.lit(False)
+    for workspace, projects in _SCOPES.items():
+        allowed = allowed | ((F.col("lang") == workspace) & (F.col("source").isin(*projects) if projects else F.lit(True)))
+    enabled, down = F.col("lang").isin(*_SCOPES), F.col("lang").isin(*_DOWN)
+    status = F.when(~enabled, "not_enabled").when(~allowed, "out_of_scope").when(down, "unavailable").otherwise("succeeded")
+    audit = asked.withColumn("status", status)
+    scoped = docs.where(allowed & ~down).where(X.matches(F.col("text"), "license")).select(F.struct("lang", "source").alias("scope"), "doc_id")
+    hits = S.capped(scoped, "scope", "doc_id", 5, "items").select("scope.*", "items")
+    joined = audit.join(hits, ["lang", "source"], "left")
+    none = F.array().cast("array<bigint>")
+    items = F.coalesce("items", none)
+    return joined.select("lang", "source", "status", F.size(items).cast("long").alias("results"), F.array_join(items.cast("array<string>"), ",").alias("items"))
 
 
 @query("p22_memory_lifecycle", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus <> 'F') AS active, count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 30 DAY) AS purged FROM orders GROUP BY o_custkey")
@@ -165,10 +225,17 @@ def p22(t):
     return t.orders.crossJoin(asof).groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") != "F").alias("active"), F.count_if(old).alias("purged"))
 
 
-@query("p23_evidence_bundle", sql(" SELECT priority, count(*) AS stages, CASE max(CASE status WHEN 'succeeded' THEN 1 WHEN 'running' THEN 2 ELSE 3 END) WHEN 1 THEN 'succeeded' WHEN 2 THEN 'running' ELSE 'queued' END AS worst, sha256(priority || ':' || count(*)) AS digest FROM jobs GROUP BY priority", "jobs"))
+@query("p23_evidence_bundle", sql(""", s AS (SELECT priority, year(requested_at) AS revision, status, count(*) AS n, min(job_id) AS a, max(job_id) AS b, CAST(sum(job_id) AS BIGINT) AS total FROM jobs GROUP BY ALL),
+ h AS (SELECT *, sha256(status || ':' || n || ':' || a || ':' || b || ':' || total) AS digest FROM s),
+ g AS (SELECT priority, revision, count(*) AS stages, CAST(sum(n) AS BIGINT) AS jobs, CASE max(CASE status WHEN 'succeeded' THEN 1 WHEN 'running' THEN 2 ELSE 3 END) WHEN 1 THEN 'succeeded' WHEN 2 THEN 'running' ELSE 'queued' END AS worst, sha256(string_agg(digest, ',' ORDER BY status)) AS digest FROM h GROUP BY ALL)
+ SELECT *, lag(digest) OVER (PARTITION BY priority ORDER BY revision) AS before FROM g""", "jobs"))
 def p23(t):
-    g = t.jobs.groupBy("priority").agg(F.count("*").alias("stages"), A.worst(F.col("status"), ["succeeded", "running", "queued"]).alias("worst"))
-    return g.withColumn("digest", F.sha2(F.concat("priority", F.lit(":"), F.col("stages").cast("string")), 256))
+    """A bundle for each priority and year: the hashes of its stages' contents, their summary, and the bundle before it."""
+    stages = t.jobs.groupBy("priority", F.year("requested_at").alias("revision"), "status").agg(F.count("*").alias("n"), F.min("job_id").alias("a"), F.max("job_id").alias("b"), F.sum("job_id").alias("total"))
+    hashed = stages.withColumn("digest", F.sha2(F.concat_ws(":", "status", "n", "a", "b", "total"), 256))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "digest"))), lambda x: x["digest"]), ",")  # one of each status
+    bundles = hashed.groupBy("priority", "revision").agg(F.count("*").alias("stages"), F.sum("n").alias("jobs"), A.worst(F.col("status"), ["succeeded", "running", "queued"]).alias("worst"), F.sha2(parts, 256).alias("digest"))
+    return bundles.withColumn("before", F.lag("digest").over(Window.partitionBy("priority").orderBy("revision")))
 
 
 @query("p24_staleness", sql(" SELECT owner, max(requested_at) + INTERVAL 1 SECOND < (SELECT max(requested_at) FROM jobs) AS stale FROM jobs GROUP BY owner", "jobs"))
@@ -178,10 +245,28 @@ def p24(t):
     return g.select("owner", (F.col("newest") + F.expr("interval 1 second") < F.col("asof")).alias("stale"))
 
 
-@query("p26_context_levels", sql(_REVERSE + " SELECT target, node, CASE distance WHEN 1 THEN 100 WHEN 2 THEN 50 ELSE 20 END AS budget FROM hit", "functions", "calls", recursive=True))
+#: Of the purpose "review": its level, and a context's tokens at each level below that of whole sources.
+_LEVEL, _TOKENS, _BUDGET = 3, (5, 20, 50, 100, 200), 800
+_LEVELS = """, ends AS (SELECT src AS a, dst AS b FROM calls UNION SELECT dst, src FROM calls),
+walk AS (SELECT id AS target, id AS node, 0 AS d FROM functions WHERE end_line = 11 UNION SELECT w.target, b, w.d + 1 FROM walk w JOIN ends ON a = w.node WHERE w.d < 2),
+hit AS (SELECT target, node, min(d) AS d FROM walk GROUP BY ALL),
+o AS (SELECT *, CASE d WHEN 0 THEN 4 WHEN 1 THEN 3 ELSE 2 END AS level, CASE d WHEN 0 THEN 200 WHEN 1 THEN 100 ELSE 50 END AS cost, row_number() OVER (PARTITION BY target ORDER BY d, node) AS rn FROM hit),
+f AS (SELECT target, node, rn, level, 800 - cost AS left_ FROM o WHERE rn = 1
+ UNION ALL SELECT o.target, o.node, o.rn, CASE WHEN left_ >= o.cost THEN o.level WHEN left_ >= 20 THEN 1 ELSE 0 END, left_ - CASE WHEN left_ >= o.cost THEN o.cost WHEN left_ >= 20 THEN 20 ELSE 0 END FROM f JOIN o ON o.target = f.target AND o.rn = f.rn + 1)"""
+
+
+@query("p26_context_levels", sql(_LEVELS + " SELECT target, node, CAST(level AS BIGINT) AS level FROM f WHERE level > 0", "functions", "calls", recursive=True))
 def p26(t):
-    hit = G.reach(t.calls, t.functions.where("end_line = 11"), 3, reverse=True)
-    return hit.select(F.col("start").alias("target"), "node", F.when(F.col("distance") == 1, 100).when(F.col("distance") == 2, 50).otherwise(20).alias("budget"))
+    """A target with its callers and callees to depth 2, each at the level its distance asks for, at level 1 where the
+    budget has no more room, or left out."""
+    starts = t.functions.where("end_line = 11").select("id")
+    both = t.calls.select("src", "dst").unionByName(t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = G.reach(both, starts, 2).select(F.col("start").alias("target"), "node", "distance")
+    rows = near.unionByName(starts.select(F.col("id").alias("target"), F.col("id").alias("node"), F.lit(0).alias("distance")))
+    level = F.when(F.col("distance") == 0, max(_LEVEL, 4)).when(F.col("distance") == 1, min(_LEVEL, 3)).otherwise(min(_LEVEL, 2))
+    cost = F.element_at(F.array(*[F.lit(x) for x in _TOKENS]), level + 1)
+    asked = rows.select("target", "distance", "node", level.alias("level"), cost.alias("cost"))
+    return Z.ordered_fold(asked, "target", ["distance", "node"], (_BUDGET,), Z.downgrading(_TOKENS[1]), "node string, level long", Z.granted(_TOKENS[1]))
 
 
 @query("p27_gate_decision", sql(" SELECT owner, CASE WHEN count(*) FILTER (WHERE status = 'queued' AND priority = '1-URGENT') > 0 THEN 'REJECTED' WHEN count(*) FILTER (WHERE status = 'queued') > 3 THEN 'NEEDS_WORK' ELSE 'APPROVED' END AS decision FROM jobs GROUP BY owner", "jobs"))

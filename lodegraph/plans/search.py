@@ -85,15 +85,19 @@ def s09(t):
     return t.pages.where(F.col("url").rlike(r"\.html?($|[?#])") & ~F.col("url").rlike(r"/(node_modules|dist|\.git)/")).select("page_id", "url")
 
 
-@query("s10_packet_loader", sql(", packets AS (SELECT p_brand AS repo, p_type AS pattern, list_sort(list(DISTINCT p_name)) AS rules FROM part GROUP BY 1, 2) SELECT repo, pattern, unnest(rules) AS rule FROM packets"))
+@query("s10_packet_loader", sql(", packets AS (SELECT p_brand AS repo, p_type AS name, list_sort(list(DISTINCT p_name)) AS items FROM part GROUP BY 1, 2) SELECT CASE WHEN name IN ('PROMO', 'SMALL') THEN 'error' ELSE 'pattern' END AS type, repo, name, unnest(items) AS item FROM packets"))
 def s10(t):
-    inner = t.part.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set("p_name")).alias("rules"))
+    """Packets of two shapes: patterns with their rules, and errors with their solutions."""
+    inner = t.part.groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set("p_name")).alias("items"))
     # a packet per brand and pattern: all names of a brand in one row would have no bound
-    packets = inner.select("p_brand", F.array(F.struct(F.col("p_type").alias("name"), "rules")).alias("patterns"))
-    lines = packets.select(F.to_json(F.struct(F.col("p_brand").alias("repo"), "patterns")).alias("packet"))
-    parsed = lines.select(F.from_json("packet", "repo string, patterns array<struct<name:string,rules:array<string>>>").alias("p"))
-    patterns = parsed.select("p.repo", F.explode("p.patterns").alias("q"))
-    return patterns.select("repo", F.col("q.name").alias("pattern"), F.explode("q.rules").alias("rule"))
+    error = F.col("p_type").isin("PROMO", "SMALL")
+    shape = lambda key: F.array(F.struct(F.col("p_type").alias("name"), F.col("items").alias(key)))
+    packet = F.struct(F.when(error, "error").otherwise("pattern").alias("type"), F.col("p_brand").alias("repo"), F.when(~error, shape("rules")).alias("patterns"), F.when(error, shape("solutions")).alias("errors"))
+    kind = "type string, repo string, patterns array<struct<name:string,rules:array<string>>>, errors array<struct<name:string,solutions:array<string>>>"
+    parsed = inner.select(F.to_json(packet).alias("packet")).select(F.from_json("packet", kind).alias("p"))
+    patterns = parsed.where("p.type = 'pattern'").select("p.type", "p.repo", F.explode("p.patterns").alias("q")).select("type", "repo", "q.name", F.explode("q.rules").alias("item"))
+    errors = parsed.where("p.type = 'error'").select("p.type", "p.repo", F.explode("p.errors").alias("q")).select("type", "repo", "q.name", F.explode("q.solutions").alias("item"))
+    return patterns.unionByName(errors)
 
 
 @query("s11_artifact_glob", "SELECT 'documents.parquet' AS file, count(*) AS rows FROM documents UNION ALL SELECT 'events.parquet', count(*) FROM events")
