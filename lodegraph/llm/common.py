@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
+
 #: Rows an Arrow batch holds at most: whole texts are large, so far fewer than Spark's default.
 BATCH_ROWS = 256
 #: Bytes an Arrow batch holds at most, for runs of very long texts.
@@ -15,15 +14,8 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors and the driver share.
-
-    Only where the cluster names none (tests, a laptop) a local temporary folder is set up once for the session.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lodegraph.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodegraph-")
-        spark.conf.set("spark.lodegraph.scratch", root)
-    return f"{root.rstrip('/')}/lodegraph/{uuid.uuid4().hex}"
+    """A new folder that all executors and the driver share; see ``sources.scratch``."""
+    return folder(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:

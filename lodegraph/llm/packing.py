@@ -29,8 +29,10 @@ from .bpe import tree_encoder
 from .common import materialise, small_batches, spread, text_column
 
 CAPACITY = 2048
-#: Groups that share one length's ranking.
-SALTS = 256
+#: Groups that share one length's ranking, at least; more so that a group of a length has some GROUP pieces.
+SALTS, GROUP = 256, 65_536
+#: Ranks that share a key of the join with the plan, and rows of the plan that a broadcast may have.
+RANKS, BROADCAST_ROWS = 4096, 500_000
 
 
 def pieces(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,11 +121,15 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: st
     cut = pieces(docs, path, end, capacity, key, text)
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     schema = "length long, first long, until long, sequence long, offset long"
-    slots = spark.createDataFrame(plan(histogram, capacity), schema)
-    placed = ranked(cut, "length", ["doc_id", "piece", "ids_crc32", "start"])
-    # The plan has a few runs for each of at most `capacity` lengths, so its size has a bound.
+    runs = plan(histogram, capacity)
+    slots = spark.createDataFrame(runs, schema)
+    placed = ranked(cut, "length", ["doc_id", "piece", "ids_crc32", "start"], max(SALTS, -(-sum(histogram.values()) // GROUP)))
+    # a run is met by its own ranks only, in blocks of them
+    blocks = slots.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / RANKS), F.floor((F.col("until") - 1) / RANKS))))
+    rows = sum((until - 1) // RANKS - first // RANKS + 1 for _, first, until, _, _ in runs)
     return (
-        placed.join(F.broadcast(slots), "length")
+        placed.withColumn("block", F.floor(F.col("rank") / RANKS))
+        .join(F.broadcast(blocks) if rows <= BROADCAST_ROWS else blocks, ["length", "block"])
         .where("rank >= first and rank < until")
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
     )

@@ -49,8 +49,11 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_earliest(docs).collect()) == [1, 3]
 
 
-def test_near_copies_against_brute_force(spark):
+@pytest.mark.parametrize(("crowd", "each"), [(32, 2), (2, 0), (2, 1000)])
+def test_near_copies_against_brute_force(spark, monkeypatch, crowd, each):
     """Copies with scattered edits, a crowd among them: the stage keeps the least of each component at 0.8 or more."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
+    monkeypatch.setattr(near_copies, "EACH", each)
     random.seed(5)
     rows, near = [], {0.8: 0, 0.9: 0, 0.95: 0}
     for base in range(40):
