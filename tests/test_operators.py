@@ -100,3 +100,80 @@ def test_keywords_fall_back_to_the_text(spark):
 def test_match_tier(spark):
     df = spark.createDataFrame([("Login",), ("login_user",), ("do_login",), ("other",), (None,)], "n string")
     assert [r[0] for r in df.select(X.match_tier(F.col("n"), "login")).collect()] == [100, 80, 60, 40, 40]
+
+
+def test_folds_hold_one_state(spark):
+    """Keys spread over partitions and batches, null keys too; the last state of each, or what each row gives."""
+    rows = [(k, i, (i * 37 + (k or 0)) % 90) for k in (None, *range(20)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, c int").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = {r["k"]: (r["used"], r["n"]) for r in Z.ordered_fold(df, "k", ["i"], (0, 0), Z.greedy(300), "used long, n long").collect()}
+        each = Z.ordered_fold(df, "k", ["i"], (0, 0), Z.greedy(300), "i long", lambda a, b, i, _: (i,) if a != b else None).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, taken = {}, set()
+    for k, i, c in rows:
+        used, n = want.get(k, (0, 0))
+        if used + c <= 300:
+            want[k] = (used + c, n + 1)
+            taken.add((k, i))
+    assert got == want and {(r["k"], r["i"]) for r in each} == taken
+    assert Z.ordered_fold(df.limit(0), "k", ["i"], (0, 0), Z.greedy(300), "used long, n long").collect() == []
+
+
+def test_numbers_follow_the_key(spark):
+    keys = sorted({(i * i * 31) % 20_000 for i in range(3000)})
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(5)
+    assert {r["k"]: r["number"] for r in Z.numbered(df, "k", run=100).collect()} == {k: i for i, k in enumerate(keys)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_cycles_against_brute_force(spark, seed):
+    import itertools
+    import random
+
+    random.seed(seed)
+    edges = {(f"n{random.randrange(9)}", f"n{random.randrange(9)}") for _ in range(30)}
+    edges = {(a, b) for a, b in edges if a != b}
+    nodes = sorted({x for e in edges for x in e})
+    want = {
+        ring for n in (2, 3, 4) for ring in itertools.permutations(nodes, n)
+        if ring[0] == min(ring) and all(e in edges for e in zip(ring, (*ring[1:], ring[0]), strict=True))
+    }
+    got = [tuple(r["chain"]) for r in G.cycles(spark.createDataFrame(sorted(edges), "src string, dst string"), 4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_chains_are_shortest_ways(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "e")], "src string, dst string")
+    starts = spark.createDataFrame([("a",)], "id string")
+    got = {r["node"]: ">".join(r["chain"]) for r in G.reach(edges, starts, 3, chains=True).collect()}
+    assert got == {"b": "a>b", "c": "a>c", "d": "a>b>d", "e": "a>b>d>e"}
+
+
+def test_queue_leases():
+    """A claim before the lease's end is refused, after it taken over; the first worker's completion is then refused."""
+    state, hour = ("queued", -1, 0, 0, 0, 0), 3600 * 1_000_000
+    for at, action, worker in ((0, "claim", 1), (1, "claim", 2), (13, "claim", 2), (14, "complete", 1), (20, "heartbeat", 2), (30, "fail", 2), (31, "claim", 1), (34, "claim", 1), (35, "fail", 1)):
+        state = Z.queue_step(state, at * hour, 0, action, worker)
+    assert state == ("failed", -1, 35 * hour, 3, 1, 1)
+
+
+def test_reminders_guard_their_states():
+    state = ("none", 0, 0)
+    for action in ("deliver", "schedule", "snooze", "fail", "fail", "reschedule", "deliver", "cancel", "snooze"):
+        state = Z.reminder_step(state, 0, 0, action, True)
+    assert state == ("delivered", 3, 3)
+
+
+def test_arrivals_come_late_and_in_disorder(spark):
+    from conftest import SMALL
+    from lodegraph.sources.bindings import Tables
+    from lodegraph.streaming import streams as R
+
+    events = Tables(spark, SMALL).events.select("ts", "event_id", R.arrival().alias("part"))
+    parts = {r["part"]: r["n"] for r in events.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert set(parts) == set(range(R.ARRIVALS))
+    late = events.where("event_id % 10 = 0 and dayofmonth(ts) <= 16").select(F.min(F.col("part") - F.floor((F.dayofmonth("ts") - 1) / 8))).first()[0]
+    assert late == 2
