@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +61,23 @@ def prefix_offsets(counts: DataFrame, key: str, count: str, out: str, group: int
         .withColumn(out, F.col("__base") + F.coalesce(F.sum(count).over(inside), F.lit(0)))
         .drop("__run", "__base")
     )
+
+
+def placed(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``place`` (0, 1, ... in the group's order), ``members`` (its rows) and ``__part``, a bounded piece of it.
+
+    All rows are range-sorted by (group, order) and written once, so a group of any size lies in consecutive partitions;
+    its pieces, one for each partition that it touches, are counted and their starts summed. Equal rows are told apart by a
+    number of their own, so that they spread as well; which of them is first makes no difference. Columns of the group aren't null.
+    """
+    ranged = [*group, *order, "__salt"]
+    salted = rows.withColumn("__salt", F.monotonically_increasing_id())
+    ordered = salted.repartitionByRange(*ranged).sortWithinPartitions(*ranged).drop("__salt").withColumn("__at", F.monotonically_increasing_id())
+    held = materialise(ordered).withColumn("__part", F.shiftright("__at", 33))
+    pieces = held.groupBy(*group, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    every = Window.partitionBy(*group)
+    before = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.select(
+        *group, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(every).alias("members")
+    )
+    return held.join(starts, [*group, "__part"]).withColumn("place", F.col("__at") + F.col("__shift")).drop("__at", "__shift")
