@@ -63,22 +63,6 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False
     return seen.where("distance > 0")
 
 
-def cycles(edges: DataFrame, depth: int) -> DataFrame:
-    """(length, chain) of the simple cycles of 2 to ``depth`` edges, each once, from its least node on.
-
-    A walk only goes on to nodes greater than its first, so each cycle grows from one start; ``depth`` is clamped.
-    """
-    step = stored(edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct())
-    walk = step.where("from < to").select(F.col("from").alias("start"), F.col("to").alias("node"), F.array("from", "to").alias("chain"))
-    found = None
-    for length in range(2, max(2, min(depth, MAX_DEPTH)) + 1):
-        ahead = stored(walk.join(step, F.col("node") == F.col("from")).where((F.col("to") >= F.col("start")) & ((F.col("to") == F.col("start")) | ~F.array_contains("chain", F.col("to")))))
-        closed = ahead.where("to = start").select(F.lit(length).alias("length"), "chain")
-        found = closed if found is None else found.unionByName(closed)
-        walk = ahead.where("to > start").select("start", F.col("to").alias("node"), F.concat("chain", F.array("to")).alias("chain"))
-    return found
-
-
 def impact_risk(direct, indirect, modules, data):
     """min(100, 15 direct + 5 indirect + 10 modules + 8 data) and its band."""
     score = F.least(F.lit(100), 15 * direct + 5 * indirect + 10 * modules + 8 * data)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.scratch import stored
 
 
 def keyword_search(rows: DataFrame, query: str, columns: Sequence[str], limit: int | None = None, name: str = "name") -> DataFrame:
@@ -20,26 +19,6 @@ def keyword_search(rows: DataFrame, query: str, columns: Sequence[str], limit: i
     return found.orderBy(F.desc("score"), name, "id").limit(limit) if limit else found
 
 
-def bm25(docs: DataFrame, terms: Sequence[str], key: str, text: str, keep: Sequence[str] = (), k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, keep, bm25) of documents that have a term. Terms are counted natively in one pass over the texts and the
-    counts written once, no posting list is shuffled: the number of terms is small, so statistics are one row of sums."""
-    words = X.tokens(F.col(text))
-    tf = F.transform(X.strings([t.lower() for t in terms]), lambda t: F.size(F.filter("w", lambda x: x == t)))
-    counted = stored(docs.select(key, *keep, words.alias("w")).select(key, *keep, F.size("w").alias("dl"), tf.alias("tf")))
-    df = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *df)
-    joined = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of sums
-    parts = []
-    for i in range(len(terms)):
-        n, d, f = F.col("n"), F.col(f"df{i}"), F.col("tf")[i]
-        idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-        parts.append(idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return joined.select(key, *keep, total.alias("bm25"))
-
-
 def vector_search(rows: DataFrame, query: DataFrame, key: str, vector: str, limit: int, threshold: float = 0.0) -> DataFrame:
     """(key, score) of the rows nearest to the one-row ``query`` (column ``q``), by (1 + cosine) / 2 at ``threshold`` or more."""
     scored = rows.crossJoin(F.broadcast(query.limit(1))).withColumn("score", (1 + X.cosine(F.col(vector), F.col("q"))) / 2)

@@ -79,24 +79,12 @@ def numbered(rows: DataFrame, key: str, run: int = 4096) -> DataFrame:
     return cut.withColumn("__place", place).join(starts, "__run").withColumn("number", F.col("__start") + F.col("__place")).drop("__run", "__place", "__start")
 
 
-def suppressed(times: Column, gap: int) -> Column:
-    """The accepted ones of an ordered array of seconds, for logs of a bounded size: each at least ``gap`` after the last accepted."""
-    take = lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= gap), F.concat(kept, F.array(t))).otherwise(kept)
-    return F.aggregate(times, F.array().cast("array<bigint>"), take)
-
-
 def budget_prefix(rows: DataFrame, by: str, cost: str, budget: int, *order: Column | str) -> DataFrame:
     """Rows whose running cost within the group stays within the budget."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(cost).over(w)).where(F.col("used") <= budget)
 
 
-def greedy_budget(costs: Column, budget: int) -> Column:
-    """How many of an ordered array of costs, of a bounded size, fit when those that don't are skipped."""
-    fits = lambda s, c: F.when(s["used"] + c <= budget, F.struct((s["used"] + c).alias("used"), (s["n"] + 1).alias("n"))).otherwise(s)
-    return F.aggregate(costs, F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n")), fits)["n"]
-
-
 def suppression(gap: int) -> Callable[..., tuple]:
     """Step of (last, accepted): a time is accepted if none was or it is ``gap`` or more after the last accepted."""
     return lambda state, at: (at, state[1] + 1) if not state[1] or at - state[0] >= gap else state

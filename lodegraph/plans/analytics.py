@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import analytics as A
+from ..operators import search as S
 from ..sources.bindings import sql
 from .catalog import query
 
@@ -338,17 +339,68 @@ def x15(t):
     return t.pages.select("page_id", base.alias("basename"), F.regexp_extract(base, r"\.([a-z]+)$", 1).alias("suffix"))
 
 
-# What adds a branch; an else-if counts twice, as its if is counted too. A word begins where no other goes on.
-BRANCHES = (r"(?:^|[^A-Za-z0-9_])if\s*\(", r"(?:^|[^A-Za-z0-9_])else\s+if\s*\(", r"(?:^|[^A-Za-z0-9_])case\s+", r"&&|\|\|", r"(?:^|[^A-Za-z0-9_])(?:for|while)\s*\(", r"\?[^?:]+:", r"(?:^|[^A-Za-z0-9_])catch\s*\(")
-_CYCLOMATIC = " + ".join(f"len(regexp_extract_all(html, '{p}'))" for p in BRANCHES)
+# What adds a branch; an else-if counts twice, as its if is counted too.
+BRANCHES = (r"\bif\s*\(", r"\belse\s+if\s*\(", r"\bcase\s+", r"&&|\|\|", r"\b(for|while)\s*\(", r"\?[^?:]+:", r"\bcatch\s*\(")
+# What makes a line harder to follow; the first ones by one and the depth of its braces, the others by one.
+NESTED = (r"\bif\s*\(", r"\belse\s+if\s*\(", r"\b(for|while)\s*\(", r"\bswitch\s*\(", r"\bcatch\s*\(")
+FLAT = (r"\belse\s*\{", r"\b(break|continue)\b")
+#: Lines that a function has for each function that it calls, by that one's number; the last leaves its brace open.
+_LINES = (
+    "if (a && b) {\n{}();\n} else if (c || d) {\n{}(1);\n} else {\n}\n", "for (x) {\nwhile (y) { {}(); }\n}\n", "switch (k) {\ncase 1: break;\ncase 2: continue;\n}\n",
+    "try {\n{}();\n} catch (e) {\n}\n", "v = q ? 1 : {}(2);\n", "if (if(deep)) {\n",
+)
 
 
-@query("x16_cyclomatic_text", f"SELECT page_id, 1 + {_CYCLOMATIC} AS complexity, CASE WHEN {_CYCLOMATIC} < 5 THEN 'low' WHEN {_CYCLOMATIC} < 10 THEN 'fair' WHEN {_CYCLOMATIC} < 20 THEN 'high' ELSE 'very high' END AS band FROM pages")
+def bodies(t):
+    """(id, body): the source of each function, as deep as its size and the functions that it calls ask for."""
+    outs = S.capped(t.calls, "src", "dst", 10, "o").withColumnRenamed("src", "id")
+
+    def called(d):
+        number, out = F.substring(d, 2, 20).cast("long") % len(_LINES), F.lit("")
+        for i, line in enumerate(_LINES):
+            out = F.when(number == i, F.replace(F.lit(line), F.lit("{}"), d)).otherwise(out)
+        return out
+
+    depth = F.col("end_line") % 4
+    inner = F.coalesce(F.array_join(F.transform("o", called), ""), F.lit(""))
+    body = F.concat(F.lit("function "), "id", F.lit("() {\n"), F.repeat(F.lit("if (n) {\n"), depth), inner, F.repeat(F.lit("}\n"), depth), F.lit("}"))
+    return t.functions.join(outs, "id", "left").select("id", body.alias("body"))
+
+
+def cognitive(body):
+    """The weight of a body's lines by the depth of braces that they stand at, in one pass with the depth as its state."""
+
+    def step(s, raw):
+        line = F.trim(raw)
+        opens, shuts = line.rlike(r"\{") & ~line.rlike(r"\}.*\{"), line.rlike(r"\}") & ~line.rlike(r"\{.*\}")
+        depth = s["depth"] + opens.cast("int")
+        depth = F.when(shuts, F.greatest(F.lit(0), depth - 1)).otherwise(depth)
+        weight = s["weight"]
+        for p in NESTED:
+            weight = weight + F.when(line.rlike(p), 1 + depth).otherwise(0)
+        for p in FLAT:
+            weight = weight + line.rlike(p).cast("int")
+        return F.struct(depth.alias("depth"), weight.alias("weight"))
+
+    return F.aggregate(F.split(body, "\n", -1), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("weight")), step)["weight"]
+
+
+_CYCLOMATIC = "1 + " + " + ".join(f"len(regexp_extract_all(body, '{p}'))" for p in BRANCHES)
+_BODIES = ", bodies AS (SELECT f.id, 'function ' || f.id || '() {' || chr(10) || repeat('if (n) {' || chr(10), end_line % 4) || coalesce(array_to_string(list_transform(o.l, lambda d: CASE CAST(substr(d, 2) AS BIGINT) % 6 " + " ".join(f"WHEN {i} THEN replace('{x}', '{{}}', d)" for i, x in enumerate(_LINES)) + " END), ''), '') || repeat('}' || chr(10), end_line % 4) || '}' AS body FROM functions f LEFT JOIN (SELECT src, list_sort(list(dst))[1:10] AS l FROM calls GROUP BY 1) o ON o.src = f.id)"
+
+
+@query("x16_cyclomatic_text", sql(_BODIES + rf""", lines AS (SELECT id, i, trim(line) AS line FROM (SELECT id, unnest(range(len(l))) AS i, unnest(l) AS line FROM (SELECT id, string_split(body, chr(10)) AS l FROM bodies))),
+ steps AS (SELECT *, CAST(regexp_matches(line, '\{{') AND NOT regexp_matches(line, '\}}.*\{{') AS INT) - CAST(regexp_matches(line, '\}}') AND NOT regexp_matches(line, '\{{.*\}}') AS INT) AS d FROM lines),
+ sums AS (SELECT *, sum(d) OVER (PARTITION BY id ORDER BY i) AS s FROM steps),
+ depths AS (SELECT id, line, s - least(0, min(s) OVER (PARTITION BY id ORDER BY i)) AS depth FROM sums),
+ weights AS (SELECT id, sum({" + ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN 1 + depth ELSE 0 END" for p in NESTED)} + {" + ".join(f"CAST(regexp_matches(line, '{p}') AS INT)" for p in FLAT)}) AS cognitive FROM depths GROUP BY id)
+ SELECT id, complexity, CASE WHEN complexity <= 5 THEN 'low' WHEN complexity <= 10 THEN 'fair' WHEN complexity <= 20 THEN 'high' ELSE 'very high' END AS band, CAST(cognitive AS BIGINT) AS cognitive
+ FROM (SELECT id, {_CYCLOMATIC} AS complexity FROM bodies) JOIN weights USING (id)""", "functions", "calls"))
 def x16(t):
     total = F.lit(1)
     for p in BRANCHES:
-        total = total + F.regexp_count("html", F.lit(p))
-    rows = t.pages.select("page_id", total.alias("complexity"))
+        total = total + F.regexp_count("body", F.lit(p))
+    rows = bodies(t).select("id", total.alias("complexity"), cognitive(F.col("body")).cast("long").alias("cognitive"))
     c = F.col("complexity")
     return rows.withColumn("band", F.when(c <= 5, "low").when(c <= 10, "fair").when(c <= 20, "high").otherwise("very high"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators import structure as R
 from ..sources.bindings import sql
 from ..sources.scratch import stored
 from .catalog import query
@@ -190,14 +191,37 @@ def g19(t):
 
 @query("g20_hubs_and_cycles", sql(_DEG + """, imports AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module),
  every AS (SELECT 'call' AS kind, src, dst FROM calls UNION ALL SELECT 'import', src, dst FROM imports),
- walk AS (SELECT kind, src AS start, dst AS node, [src, dst] AS chain FROM every WHERE src < dst
-  UNION ALL SELECT w.kind, start, e.dst, list_append(chain, e.dst) FROM walk w JOIN every e ON e.src = w.node AND e.kind = w.kind WHERE w.node <> start AND len(chain) <= 4 AND e.dst >= start AND (e.dst = start OR NOT list_contains(chain, e.dst)))
- SELECT 'hub' AS kind, id FROM deg WHERE fan_in >= 3 UNION ALL SELECT kind || '_cycle' || (len(chain) - 1), array_to_string(chain[:-2], '>') FROM walk WHERE node = start""", "functions", "calls", recursive=True))
+ r AS (SELECT kind, src, dst FROM every UNION SELECT r.kind, r.src, e.dst FROM r JOIN every e ON e.kind = r.kind AND e.src = r.dst)
+ SELECT 'hub' AS kind, id, NULL AS component FROM deg WHERE fan_in >= 3
+ UNION ALL SELECT a.kind || '_cycle', a.src, least(a.src, min(a.dst)) FROM r a JOIN r b ON a.kind = b.kind AND a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.kind, a.src""", "functions", "calls", recursive=True))
 def g20(t):
-    """Hubs, and the simple cycles of up to four calls or module imports."""
-    hubs = G.degrees(t.calls).where("fan_in >= 3").select(F.lit("hub").alias("kind"), "id")
-    named = lambda kind, rings: rings.select(F.concat(F.lit(kind), "length").alias("kind"), F.array_join("chain", ">").alias("id"))
-    return hubs.unionByName(named("call_cycle", G.cycles(t.calls, 4))).unionByName(named("import_cycle", G.cycles(imports(t), 4)))
+    """Hubs, and the nodes on cycles of any length of calls or module imports, with their strongly connected component."""
+    hubs = G.degrees(t.calls).where("fan_in >= 3").select(F.lit("hub").alias("kind"), "id", F.lit(None).cast("string").alias("component"))
+    named = lambda kind, edges: R.strongly_connected(edges).select(F.lit(kind).alias("kind"), F.col("node").alias("id"), "component")
+    return hubs.unionByName(named("call_cycle", t.calls)).unionByName(named("import_cycle", imports(t)))
+
+
+#: Edges of a path that is still looked for, and SQL that goes on level by level with the least path to each node.
+_MOST = 10
+_LEVELS = "".join(
+    f""", l{k} AS (SELECT * FROM (SELECT start, goal, dst AS node, min(list_append(path, dst)) AS path FROM l{k - 1} JOIN ways ON src = node WHERE node <> goal GROUP BY ALL) n
+      WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.start = n.start AND s.goal = n.goal AND s.node = n.node)),
+ s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM l{k})"""
+    for k in range(1, _MOST + 1)
+)
+
+
+@query("g20_shortest_paths", sql(_DEG + """, hubs AS (SELECT module, arg_min(id, {'f': -fan_in, 'id': id}) AS goal FROM deg JOIN functions USING (id) GROUP BY module),
+ ways AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls),
+ l0 AS (SELECT id AS start, goal, id AS node, [id] AS path FROM functions CROSS JOIN hubs WHERE end_line = 11), s0 AS (SELECT * FROM l0)""" + _LEVELS + f"""
+ SELECT start, goal, len(path) - 1 AS length, array_to_string(path, '>') AS path FROM s{_MOST} WHERE node = goal""", "functions", "calls"))
+def g20p(t):
+    """How a function is connected with the hub of each module, by calls in either direction: the shortest path."""
+    hubs = G.degrees(t.calls).join(t.functions.select("id", "module"), "id").groupBy("module").agg(F.min_by("id", F.struct((-F.col("fan_in")).alias("f"), "id")).alias("goal"))
+    pairs = t.functions.where("end_line = 11").select(F.col("id").alias("start")).crossJoin(F.broadcast(hubs.select("goal")))  # a row for each module type
+    ways = t.calls.select("src", "dst").unionByName(t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    found = R.shortest_paths(ways, pairs, _MOST)
+    return found.select("start", "goal", F.col("length").cast("long").alias("length"), F.array_join("path", ">").alias("path"))
 
 
 @query("g21_confidence_impact", sql(_REVERSE + " SELECT target, node, distance, round(0.9 * power(0.7, distance - 1), 4) AS confidence FROM hit", "functions", "calls", recursive=True))

@@ -82,33 +82,51 @@ def f15(t):
     return scored.select("conv_id", "turn", F.when(F.col("m") == 0, "IMPLEMENT").otherwise(first).alias("intent"), F.col("m").alias("points"))
 
 
-# What stands for a target in a prompt, tried in this order; the third and fourth look at whole words.
+# What stands for a target in a prompt, tried in this order; of the fourth's finds the longest counts, of the others' the
+# first. \w and \b know letters beyond ASCII in some engines only, so accents are folded before the patterns are tried.
 TARGET_PATTERNS = (
-    r"([a-zA-Z_][A-Za-z0-9_]+)\s*(?:함수|클래스|메서드|모듈)(?:를|을|의|에)",
-    r"([a-zA-Z_][A-Za-z0-9_]{2,})\s*(?:에서|에 대한)",
-    r"(?:함수|클래스|메서드|모듈)\s+([a-zA-Z_][A-Za-z0-9_]+)",
-    r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$",
-    r"^[A-Z][a-zA-Z0-9]{2,}$",
-    r"([A-Za-z0-9_]+)\.(?:py|tsx|ts|jsx|js)(?:[^A-Za-z0-9_]|$)",
+    r"(\b[a-zA-Z_]\w+(?:_\w+)*)\s*(?:함수|클래스|메서드|모듈)(?:를|을|의|에)",
+    r"(\b[a-zA-Z_]\w{2,})\s*(?:에서|에 대한)",
+    r"(?:함수|클래스|메서드|모듈)\s+(\b[a-zA-Z_]\w+(?:_\w+)*)",
+    r"\b([a-z][a-z0-9]*(?:_[a-z0-9]+)+)\b",
+    r"\b([A-Z][a-zA-Z0-9]{2,})\b",
+    r"(\w+)\.(py|ts|js|tsx|jsx)\b",
 )
 # Capitalised words that name nothing.
 NO_TARGETS = ("The", "This", "That", "What", "How", "For", "With", "From", "About", "After", "Before", "MANDATORY", "BEFORE", "DEVELOPMENT", "Knowledge", "Skipping")
-_TARGET = ", ".join(f"nullif(regexp_extract(html, '{p}', 1), '')" for p in TARGET_PATTERNS[:3])
+_ACCENTS = ("àâäçèéêëîïíìñóòôöùûüúßÀÂÄÇÈÉÊËÎÏÍÌÑÓÒÔÖÙÛÜÚ", "aaaceeeeiiiinoooouuuusAAACEEEEIIIINOOOOUUUU")
+#: Prompts that name a function, in the ways that the patterns know.
+_ASKED = ("{} 함수를 고쳐줘", "{}에서 오류", "새 함수 {}", "fix {} as x_y", "open {}.py")
 
 
-@query("f16_target_extraction", f"""SELECT page_id, coalesce({_TARGET},
-  (list_sort(list_transform(list_zip(snakes, range(len(snakes))), lambda z: {{'n': -length(z[1]), 'i': z[2], 'x': z[1]}})))[1].x, pascals[1], nullif(regexp_extract(html, '{TARGET_PATTERNS[5]}', 1), ''), 'none') AS target
- FROM (SELECT page_id, html, list_filter(w, lambda x: regexp_matches(x, '{TARGET_PATTERNS[3]}')) AS snakes, list_filter(w, lambda x: regexp_matches(x, '{TARGET_PATTERNS[4]}') AND x NOT IN ({", ".join(f"'{x}'" for x in NO_TARGETS)})) AS pascals
-  FROM (SELECT page_id, html, regexp_extract_all(html, '([A-Za-z0-9_]+)', 1) AS w FROM pages))""")
+def _prompts(t):
+    fold = lambda c: F.translate(c, *_ACCENTS)
+    said = t.conversations.where("role = 'user'").select(F.concat(F.lit("c"), "conv_id", F.lit("."), "turn").alias("id"), fold(F.col("text")).alias("prompt"))
+    items = t.benchmark.select(F.concat(F.lit("b"), "item_id").alias("id"), fold(F.col("text")).alias("prompt"))
+    number = F.substring("id", 2, 20).cast("long") % len(_ASKED)
+    name = F.replace("name", F.lit(" "), F.lit("_"))
+    asked = F.when(number < 0, F.lit(None).cast("string"))
+    for i, form in enumerate(_ASKED):
+        asked = asked.when(number == i, F.format_string(form.replace("{}", "%s"), F.col("id") if i == 4 else name))
+    return said.unionByName(items).unionByName(t.functions.select("id", asked.alias("prompt")))
+
+
+_PROMPTS = f""", prompts AS (SELECT 'c' || conv_id || '.' || turn AS id, translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}') AS prompt FROM conversations WHERE role = 'user'
+ UNION ALL SELECT 'b' || item_id, translate(text, '{_ACCENTS[0]}', '{_ACCENTS[1]}') FROM benchmark
+ UNION ALL SELECT id, CASE CAST(substr(id, 2) AS BIGINT) % 5 """ + " ".join(f"WHEN {i} THEN format('{form}', {'id' if i == 4 else 'replace(name, chr(32), chr(95))'})" for i, form in enumerate(_ASKED)) + " END FROM functions)"
+_FIND = lambda i: f"nullif(regexp_extract(prompt, '{TARGET_PATTERNS[i]}', 1), '')"
+
+
+@query("f16_target_extraction", sql(_PROMPTS + f""" SELECT id, coalesce({_FIND(0)}, {_FIND(1)}, {_FIND(2)},
+  (list_sort(list_transform(list_zip(snakes, range(len(snakes))), lambda z: {{'n': -length(z[1]), 'i': z[2], 'x': z[1]}})))[1].x, pascals[1], {_FIND(5)}, 'none') AS target
+ FROM (SELECT id, prompt, regexp_extract_all(prompt, '{TARGET_PATTERNS[3]}', 1) AS snakes, list_filter(regexp_extract_all(prompt, '{TARGET_PATTERNS[4]}', 1), lambda x: x NOT IN ({", ".join(f"'{x}'" for x in NO_TARGETS)})) AS pascals FROM prompts)""", "functions"))
 def f16(t):
     """The first pattern that finds something: named kinds, the longest word in snake case, the first in capitals, a file."""
-    pick = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
-    words = F.regexp_extract_all("html", F.lit("([A-Za-z0-9_]+)"), 1)
-    rows = t.pages.select("page_id", "html", words.alias("w"))
-    snakes = F.filter("w", lambda x: x.rlike(TARGET_PATTERNS[3]))
-    longest = F.nullif(F.aggregate(snakes, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)), F.lit(""))
-    pascals = F.filter("w", lambda x: x.rlike(TARGET_PATTERNS[4]) & ~x.isin(*NO_TARGETS))
-    return rows.select("page_id", F.coalesce(*map(pick, TARGET_PATTERNS[:3]), longest, F.try_element_at(pascals, F.lit(1)), pick(TARGET_PATTERNS[5]), F.lit("none")).alias("target"))
+    pick = lambda i: F.nullif(F.regexp_extract("prompt", TARGET_PATTERNS[i], 1), F.lit(""))
+    every = lambda i: F.regexp_extract_all("prompt", F.lit(TARGET_PATTERNS[i]), 1)
+    longest = F.nullif(F.aggregate(every(3), F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best)), F.lit(""))
+    pascals = F.filter(every(4), lambda x: ~x.isin(*NO_TARGETS))
+    return _prompts(t).select("id", F.coalesce(pick(0), pick(1), pick(2), longest, F.try_element_at(pascals, F.lit(1)), pick(5), F.lit("none")).alias("target"))
 
 
 # Weights of words that tell a development context.
@@ -143,7 +161,7 @@ def x05(t):
 
 
 # How a rendered context names what it holds.
-CONTEXT_PATTERNS = (r"\[(?:Function|Class|Module|Pattern)\]\s+([A-Za-z0-9_]+)", r"경로:\s*`([^`]+)`", r"##\s+\d+\.\s+\[(?:Function|Class|Module)\]\s+([A-Za-z0-9_]+)", r"호출자?:\s*(.+)")
+CONTEXT_PATTERNS = (r"\[(?:Function|Class|Module|Pattern)\]\s+(\w+)", r"경로:\s*`([^`]+)`", r"##\s+\d+\.\s+\[(?:Function|Class|Module)\]\s+(\w+)", r"호출[자]?:\s*(.+)")
 _RENDER = ", r AS (SELECT f.id, '## 1. [Function] ' || replace(name, ' ', '_') || chr(10) || '경로: `' || namespace || '.' || module || '.' || f.id || '`' || chr(10) || '호출: ' || coalesce(o.l, '') AS text FROM functions f LEFT JOIN (SELECT src, array_to_string(list_sort(list(dst))[1:10], ', ') AS l FROM calls GROUP BY 1) o ON o.src = f.id)"
 
 
@@ -173,10 +191,70 @@ def x08(t):
     return t.events.select("event_id", F.when(zoned, F.unix_timestamp(F.try_to_timestamp(text))).alias("utc_seconds"))
 
 
-@query("x19_parameter_lists", r"SELECT page_id, len(string_split(regexp_replace(regexp_extract(html, '<html ([^>]*)>', 1), '\"[^\"]*\"', '', 'g'), ' ')) AS parameters FROM pages")
+#: What a function's signature holds for itself, by its size, and for each function that it calls, by that one's number.
+_OWN_PARAMETERS = ("", "self", "limit: number = 5, this", "m: Map<A, Map<B, C>>, k")
+_CALLED_PARAMETERS = ("cls", "{}: Record<string, any>", "{}: Array<Map<K, List<V, W>>> = [a]", "{}: int = 10", "{}=None")
+# Parameters that a call doesn't pass.
+_UNPASSED = ("self", "cls", "this")
+
+
+def signatures(t):
+    """(id, args): the parameter list of each function as it is written."""
+    outs = S.capped(t.calls, "src", "dst", 10, "o").withColumnRenamed("src", "id")
+
+    def called(d: Column) -> Column:
+        number, out = F.substring(d, 2, 20).cast("long") % len(_CALLED_PARAMETERS), F.lit(_CALLED_PARAMETERS[0])
+        for i, form in enumerate(_CALLED_PARAMETERS):
+            out = F.when(number == i, F.replace(F.lit(form), F.lit("{}"), d)).otherwise(out)
+        return out
+
+    own = F.element_at(X.strings(_OWN_PARAMETERS), F.col("end_line") % len(_OWN_PARAMETERS) + 1)
+    parts = F.concat(F.array(own), F.coalesce(F.transform("o", called), F.array().cast("array<string>")))
+    return t.functions.join(outs, "id", "left").select("id", F.concat(F.lit("("), F.array_join(F.filter(parts, lambda p: p != ""), ", "), F.lit(")")).alias("args"))
+
+
+def parameters(args: Column) -> Column:
+    """The parameters of a list as (name, type, default). A comma within angle brackets separates nothing: of the pieces between commas,
+    the running number of open brackets tells which belong together."""
+    pieces = F.split(F.btrim(args, F.lit("()")), ",", -1)
+    count = lambda p, c: F.length(p) - F.length(F.replace(p, F.lit(c), F.lit("")))
+
+    def join(s: Column, p: Column) -> Column:
+        depth = s["depth"] + count(p, "<") - count(p, ">")
+        return F.struct(depth.alias("depth"), F.concat(s["text"], p, F.when(depth == 0, F.lit("\n")).otherwise(F.lit(","))).alias("text"))
+
+    whole = F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), join)["text"]
+    parts = F.filter(F.transform(F.split(whole, "\n", -1), lambda p: F.trim(p)), lambda p: (p != "") & ~p.isin(*_UNPASSED))
+
+    def parsed(p: Column) -> Column:
+        colon = F.instr(p, ":") > 0
+        rest = F.when(colon, F.regexp_extract(p, "^[^:]*:(.*)$", 1)).otherwise(p)
+        equals = F.instr(rest, "=") > 0
+        head = F.trim(F.regexp_extract(rest, "^([^=]*)", 1))
+        return F.struct(
+            F.trim(F.regexp_extract(p, "^([^:=]*)", 1)).alias("name"), F.when(colon, head).otherwise("").alias("type"), F.when(equals, F.trim(F.regexp_extract(rest, "^[^=]*=(.*)$", 1))).alias("default")
+        )
+
+    return F.transform(parts, parsed)
+
+
+_SIGNATURES = ", signatures AS (SELECT f.id, array_to_string(list_filter(list_concat([CASE end_line % 4 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_OWN_PARAMETERS)) + " END], coalesce(list_transform(o.l, lambda d: CASE CAST(substr(d, 2) AS BIGINT) % 5 " + " ".join(f"WHEN {i} THEN replace('{x}', '{{}}', d)" for i, x in enumerate(_CALLED_PARAMETERS)) + " END), [])), lambda p: p <> ''), ', ') AS args FROM functions f LEFT JOIN (SELECT src, list_sort(list(dst))[1:10] AS l FROM calls GROUP BY 1) o ON o.src = f.id)"
+
+
+@query("x19_parameter_lists", sql(_SIGNATURES + f""", pieces AS (SELECT id, i, p, sum(length(p) - length(replace(p, '<', '')) - length(p) + length(replace(p, '>', ''))) OVER w AS depth FROM (SELECT id, unnest(range(len(l))) AS i, unnest(l) AS p FROM (SELECT id, string_split(args, ',') AS l FROM signatures)) WINDOW w AS (PARTITION BY id ORDER BY i)),
+ grouped AS (SELECT *, count(*) FILTER (WHERE depth = 0) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM pieces),
+ parts AS (SELECT id, g, trim(string_agg(p, ',' ORDER BY i)) AS p FROM grouped GROUP BY id, g),
+ parsed AS (SELECT id, g, trim(regexp_extract(p, '^([^:=]*)', 1)) AS name, CASE WHEN contains(p, ':') THEN trim(regexp_extract(p, '^[^:]*:([^=]*)', 1)) ELSE '' END AS type,
+  CASE WHEN contains(p, ':') THEN CASE WHEN contains(regexp_extract(p, '^[^:]*:(.*)$', 1), '=') THEN trim(regexp_extract(p, '^[^:]*:[^=]*=(.*)$', 1)) END WHEN contains(p, '=') THEN trim(regexp_extract(p, '^[^=]*=(.*)$', 1)) END AS preset
+  FROM parts WHERE p NOT IN ('', {", ".join(f"'{x}'" for x in _UNPASSED)}))
+ SELECT s.id, count(g) AS parameters, count(g) FILTER (WHERE type <> '') AS typed, count(preset) AS preset, coalesce(string_agg(name || ':' || type, ';' ORDER BY g), '') AS names FROM signatures s LEFT JOIN parsed p USING (id) GROUP BY s.id""", "functions", "calls"))
 def x19(t):
-    inside = F.regexp_replace(F.regexp_extract("html", "<html ([^>]*)>", 1), '"[^"]*"', "")
-    return t.pages.select("page_id", F.size(F.split(inside, " ", -1)).alias("parameters"))
+    rows = signatures(t).select("id", parameters(F.col("args")).alias("p"))
+    size = lambda keep: F.size(F.filter("p", keep)).cast("long")
+    return rows.select(
+        "id", F.size("p").cast("long").alias("parameters"), size(lambda p: p["type"] != "").alias("typed"), size(lambda p: p["default"].isNotNull()).alias("preset"),
+        F.array_join(F.transform("p", lambda p: F.concat(p["name"], F.lit(":"), p["type"])), ";").alias("names"),
+    )
 
 
 @query("x21_response_parsing", "SELECT event_id, least(5, greatest(1, k)) AS score FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import analytics as A
+from ..operators import evidence as E
 from ..operators import graph as G
 from ..operators import learning as L
 from ..operators import search as S
@@ -31,15 +32,19 @@ def p05(t):
     return t.nodes.select("name", "label", "id", F.explode(hits)).groupBy("name", "label").agg(F.min("id").alias("id"), F.count("*").alias("hits"))
 
 
-def hybrid_search(t, word: str, like: int, limit: int = 20, weight: float = 0.6):
-    """Keyword and vector results fused by rank, the best row of each name with alternatives, and hotspot warnings.
+def nearest(t, like: int, limit: int):
+    """(id, score) of the functions whose vectors are nearest to that of number ``like``; ``limit`` rows, written once for all who use them."""
+    q = t.embeddings.where(F.col("vec_id") == like).select(F.col("embedding").alias("q"))
+    return stored(S.vector_search(t.embeddings, q, "vec_id", "embedding", limit, 0.0).select(F.concat(F.lit("p"), "vec_id").alias("id"), "score"))
+
+
+def hybrid_search(t, word: str, near, limit: int = 20, weight: float = 0.6):
+    """Keyword and vector results (``nearest``) fused by rank, the best row of each name with alternatives, and hotspot warnings.
 
     Vectors stand for functions of the same number; both lists are limited before they are ranked and joined.
     """
     found = S.keyword_search(t.functions, word, ["name"]).groupBy("name").agg(F.max("score").alias("score"), F.count("*").alias("n"))
     keyword = S.with_rank(found.orderBy(F.desc("score"), F.desc("n"), "name").limit(limit), F.desc("score"), F.desc("n"), "name")
-    q = t.embeddings.where(F.col("vec_id") == like).select(F.col("embedding").alias("q"))
-    near = S.vector_search(t.embeddings, q, "vec_id", "embedding", limit, 0.0).select(F.concat(F.lit("p"), "vec_id").alias("id"), "score")
     named = t.functions.select("id", "name").join(F.broadcast(near), "id").groupBy("name").agg(F.max("score").alias("score"))  # at most `limit` rows
     vector = S.with_rank(named, F.desc("score"), "name")
     return S.fuse(keyword, vector, weight, digits=6).orderBy(F.desc("rrf"), "name").limit(limit)
@@ -55,53 +60,54 @@ f AS (SELECT coalesce(k.name, v.name) AS name, round_even(coalesce(0.4 / (20 + k
 
 @query("p06_hybrid_search", sql(_HYBRID + " SELECT name, rrf FROM f ORDER BY rrf DESC, name LIMIT 20", "functions"))
 def p06(t):
-    return hybrid_search(t, "plate", 3).select("name", "rrf")
+    return hybrid_search(t, "plate", nearest(t, 3, 20)).select("name", "rrf")
 
 
-#: What a result list talks about: words its names have, and words that no guardrail has but whose context a keyword names.
-_CONTEXTS = {"seen": ("license", "warranties"), "unseen": ("zzqx", "zzqy")}
+#: The names in two result lists: words that guardrails have, and words that none has, beside one guardrails' keyword.
+_CONTEXTS = {"seen": "license the", "unseen": "src3 zzqx"}
 _GUARD = """SELECT doc_id, ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM
  (SELECT doc_id, len(w) AS dl, len(list_filter(w, lambda x: x = '{0}')) AS f0, len(list_filter(w, lambda x: x = '{1}')) AS f1 FROM w),
  (SELECT count(*) AS n, avg(len(w)) AS avgdl, count(*) FILTER (WHERE list_contains(w, '{0}')) AS d0, count(*) FILTER (WHERE list_contains(w, '{1}')) AS d1 FROM w) WHERE f0 + f1 > 0"""
 
 
 @query("p07_guardrails", "WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1) AS w FROM documents), "
-    + ", ".join(f"{k} AS (SELECT '{k}' AS context, doc_id, 'fulltext' AS mode, score FROM ({_GUARD.format(*words)}) WHERE score > 0.5 ORDER BY round(score, 9) DESC, doc_id LIMIT 2)" for k, words in _CONTEXTS.items())
-    + ", found AS (SELECT context, doc_id, mode FROM seen UNION ALL SELECT context, doc_id, mode FROM unseen), fallback AS (SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'warranties') ORDER BY doc_id LIMIT 2)"
-    + " SELECT * FROM found UNION ALL SELECT c.context, doc_id, 'keyword' FROM fallback, (VALUES ('seen'), ('unseen')) c(context) WHERE c.context NOT IN (SELECT context FROM found)")
+    + ", ".join(f"{k} AS (SELECT '{k}' AS context, doc_id, 'fulltext' AS mode, score FROM ({_GUARD.format(*words.split())}) WHERE score > 0.5 ORDER BY round(score, 9) DESC, doc_id LIMIT 2)" for k, words in _CONTEXTS.items())
+    + ", found AS (SELECT context, doc_id, mode FROM seen UNION ALL SELECT context, doc_id, mode FROM unseen), c AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{words}')" for k, words in _CONTEXTS.items()) + ") v(context, names))"
+    + ", fallback AS (SELECT context, doc_id, row_number() OVER (PARTITION BY context ORDER BY doc_id) AS rn FROM c JOIN documents ON contains(names, lower(source)) WHERE context NOT IN (SELECT context FROM found))"
+    + " SELECT * FROM found UNION ALL SELECT context, doc_id, 'keyword' FROM fallback WHERE rn <= 2")
 def p07(t):
-    """At most two of the three best guardrails by full text with a score above 0.5; a context without any gets those
-    that a keyword names."""
-    found = None
-    for context, words in _CONTEXTS.items():
-        hits = S.bm25(t.documents, words, "doc_id", "text").where("bm25 > 0.5").orderBy(F.desc(F.round("bm25", 9)), "doc_id").limit(3).limit(2)
-        rows = hits.select(F.lit(context).alias("context"), "doc_id", F.lit("fulltext").alias("mode"))
-        found = rows if found is None else found.unionByName(rows)
-    found = stored(found)  # two rows a context
-    named = t.documents.where(X.any_keyword(F.col("text"), ["warranties"])).orderBy("doc_id").limit(2)
-    contexts = named.select(F.explode(X.strings(list(_CONTEXTS))).alias("context"), "doc_id", F.lit("keyword").alias("mode"))
-    return found.unionByName(contexts.join(F.broadcast(found.select("context").distinct()), "context", "left_anti"))
-
-
-_RAG = _HYBRID.replace("LIMIT 20", "LIMIT 30") + """, h AS (SELECT name, row_number() OVER (ORDER BY rrf DESC, name) AS pos FROM (SELECT * FROM f ORDER BY rrf DESC, name LIMIT 15)),
+    """The two best guardrails of each context by full text, with a score above 0.5; a context without any gets two of
+    those whose keyword, here their source, its names contain. All contexts are one search of the index."""
+    found = stored(t.fulltext.search({k: words.split() for k, words in _CONTEXTS.items()}, 2).where("score > 0.5").select(F.col("query").alias("context"), F.col("key").alias("doc_id"), F.lit("fulltext").alias("mode")))
+    have = {r.context for r in found.select("context").distinct().collect()}  # one row a context
+    for context, names in _CONTEXTS.items():
+        if context not in have:
+            named = t.documents.where(F.contains(F.lit(names), F.lower("source"))).orderBy("doc_id").limit(2)
+            found = found.unionByName(named.select(F.lit(context).alias("context"), "doc_id", F.lit("keyword").alias("mode")))
+    return found
+
+
+#: A prompt about the whole rests on keywords: the weight of vectors in its fusion.
+_WHOLE = 0.2
+_RAG = _HYBRID.replace("LIMIT 20", "LIMIT 30").replace("0.4 / (20", f"{1 - _WHOLE} / (20").replace("0.6 / (20", f"{_WHOLE} / (20") + """, h AS (SELECT name, row_number() OVER (ORDER BY rrf DESC, name) AS pos FROM (SELECT * FROM f ORDER BY rrf DESC, name LIMIT 15)),
 s AS (SELECT functions.name, max(nn.score) AS score FROM (SELECT * FROM nn WHERE score >= 0.5 ORDER BY score DESC, id LIMIT 10) nn JOIN functions USING (id) GROUP BY 1),
 u AS (SELECT coalesce(h.name, s.name) AS name, h.name IS NOT NULL AS hybrid, round(s.score, 6) AS similarity, row_number() OVER (ORDER BY h.pos IS NULL, h.pos, s.score DESC, s.name) AS pos FROM h FULL JOIN s ON h.name = s.name),
 c AS (SELECT name, hybrid, similarity, pos, sum((length('[Function:' || name || ']') + 40) // 3) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM u)
-SELECT '[Function:' || name || ']' AS citation, CASE WHEN hybrid THEN 'hybrid' ELSE 'vector' END AS mode, similarity, CAST(used AS BIGINT) AS used FROM c WHERE used <= 300"""
+SELECT '[Function:' || name || ']' AS citation, CASE WHEN hybrid THEN 'hybrid' ELSE 'vector' END AS mode, similarity, CAST(used AS BIGINT) AS used FROM c WHERE used <= 400"""
 
 
 @query("p08_rag_context", sql(_RAG, "functions"))
 def p08(t):
     """Hybrid search (15) with vector search (10, similarity 0.5 or more): the first of a name wins and takes the other's
-    similarity over; the context ends where its token budget does, and each item in it is a citation."""
-    hybrid = S.with_rank(hybrid_search(t, "plate", 3, 30).select("name", "rrf").orderBy(F.desc("rrf"), "name").limit(15), F.desc("rrf"), "name", rank="pos")
-    q = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("q"))
-    best = S.vector_search(t.embeddings, q, "vec_id", "embedding", 30, 0.5).select(F.concat(F.lit("p"), "vec_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(10)
+    similarity over; the context ends where its token budget does, and each item in it is a citation. Vectors are searched once."""
+    close = nearest(t, 3, 30)
+    hybrid = S.with_rank(hybrid_search(t, "plate", close, 30, _WHOLE).select("name", "rrf").orderBy(F.desc("rrf"), "name").limit(15), F.desc("rrf"), "name", rank="pos")
+    best = close.where("score >= 0.5").orderBy(F.desc("score"), "id").limit(10)
     near = t.functions.select("id", "name").join(F.broadcast(best), "id").groupBy("name").agg(F.max("score").alias("score"))  # 10 rows
     merged = hybrid.join(near, "name", "full_outer").withColumn("late", F.col("pos").isNull())
     item = F.concat(F.lit("[Function:"), "name", F.lit("]"))
     costed = merged.select("late", "pos", "score", "name", item.alias("citation"), F.floor((F.length(item) + 40) / 3).alias("cost"), F.lit(1).alias("one"))
-    fits = Z.budget_prefix(costed, "one", "cost", 300, "late", "pos", F.desc("score"), "name")  # 25 rows at most
+    fits = Z.budget_prefix(costed, "one", "cost", 400, "late", "pos", F.desc("score"), "name")  # 25 rows at most
     return fits.select("citation", F.when(F.col("late"), "vector").otherwise("hybrid").alias("mode"), F.round("score", 6).alias("similarity"), "used")
 
 
@@ -225,17 +231,56 @@ def p22(t):
     return t.orders.crossJoin(asof).groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") != "F").alias("active"), F.count_if(old).alias("purged"))
 
 
-@query("p23_evidence_bundle", sql(""", s AS (SELECT priority, year(requested_at) AS revision, status, count(*) AS n, min(job_id) AS a, max(job_id) AS b, CAST(sum(job_id) AS BIGINT) AS total FROM jobs GROUP BY ALL),
- h AS (SELECT *, sha256(status || ':' || n || ':' || a || ':' || b || ':' || total) AS digest FROM s),
- g AS (SELECT priority, revision, count(*) AS stages, CAST(sum(n) AS BIGINT) AS jobs, CASE max(CASE status WHEN 'succeeded' THEN 1 WHEN 'running' THEN 2 ELSE 3 END) WHEN 1 THEN 'succeeded' WHEN 2 THEN 'running' ELSE 'queued' END AS worst, sha256(string_agg(digest, ',' ORDER BY status)) AS digest FROM h GROUP BY ALL)
- SELECT *, lag(digest) OVER (PARTITION BY priority ORDER BY revision) AS before FROM g""", "jobs"))
+def _tree_sql(name: str, source: str, group: str, key: str, content: list[str]) -> str:
+    """A tree as ``operators.evidence`` makes it, with a fixed number of levels."""
+    fields = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in content)
+    word = lambda at: f"CAST(sum(CAST(CAST('0x' || substr(h, {at}, 16) AS UBIGINT) AS HUGEINT)) % 18446744073709551616 AS VARCHAR)"
+    parts = [
+        f"{name}_h AS (SELECT {group}, {key} // {E.WIDTH} AS place, sha256({fields}) AS h FROM {source})",
+        f"{name}_0 AS (SELECT {group}, place, count(*) AS rows, sha256(count(*) || ':' || {word(1)} || ':' || {word(17)}) AS digest FROM {name}_h GROUP BY {group}, place)",
+    ]
+    for k in range(E.LEVELS):
+        parts.append(f"{name}_{k + 1} AS (SELECT {group}, place // {E.FANOUT} AS place, CAST(sum(rows) AS BIGINT) AS rows, sha256(string_agg((place % {E.FANOUT}) || ':' || digest, ',' ORDER BY place)) AS digest FROM {name}_{k} GROUP BY {group}, place // {E.FANOUT})")
+    return ", ".join(parts)
+
+
+_CONTENT = ["job_id", "owner", "status", "priority", "cents"]
+_JOBS = "c AS (SELECT job_id, owner, status, priority, CAST(round(cost * 100) AS BIGINT) AS cents, year(requested_at) AS revision FROM jobs)"
+
+
+def _jobs(t):
+    """The jobs with their cost in whole cents, which prints alike everywhere, and the year of their request."""
+    return t.jobs.select("job_id", "owner", "status", "priority", F.round(F.col("cost") * 100).cast("long").alias("cents"), F.year("requested_at").alias("revision"))
+
+
+@query("p23_evidence_bundle", sql(", " + _JOBS + """, s AS (SELECT owner, revision, status, count(*) AS n FROM c GROUP BY ALL),
+ g AS (SELECT owner, revision, count(*) AS stages, CAST(sum(n) AS BIGINT) AS jobs, CASE max(CASE status WHEN 'succeeded' THEN 1 WHEN 'running' THEN 2 ELSE 3 END) WHEN 1 THEN 'succeeded' WHEN 2 THEN 'running' ELSE 'queued' END AS worst FROM s GROUP BY ALL), """
+ + _tree_sql("t", "c", "owner, revision", "job_id", _CONTENT) + f" SELECT g.*, t.digest, lag(t.digest) OVER (PARTITION BY g.owner ORDER BY g.revision) AS before FROM g JOIN t_{E.LEVELS} t USING (owner, revision)", "jobs"))
 def p23(t):
-    """A bundle for each priority and year: the hashes of its stages' contents, their summary, and the bundle before it."""
-    stages = t.jobs.groupBy("priority", F.year("requested_at").alias("revision"), "status").agg(F.count("*").alias("n"), F.min("job_id").alias("a"), F.max("job_id").alias("b"), F.sum("job_id").alias("total"))
-    hashed = stages.withColumn("digest", F.sha2(F.concat_ws(":", "status", "n", "a", "b", "total"), 256))
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("status", "digest"))), lambda x: x["digest"]), ",")  # one of each status
-    bundles = hashed.groupBy("priority", "revision").agg(F.count("*").alias("stages"), F.sum("n").alias("jobs"), A.worst(F.col("status"), ["succeeded", "running", "queued"]).alias("worst"), F.sha2(parts, 256).alias("digest"))
-    return bundles.withColumn("before", F.lag("digest").over(Window.partitionBy("priority").orderBy("revision")))
+    """A bundle for each owner and year: its stages and jobs, the worst of their states, the root of a tree over the content of its jobs, and
+    the root of the bundle before it."""
+    jobs = _jobs(t)
+    stages = jobs.groupBy("owner", "revision", "status").agg(F.count("*").alias("n"))
+    bundles = stages.groupBy("owner", "revision").agg(F.count("*").alias("stages"), F.sum("n").alias("jobs"), A.worst(F.col("status"), ["succeeded", "running", "queued"]).alias("worst"))
+    found = bundles.join(E.roots(E.tree(jobs, ["owner", "revision"], "job_id", _CONTENT), ["owner", "revision"]).drop("rows"), ["owner", "revision"])
+    return found.withColumn("before", F.lag("digest").over(Window.partitionBy("owner").orderBy("revision")))
+
+
+#: The jobs a day later: some have ended, one in a while was withdrawn, and some are new.
+_LATER = """l AS (SELECT job_id, owner, CASE WHEN job_id % 89 = 0 THEN 'succeeded' ELSE status END AS status, priority, cents FROM c WHERE job_id % 1009 <> 5
+ UNION ALL SELECT job_id + 10000000, owner, 'queued', priority, cents FROM c WHERE job_id % 997 = 1)"""
+
+
+@query("p23_evidence_diff", sql(", " + _JOBS + ", " + _LATER + ", " + _tree_sql("a", "c", "priority", "job_id", _CONTENT) + ", " + _tree_sql("b", "l", "priority", "job_id", _CONTENT)
+ + f" SELECT priority, place * {E.WIDTH} AS first, place * {E.WIDTH} + {E.WIDTH - 1} AS last, coalesce(a.rows, 0) AS old_rows, coalesce(b.rows, 0) AS new_rows FROM a_0 a FULL JOIN b_0 b USING (priority, place) WHERE a.digest IS DISTINCT FROM b.digest", "jobs"))
+def p23d(t):
+    """Two revisions of the jobs compared by their trees: the ranges of jobs in which anything changed."""
+    old = _jobs(t)
+    ended = F.when(F.col("job_id") % 89 == 0, "succeeded").otherwise(F.col("status"))
+    new = old.where("job_id % 1009 <> 5").withColumn("status", ended)
+    more = old.where("job_id % 997 = 1").withColumn("job_id", F.col("job_id") + 10_000_000).withColumn("status", F.lit("queued"))
+    trees = [E.tree(x, ["priority"], "job_id", _CONTENT) for x in (old, new.unionByName(more))]
+    return E.differing(*trees, ["priority"])
 
 
 @query("p24_staleness", sql(" SELECT owner, max(requested_at) + INTERVAL 1 SECOND < (SELECT max(requested_at) FROM jobs) AS stale FROM jobs GROUP BY owner", "jobs"))

@@ -34,7 +34,7 @@ FROM c, s WHERE f0 > 0 OR f1 > 0
 
 @query("s03_fulltext_scan", _BM25)
 def s03(t):
-    return S.bm25(t.documents, ["the", "license"], "doc_id", "text").select("doc_id", F.round("bm25", 4).alias("score"))
+    return t.fulltext.scores(["the", "license"]).select(F.col("key").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 _COSINE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: CAST(z[1] AS DOUBLE) * z[2])) / (sqrt(list_sum(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) * x))) * sqrt(list_sum(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) * x))))"
@@ -142,7 +142,7 @@ def f05(t):
 
 @query("f06_scored_fulltext", f"SELECT doc_id, round(score * 10 + CASE WHEN lower(source) = 'src1' THEN 100 WHEN starts_with(lower(source), 'src1') THEN 80 WHEN contains(lower(source), 'src1') THEN 60 ELSE 0 END, 3) AS score FROM ({_BM25}) JOIN documents USING (doc_id)")
 def f06(t):
-    hits = S.bm25(t.documents, ["the", "license"], "doc_id", "text", ["source"]).withColumn("bm25", F.round("bm25", 4))
+    hits = t.fulltext.scores(["the", "license"]).select(F.col("key").alias("doc_id"), F.round("score", 4).alias("bm25")).join(t.documents.select("doc_id", "source"), "doc_id")
     return hits.select("doc_id", F.round(F.col("bm25") * 10 + X.match_tier(F.col("source"), "src1", 0), 3).alias("score"))
 
 

@@ -10,6 +10,7 @@ from ..operators import analytics as A
 from ..operators import learning as L
 from ..operators import search as S
 from ..operators import state as Z
+from ..operators import structure as R
 from ..sources.bindings import sql
 from .catalog import query
 
@@ -425,9 +426,7 @@ SELECT user_id, arg_max(n, rn) AS accepted FROM f GROUP BY user_id"""
 
 @query("v05_repeat_suppression", _SUPPRESSED)
 def v05(t):
-    # repeats within a second change nothing, so a busy user's log shrinks before it is sorted
-    times = t.events.select("user_id", F.unix_timestamp("ts").alias("at")).distinct()
-    return Z.ordered_fold(times, "user_id", ["at"], (0, 0), Z.suppression(86400), "last long, accepted long").select("user_id", "accepted")
+    return R.steps_from_first(t.events.select("user_id", F.unix_timestamp("ts").alias("at")), "user_id", "at", 86400)
 
 
 #: The log as (user_id, at, event_id, action): kinds of events stand for actions, a user for a job or reminder.

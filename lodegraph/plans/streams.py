@@ -43,11 +43,43 @@ def v07s(t):
     return R.drained(log, R.incremental_upsert(log.stream, "user_id"), ["user_id"])
 
 
-@query("v08_polling_cursor", f"WITH {_ARRIVED} SELECT event_type, max(event_id) AS cursor, count(*) AS handled, CAST(sum(CASE WHEN part % 2 = 1 THEN 2 ELSE 1 END) AS BIGINT) AS deliveries FROM a GROUP BY event_type")
+@query("v08_polling_cursor", f"WITH {_ARRIVED}, p AS (SELECT *, row_number() OVER (ORDER BY part, event_id) - 1 AS seq FROM a) SELECT event_type, max(seq) AS cursor, max(event_id) AS newest, count(*) AS handled FROM p GROUP BY event_type")
 def v08s(t):
     return R.polled(R.Arrivals(t), "event_type", "event_id")
 
 
+#: Events that aren't late, in order, and ``last``: the watermark when all parts have come, up to which the timers act.
+_TIMELY = f"{_ARRIVED}, w AS (SELECT epoch_us(date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY) AS last FROM events), k AS (SELECT *, epoch_us(ts) AS s FROM a, w WHERE mark IS NULL OR ts > mark)"
+
+
+@query("v04_stream_debounce", f"WITH {_TIMELY}, n AS (SELECT user_id, event_id, s, last, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) AS following FROM k WHERE s < last) SELECT user_id, event_id FROM n WHERE s + 60000001 <= last AND (following IS NULL OR following - s > 60000000)")
+def v04s(t):
+    """The last event of each run, told by a timer once the user was quiet for a minute."""
+    log = R.Arrivals(t)
+    with R.state_in_rocksdb(t.spark):
+        return R.drained(log, R.debounced(log.stream, _DELAY), ["user_id", "event_id"])
+
+
+@query("v09_stream_leases", f"""WITH RECURSIVE {_TIMELY}, q AS (SELECT user_id, event_type AS k, s, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS rn FROM k WHERE s < last),
+f AS (SELECT user_id, 0::BIGINT AS rn, 'queued' AS status, -1::BIGINT AS holder, 0::BIGINT AS until, 0 AS attempts, 0 AS expired, 0 AS refused FROM (SELECT DISTINCT user_id FROM k)
+UNION ALL SELECT user_id, rn2,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') THEN 'queued' WHEN k = 'click' AND may THEN 'running' WHEN k = 'purchase' AND held THEN 'succeeded' WHEN k = 'error' AND held THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE status END,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') OR k IN ('purchase', 'error') AND held THEN -1 WHEN k = 'click' AND may THEN id % 3 ELSE holder END,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') OR k = 'purchase' AND held THEN s WHEN k = 'click' AND may OR k = 'view' AND held THEN s + 43200000000 WHEN k = 'error' AND held THEN CASE WHEN attempts < 3 THEN s + 10800000000 ELSE s END ELSE until END,
+ CASE WHEN k = 'signup' AND status IN ('succeeded', 'failed') THEN 0 WHEN k = 'click' AND may THEN attempts + 1 ELSE attempts END, expired,
+ CASE WHEN k IN ('view', 'purchase', 'error') AND NOT held THEN refused + 1 ELSE refused END
+ FROM (SELECT *, status = 'queued' AND until <= s AS may, status = 'running' AND holder = id % 3 AS held
+  FROM (SELECT f.user_id, e.rn AS rn2, k, s, id, attempts, refused, until, expired + CAST(ended AS INT) AS expired, CASE WHEN ended THEN 'queued' ELSE status END AS status, CASE WHEN ended THEN -1 ELSE holder END AS holder
+   FROM (SELECT f.*, e.rn AS at_rn, status = 'running' AND until <= e.s AS ended FROM f JOIN q e ON e.user_id = f.user_id AND e.rn = f.rn + 1) f JOIN q e ON e.user_id = f.user_id AND e.rn = f.at_rn)))
+SELECT user_id, CASE WHEN ended THEN 'queued' ELSE status END AS status, attempts::BIGINT AS attempts, (expired + CAST(ended AS INT))::BIGINT AS expired, refused::BIGINT AS refused
+FROM (SELECT f.*, status = 'running' AND until <= last AS ended FROM f, w) JOIN (SELECT user_id, max(rn) AS rn FROM f GROUP BY user_id) USING (user_id, rn)""")
+def v09s(t):
+    """The work queue as a stream: a lease that ends is acted on by a timer, whether an event of its job follows or not."""
+    log = R.Arrivals(t)
+    with R.state_in_rocksdb(t.spark):
+        return R.drained(log, R.leases(log.stream, _DELAY), ["user_id"])
+
+
 @query("v17_watermarked_counts", _late_counts("DAY"))
 def v17s(t):
     return _counts(t, "1 day")

@@ -11,6 +11,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.fulltext import FullText, index_of
+from .scratch import folder
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -84,6 +87,11 @@ class Tables:
             F.col("o_orderdate").alias("requested_at"), F.col("o_totalprice").alias("cost"),
         )
 
+    @cached_property
+    def fulltext(self) -> FullText:
+        """The application's index of the documents' texts."""
+        return index_of(self.spark, self.documents, "doc_id", "text", folder)
+
     @cached_property
     def turns(self) -> DataFrame:
         """conv_id, turn, role, text, intent: the first word's first letter class stands for a turn's intent."""

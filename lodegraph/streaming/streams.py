@@ -8,16 +8,18 @@ row of each key is the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.errors import StreamingQueryException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.state import suppression
+from ..operators.state import queue_step, suppression
+from ..sources import event_log
 from ..sources.bindings import Tables
 from ..sources.scratch import folder
 
@@ -36,14 +38,17 @@ class Arrivals:
     """The events as a file stream whose files are appended part by part; ``ts`` is an instant."""
 
     def __init__(self, t: Tables):
-        self.events, self.path = t.events, f"{folder(t.spark)}/arrivals"
+        self.spark, self.events, self.path = t.spark, t.events, f"{folder(t.spark)}/arrivals"
         # an empty append makes the folder that the stream watches
         self.events.limit(0).write.parquet(self.path)
         stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1_000_000).parquet(self.path)
         self.stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
+    def part(self, part: int) -> DataFrame:
+        return self.events.where(arrival() == part)
+
     def append(self, part: int) -> None:
-        self.events.where(arrival() == part).write.mode("append").parquet(self.path)
+        self.part(part).write.mode("append").parquet(self.path)
 
 
 def drained(log: Arrivals, stream: DataFrame, keys: Sequence[str], mode: str = "update") -> DataFrame:
@@ -55,8 +60,7 @@ def drained(log: Arrivals, stream: DataFrame, keys: Sequence[str], mode: str = "
 
     for part in range(ARRIVALS):
         log.append(part)
-        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
-        running.awaitTermination()
+        consumed(stream, keep, f"{base}/checkpoint", mode)
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
     columns = [c for c in stream.columns if c not in keys]
     if not columns:
@@ -64,35 +68,142 @@ def drained(log: Arrivals, stream: DataFrame, keys: Sequence[str], mode: str = "
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("row")).select(*keys, "row.*")
 
 
-def polled(log: Arrivals, group: str, value: str) -> DataFrame:
-    """(group, cursor, handled, deliveries): a consumer that saves its offset after a batch, so that a batch is handled at least once.
+def consumed(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Hand all that the stream has to ``handle(rows, batch)``, from the offset in ``checkpoint`` on; a batch's offset is saved after it is
+    handled, so a batch whose handling failed comes again, with the same rows and number, when this runs anew. Errors are raised."""
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
 
-    Every second batch fails after its rows are handled and before its offset is saved; the query starts again from the
-    checkpoint and the batch comes anew. What is delivered twice is seen in ``deliveries``, while ``handled`` counts each once.
-    """
-    spark, base = log.stream.sparkSession, folder(log.stream.sparkSession)
-    failed: set[int] = set()
+
+def polled(log: Arrivals, group: str, value: str) -> DataFrame:
+    """(group, cursor, newest, handled) of a consumer that reads the log by positions: the last position and greatest value handled,
+    and how many rows. A batch's rows are written under its number, so one that comes again replaces itself."""
+    spark, base = log.spark, folder(log.spark)
+    path = f"{base}/log"
+    wanted = T.StructType([log.events.schema[group], log.events.schema[value]])
+    kinds = T.StructType([*wanted.fields, T.StructField("seq", T.LongType()), T.StructField("batch", T.IntegerType())])
 
     def handle(rows: DataFrame, number: int) -> None:
-        again = int(number in failed)
-        rows.select(group, value).write.mode("overwrite").parquet(f"{base}/rows/batch={number}/attempt={again}")
-        if number % 2 and not again:
-            failed.add(number)
-            raise RuntimeError("the consumer fails before it saves its offset")
+        rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
     for part in range(ARRIVALS):
-        log.append(part)
-        for _ in range(2):
-            running = log.stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").foreachBatch(handle).trigger(availableNow=True).start()
-            try:
-                running.awaitTermination()
-                break
-            except StreamingQueryException:
-                if not failed:
-                    raise
-    kinds = [log.stream.schema[group], log.stream.schema[value], T.StructField("batch", T.IntegerType()), T.StructField("attempt", T.IntegerType())]
-    rows = spark.read.schema(T.StructType(kinds)).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
-    return rows.groupBy(group).agg(F.max(value).alias("cursor"), F.countDistinct(value).alias("handled"), F.count("*").alias("deliveries"))
+        event_log.append(log.part(part).select(group, value), path, [value])
+        consumed(event_log.stream(spark, path, wanted), handle, f"{base}/checkpoint")
+    rows = spark.read.schema(kinds).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
+    return rows.groupBy(group).agg(F.max("seq").alias("cursor"), F.max(value).alias("newest"), F.count("*").alias("handled"))
+
+
+class TimedFold(StatefulProcessor):
+    """A fold over each key's events in the order of their times that also acts when nothing arrives.
+
+    Events wait until the watermark has passed them, then no earlier one can come. ``step(state, *event)`` takes an event in; where
+    ``due(state)`` names a time, ``lapse(state)`` is what becomes of the state then, before any event at or after it: a timer
+    sees to it if none comes. Both return (state, row or None). With ``shown`` a row of the state follows each change.
+    """
+
+    def __init__(self, kinds: str, event: str, rows: str, start: tuple, step, due, lapse, shown=None):
+        self.kinds, self.event, self.start = kinds, event, start
+        self.names, self.columns = ([x.split()[0] for x in y.split(", ")] for y in (rows, event))
+        self.step, self.due, self.lapse, self.shown = step, due, lapse, shown
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state, self.waiting = handle.getValueState("state", self.kinds), handle.getListState("waiting", self.event)
+
+    def _advance(self, key: tuple, arrived: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
+        before = state = tuple(self.state.get()) if self.state.exists() else self.start
+        events = sorted([*(tuple(x) for x in self.waiting.get()), *arrived])
+        rows, rest = [], [e for e in events if e[0] >= mark]
+        for e in [*(e for e in events if e[0] < mark), None]:
+            at = self.due(state)
+            if at is not None and at <= (mark if e is None else e[0]):
+                state, row = self.lapse(state)
+                rows += [row] if row else []
+            if e is not None:
+                state, row = self.step(state, *e)
+                rows += [row] if row else []
+        self.state.update(state)
+        if rest or self.waiting.exists():
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        times = [t for t in (rest[0][0] if rest else None, self.due(state)) if t is not None]
+        if times:
+            self.handle.registerTimer(max(min(times) // 1000 + 1, mark // 1000 + 1))
+        if self.shown and (state != before or arrived):
+            rows.append(self.shown(state))
+        if rows:
+            yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrived = [tuple(x) for frame in rows for x in frame[self.columns].itertuples(index=False, name=None)]
+        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def timed(stream: DataFrame, key: str, event: dict[str, Column], fold: TimedFold, rows: str, delay: str) -> DataFrame:
+    """``fold`` over the events of each key; the first column of an event is its time in microseconds."""
+    marked = stream.withWatermark("ts", delay).select(key, "ts", *[c.alias(k) for k, c in event.items()])
+    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=fold, outputStructType=rows, outputMode="Update", timeMode="EventTime")
+
+
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Timers need a state store that keeps its keys in order."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+#: Of the lease: microseconds. A debounced event stands once nothing has come for the gap.
+GAP = 60 * 1_000_000
+
+
+def lease_step(state: tuple, at: int, number: int, action: str, worker: int) -> tuple[tuple, None]:
+    """A job whose lease ends by itself, else as ``queue_step``: (status, holder, until, attempts, expired, refused)."""
+    return queue_step(state, at, number, action, worker), None
+
+
+def lease_due(state: tuple) -> int | None:
+    return state[2] if state[0] == "running" else None
+
+
+def lease_lapse(state: tuple) -> tuple[tuple, None]:
+    """The job is due again where its lease ended; whoever held it is refused from then on."""
+    return ("queued", -1, state[2], state[3], state[4] + 1, state[5]), None
+
+
+def leases(stream: DataFrame, delay: str) -> DataFrame:
+    """(user_id, status, attempts, expired, refused) of each job."""
+    rows = "user_id long, status string, attempts long, expired long, refused long"
+    fold = TimedFold(
+        "status string, holder long, until long, attempts long, expired long, refused long", "at long, id long, action string, worker long", rows,
+        ("queued", -1, 0, 0, 0, 0), lease_step, lease_due, lease_lapse, lambda s: (s[0], s[3], s[4], s[5]),
+    )
+    kinds = {"signup": "enqueue", "click": "claim", "view": "heartbeat", "purchase": "complete", "error": "fail"}
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    return timed(stream, "user_id", {"at": F.unix_micros("ts"), "id": F.col("event_id"), "action": action, "worker": F.col("event_id") % 3}, fold, rows, delay)
+
+
+def debounced(stream: DataFrame, delay: str) -> DataFrame:
+    """(user_id, event_id): the last event of each run of events not more than ``GAP`` apart, once nothing came for that long."""
+    rows = "user_id long, event_id long"
+
+    def step(state: tuple, at: int, number: int) -> tuple[tuple, None]:
+        return (at, number), None
+
+    def due(state: tuple) -> int | None:
+        return None if state[1] < 0 else state[0] + GAP + 1
+
+    def lapse(state: tuple) -> tuple[tuple, tuple]:
+        return (state[0], -1), (state[1],)
+
+    return timed(stream, "user_id", {"at": F.unix_micros("ts"), "id": F.col("event_id")}, TimedFold("at long, id long", "at long, id long", rows, (0, -1), step, due, lapse), rows, delay)
 
 
 def accepted(stream: DataFrame, key: str, gap: int, delay: str) -> DataFrame:
@@ -133,8 +244,3 @@ def late_counts(stream: DataFrame, width: str, delay: str) -> DataFrame:
     # the group is the window itself: of its start alone Spark wouldn't know when it closes
     counts = stream.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"))
     return counts.select(F.col("w.start").alias("start"), "n")
-
-
-def session_counts(stream: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
-    merged = stream.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
-    return merged.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

@@ -76,16 +76,6 @@ def test_reach_is_least_distance(spark):
     assert {(r["node"], r["distance"]) for r in G.reach(edges, starts, 3).collect()} == {("b", 1), ("c", 1), ("d", 2)}
 
 
-def test_suppression_follows_the_last_accepted(spark):
-    df = spark.createDataFrame([([0, 100, 299, 300, 500, 650],)], "t array<bigint>")
-    assert one(df.select(Z.suppressed(F.col("t"), 300))) == [0, 300, 650]
-
-
-def test_greedy_budget_skips(spark):
-    df = spark.createDataFrame([([50, 80, 40, 20],)], "c array<bigint>")
-    assert one(df.select(Z.greedy_budget(F.col("c"), 100))) == 2
-
-
 def test_upsert_prefers_new(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, version int")
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 1)], "k int, v string, version int")
@@ -128,23 +118,6 @@ def test_numbers_follow_the_key(spark):
     assert {r["k"]: r["number"] for r in Z.numbered(df, "k", run=100).collect()} == {k: i for i, k in enumerate(keys)}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_cycles_against_brute_force(spark, seed):
-    import itertools
-    import random
-
-    random.seed(seed)
-    edges = {(f"n{random.randrange(9)}", f"n{random.randrange(9)}") for _ in range(30)}
-    edges = {(a, b) for a, b in edges if a != b}
-    nodes = sorted({x for e in edges for x in e})
-    want = {
-        ring for n in (2, 3, 4) for ring in itertools.permutations(nodes, n)
-        if ring[0] == min(ring) and all(e in edges for e in zip(ring, (*ring[1:], ring[0]), strict=True))
-    }
-    got = [tuple(r["chain"]) for r in G.cycles(spark.createDataFrame(sorted(edges), "src string, dst string"), 4).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
 def test_chains_are_shortest_ways(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("d", "e")], "src string, dst string")
     starts = spark.createDataFrame([("a",)], "id string")
