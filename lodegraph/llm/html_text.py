@@ -10,12 +10,14 @@ its spacing. All text that a reader would see is kept, navigation, footers and t
 select that is the shown option, or all options where it is a list box.
 
 Hidden: the attribute ``hidden`` unless the style sets a display, and a style with display none, each with all it contains;
-a style with visibility hidden or collapse, but for what is visible again within. What is hidden from screen readers only
+a style with visibility hidden or collapse, but for what is visible again within; the same by rules of the page's own ``<style>`` whose
+selectors name an element, classes or an id, by their weight; closed ``details`` but for their summary and ``dialog`` that isn't
+open. What is hidden from screen readers only
 (``aria-hidden``) is text like any other.
 
 Defined cases: null or empty HTML gives an empty text; a tag that never ends is text from its ``<`` on, markup within it
 included, and an unclosed comment or script hides what follows, so each page is read once, in time linear in its length; elements
-nested deeper than ``DEPTH`` join their ancestor at that depth, which changes the layout only; repeated
+nested deeper than ``DEPTH`` join their ancestor at that depth, and cells of a table wider than ``WIDE`` aren't aligned, which changes the layout only; repeated
 rows come back repeated; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -24,7 +26,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, spread, text_column
 
 DEPTH = 256
+#: Columns of the screen beyond which a table's cells aren't aligned but stand two blanks apart, so that short rows stay short.
+WIDE = 500
 # Fixed values of the HTML standard: element classes by their names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -84,11 +91,16 @@ _DECLARATION = re.compile(r"(?:\"[^\"]*\"|'[^']*'|\([^)]*\)|[^;])+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+_AT_RULE = re.compile(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\})")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMPOUND = re.compile(r"[a-z][a-z0-9]*|[.#][\w-]+", re.I)
+
+
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "look", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.look = tag, attributes, [], {}
 
 
 def attributes(node: Node) -> dict[str, str]:
@@ -115,15 +127,62 @@ def shown(node: Node, inherited: bool) -> tuple[bool, bool]:
     """Whether the element is laid out at all, and whether its own text is visible."""
     if node.tag in HIDDEN:
         return False, False
-    if not _MAY_HIDE.search(node.attributes):
+    if not node.look and node.tag != "dialog" and not _MAY_HIDE.search(node.attributes):
         return True, inherited
     own = attributes(node)
-    look = style(own.get("style", ""))
+    look = node.look | style(own.get("style", ""))
+    if node.tag == "dialog" and "open" not in own:
+        look.setdefault("display", "none")
     visibility = look.get("visibility", "")
     visible = visibility == "visible" or inherited and visibility not in ("hidden", "collapse")
     return look.get("display", "none" if "hidden" in own else "") != "none", visible
 
 
+def rules(sheet: str) -> dict[str, list[tuple]]:
+    """The rules of a style sheet that hide or show: by one part of their selector, (weight, all parts, property, value).
+
+    Selectors are an element's name, classes and id, alone or in a list; those that look at other elements or states, and
+    rules within others, aren't followed.
+    """
+    found: dict[tuple, tuple] = {}
+    for order, (selectors, body) in enumerate(_RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", sheet)))):
+        look = {k: v for k, v in style(body).items() if k in ("display", "visibility")}
+        for selector in selectors.split(",") if look else ():
+            parts = _COMPOUND.findall(selector.strip())
+            if parts and "".join(parts) == selector.strip():
+                names = frozenset(x if x[0] in ".#" else x.lower() for x in parts)
+                weight = (sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names), len(names), order)
+                found.update({(names, k): (weight, v) for k, v in look.items()})
+    often = Counter(x for names, _ in found for x in names)
+    out: dict[str, list[tuple]] = {}
+    for (names, k), (weight, v) in found.items():
+        out.setdefault(min(names, key=lambda x: (often[x], x)), []).append((weight, names, k, v))
+    return out
+
+
+def _prepare(root: Node) -> None:
+    """Give nodes what the page's own style sheets say of them, and leave of closed details their summary."""
+    nodes, sheets, closed = [], [], []
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo += [x for x in node.children if not isinstance(x, str)]
+        if node.tag == "style":
+            sheets.append("".join(x for x in node.children if isinstance(x, str)))
+        elif node.tag == "details" and "open" not in attributes(node):
+            closed.append(node)
+    for node in closed:
+        node.children = [x for x in node.children if not isinstance(x, str) and x.tag == "summary"][:1]
+    known = rules("\n".join(sheets)) if sheets else {}
+    for node in nodes if known else ():
+        own = attributes(node) if "class" in node.attributes.lower() or "id" in node.attributes.lower() else {}
+        names = {node.tag, *(f".{x}" for x in own.get("class", "").split()), *([f"#{own['id']}"] if own.get("id") else [])}
+        for _, needs, k, v in sorted((r for x in names for r in known.get(x, ())), key=lambda r: r[0]):
+            if needs <= names:
+                node.look[k] = v
+
+
 def _number(value: str | None, least: int, most: int, default: int) -> int:
     """A whole number as attributes give it: what stands behind its digits is ignored."""
     found = re.match(r"\s*([+-]?\d{1,9})(?!\d)", value or "", re.A)
@@ -417,15 +476,68 @@ def _loose(node: Node) -> Iterator[Node | str]:
             yield from _loose(child)
 
 
+class Covered:
+    """Columns that cells from the rows above cover: disjoint pieces with the row in which they end, and the free columns between them.
+
+    Each piece is put in, cut and taken out a bounded number of times, and the first free column is looked up, so a table of
+    wide and tall cells costs no more than its cells.
+    """
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.pieces: dict[int, tuple[int, int]] = {}  # start -> end, row
+        self.free: list[int] = [0]
+        self.free_end: dict[int, float] = {0: float("inf")}
+        self.ends: list[tuple[int, int, int]] = []  # row, start, end: a heap
+
+    def first_free(self, at: int) -> int:
+        i = bisect_right(self.free, at) - 1
+        return at if i >= 0 and self.free_end[self.free[i]] > at else self.free[i + 1]
+
+    def cover(self, a: int, b: int, row: int) -> None:
+        """Columns a to b - 1 are covered up to ``row``, whatever covered them before."""
+        i = max(bisect_right(self.starts, a) - 1, 0)
+        j = bisect_left(self.starts, b)
+        old = [(x, *self.pieces.pop(x)) for x in self.starts[i:j]]
+        new = sorted([(a, b, row), *(p for s, e, r in old for p in ((s, min(e, a), r), (max(s, b), e, r)) if p[0] < p[1])])
+        self.starts[i:j] = [s for s, _, _ in new]
+        for s, e, r in new:
+            self.pieces[s] = (e, r)
+            heappush(self.ends, (r, s, e))
+        i = max(bisect_right(self.free, a) - 1, 0)
+        j = bisect_left(self.free, b)
+        gaps = [(x, self.free_end.pop(x)) for x in self.free[i:j]]
+        rest = [p for s, e in gaps for p in ((s, min(e, a)), (max(s, b), e)) if p[0] < p[1]]
+        self.free[i:j] = [s for s, _ in rest]
+        self.free_end.update(rest)
+
+    def reach(self, row: int) -> None:
+        """Free what ends before ``row``."""
+        while self.ends and self.ends[0][0] <= row:
+            r, s, e = heappop(self.ends)
+            if self.pieces.get(s) != (e, r):
+                continue  # cut since
+            del self.pieces[s]
+            del self.starts[bisect_left(self.starts, s)]
+            i = bisect_left(self.free, s)
+            if i < len(self.free) and self.free[i] == e:
+                e = self.free_end.pop(self.free.pop(i))
+            if i and self.free_end[self.free[i - 1]] == s:
+                s = self.free[i - 1]
+            else:
+                self.free.insert(i, s)
+            self.free_end[s] = e
+
+
 def _cells(node: Node, visible: bool) -> Iterator[list[tuple[int, int, list[str]]]]:
     """The cells of each row: first column, columns, lines. Cells that reach down from rows above keep their columns."""
-    taken: dict[int, int] = {}  # column -> rows that a cell from above still covers there
-    part = None
+    part, covered, number = None, Covered(), 0
     for row, seen, parent in _rows(node, visible):
         if parent is not part:
-            taken, part = {}, parent  # no cell reaches out of its part of the table
+            covered, part = Covered(), parent  # no cell reaches out of its part of the table
+        covered.reach(number)
         cells: list[tuple[int, int, list[str]]] = []
-        below: dict[int, int] = {}
+        below: list[tuple[int, int, int]] = []
         at = 0
         for cell in row.children:
             own: dict[str, str] = {}
@@ -438,15 +550,16 @@ def _cells(node: Node, visible: bool) -> Iterator[list[tuple[int, int, list[str]
                 if not there:
                     continue
                 own, body = attributes(cell), _inner(cell, sees)
-            while at in taken:
-                at += 1
+            at = covered.first_free(at)
             columns = _number(own.get("colspan"), 1, MOST_COLUMNS, 1)
             rows = _number(own.get("rowspan"), 0, MOST_ROWS, 1) or MOST_ROWS
             if rows > 1:
-                below.update(dict.fromkeys(range(at, at + columns), rows))
+                below.append((at, at + columns, number + rows))
             cells.append((at, columns, body))
             at += columns
-        taken = {c: n - 1 for c, n in {**taken, **below}.items() if n > 1}
+        for piece in below:
+            covered.cover(*piece)
+        number += 1
         yield cells
 
 
@@ -461,21 +574,23 @@ def _table(node: Node, visible: bool = True) -> list[str]:
         for at, columns, body in cells:
             most = max(map(_width, body), default=0)
             width[at] = max(width.get(at, 0), most if columns == 1 else 0)
+    begun = sorted(width)
     for cells in grid:
         for at, columns, body in cells:
             if columns > 1:  # a cell over several columns widens the last of them, where they are too narrow together
-                covered = sorted(c for c in range(at, at + columns) if c in width)
-                room = sum(width[c] for c in covered) + 2 * (len(covered) - 1)
-                width[covered[-1]] += max(0, max(map(_width, body), default=0) - room)
+                covered = begun[bisect_left(begun, at) : bisect_left(begun, at + columns)]
+                need = max(map(_width, body), default=0) - 2 * (len(covered) - 1)
+                if need > 0:
+                    width[covered[-1]] += max(0, need - sum(map(width.__getitem__, covered)))
     begins, place = {}, 0
-    for column in sorted(width):
+    for column in begun:
         begins[column], place = place, place + width[column] + 2
     for cells in grid:
         for k in range(max((len(body) for _, _, body in cells), default=0)):
             line, filled = [], 0
             for at, _, body in cells:
                 if k < len(body) and body[k]:
-                    line += [" " * (begins[at] - filled), body[k]]
+                    line += [" " * (begins[at] - filled if place <= WIDE else 2 if line else 0), body[k]]
                     filled = begins[at] + _width(body[k])
             lines.append("".join(line).rstrip())
     return lines
@@ -483,8 +598,9 @@ def _table(node: Node, visible: bool = True) -> list[str]:
 
 def page_text(page: str | None) -> str:
     """The visible text of one page."""
-    out = Writer()
-    render(tree((page or "").replace("\x00", "")), out)
+    out, root = Writer(), tree((page or "").replace("\x00", ""))
+    _prepare(root)
+    render(root, out)
     return "\n".join(out.result())
 
 

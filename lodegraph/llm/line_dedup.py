@@ -188,6 +188,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with later equal and near-equal lines taken out of ``text``; all columns and rows stay."""
     drop = dropped_lines(docs, key, text).select(F.col("doc").alias("__doc"), F.col("version").alias("__version"), F.col("drop").alias("__drop"))
     joined = docs.join(drop, (docs[key] == F.col("__doc")) & (F.xxhash64(docs[text]) == F.col("__version")), "left")
-    kept = F.array_join(F.filter(F.split(docs[text], "\n", -1), lambda _, i: ~F.array_contains("__drop", i)), "\n")
+    # the places that stay are a difference of sets, and a text is split once, so a document of very many lines costs no more than they are
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop"))
+    rest = lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n")
+    kept = F.get(F.transform(F.array(F.split(docs[text], "\n", -1)), rest), F.lit(0))
     columns = [F.when(F.col("__drop").isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns]
     return joined.select(*columns)

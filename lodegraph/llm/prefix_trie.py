@@ -185,9 +185,11 @@ def trie(conversations: DataFrame, turns: DataFrame, most_cells: int = MOST_CELL
     children = nodes.where("depth > 1").select("p1", "p2").unionByName(tails.where("parent_shared and pos > 1").select("p1", "p2"))
     families = children.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
     ends = _member_hashes(maybe.where("pos = length").select("k1", "k2", "conv_id"))
+    # written once: it is read as the first turns' nodes and as the others
     full = nodes.join(below, ["k1", "k2"]).join(families, ["k1", "k2"], "left").join(ends, ["k1", "k2"], "left").select(
         F.col("rep").alias("conv_id"), "depth", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(EMPTY)).alias("ends_sha256"), "p1", "p2"
     )
+    full = materialise(full)
 
     least = conversations.agg(F.min("conv_id").alias("root_conv"), F.count("*").alias("n_convs")).where("n_convs > 0")
     edge = tails.where("pos > 1 and parent_shared")

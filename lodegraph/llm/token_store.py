@@ -129,7 +129,8 @@ def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id"
     """Encode ``docs`` and write token files into ``folder``."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_column(docs, text).alias("text"))
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key", F.xxhash64("text"))
+    # repeats of one id, or rows without one, are told apart by their texts, so they are no task of their own
+    ordered = rows.repartitionByRange("key", F.xxhash64("text")).sortWithinPartitions("key", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, 0
@@ -159,7 +160,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id"
 
     files = ordered.mapInArrow(run, "content binary")
     # the text writer puts down a value's bytes as they are
-    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(folder)
+    files.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").option("lineSep", "\n").text(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
