@@ -112,6 +112,14 @@ class FullText:
         wanted, terms = self.weights(_queries(self.spark, {"": words}))
         return self._scored(wanted, terms).select("key", "score")
 
+    def matches(self, queries: DataFrame) -> DataFrame:
+        """(query, key, words): every document with one of a query's terms, and with how many."""
+        if not self._totals():
+            return self.spark.createDataFrame([], "query string, key long, words long")
+        wanted, terms = self.weights(queries)
+        each = self._postings(terms).select("term", "docs").join(wanted, "term").select("query", "term", F.explode("docs.key").alias("key"))
+        return each.groupBy("query", "key").agg(F.count("*").alias("words"))
+
     def bounds(self, wanted: DataFrame, terms: list[str] | None) -> DataFrame:
         """(query, window, bound): from the blocks' headers, what no document of a window can exceed."""
         heads = self._postings(terms).select("term", "window", self._impact("most", "least").alias("bound"))

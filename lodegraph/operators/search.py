@@ -19,12 +19,6 @@ def keyword_search(rows: DataFrame, query: str, columns: Sequence[str], limit: i
     return found.orderBy(F.desc("score"), name, "id").limit(limit) if limit else found
 
 
-def vector_search(rows: DataFrame, query: DataFrame, key: str, vector: str, limit: int, threshold: float = 0.0) -> DataFrame:
-    """(key, score) of the rows nearest to the one-row ``query`` (column ``q``), by (1 + cosine) / 2 at ``threshold`` or more."""
-    scored = rows.crossJoin(F.broadcast(query.limit(1))).withColumn("score", (1 + X.cosine(F.col(vector), F.col("q"))) / 2)
-    return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), key).limit(limit)
-
-
 def with_rank(rows: DataFrame, *order: Column | str, rank: str = "rank") -> DataFrame:
     """Rank 1, 2, ... of a result list that a limit has bounded."""
     return rows.withColumn(rank, F.row_number().over(Window.orderBy(*order)))

@@ -5,11 +5,17 @@ No step collects a neighbour list or a walk: rows are edges, or (node, label), o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 
+#: Edges, counted first, that one task can hold and settle; more are coloured by all tasks, with the same result.
+LOCAL_EDGES = 200_000
+
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Without the edges of nodes that nothing reaches or that reach nothing: those are components of their own."""
@@ -85,16 +91,57 @@ def _coloured(edges: DataFrame) -> DataFrame:
     return found
 
 
+def _settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The components of the edges of one task: depth first with a stack of its own, each node and edge once."""
+    edges = pd.concat(list(frames) or [pd.DataFrame({"src": [], "dst": []})])
+    after: dict = {}
+    for a, b in zip(edges["src"], edges["dst"], strict=True):
+        after.setdefault(a, []).append(b)
+    number, low, held, waiting, found = {}, {}, set(), [], []
+    for root in after:
+        todo = [(root, iter(after[root]))] if root not in number else []
+        if todo:
+            number[root] = low[root] = len(number)
+            waiting.append(root)
+            held.add(root)
+        while todo:
+            node, ways = todo[-1]
+            for other in ways:
+                if other not in number:
+                    number[other] = low[other] = len(number)
+                    waiting.append(other)
+                    held.add(other)
+                    todo.append((other, iter(after.get(other, ()))))
+                    break
+                if other in held:
+                    low[node] = min(low[node], number[other])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    group = []
+                    while not group or group[-1] != node:
+                        group.append(waiting.pop())
+                    held.difference_update(group)
+                    if len(group) > 1:
+                        found += [(x, node) for x in group]
+    yield pd.DataFrame(found, columns=["node", "component"])
+
+
 def strongly_connected(edges: DataFrame) -> DataFrame:
     """(src, dst) -> (node, component) of all nodes on a cycle of two or more; a component is named by its least node.
 
     Dead ends are trimmed and chains contracted by pointer doubling first, so long rings and tails cost a logarithm of their length; what
-    remains is coloured forward and backward in as many rounds as it is deep.
+    remains is coloured forward and backward in as many rounds as it is deep, or settled by one task where it is small.
     """
-    current = _trimmed(stored(edges.select("src", "dst").where("src <> dst").distinct()))
+    current = stored(edges.select("src", "dst").where("src <> dst").distinct())
     removed = []
     before = current.count()
-    while before:
+    if before > LOCAL_EDGES:
+        current = _trimmed(current)
+        before = current.count()
+    while before > LOCAL_EDGES:
         current, held, rings = _without_chains(current)
         current = _trimmed(current)
         removed.append((held, rings))
@@ -102,7 +149,11 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         if before - now < 1 + before // 10:
             break
         before = now
-    found = _coloured(current)
+    if current.count() <= LOCAL_EDGES:
+        kind = edges.schema["src"].dataType.simpleString()
+        found = stored(current.coalesce(1).mapInPandas(_settled, f"node {kind}, component {kind}"))
+    else:
+        found = _coloured(current)
     for held, rings in reversed(removed):  # an end of a chain may be on a ring that was found later
         ends = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c"))  # noqa: E731, B023
         name = lambda end: F.coalesce(F.col(f"{end}_c"), F.col(end))

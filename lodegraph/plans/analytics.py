@@ -73,9 +73,9 @@ def a10(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("l_partkey")), 1, 5).cast("array<string>"), ",").alias("parts"))
 
 
-@query("a11_all_of_group", "SELECT l_suppkey, bool_and(l_quantity >= 1) AS all_positive, bool_and(l_returnflag <> 'X') AND count(*) >= 3 AS promote FROM lineitem GROUP BY l_suppkey")
+@query("a11_all_of_group", "SELECT l_orderkey, bool_and(l_quantity >= 10) AS all_large, bool_and(l_returnflag <> 'R') AND count(*) >= 3 AS promote FROM lineitem GROUP BY l_orderkey")
 def a11(t):
-    return t.lineitem.groupBy("l_suppkey").agg(F.every(F.col("l_quantity") >= 1).alias("all_positive"), (F.every(F.col("l_returnflag") != "X") & (F.count("*") >= 3)).alias("promote"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.every(F.col("l_quantity") >= 10).alias("all_large"), (F.every(F.col("l_returnflag") != "R") & (F.count("*") >= 3)).alias("promote"))
 
 
 @query("a12_array_frequencies", "SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w ORDER BY n DESC, w LIMIT 5")
@@ -232,9 +232,9 @@ def a36(t):
     return t.part.groupBy("p_type").agg(F.min_by("p_brand", F.struct("p_retailprice", "p_brand")).alias("weakest"))
 
 
-@query("a37_gain_estimate", "SELECT p_brand, least(40, sum(CAST(floor(0.6 * (50 - p_size)) AS BIGINT))) AS gain FROM part WHERE p_size < 10 GROUP BY p_brand")
+@query("a37_gain_estimate", "SELECT p_name, p_brand, least(40, sum(CAST(floor(0.6 * (50 - p_size)) AS BIGINT))) AS gain FROM part WHERE p_size > 20 GROUP BY ALL")
 def a37(t):
-    return t.part.where("p_size < 10").groupBy("p_brand").agg(F.least(F.lit(40), F.sum(F.floor(0.6 * (50 - F.col("p_size"))))).alias("gain"))
+    return t.part.where("p_size > 20").groupBy("p_name", "p_brand").agg(F.least(F.lit(40), F.sum(F.floor(0.6 * (50 - F.col("p_size"))))).alias("gain"))
 
 
 @query("a38_precision_recall", "WITH e AS (SELECT o_custkey AS q, o_orderkey AS d, o_orderstatus = 'F' AS expected, o_totalprice > 150000 AS found FROM orders), s AS (SELECT q, count(*) FILTER (WHERE expected AND found) AS hits, count(*) FILTER (WHERE expected) AS e, count(*) FILTER (WHERE found) AS f FROM e GROUP BY q) SELECT q, round(hits / greatest(f, 1), 4) AS precision, round(hits / greatest(e, 1), 4) AS recall FROM s")
@@ -416,10 +416,31 @@ def x18(t):
     return t.functions.where(n > 15).select("id", F.when(n > 45, "critical").when(n > 30, "major").otherwise("minor").alias("smell"))
 
 
-@query("x20_language_cascade", "SELECT page_id, CASE WHEN regexp_matches(html, '<html lang=\"fr\"') THEN 'fr' WHEN regexp_matches(html, '<html lang=\"de\"') THEN 'de' WHEN regexp_matches(html, '<html lang=\"es\"') THEN 'es' WHEN contains(url, '/en/') THEN 'en' ELSE 'unknown' END AS language FROM pages")
+# Names of languages, short ones, and the endings of their files.
+LANGUAGES = ("typescript", "javascript", "python")
+SHORT = {"ts": "typescript", "js": "javascript", "py": "python"}
+ENDINGS = {".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".py": "python"}
+#: What a function's node says of its language, its file's ending and that of its module, by its brand and size.
+_SAID, _FILED, _MODULED = ("TypeScript", "js", "py", "rust", "", "JavaScript", ""), (".tsx", ".js", ".py", "", ".jsx", ".md"), ("", ".ts", ".js")
+
+
+@query("x20_language_cascade", sql(f""", f AS (SELECT id, lower(({list(_SAID)})[CAST(replace(namespace, 'Brand#', '') AS INT) % {len(_SAID)} + 1]) AS said, module || '/' || id || ({list(_FILED)})[end_line % {len(_FILED)} + 1] AS path, module || ({list(_MODULED)})[end_line % {len(_MODULED)} + 1] AS module FROM functions)
+ SELECT id, CASE WHEN said IN {LANGUAGES} THEN said {" ".join(f"WHEN said = '{k}' THEN '{v}'" for k, v in SHORT.items())} {" ".join(f"WHEN suffix(path, '{k}') THEN '{v}'" for k, v in ENDINGS.items())}
+ WHEN contains(module, '.ts') THEN 'typescript' WHEN contains(module, '.js') THEN 'javascript' ELSE 'python' END AS language FROM f""", "functions"))
 def x20(t):
-    tag = lambda lang: F.col("html").rlike(f'<html lang="{lang}"')
-    return t.pages.select("page_id", F.when(tag("fr"), "fr").when(tag("de"), "de").when(tag("es"), "es").when(F.contains("url", F.lit("/en/")), "en").otherwise("unknown").alias("language"))
+    """What the node says, else what its file's ending says, else its module's name, else the default."""
+    pick = lambda values, number: F.element_at(X.strings(values), (number % len(values) + 1).cast("int"))
+    size = F.col("end_line")
+    said = F.lower(pick(_SAID, F.replace("namespace", F.lit("Brand#"), F.lit("")).cast("int")))
+    path = F.concat("module", F.lit("/"), "id", pick(_FILED, size))
+    rows = t.functions.select("id", said.alias("said"), path.alias("path"), F.concat("module", pick(_MODULED, size)).alias("module"))
+    out = F.when(F.col("said").isin(*LANGUAGES), F.col("said"))
+    for k, v in SHORT.items():
+        out = out.when(F.col("said") == k, v)
+    for k, v in ENDINGS.items():
+        out = out.when(F.endswith("path", F.lit(k)), v)
+    out = out.when(F.contains("module", F.lit(".ts")), "typescript").when(F.contains("module", F.lit(".js")), "javascript")
+    return rows.select("id", out.otherwise("python").alias("language"))
 
 
 @query("x22_citations", "SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(Version [0-9.]+[0-9])', 1))) AS citation FROM documents")

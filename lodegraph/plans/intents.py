@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -170,17 +172,25 @@ _RENDER = ", r AS (SELECT f.id, '## 1. [Function] ' || replace(name, ' ', '_') |
  SELECT id, len(names) AS identifiers, len(list_filter(names, lambda x: contains('red plate', lower(x)) OR contains(lower(x), 'red plate') OR contains(lower(x), 'red') OR contains(lower(x), 'plate'))) AS matched FROM i""", "functions", "calls"))
 def x06(t):
     """A function's context as it is rendered, the identifiers that the patterns find in it, and how many the query is near to."""
+    low = lambda x, w: F.contains(F.lower(x), F.lit(w))
+    near = lambda x: F.contains(F.lit("red plate"), F.lower(x)) | low(x, "red plate") | low(x, "red") | low(x, "plate")
+    named = rendered(t).select("id", identifiers("text").alias("names"))
+    return named.select("id", F.size("names").alias("identifiers"), F.size(F.filter("names", near)).alias("matched"))
+
+
+def rendered(t):
+    """(id, text, calls): each function's context as a tool shows it, and how many calls it tells."""
     outs = S.capped(t.calls, "src", "dst", 10, "o").withColumnRenamed("src", "id")
-    rows = t.functions.join(outs, "id", "left")
     text = F.concat(F.lit("## 1. [Function] "), F.replace("name", F.lit(" "), F.lit("_")), F.lit("\n경로: `"), F.concat_ws(".", "namespace", "module", "id"), F.lit("`\n호출: "), F.coalesce(F.array_join("o", ", "), F.lit("")))
-    found = lambda p: F.regexp_extract_all("text", F.lit(p), 1)
+    return t.functions.join(outs, "id", "left").select("id", text.alias("text"), F.coalesce(F.size("o"), F.lit(0)).alias("calls"))
+
+
+def identifiers(text: str) -> Column:
+    """The names that a rendered context holds."""
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), 1)
     calls = F.filter(F.flatten(F.transform(found(CONTEXT_PATTERNS[3]), lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x)))), lambda x: F.length(x) > 1)
     paths = F.transform(found(CONTEXT_PATTERNS[1]), lambda p: F.substring_index(p, ".", -1))
-    names = F.array_distinct(F.concat(found(CONTEXT_PATTERNS[0]), paths, found(CONTEXT_PATTERNS[2]), calls))
-    low = lambda x, w: F.contains(F.lower(x), F.lit(w))
-    near = lambda x: F.contains(F.lit("red plate"), F.lower(x)) | low(x, "red plate") | low(x, "red") | low(x, "plate")
-    named = rows.select("id", text.alias("text")).select("id", names.alias("names"))
-    return named.select("id", F.size("names").alias("identifiers"), F.size(F.filter("names", near)).alias("matched"))
+    return F.array_distinct(F.concat(found(CONTEXT_PATTERNS[0]), paths, found(CONTEXT_PATTERNS[2]), calls))
 
 
 @query("x08_timestamp_normalise", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) - 7200 WHEN event_id % 3 = 1 THEN CAST(epoch(date_trunc('second', ts)) AS BIGINT) END AS utc_seconds FROM events")
@@ -296,20 +306,70 @@ def p03(t):
     return t.pages.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("project")).agg(F.count("*").alias("files"), F.sum(F.length("html")).alias("chars"))
 
 
-@query("p25_retrieval_benchmark", "SELECT method, count(*) FILTER (WHERE hit AND rn <= 50) AS found, round(count(*) FILTER (WHERE hit AND rn <= 50) / 50, 4) AS precision, round(count(*) FILTER (WHERE hit AND rn <= 50) / greatest(count(*) FILTER (WHERE hit), 1), 4) AS recall FROM (SELECT method, lang = 'en' AS hit, row_number() OVER (PARTITION BY method ORDER BY s DESC, doc_id) AS rn FROM (SELECT doc_id, lang, 'count' AS method, CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'and') AS INT) AS s FROM documents UNION ALL SELECT doc_id, lang, 'prefix', CAST(starts_with(lower(text), 'the') AS INT) FROM documents)) GROUP BY method")
+#: Words of an item that it is looked up by, and results of a ranked method.
+_ASKED_WORDS, _TOP = 8, 5
+
+
+def holders(t):
+    """(query, key): the documents that hold an item's passage as it is. Some inner words of the item, which a document that holds it has
+    one after the other, are joined with such runs of the documents' words; what they find is compared as a whole."""
+    run = 8
+    words = lambda c: X.tokens(F.col(c))
+    # the first and last word may be part of a longer one in a document
+    items = t.benchmark.select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("passage"), words("text").alias("w"))
+    long = items.where(F.size("w") >= run + 2).select("query", "passage", F.array_join(F.slice("w", 2, run), " ").alias("run"))
+    texts = t.documents.select(F.col("doc_id").alias("key"), words("text").alias("w")).where(F.size("w") >= run)
+    runs = texts.select("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.array_join(F.slice("w", i, run), " ")))).alias("run"))
+    near = runs.join(long, "run").select("query", "passage", "key")
+    found = near.join(t.documents.select(F.col("doc_id").alias("key"), "text"), "key").where(F.contains("text", F.col("passage"))).select("query", "key")
+    return found.distinct()
+
+
+_BENCH = f""", items AS (SELECT CAST(item_id AS VARCHAR) AS query, text AS passage, regexp_extract_all(lower(text), '([a-z0-9_]+)', 1) AS w FROM benchmark),
+asked AS (SELECT DISTINCT query, unnest(list_filter(w, lambda x: length(x) > 1 AND x NOT IN ({", ".join(f"'{x}'" for x in X.STOPWORDS)}))[1:{_ASKED_WORDS}]) AS term FROM items),
+post AS (SELECT doc_id, term, count(*) AS tf, dl FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1) AS w FROM documents)) GROUP BY ALL),
+stats AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1))) AS avgdl FROM documents),
+df AS (SELECT term, count(*) AS d FROM post GROUP BY term),
+scored AS (SELECT query, doc_id, count(*) AS words, sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN post USING (term) JOIN df USING (term), stats GROUP BY query, doc_id),
+relevant AS (SELECT query, doc_id FROM items JOIN documents ON contains(text, passage) WHERE len(w) >= 10),
+ranked AS (SELECT 'keywords' AS method, query, doc_id, row_number() OVER (PARTITION BY query ORDER BY words DESC, doc_id) AS rn FROM scored
+ UNION ALL SELECT * FROM (SELECT 'bm25', query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rn FROM scored) WHERE rn <= {_TOP}),
+sums AS (SELECT method, r.query, count(*) AS found, count(v.doc_id) AS hits, coalesce(1.0 / min(CASE WHEN v.doc_id IS NOT NULL AND rn <= {_TOP} THEN rn END), 0) AS mrr, coalesce(sum(CASE WHEN v.doc_id IS NOT NULL AND rn <= {_TOP} THEN 1 / log2(rn + 1) END), 0) AS dcg
+ FROM ranked r LEFT JOIN relevant v ON v.query = r.query AND v.doc_id = r.doc_id GROUP BY ALL),
+want AS (SELECT query, count(*) AS expected FROM relevant GROUP BY query)
+SELECT method, query, found, hits, round(hits / greatest(found, 1), 4) AS precision, round(hits / greatest(coalesce(expected, 0), 1), 4) AS recall, round(mrr, 4) AS mrr,
+ round(dcg / CASE least(coalesce(expected, 0), {_TOP}) {" ".join(f"WHEN {i} THEN {sum(1 / math.log2(k + 1) for k in range(1, i + 1))}" for i in range(1, _TOP + 1))} ELSE 1 END, 4) AS ndcg
+FROM sums LEFT JOIN want USING (query)"""
+
+
+@query("p25_retrieval_benchmark", sql(_BENCH))
 def p25(t):
-    low = F.lower("text")
-    count = X.keyword_hits(F.col("text"), ["the", "and"])
-    prefix = F.startswith(low, F.lit("the")).cast("int")
-    scored = t.documents.select("doc_id", (F.col("lang") == "en").alias("hit"), F.explode(F.array(F.struct(F.lit("count").alias("method"), count.alias("s")), F.struct(F.lit("prefix").alias("method"), prefix.alias("s")))).alias("m")).select("doc_id", "hit", "m.*")
-    # the 50 best of each method, then counts: no window over all documents of a method
-    top = None
-    for method in ("count", "prefix"):
-        best = scored.where(F.col("method") == method).orderBy(F.desc("s"), "doc_id").limit(50)
-        top = best if top is None else top.unionByName(best)
-    found = top.groupBy("method").agg(F.count_if("hit").alias("found"))
-    relevant = scored.groupBy("method").agg(F.count_if("hit").alias("relevant"))
-    return relevant.join(found, "method").select("method", "found", F.round(F.col("found") / 50, 4).alias("precision"), F.round(F.col("found") / F.greatest("relevant", F.lit(1)), 4).alias("recall"))
+    """Every benchmark item asked of all documents at once, by two methods: all that have one of its keywords, in the order of how many, and
+    the five best of the full-text index. Relevant are the documents that hold the item's passage."""
+    asked = t.benchmark.select(F.col("item_id").cast("string").alias("query"), F.explode(F.array_distinct(X.keywords(F.col("text"), _ASKED_WORDS))).alias("term"))
+    asked = stored(asked)
+    index = t.fulltext
+    many = index.matches(asked)
+    top = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("words"), "key"))
+    first = many.withColumn("rank", top).where(F.col("rank") <= _TOP).select("query", "key", "rank")
+    relevant = stored(holders(t))
+    expected = relevant.groupBy("query").agg(F.count("*").alias("expected"))
+
+    def judged(method, found, ranked):
+        """``found`` has all results, or is ``ranked`` itself."""
+        hits = found.join(relevant.withColumn("hit", F.lit(1)), ["query", "key"], "left").groupBy("query").agg(F.count("*").alias("found"), F.count("hit").alias("hits"))
+        good = ranked.join(relevant, ["query", "key"], "left_semi").groupBy("query").agg((1.0 / F.min("rank")).alias("mrr"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+        return hits.join(good, "query", "left").withColumn("method", F.lit(method))
+
+    best = stored(index.search(asked, _TOP).select("query", "key", "rank"))
+    every = judged("keywords", many.select("query", "key"), first).unionByName(judged("bm25", best, best)).join(expected, "query", "left")
+    want = F.coalesce("expected", F.lit(0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(want, F.lit(_TOP)))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    share = lambda of: F.round(F.col("hits") / F.greatest(of, F.lit(1)), 4)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return every.select(
+        "method", "query", "found", "hits", share(F.col("found")).alias("precision"), share(want).alias("recall"), F.round(zero("mrr"), 4).alias("mrr"), F.round(zero("dcg") / ideal, 4).alias("ndcg")
+    )
 
 
 @query("m27_append_log", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

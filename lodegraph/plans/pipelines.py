@@ -15,6 +15,8 @@ from ..operators import state as Z
 from ..sources.bindings import sql
 from ..sources.scratch import stored
 from .catalog import query
+from .graph import imports
+from .intents import identifiers, rendered
 from .search import LOCAL_SQL, local_search
 
 _WORDS = ["red", "plate"]
@@ -34,8 +36,8 @@ def p05(t):
 
 def nearest(t, like: int, limit: int):
     """(id, score) of the functions whose vectors are nearest to that of number ``like``; ``limit`` rows, written once for all who use them."""
-    q = t.embeddings.where(F.col("vec_id") == like).select(F.col("embedding").alias("q"))
-    return stored(S.vector_search(t.embeddings, q, "vec_id", "embedding", limit, 0.0).select(F.concat(F.lit("p"), "vec_id").alias("id"), "score"))
+    best, _ = t.vectors.search(t.vector_of(like), limit)
+    return stored(best.select(F.concat(F.lit("p"), "key").alias("id"), "score"))
 
 
 def hybrid_search(t, word: str, near, limit: int = 20, weight: float = 0.6):
@@ -141,14 +143,19 @@ def p12(t):
     return hit.groupBy(F.col("start").alias("target")).agg(F.count("*").alias("affected"), F.max("distance").alias("depth"), F.countDistinct("namespace").alias("namespaces"))
 
 
-@query("p13_health_report", sql(" SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)) AS orphans, (SELECT count(*) FROM (SELECT name FROM functions GROUP BY name HAVING count(*) > 1)) AS duplicate_names, (SELECT count(*) FROM calls a JOIN calls b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS cycles", "functions", "edges"))
+@query("p13_health_report", sql(""", imports AS (SELECT DISTINCT a.module AS src, b.module AS dst FROM calls JOIN functions a ON a.id = src JOIN functions b ON b.id = dst WHERE a.module <> b.module)
+ SELECT (SELECT count(*) FROM nodes WHERE id NOT IN (SELECT src FROM edges UNION SELECT dst FROM edges)) AS orphans, (SELECT count(*) FROM (SELECT name FROM functions GROUP BY name HAVING count(*) > 1)) AS duplicate_names,
+ (SELECT count(*) FROM calls a JOIN calls b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS call_cycles, (SELECT count(*) FROM imports a JOIN imports b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst) AS import_cycles""", "functions", "edges"))
 def p13(t):
     ends = t.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     orphans = t.nodes.join(ends, "id", "left_anti").agg(F.count("*").alias("orphans"))
     names = t.functions.groupBy("name").count().where("count > 1").agg(F.count("*").alias("duplicate_names"))
-    back = t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    cycles = t.calls.join(back, ["src", "dst"], "left_semi").where("src < dst").agg(F.count("*").alias("cycles"))
-    return orphans.crossJoin(names).crossJoin(cycles)  # one row each
+
+    def cycles(edges, name):
+        back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return edges.join(back, ["src", "dst"], "left_semi").where("src < dst").agg(F.count("*").alias(name))
+
+    return orphans.crossJoin(names).crossJoin(cycles(t.calls, "call_cycles")).crossJoin(cycles(imports(t), "import_cycles"))  # one row each
 
 
 @query("p14_global_insights", "SELECT vec_id, CASE WHEN label >= 7 THEN 'global' WHEN label >= 5 THEN 'candidate' WHEN label < 1 THEN 'anti' END AS kind FROM embeddings WHERE label >= 5 OR label < 1")
@@ -189,9 +196,32 @@ def p19(t):
     return t.turns.where("role = 'user'").select("conv_id", "turn", F.when(has("the"), "IMPLEMENT").when(has("der"), "DEBUG").otherwise("DESIGN").alias("intent"), X.token_estimate(F.col("text"), 4).alias("tokens"))
 
 
-@query("p20_tool_events", "SELECT event_id, unnest(['context_provided', 'code_generation', 'code_validation']) AS kind FROM events WHERE event_type = 'click'")
+# Tools whose answers are contexts, and those whose answers hold references.
+CONTEXT_TOOLS = ("search_knowledge", "hybrid_search", "smart_context", "get_function_context", "get_similar_code")
+REFERENCE_TOOLS = ("hybrid_search", "get_function_context", "get_call_graph", "smart_context", "search_knowledge", "get_module_structure")
+#: The tool that an event stands for; an error is a call that failed.
+_TOOLS = {"view": "get_similar_code", "click": "hybrid_search", "purchase": "get_call_graph", "signup": "get_recent_nodes", "error": "hybrid_search"}
+
+
+@query("p20_tool_events", sql(f""", o AS (SELECT src AS id, least(10, count(*)) AS calls, array_to_string(list_sort(list(dst))[1:10], ', ') AS l FROM calls GROUP BY 1),
+ r AS (SELECT f.id, coalesce(calls, 0) AS calls, length('## 1. [Function] ' || name || chr(10) || '경로: `' || namespace || '.' || module || '.' || f.id || '`' || chr(10) || '호출: ' || coalesce(l, '')) AS chars FROM functions f LEFT JOIN o USING (id)),
+ e AS (SELECT event_id, event_type <> 'error' AS success, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _TOOLS.items())} END AS tool, chars, calls FROM events LEFT JOIN r ON id = 'p' || user_id)
+ SELECT event_id, 'context_provided' AS kind, CAST(2 + calls AS BIGINT) AS amount FROM e WHERE success AND tool IN {CONTEXT_TOOLS} AND chars IS NOT NULL
+ UNION ALL SELECT event_id, 'code_generation', coalesce(chars, 0) FROM e
+ UNION ALL SELECT event_id, 'code_validation', calls FROM e WHERE success AND tool IN {REFERENCE_TOOLS} AND calls > 0""", "functions", "calls"))
 def p20(t):
-    return t.events.where("event_type = 'click'").select("event_id", F.explode(X.strings(["context_provided", "code_generation", "code_validation"])).alias("kind"))
+    """What a tool call is told of: a context with the identifiers in its answer, an attempt with the answer's length, references with the
+    calls in it; a failed call has the attempt only, and an answer that holds nothing tells nothing."""
+    answers = rendered(t).select("id", F.length("text").alias("chars"), F.size(identifiers("text")).alias("names"), "calls")
+    tool = F.element_at(F.create_map(*[F.lit(x) for kv in _TOOLS.items() for x in kv]), F.col("event_type"))
+    calls = t.events.select("event_id", (F.col("event_type") != "error").alias("success"), tool.alias("tool"), F.concat(F.lit("p"), "user_id").alias("id")).join(answers, "id", "left")
+    told = lambda kind, when, amount: F.when(when, F.struct(F.lit(kind).alias("kind"), F.coalesce(amount, F.lit(0)).cast("long").alias("amount")))
+    kinds = F.array_compact(F.array(
+        told("context_provided", F.col("success") & F.col("tool").isin(*CONTEXT_TOOLS) & (F.col("names") > 0), F.col("names")),
+        told("code_generation", F.lit(True), F.col("chars")),
+        told("code_validation", F.col("success") & F.col("tool").isin(*REFERENCE_TOOLS) & (F.col("calls") > 0), F.col("calls")),
+    ))
+    return calls.select("event_id", F.explode(kinds).alias("k")).select("event_id", "k.*")
 
 
 #: Who may ask: workspaces that opted in, each with the projects it may see (none: all), and those whose provider is down.
@@ -321,11 +351,50 @@ def p27(t):
     return t.jobs.groupBy("owner").agg(F.when(urgent > 0, "REJECTED").when(F.count_if(waits) > 3, "NEEDS_WORK").otherwise("APPROVED").alias("decision"))
 
 
-@query("p28_readiness_blockers", "SELECT s_suppkey, blocker FROM supplier, (VALUES ('negative_balance'), ('low_balance'), ('remote')) b(blocker) WHERE (blocker = 'negative_balance' AND s_acctbal < 0) OR (blocker = 'low_balance' AND s_acctbal < 1000) OR (blocker = 'remote' AND s_nationkey > 20)")
+#: Rules of readiness: the mode they are for (empty: any), the setting that must be there, a setting and value that ask for it, and how grave it is.
+_RULES = (
+    ("managed", "url", "", "", "blocker"), ("managed", "secret", "", "", "blocker"), ("managed", "contact", "", "", "warning"), ("own", "folder", "", "", "blocker"),
+    ("", "token", "channel", "enabled", "blocker"), ("", "token", "channel", "auto", "warning"), ("", "name", "channel", "enabled", "warning"),
+)
+
+
+def _settings(t):
+    """(s_suppkey, env): the settings of a supplier's workspace."""
+    n = F.col("s_suppkey")
+    values = {
+        "mode": F.when(n % 7 == 6, "other").when(n % 2 == 0, "managed").otherwise("own"), "channel": F.element_at(X.strings(["enabled", "auto", "off"]), (n % 3 + 1).cast("int")),
+        "url": F.when(F.col("s_acctbal") >= 0, "https://"), "secret": F.when(F.col("s_acctbal") >= 2000, "set"), "contact": F.when(F.col("s_nationkey") < 12, "desk"),
+        "folder": F.when(n % 5 != 0, "/data"), "token": F.when(n % 4 != 1, "t"), "name": F.when(n % 11 != 3, "bot"),
+    }
+    return t.supplier.select("s_suppkey", F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull()).alias("env"))
+
+
+_SETTINGS = """, s AS (SELECT s_suppkey AS n, CASE WHEN s_suppkey % 7 = 6 THEN 'other' WHEN s_suppkey % 2 = 0 THEN 'managed' ELSE 'own' END AS mode, ['enabled', 'auto', 'off'][s_suppkey % 3 + 1] AS channel,
+ CASE WHEN s_acctbal >= 0 THEN 'https://' END AS url, CASE WHEN s_acctbal >= 2000 THEN 'set' END AS secret, CASE WHEN s_nationkey < 12 THEN 'desk' END AS contact, CASE WHEN s_suppkey % 5 <> 0 THEN '/data' END AS folder, CASE WHEN s_suppkey % 4 <> 1 THEN 't' END AS token,
+ CASE WHEN s_suppkey % 11 <> 3 THEN 'bot' END AS name FROM supplier),
+ v AS (SELECT n, mode, channel, unnest(['url', 'secret', 'contact', 'folder', 'token', 'name']) AS needs, unnest([url, secret, contact, folder, token, name]) AS value FROM s),
+ rules(mode, needs, key, value, level) AS (VALUES """ + ", ".join(str(r) for r in _RULES) + """),
+ broken AS (SELECT n, rules.needs || CASE WHEN key = '' THEN '' ELSE ':' || rules.value END AS what, level FROM rules JOIN v ON v.needs = rules.needs AND v.value IS NULL AND rules.mode IN ('', v.mode) AND (key = '' OR rules.value = channel) WHERE v.mode <> 'other')"""
+
+
+@query("p28_readiness_blockers", sql(_SETTINGS + """ SELECT n AS s_suppkey, CASE WHEN mode = 'other' THEN 'invalid' WHEN count(what) FILTER (WHERE level = 'blocker') > 0 THEN mode || '-blocked' ELSE mode || '-ready' END AS status,
+ CASE WHEN mode = 'other' THEN 'mode' ELSE coalesce(string_agg(what, ',' ORDER BY what) FILTER (WHERE level = 'blocker'), '') END AS blockers, coalesce(string_agg(what, ',' ORDER BY what) FILTER (WHERE level = 'warning'), '') AS warnings
+ FROM s LEFT JOIN broken USING (n) GROUP BY n, mode"""))
 def p28(t):
-    rules = {"negative_balance": F.col("s_acctbal") < 0, "low_balance": F.col("s_acctbal") < 1000, "remote": F.col("s_nationkey") > 20}
-    hits = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
-    return t.supplier.select("s_suppkey", F.explode(hits).alias("blocker"))
+    """Each workspace's settings against the table of rules: what blocks it, what it is warned of, and its state; a mode that nobody knows is invalid."""
+    rows = _settings(t).withColumn("mode", F.element_at("env", F.lit("mode")))
+    broken = []
+    for mode, needs, key, value, level in _RULES:
+        asked = F.lit(True) if not key else F.element_at("env", F.lit(key)) == value
+        here = F.lit(True) if not mode else F.col("mode") == mode
+        text = needs + (f":{value}" if key else "")
+        broken.append(F.when(here & asked & ~F.map_contains_key("env", needs), F.struct(F.lit(level).alias("level"), F.lit(text).alias("what"))))
+    rows = rows.select("s_suppkey", "mode", F.array_compact(F.array(*broken)).alias("broken"))
+    of = lambda level: F.array_join(F.array_sort(F.transform(F.filter("broken", lambda x: x["level"] == level), lambda x: x["what"])), ",")
+    known = F.col("mode") != "other"
+    blockers = F.when(known, of("blocker")).otherwise("mode")
+    status = F.when(~known, "invalid").when(blockers != "", F.concat("mode", F.lit("-blocked"))).otherwise(F.concat("mode", F.lit("-ready")))
+    return rows.select("s_suppkey", status.alias("status"), blockers.alias("blockers"), F.when(known, of("warning")).otherwise("").alias("warnings"))
 
 
 @query("entry_local_search", sql(LOCAL_SQL, "functions", "calls"))

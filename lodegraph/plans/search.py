@@ -42,9 +42,8 @@ _COSINE = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z:
 
 @query("s04_vector_scan", f"SELECT e.vec_id, e.label, round((1 + {_COSINE}) / 2, 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE (1 + {_COSINE}) / 2 >= 0.55")
 def s04(t):
-    q = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = t.embeddings.crossJoin(F.broadcast(q.limit(1))).withColumn("raw", (1 + X.cosine(F.col("embedding"), F.col("q"))) / 2)
-    return scored.where("raw >= 0.55").select("vec_id", "label", F.round("raw", 4).alias("score"))
+    found = t.vectors.within(t.vector_of(0), 0.55).select(F.col("key").alias("vec_id"), F.round("score", 4).alias("score"))
+    return t.embeddings.select("vec_id", "label").join(found, "vec_id")
 
 
 @query("s05_recent_log_scan", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY AND json_valid(props)")
@@ -173,8 +172,8 @@ def f07(t):
 
 @query("f08_semantic_search", f"SELECT vec_id, label, round(raw, 4) AS score FROM (SELECT e.vec_id, e.label, (1 + {_COSINE}) / 2 AS raw FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 3) q) WHERE raw >= 0.5 ORDER BY raw DESC, vec_id LIMIT 10")
 def f08(t):
-    q = t.embeddings.where("vec_id = 3").select(F.col("embedding").alias("q"))
-    return S.vector_search(t.embeddings, q, "vec_id", "embedding", 10, 0.5).select("vec_id", "label", F.round("score", 4).alias("score"))
+    best, _ = t.vectors.search(t.vector_of(3), 10, 0.5)
+    return t.embeddings.select("vec_id", "label").join(F.broadcast(best.select(F.col("key").alias("vec_id"), F.round("score", 4).alias("score"))), "vec_id")  # 10 rows
 
 
 @query("f09_global_search", sql("""

@@ -12,6 +12,8 @@ from ..operators import search as S
 from ..operators import state as Z
 from ..operators import structure as R
 from ..sources.bindings import sql
+from ..sources.scratch import folder
+from ..sources.versions import VersionedTable
 from .catalog import query
 
 _ASOF = "(SELECT max(ts) FROM events)"
@@ -24,9 +26,12 @@ def _asof(t):
 
 @query("m01_node_upsert", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name FROM part")
 def m01(t):
-    old = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.lit(1).alias("version"))
-    new = old.where("k % 3 = 0").select("k", F.upper("name").alias("name"), F.lit(2).alias("version"))
-    return Z.upsert(old, new, ["k"], "version").select("k", "name")
+    """Nodes merged into a stored table: the second version has the changed ones' new properties."""
+    old = t.part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    table = VersionedTable(t.spark, folder(t.spark), "k", old.schema)
+    table.create(old)
+    table.merge(old.where("k % 3 = 0").select("k", F.upper("name").alias("name")))
+    return table.read()
 
 
 @query("m02_edge_upsert", sql("SELECT src, dst, type FROM calls", "calls"))
@@ -142,8 +147,13 @@ def m18(t):
 
 @query("m19_conflict_update", "SELECT c_custkey, c_acctbal + coalesce(paid, 0) AS balance FROM customer LEFT JOIN (SELECT o_custkey, count(*) * 1.0 AS paid FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON o_custkey = c_custkey")
 def m19(t):
-    paid = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("paid"))
-    return t.customer.select("c_custkey", "c_acctbal").join(paid, "c_custkey", "left").select("c_custkey", (F.col("c_acctbal") + F.coalesce("paid", F.lit(0.0))).alias("balance"))
+    """Balances in a stored table; where a customer has one, what was paid is added to it."""
+    held = t.customer.select("c_custkey", F.col("c_acctbal").cast("double").alias("balance"))
+    paid = t.orders.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("double").alias("balance"))
+    table = VersionedTable(t.spark, folder(t.spark), "c_custkey", held.schema)
+    table.create(held)
+    table.merge(paid.join(held.select("c_custkey"), "c_custkey", "left_semi"), {"balance": F.col("old.balance") + F.col("new.balance")})
+    return table.read()
 
 
 @query("m20_monotonic_cursor", "SELECT event_type, max(event_id) AS cursor FROM events GROUP BY event_type")
@@ -193,13 +203,20 @@ def m25(t):
     return Z.versioned(asked.join(held, "o_orderkey", "left"), "v", "base", "force").select("o_orderkey", "outcome", "version")
 
 
-@query("m26_nested_export", "SELECT conv_id, '{\"conv_id\":' || conv_id || ',\"sources\":[' || string_agg(DISTINCT '\"' || role || '\"', ',' ORDER BY '\"' || role || '\"') || '],\"revisions\":[' || string_agg('{\"version\":' || v || ',\"turn\":' || turn || ',\"role\":\"' || role || '\",\"chars\":' || length(text) || '}', ',' ORDER BY v) || ']}' AS item FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS v FROM conversations) GROUP BY conv_id")
+#: Revisions in one row of an export.
+_PAGE = 256
+
+
+@query("m26_nested_export", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS v FROM conversations), s AS (SELECT conv_id, string_agg('\"' || role || '\"', ',' ORDER BY role) AS sources FROM (SELECT DISTINCT conv_id, role FROM conversations) GROUP BY conv_id) "
+    + f"SELECT conv_id, CAST((v - 1) // {_PAGE} AS BIGINT) AS page, '{{\"conv_id\":' || conv_id || ',\"page\":' || ((v - 1) // {_PAGE}) || ',\"sources\":[' || any_value(sources) || '],\"revisions\":[' || string_agg('{{\"version\":' || v || ',\"turn\":' || turn || ',\"role\":\"' || role || '\",\"chars\":' || length(text) || '}}', ',' ORDER BY v) || ']}}' AS item FROM r JOIN s USING (conv_id) GROUP BY conv_id, (v - 1) // {_PAGE}")
 def m26(t):
-    """An item with the sources it came from and all its revisions, as JSON. The texts stay out, so an item's row stays small."""
+    """An item with the sources it came from and its revisions, as JSON; an item with very many has several pages, so no row grows with it.
+    The texts stay out."""
+    sources = t.conversations.select("conv_id", "role").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("role")).alias("sources"))  # kinds of speakers
     rows = Z.revisions(t.conversations.select("conv_id", "turn", "role", F.length("text").alias("chars")), "conv_id", "turn", "role")
     revision = F.struct(F.col("revision").alias("version"), "turn", "role", "chars")
-    items = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("sources"), F.array_sort(F.collect_list(revision)).alias("revisions"))
-    return items.select("conv_id", F.to_json(F.struct("conv_id", "sources", "revisions")).alias("item"))
+    pages = rows.groupBy("conv_id", F.floor((F.col("revision") - 1) / _PAGE).alias("page")).agg(F.array_sort(F.collect_list(revision)).alias("revisions"))
+    return pages.join(sources, "conv_id").select("conv_id", "page", F.to_json(F.struct("conv_id", "page", "sources", "revisions")).alias("item"))
 
 
 @query("m29_backfill_batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -361,10 +378,11 @@ def u01(t):
     return a.unionByName(t.supplier.select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")), allowMissingColumns=True)
 
 
-@query("u02_union_first_wins", "SELECT p_name AS name, min(pos) AS pos FROM (SELECT p_name, 0 AS pos FROM part WHERE p_size < 10 UNION ALL SELECT p_name, 1 FROM part WHERE p_size >= 10) GROUP BY p_name")
+@query("u02_union_first_wins", "SELECT name, min(pos) AS pos FROM (SELECT p_name || ' ' || p_size AS name, 0 AS pos FROM part WHERE p_brand < 'Brand#2' UNION ALL SELECT p_name || ' ' || p_size, 1 FROM part WHERE p_brand >= 'Brand#2') GROUP BY name")
 def u02(t):
-    a = t.part.where("p_size < 10").select(F.col("p_name").alias("name"), F.lit(0).alias("pos"))
-    return a.unionAll(t.part.where("p_size >= 10").select("p_name", F.lit(1))).groupBy("name").agg(F.min("pos").alias("pos"))
+    name = F.concat_ws(" ", "p_name", "p_size").alias("name")
+    a = t.part.where("p_brand < 'Brand#2'").select(name, F.lit(0).alias("pos"))
+    return a.unionAll(t.part.where("p_brand >= 'Brand#2'").select(name, F.lit(1))).groupBy("name").agg(F.min("pos").alias("pos"))
 
 
 @query("u03_intersection", "SELECT p_name FROM part WHERE p_size < 5 INTERSECT SELECT p_name FROM part WHERE p_size > 45")

@@ -8,7 +8,8 @@ from ..streaming import streams as R
 from .catalog import query
 
 #: Each event with the part it arrives in and ``mark``: the watermark, a day behind the newest event of the parts before.
-_ARRIVED = """e AS (SELECT *, CAST(least(3, (day(ts) - 1) // 8 + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END) AS INT) AS part FROM events),
+_PARTS = "e AS (SELECT *, CAST(least(3, (day(ts) - 1) // 8 + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END) AS INT) AS part FROM events)"
+_ARRIVED = f"""{_PARTS},
 m AS (SELECT part, max(ts) AS newest FROM e GROUP BY part),
 a AS (SELECT e.*, (SELECT date_trunc('millisecond', max(newest)) - INTERVAL 1 DAY FROM m WHERE m.part < e.part) AS mark FROM e)"""
 _DELAY = "1 day"
@@ -80,6 +81,19 @@ def v09s(t):
         return R.drained(log, R.leases(log.stream, _DELAY), ["user_id"])
 
 
+#: The same where two sides are joined: the watermark follows the side that is behind.
+_BOTH = f"""{_PARTS}, m AS (SELECT part, max(ts) FILTER (WHERE event_type = 'signup') AS l, max(ts) FILTER (WHERE event_type = 'click') AS r FROM e GROUP BY part),
+a AS (SELECT e.*, (SELECT date_trunc('millisecond', least(max(l), max(r))) - INTERVAL 1 DAY FROM m WHERE m.part < e.part) AS mark FROM e),
+w AS (SELECT epoch_us(date_trunc('millisecond', least(max(l), max(r))) - INTERVAL 1 DAY) AS last FROM m), k AS (SELECT *, epoch_us(ts) AS s FROM a, w WHERE mark IS NULL OR ts > mark)"""
+
+
+@query("j11_stream_proximity", f"WITH {_BOTH} SELECT a.event_id, CASE WHEN count(b.event_id) > 0 THEN '' ELSE '*' END AS marker FROM k a LEFT JOIN k b ON b.user_id = a.user_id AND b.event_type = 'click' AND abs(a.s - b.s) <= 3600000000 WHERE a.event_type = 'signup' GROUP BY a.event_id, a.s, a.last HAVING count(b.event_id) > 0 OR a.s + 3600000000 < a.last")
+def j11s(t):
+    """A start of a session with what the same user loaded within an hour; one that nothing came near to is marked, once nothing can."""
+    log = R.Arrivals(t)
+    return R.drained(log, R.near_in_time(log.stream, _DELAY), ["event_id"], "append").select("event_id", F.when(F.col("other").isNull(), "*").otherwise("").alias("marker"))
+
+
 @query("v17_watermarked_counts", _late_counts("DAY"))
 def v17s(t):
     return _counts(t, "1 day")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.fulltext import FullText, index_of
+from ..operators.vectors import VectorIndex, vector_index_of
 from .scratch import folder
 
 TABLES = (
@@ -92,6 +93,15 @@ class Tables:
         """The application's index of the documents' texts."""
         return index_of(self.spark, self.documents, "doc_id", "text", folder)
 
+    @cached_property
+    def vectors(self) -> VectorIndex:
+        """The application's index of the embeddings."""
+        return vector_index_of(self.spark, self.embeddings, "vec_id", "embedding", folder)
+
+    def vector_of(self, number: int) -> DataFrame:
+        """The one-row query (query, q) that is the embedding of this number."""
+        return self.embeddings.where(F.col("vec_id") == number).limit(1).select(F.lit("").alias("query"), F.col("embedding").alias("q"))
+
     @cached_property
     def turns(self) -> DataFrame:
         """conv_id, turn, role, text, intent: the first word's first letter class stands for a turn's intent."""

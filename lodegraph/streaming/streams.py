@@ -234,6 +234,15 @@ def accepted(stream: DataFrame, key: str, gap: int, delay: str) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, last long, accepted long", "last long, n long, waiting array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def near_in_time(stream: DataFrame, delay: str) -> DataFrame:
+    """(event_id, other): each signup with the clicks of its user within an hour, either way; null where there is none and, by the
+    watermarks of both sides, none can come any more. Both sides forget what nothing can be near to."""
+    left = stream.where("event_type = 'signup'").select("event_id", "user_id", F.col("ts").alias("at")).withWatermark("at", delay)
+    right = stream.where("event_type = 'click'").select(F.col("event_id").alias("other"), F.col("user_id").alias("of"), F.col("ts").alias("other_at")).withWatermark("other_at", delay)
+    near = F.expr("of = user_id and other_at >= at - interval 1 hour and other_at <= at + interval 1 hour")
+    return left.join(right, near, "left_outer").select("event_id", "other")
+
+
 def incremental_upsert(stream: DataFrame, key: str) -> DataFrame:
     """The newest event of each key, kept up to date batch by batch."""
     return stream.groupBy(key).agg(F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("newest")).select(key, "newest.*")

@@ -36,7 +36,8 @@ def plain_components(edges):
 
 
 @pytest.mark.parametrize(("seed", "nodes", "n"), [(1, 12, 20), (2, 30, 34)])
-def test_components_against_plain_ones(spark, seed, nodes, n):
+def test_components_against_plain_ones(spark, monkeypatch, seed, nodes, n):
+    monkeypatch.setattr(R, "LOCAL_EDGES", 0)
     rng = random.Random(seed)
     edges = [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}") for _ in range(n)]
     # two rings joined by long chains, one of which leads back, and tails
@@ -45,13 +46,18 @@ def test_components_against_plain_ones(spark, seed, nodes, n):
     got = R.strongly_connected(spark.createDataFrame(edges, EDGE).repartition(3))
     assert {r.node: r.component for r in got.collect()} == plain_components(edges)
     assert got.count() == len(plain_components(edges))
+    monkeypatch.setattr(R, "LOCAL_EDGES", 10_000)  # by one task
+    assert {r.node: r.component for r in R.strongly_connected(spark.createDataFrame(edges, EDGE)).collect()} == plain_components(edges)
 
 
-def test_a_long_ring_and_a_long_tail(spark):
+def test_a_long_ring_and_a_long_tail(spark, monkeypatch):
+    monkeypatch.setattr(R, "LOCAL_EDGES", 0)
     ring = [(f"n{i:04d}", f"n{(i + 1) % 1000:04d}") for i in range(1000)] + [("n0500", "t0")] + [(f"t{i}", f"t{i + 1}") for i in range(300)]
     got = R.strongly_connected(spark.createDataFrame(ring, EDGE)).groupBy("component").count().collect()
     assert [tuple(r) for r in got] == [("n0000", 1000)]
     assert R.strongly_connected(spark.createDataFrame([], EDGE)).count() == 0
+    monkeypatch.setattr(R, "LOCAL_EDGES", 10_000)
+    assert [tuple(r) for r in R.strongly_connected(spark.createDataFrame(ring, EDGE)).groupBy("component").count().collect()] == [("n0000", 1000)]
 
 
 def plain_paths(edges, pairs, most):
