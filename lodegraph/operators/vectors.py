@@ -5,7 +5,8 @@ nearest centre, in a folder of its own. ``heads`` has each cell's centre, its me
 and a member. The angle between a query and any member is at least that to the centre less the width, so the k-th best
 of the nearest cells rules out all cells that can't come up to it; what is left is read, and the answer is that of a scan.
 
-Vectors without a length, of another length than the first's, or with a component that is null or not finite have no cosine and are left out.
+Vectors without a length, of another size than the commonest, or with a component that is null or not finite have no cosine and are left out;
+an index without vectors finds nothing.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ class VectorIndex:
         # one length: the commonest
         most = sized.groupBy(F.size("vector").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
         if most is None:
-            raise ValueError("no vector has a length")
+            sized.select("key", "vector", F.lit(0.0).alias("angle"), F.lit(0).alias("cell")).write.parquet(f"{self.folder}/cells")
+            self.spark.createDataFrame([], "cell int, n long, width double, centre array<double>").write.parquet(f"{self.folder}/heads")
+            return self
         good = sized.where(F.size("vector") == most["dims"])
         n = most["count"]
         cells = cells or max(1, min(MOST_CELLS, int(n**0.5)))

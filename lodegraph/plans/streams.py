@@ -87,6 +87,26 @@ a AS (SELECT e.*, (SELECT date_trunc('millisecond', least(max(l), max(r))) - INT
 w AS (SELECT epoch_us(date_trunc('millisecond', least(max(l), max(r))) - INTERVAL 1 DAY) AS last FROM m), k AS (SELECT *, epoch_us(ts) AS s FROM a, w WHERE mark IS NULL OR ts > mark)"""
 
 
+@query("v10_stream_retries", f"""WITH RECURSIVE {_TIMELY}, q AS (SELECT user_id, event_type AS k, s, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS rn FROM k WHERE s < last),
+f AS (SELECT user_id, 0::BIGINT AS rn, 'scheduled' AS outcome, 0 AS attempts, 0::BIGINT AS next_at, 0 AS early, 0 AS told, 0 AS due FROM (SELECT DISTINCT user_id FROM k)
+UNION ALL SELECT user_id, rn2,
+ CASE WHEN k = 'signup' AND NOT waits THEN 'scheduled' WHEN tries AND k = 'click' THEN 'delivered' WHEN tries THEN CASE WHEN attempts + 1 < 3 THEN 'retry' ELSE 'dead_letter' END ELSE outcome END,
+ CASE WHEN k = 'signup' AND NOT waits THEN 0 WHEN tries THEN attempts + 1 ELSE attempts END,
+ CASE WHEN k = 'signup' AND NOT waits OR tries AND (k = 'click' OR attempts + 1 >= 3) THEN s WHEN tries THEN s + (attempts + 1) * 10800000000 ELSE next_at END,
+ CASE WHEN k IN ('click', 'error') AND waits AND s < next_at THEN early + 1 ELSE early END,
+ CASE WHEN k = 'signup' AND NOT waits OR tries THEN 0 ELSE told END, due
+ FROM (SELECT *, outcome IN ('scheduled', 'retry') AS waits, outcome IN ('scheduled', 'retry') AND k IN ('click', 'error') AND s >= next_at AS tries
+  FROM (SELECT f.user_id, q.rn AS rn2, q.k, q.s, outcome, attempts, next_at, early, CASE WHEN outcome IN ('scheduled', 'retry') AND told = 0 AND next_at <= q.s THEN 1 ELSE told END AS told,
+   due + CAST(outcome IN ('scheduled', 'retry') AND told = 0 AND next_at <= q.s AS INT) AS due FROM f JOIN q ON q.user_id = f.user_id AND q.rn = f.rn + 1)))
+SELECT user_id, outcome, attempts::BIGINT AS attempts, next_at, early::BIGINT AS early, (due + CAST(outcome IN ('scheduled', 'retry') AND told = 0 AND next_at <= last AS INT))::BIGINT AS due
+FROM f JOIN (SELECT user_id, max(rn) AS rn FROM f GROUP BY user_id) USING (user_id, rn), w""")
+def v10s(t):
+    """Deliveries and their retries as a stream: when a retry's time has come a timer tells it."""
+    log = R.Arrivals(t)
+    with R.state_in_rocksdb(t.spark):
+        return R.drained(log, R.retries(log.stream, _DELAY), ["user_id"])
+
+
 @query("j11_stream_proximity", f"WITH {_BOTH} SELECT a.event_id, CASE WHEN count(b.event_id) > 0 THEN '' ELSE '*' END AS marker FROM k a LEFT JOIN k b ON b.user_id = a.user_id AND b.event_type = 'click' AND abs(a.s - b.s) <= 3600000000 WHERE a.event_type = 'signup' GROUP BY a.event_id, a.s, a.last HAVING count(b.event_id) > 0 OR a.s + 3600000000 < a.last")
 def j11s(t):
     """A start of a session with what the same user loaded within an hour; one that nothing came near to is marked, once nothing can."""

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.state import queue_step, suppression
+from ..operators.state import queue_step, retry_step, suppression
 from ..sources import event_log
 from ..sources.bindings import Tables
 from ..sources.scratch import folder
@@ -190,6 +190,30 @@ def leases(stream: DataFrame, delay: str) -> DataFrame:
     return timed(stream, "user_id", {"at": F.unix_micros("ts"), "id": F.col("event_id"), "action": action, "worker": F.col("event_id") % 3}, fold, rows, delay)
 
 
+def retries(stream: DataFrame, delay: str) -> DataFrame:
+    """(user_id, outcome, attempts, next_at, early, due) of each delivery; ``due`` counts how often its time came, which a worker is told
+    of by a row, whether an event of the delivery follows or not."""
+    rows = "user_id long, outcome string, attempts long, next_at long, early long, due long"
+
+    def step(state: tuple, at: int, number: int, action: str | None) -> tuple[tuple, None]:
+        after = retry_step(state[:4], at, number, action) if action else state[:4]
+        return (*after, state[4] if after[:3] == state[:3] else 0, state[5]), None
+
+    def due(state: tuple) -> int | None:
+        return state[2] if state[0] in ("scheduled", "retry") and not state[4] else None
+
+    def lapse(state: tuple) -> tuple[tuple, None]:
+        return (*state[:4], 1, state[5] + 1), None
+
+    fold = TimedFold(
+        "outcome string, attempts long, next_at long, early long, told long, due long", "at long, id long, action string", rows,
+        ("scheduled", 0, 0, 0, 0, 0), step, due, lapse, lambda s: (*s[:4], s[5]),
+    )
+    kinds = {"signup": "schedule", "click": "deliver", "error": "fail"}
+    action = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    return timed(stream, "user_id", {"at": F.unix_micros("ts"), "id": F.col("event_id"), "action": action}, fold, rows, delay)
+
+
 def debounced(stream: DataFrame, delay: str) -> DataFrame:
     """(user_id, event_id): the last event of each run of events not more than ``GAP`` apart, once nothing came for that long."""
     rows = "user_id long, event_id long"

@@ -105,6 +105,14 @@ def test_a_lease_ends_without_another_event_of_its_job(spark):
     assert [r[1:] for r in out if r[0] == 2][-2:] == [("running", 1, 0, 0), ("queued", 1, 1, 0)]
 
 
+def test_a_retry_comes_due_without_another_event(spark):
+    """A failed delivery is retried three hours later; nothing of it comes, and its time is told all the same."""
+    first = [(1, DAY, 1, "error"), (2, DAY + HOUR, 2, "view")]
+    out = fed(spark, R.retries, [first, [(3, DAY + 3 * HOUR, 2, "view")], [(4, DAY + 9 * HOUR, 2, "view")]])
+    of = [r[1:] for r in out if r[0] == 1]
+    assert of[-1][:2] == ("retry", 1) and of[-1][-1] == 2 and ("retry", 1) in [r[:2] for r in of if r[-1] == 1]
+
+
 def test_debounce_tells_when_it_is_quiet(spark):
     minute = datetime.timedelta(minutes=1)
     first = [(1, DAY, 1, "view"), (2, DAY + minute, 1, "view"), (3, DAY + 5 * minute, 1, "view")]

@@ -57,9 +57,10 @@ def test_threshold_search_equals_the_scan(spark, clustered):
     assert got == set(np.flatnonzero(scores(x, x[9]) >= 0.9).tolist()) and len(got) > 5
 
 
-def test_no_vector_with_a_length_is_told(spark):
-    with pytest.raises(ValueError, match="no vector"):
-        VectorIndex(spark, folder(spark)).build(spark.createDataFrame([(1, None)], "k long, v array<double>"), "k", "v")
+def test_an_index_without_vectors_finds_nothing(spark):
+    index = VectorIndex(spark, folder(spark)).build(spark.createDataFrame([(1, None), (2, [0.0])], "k long, v array<double>"), "k", "v")
+    q = spark.createDataFrame([("a", [1.0, 2.0])], "query string, q array<double>")
+    assert index.search(q, 3)[0].count() == 0 and index.within(q, 0.1).count() == 0
 
 
 def files(path, version):
