@@ -76,7 +76,7 @@ def test_a_document_of_very_many_lines(spark):
 
     from lodegraph.llm import line_dedup
 
-    lines = [f"line {i // 2} of many words in here" for i in range(60_000)]
+    lines = [f"line {i // 2} of many words in here" for i in range(20_000)]
     docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
     began = time.time()
     text = line_dedup.dedup_lines(docs).first().text
