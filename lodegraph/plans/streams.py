@@ -44,7 +44,7 @@ def v07s(t):
     return R.drained(log, R.incremental_upsert(log.stream, "user_id"), ["user_id"])
 
 
-@query("v08_polling_cursor", f"WITH {_ARRIVED}, p AS (SELECT *, row_number() OVER (ORDER BY part, event_id) - 1 AS seq FROM a) SELECT event_type, max(seq) AS cursor, max(event_id) AS newest, count(*) AS handled FROM p GROUP BY event_type")
+@query("v08_polling_cursor", f"WITH {_ARRIVED}, p AS (SELECT *, row_number() OVER (ORDER BY part, event_id NULLS FIRST, event_type NULLS FIRST) - 1 AS seq FROM a) SELECT event_type, max(seq) AS cursor, max(event_id) AS newest, count(*) AS handled FROM p GROUP BY event_type")
 def v08s(t):
     return R.polled(R.Arrivals(t), "event_type", "event_id")
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from .scratch import stored
+
 SLICE = 100_000
 
 
@@ -43,9 +45,11 @@ def end(folder: str) -> int:
 
 def append(rows: DataFrame, folder: str, order: Sequence[str]) -> int:
     """Add ``rows`` in their order as one segment; the position after its last row. No rows add no segment."""
-    n, first = rows.count(), end(folder)
+    first = end(folder)
+    # written once: ranges are sampled, so planned twice they need not begin at the same rows
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    n = ranged.count()
     if n:
-        ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
         part = F.shiftright("__at", 33)
         # where each range begins is known from its count, a row for each range
         starts = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))

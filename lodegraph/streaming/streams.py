@@ -86,7 +86,7 @@ def polled(log: Arrivals, group: str, value: str) -> DataFrame:
         rows.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
     for part in range(ARRIVALS):
-        event_log.append(log.part(part).select(group, value), path, [value])
+        event_log.append(log.part(part).select(group, value), path, [value, group])  # rows alike in both are interchangeable
         consumed(event_log.stream(spark, path, wanted), handle, f"{base}/checkpoint")
     rows = spark.read.schema(kinds).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
     return rows.groupBy(group).agg(F.max("seq").alias("cursor"), F.max(value).alias("newest"), F.count("*").alias("handled"))

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lodegraph.plans import ORACLE, QUERIES
 from lodegraph.sources import event_log
 from lodegraph.sources.scratch import folder
 from lodegraph.streaming import streams as R
@@ -26,6 +27,24 @@ def test_positions_follow_the_order_of_appends(spark):
     assert [tuple(r) for r in got] == [(0, 3), (1, 4), (2, 5), (3, 1), (4, 2)]
 
 
+def test_positions_are_whole_where_ranges_are_sampled(spark):
+    path = folder(spark)
+    rows = spark.range(0, 400_000, 1, 8).select((F.col("id") * 7919 % 400_000).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+    assert event_log.append(rows, path, ["v"]) == 400_000
+    assert spark.read.parquet(f"{path}/segment=0-399999").where("seq <> v").count() == 0
+
+
+def test_positions_of_equal_events_follow_their_kind(spark, tmp_path):
+    """Event ids that repeat leave no order open: query and SQL place their kinds alike."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = spark.range(6000).select((F.col("id") % 500).alias("event_id"), (F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(F.col("id") % 28)).cast("timestamp_ntz").alias("ts"), F.element_at(F.array(*[F.lit(x) for x in "dbca"]), ((F.col("id") * 7 + F.col("id") / 500).cast("int") % 4 + 1)).alias("event_type"))
+    rows.repartition(5).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = QUERIES["v08_polling_cursor"](spark, str(tmp_path)).select("event_type", "cursor", "newest", "handled").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT event_type, cursor, newest, handled FROM ({ORACLE['v08_polling_cursor']})").fetchall())
+
+
 def test_a_failed_batch_comes_again_from_its_offset(spark):
     """The failure is raised; after the restart the same rows come under the same number, and later ones in a batch of their own."""
     path, checkpoint, schema = folder(spark), folder(spark), numbers(spark).schema
