@@ -2,8 +2,8 @@
 
 ``folder/postings`` has a row for each term, batch and window of ``WINDOW`` consecutive keys: how many documents, the largest term
 frequency and the least length among them, and the postings (key, frequency, length) themselves. Rows are dealt to folders by
-a hash of the term and sorted by (term, window) in files, so a search opens the folders of its terms and skips the row groups and pages
-of others. ``folder/totals`` has the documents and words of each batch and is written last: a batch without totals
+a hash of the term and sorted by (term, window) in files, a file for each task's windows, so a search opens the folders of its terms and skips the
+row groups and pages of others. ``folder/totals`` has the documents and words of each batch and is written last: a batch without totals
 doesn't count, so a failed append leaves nothing that a search sees.
 
 A search is for many queries at once. From the blocks' headers alone it has an upper bound of what any document in a window can
@@ -30,6 +30,10 @@ BUCKETS = 16
 SEEDS = 4
 #: Terms or windows that go into a scan's filter as values; more are joined only.
 PUSHED = 200
+#: Windows that a task puts together, about.
+TASK_WINDOWS = 8
+#: Windows of queries that restrict a search's second reading, at most.
+PAIRS = 1_000_000
 #: Blocks in a page of a file at most; pages of other windows are skipped by the pages' index.
 PAGE_ROWS = 50
 K1, B = 1.2, 0.75
@@ -55,14 +59,17 @@ class FullText:
         """Add ``docs`` as one more batch, whose number is returned."""
         batch = max((b for b, *_ in self._totals()), default=-1) + 1
         rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), X.tokens(F.col(text)).alias("w"))
-        each = rows.select("key", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
-        counted = each.groupBy("term", "key").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).withColumn("window", F.floor(F.col("key") / self.window))
-        blocks = counted.groupBy("term", "window").agg(  # ``window`` keys at most
+        # a document moves once, to its window's task; its postings are counted and put together there, so none moves on its own
+        windows = rows.count() // self.window + 1
+        tasks = max(min(windows, self.spark.sparkContext.defaultParallelism), windows // TASK_WINDOWS)
+        local = rows.withColumn("window", F.floor(F.col("key") / self.window)).repartition(tasks, "window")
+        each = local.select("window", "key", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+        counted = each.groupBy("window", "term", "key").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+        blocks = counted.groupBy("window", "term").agg(  # ``window`` keys at most
             F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.array_sort(F.collect_list(F.struct("key", "tf", "dl"))).alias("docs")
         )
-        order = ["bucket", "term", "window"]
-        ranged = blocks.withColumn("bucket", self._bucket(F.col("term"))).repartitionByRange(*order).sortWithinPartitions(*order)
-        ranged.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", self.row_group).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.folder}/postings/batch={batch}")
+        dealt = blocks.select("term", "window", "n", "most", "least", "docs", self._bucket(F.col("term")).alias("bucket")).sortWithinPartitions("bucket", "term", "window")
+        dealt.write.mode("overwrite").partitionBy("bucket").option("parquet.block.size", self.row_group).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(f"{self.folder}/postings/batch={batch}")
         totals = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("w").cast("long")), F.lit(0)).alias("words"))
         totals.write.mode("overwrite").parquet(f"{self.folder}/totals/batch={batch}")
         return batch
@@ -98,12 +105,20 @@ class FullText:
         idf = F.log(1 + (n - F.col("d") + 0.5) / (F.col("d") + 0.5))
         return stored(words.join(df, "term").select("query", "term", (F.col("times") * idf).alias("w"))), terms
 
-    def _scored(self, wanted: DataFrame, terms: list[str] | None, windows: list[int] | None = None) -> DataFrame:
-        """(query, term, w, and window where given) -> (query, key, score) from the blocks' postings."""
-        on = ["term", "window"] if "window" in wanted.columns else ["term"]
-        blocks = self._postings(terms, windows).select("term", "window", "docs")
-        each = blocks.join(wanted, on).select("query", "w", F.explode("docs").alias("d")).select("query", F.col("d.key").alias("key"), "w", F.col("d.tf").alias("tf"), F.col("d.dl").alias("dl"))
-        return each.groupBy("query", "key").agg(F.sum(F.col("w") * self._impact("tf", "dl")).alias("score"))
+    def _scored(self, wanted: DataFrame, terms: list[str] | None, windows: list[int] | None = None, pairs: DataFrame | None = None) -> DataFrame:
+        """(query, term, w) -> (query, key, score) from the blocks' postings, of the given ``pairs`` (query, window) only where there are any."""
+        each = self._asked(wanted, terms, windows, "docs")
+        if pairs is not None:
+            each = each.join(F.broadcast(pairs), ["query", "window"], "left_semi")  # ``PAIRS`` rows
+        each = each.select("query", "window", "w", F.explode("docs").alias("d")).select("query", "window", F.col("d.key").alias("key"), "w", F.col("d.tf").alias("tf"), F.col("d.dl").alias("dl"))
+        return each.groupBy("query", "window", "key").agg(F.sum(F.col("w") * self._impact("tf", "dl")).alias("score")).drop("window")
+
+    def _asked(self, wanted: DataFrame, terms: list[str] | None, windows: list[int] | None, docs: str) -> DataFrame:
+        """(query, term, w, window, docs): blocks by window, so that a block moves once for all queries and a document's terms meet where they are."""
+        blocks = self._postings(terms, windows).select("term", "window", F.col(docs).alias("docs"))
+        if terms is None:
+            blocks = blocks.join(wanted.select("term").distinct(), "term", "left_semi")
+        return blocks.repartition("window").join(wanted, "term")
 
     def scores(self, words: Sequence[str]) -> DataFrame:
         """(key, score) of every document that has one of ``words``."""
@@ -117,8 +132,8 @@ class FullText:
         if not self._totals():
             return self.spark.createDataFrame([], "query string, key long, words long")
         wanted, terms = self.weights(queries)
-        each = self._postings(terms).select("term", "docs").join(wanted, "term").select("query", "term", F.explode("docs.key").alias("key"))
-        return each.groupBy("query", "key").agg(F.count("*").alias("words"))
+        each = self._asked(wanted, terms, None, "docs.key").select("query", "window", "term", F.explode("docs").alias("key"))
+        return each.groupBy("query", "window", "key").agg(F.count("*").alias("words")).drop("window")
 
     def bounds(self, wanted: DataFrame, terms: list[str] | None) -> DataFrame:
         """(query, window, bound): from the blocks' headers, what no document of a window can exceed."""
@@ -130,7 +145,7 @@ class FullText:
         """(the scores in each query's best windows, the other windows that can hold one of its ``k`` best)."""
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "window"))
         first = stored(bounds.withColumn("rn", place).where(F.col("rn") <= seeds).select("query", "window"))
-        found = stored(self._scored(first.join(wanted, "query"), terms, self._few(first)))
+        found = stored(self._scored(wanted, terms, self._few(first), first))
         kth = best(found, k).groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(0.0)).alias("least"))
         rest = bounds.join(first, ["query", "window"], "left_anti").join(kth, "query", "left")
         return found, stored(rest.where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - _SLACK).select("query", "window"))
@@ -147,9 +162,11 @@ class FullText:
             return self.spark.createDataFrame([], "query string, key long, score double, rank int")
         wanted, terms = self.weights(queries)
         found, rest = self.survivors(stored(self.bounds(wanted, terms)), wanted, terms, k, seeds)
-        windows = self._few(rest)
-        if windows != []:
-            found = found.unionByName(self._scored(rest.join(wanted, "query"), terms, windows))
+        pairs = rest.count()
+        if pairs > PAIRS:  # more than a broadcast should have: every window is scored, those of ``found`` again
+            return best(self._scored(wanted, terms), k)
+        if pairs:
+            found = found.unionByName(self._scored(wanted, terms, self._few(rest), rest))
         return best(found, k)
 
 

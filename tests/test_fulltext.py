@@ -119,3 +119,33 @@ def test_whole_documents(spark, duck):
     got = index.search({"a": ["the", "license"], "b": ["und", "the", "permission"]}, 5).collect()
     for q, words in (("a", ["the", "license"]), ("b", ["und", "the", "permission"])):
         assert [r.key for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == [k for k, _ in ranked(plain_scores(rows, words), 5)]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_postings_move_by_window_only(spark, monkeypatch):
+    """What counts and scores the postings of all queries is grouped where a window's blocks are; the results don't depend on the bounds."""
+    from lodegraph.operators import fulltext
+
+    rng = random.Random(3)
+    docs = some_docs(rng, 300)
+    index = FullText(spark, folder(spark), window=16)
+    index.append(spark.createDataFrame(docs, "k long, x string").repartition(3), "k", "x")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i + j}") for i in range(6) for j in (0, 9, 30)], "query string, term string")
+    many = index.matches(asked)
+    wanted, terms = index.weights(asked)
+    assert exchanges(many) == 1 and exchanges(index._scored(wanted, terms)) == 1
+    has = lambda x, i: sum(f"w{i + j}" in (x or "").split() for j in (0, 9, 30))
+    assert sorted(map(tuple, many.collect())) == sorted((f"q{i}", k, has(x, i)) for i in range(6) for k, x in docs if has(x, i))
+    pruned = sorted((r["query"], r["rank"], r["key"]) for r in index.search(asked, 4, 1).collect())
+    monkeypatch.setattr(fulltext, "PAIRS", 0)
+    assert pruned == sorted((r["query"], r["rank"], r["key"]) for r in index.search(asked, 4, 1).collect())
+
+
+def test_repeated_keys_are_one_document(spark):
+    index = FullText(spark, folder(spark), window=16)
+    index.append(spark.createDataFrame([(1, "a b"), (1, "a c d"), (2, "b")] * 2, "k long, x string").repartition(3), "k", "x")
+    got = {(r.term, tuple(d)) for r in index._postings(None).collect() for d in r.docs}
+    assert got == {("a", (1, 4, 3)), ("b", (1, 2, 2)), ("b", (2, 2, 1)), ("c", (1, 2, 3)), ("d", (1, 2, 3))}
