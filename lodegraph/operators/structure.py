@@ -169,45 +169,47 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     """(start, goal) -> (start, goal, length, path): for each pair that up to ``most`` edges join, the shortest path; of several the
     least in the order of its nodes.
 
-    Searches run from both ends, the side whose front is smaller goes on, and a pair is done when they meet. Only the edges that reach
-    a node first are kept; from the meeting nodes they give the nodes of all shortest paths, of which each step takes the least.
+    Searches run from both ends, the side whose front is smaller goes on, and a pair is done when they meet. A search belongs to its end
+    alone, so all pairs that have this end share it, and it goes on while one of them is open. Only the edges that reach a node first are
+    kept; from the meeting nodes they give the nodes of all shortest paths, of which each step takes the least.
     """
     step = stored(edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct())
     pairs = stored(pairs.select("start", "goal").distinct())
-    key = ["start", "goal"]
-    seen = {side: pairs.select(*key, F.col(end).alias("node"), F.lit(0).alias("depth")) for side, end in (("ahead", "start"), ("back", "goal"))}
+    key, ends = ["start", "goal"], {"ahead": "start", "back": "goal"}
+    seen = {side: stored(pairs.select(end, F.col(end).alias("node")).distinct()) for side, end in ends.items()}
     front, depth = dict(seen), {"ahead": 0, "back": 0}
     reached = {side: None for side in seen}
     met = stored(pairs.where("start = goal").select(*key, F.col("start").alias("node"), F.lit(0).alias("length"), F.lit(0).alias("at")))
-    sizes = {side: pairs.count() for side in seen}
+    sizes = {side: seen[side].count() for side in seen}
     while sum(depth.values()) < most and all(sizes.values()):
         side = min(sizes, key=sizes.get)
+        end = ends[side]
         here, there = ("from", "to") if side == "ahead" else ("to", "from")
-        todo = front[side].join(met.select(*key).distinct(), key, "left_anti")
-        ways = todo.join(step, F.col("node") == F.col(here)).select(*key, F.col(here).alias("near"), F.col(there).alias("node"))
+        todo = pairs.join(met.select(*key).distinct(), key, "left_anti")
+        ways = front[side].join(todo.select(end).distinct(), end, "left_semi").join(step, F.col("node") == F.col(here)).select(end, F.col(here).alias("near"), F.col(there).alias("node"))
         depth[side] += 1
-        ways = stored(ways.join(seen[side].select(*key, "node"), [*key, "node"], "left_anti").withColumn("depth", F.lit(depth[side])))
+        ways = stored(ways.join(seen[side], [end, "node"], "left_anti").withColumn("depth", F.lit(depth[side])))
         reached[side] = ways if reached[side] is None else reached[side].unionByName(ways)
-        front[side] = stored(ways.select(*key, "node", "depth").distinct())
+        front[side] = stored(ways.select(end, "node").distinct())
         sizes[side] = front[side].count()
         seen[side] = seen[side].unionByName(front[side])
-        other = "back" if side == "ahead" else "ahead"
-        # a first meeting is at the other side's front, or it would have been seen before
-        now = front[side].join(front[other].select(*key, "node"), [*key, "node"]).select(*key, "node", F.lit(sum(depth.values())).alias("length"), F.lit(depth["ahead"]).alias("at"))
+        # a pair that is open meets at both fronts, or it would have met before
+        less = min(sizes, key=sizes.get)
+        more = "back" if less == "ahead" else "ahead"
+        now = todo.join(front[less], ends[less]).join(front[more], [ends[more], "node"]).select(*key, "node", F.lit(sum(depth.values())).alias("length"), F.lit(depth["ahead"]).alias("at"))
         met = stored(met.unionByName(now))
 
     # the edges of all shortest paths, from the meeting nodes to both ends
     parts = []
-    for side in seen:
-        on = met.select(*key, "node")
+    for side, end in ends.items():
+        on = met.select(*key, "node", (F.col("at") if side == "ahead" else F.col("length") - F.col("at")).alias("depth"))
         if reached[side] is None:
             continue
         for d in range(depth[side], 0, -1):
-            # a pair's meeting node is at this depth of this side, or at one further down
-            level = reached[side].where(F.col("depth") == d)
-            used = stored(level.join(on, [*key, "node"]).select(*key, "near", "node").distinct())
+            level = reached[side].where(F.col("depth") == d).drop("depth")
+            used = stored(on.where(F.col("depth") == d).join(level, [end, "node"]).select(*key, "near", "node").distinct())
             parts.append(used.select(*key, *(("near", "node") if side == "ahead" else (F.col("node").alias("near"), F.col("near").alias("node")))))
-            on = on.unionByName(used.select(*key, F.col("near").alias("node"))).distinct()
+            on = on.unionByName(used.select(*key, F.col("near").alias("node"), F.lit(d - 1).alias("depth"))).distinct()
     path = met.groupBy(*key).agg(F.min("length").alias("length")).withColumn("path", F.array("start"))
     if parts:
         ways = parts[0]

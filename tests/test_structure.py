@@ -98,6 +98,24 @@ def test_a_hub_between_both_ends(spark):
     assert [r.path for r in got] == [["a", "b", "hub", "c", "d"]]
 
 
+def test_pairs_share_the_search_of_an_end(spark, monkeypatch):
+    """Many goals of one start, in a part that it can't leave: what is kept grows with the part, not with the pairs."""
+    kept, store = [], R.stored
+
+    def counting(df):
+        found = store(df)
+        if "near" in df.columns and "depth" in df.columns:
+            kept.append(found.count())
+        return found
+
+    monkeypatch.setattr(R, "stored", counting)
+    chain = [(f"a{i}", f"a{i + 1}") for i in range(6)]
+    pairs = [("a0", f"z{i}") for i in range(50)] + [("a0", "a6"), ("a1", "a6")]
+    got = R.shortest_paths(spark.createDataFrame(chain, EDGE), spark.createDataFrame(pairs, "start string, goal string"), 10).collect()
+    assert sorted((r.start, r.length) for r in got) == [("a0", 6), ("a1", 5)]
+    assert sum(kept) <= 2 * len(chain)
+
+
 def accepted(times, gap):
     last, n = None, 0
     for t in sorted(times):
