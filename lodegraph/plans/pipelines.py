@@ -292,7 +292,7 @@ def p23(t):
     jobs = _jobs(t)
     stages = jobs.groupBy("owner", "revision", "status").agg(F.count("*").alias("n"))
     bundles = stages.groupBy("owner", "revision").agg(F.count("*").alias("stages"), F.sum("n").alias("jobs"), A.worst(F.col("status"), ["succeeded", "running", "queued"]).alias("worst"))
-    found = bundles.join(E.roots(E.tree(jobs, ["owner", "revision"], "job_id", _CONTENT), ["owner", "revision"]).drop("rows"), ["owner", "revision"])
+    found = bundles.join(E.roots_of(jobs, ["owner", "revision"], "job_id", _CONTENT).drop("rows"), ["owner", "revision"])
     return found.withColumn("before", F.lag("digest").over(Window.partitionBy("owner").orderBy("revision")))
 
 

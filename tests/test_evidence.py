@@ -54,3 +54,14 @@ def test_levels_follow_the_keys(spark):
     (far,) = trees(spark, [("a", 10**12, "x", 1), ("a", 5, "x", 1)])
     tops = far.where("g = 'a'").orderBy("level").groupBy("level").count().orderBy("level").collect()
     assert tops[-1]["count"] == 1 and tops[0]["count"] == 2
+
+
+@pytest.mark.parametrize("whole", [0, 150, 1000])
+def test_roots_alone_are_those_of_the_tree(spark, whole):
+    """Built in the groups or, for large ones, level by level; a small group's rows move once and no level is written."""
+    rows = spark.createDataFrame([*some_rows(3), ("c", 10**9, "x", 1), (None, 5, "x", 1)], ROW).repartition(3)
+    want = {r.g: (r.rows, r.digest) for r in E.roots(E.tree(rows, ["g"], "k", ["k", "v", "n"]), ["g"]).collect()}
+    got = E.roots_of(rows, ["g"], "k", ["k", "v", "n"], whole=whole)
+    assert {r.g: (r.rows, r.digest) for r in got.collect()} == want
+    if whole == 1000:
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
