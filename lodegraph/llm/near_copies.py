@@ -1,8 +1,9 @@
 """Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Words and shingles are those of ``simhash``, five words wide and hashed by XXH64. Candidates share a band of ``ROWS``
-min-hashes, ``BANDS`` bands in all, so a pair at 0.8 is a candidate with a chance above 0.999 and a nearer one all but
-surely; every candidate is verified on the whole sets, so no link is below 0.8.
+Words and shingles are those of ``simhash``, five words wide and hashed by XXH64. Candidates are found by its pigeonring join over
+the SimHash fingerprints of the sets, at most three bits apart. Copies at 0.8 often differ in more bits, so those that share a band of
+``ROWS`` min-hashes are candidates too, ``BANDS`` bands in all: a pair at 0.8 is one with a chance above 0.999 and a nearer one all but
+surely. Every candidate is verified on the whole sets, so no link is below 0.8.
 
 A band's bucket is first compared with one of its members, which connects a dense group in as many pairs as it has
 members; while many are open in large buckets, some of them serve as further centres, which connects more in few pairs. Of
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_batches, spread, text_column
 from .components import connected_components
-from .simhash import LOWER, classes, least_of_class
+from .simhash import LOWER, all_links, classes, least_of_class, voted
 
 WIDTH = 5
 BANDS, ROWS = 20, 5
@@ -65,22 +66,23 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, fp, bands, shingles): one row per document, ``fp`` being a hash of its set."""
+    """(key, fp, bands, shingles, sim): one row per document, ``fp`` being a hash of its set and ``sim`` the set's SimHash."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py()) for x in batch.column(1)]
             fps = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            sims = np.array([voted(x) for x in found], np.uint64).view(np.int64)
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps), pa.array([bands(x) for x in found], lists), pa.array([x.view(np.int64) for x in found], lists)],
-                names=["key", "fp", "bands", "shingles"],
+                [batch.column(0), pa.array(fps), pa.array([bands(x) for x in found], lists), pa.array([x.view(np.int64) for x in found], lists), pa.array(sims)],
+                names=["key", "fp", "bands", "shingles", "sim"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = spread(docs.select(F.col(key).alias("key"), text_column(docs, text).alias("text")))
-    return rows.mapInArrow(run, f"key {kind}, fp long, bands array<long>, shingles array<long>")
+    return rows.mapInArrow(run, f"key {kind}, fp long, bands array<long>, shingles array<long>, sim long")
 
 
 def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
@@ -109,6 +111,16 @@ def _sharing_prefixes(some: DataFrame, all_: DataFrame, base: DataFrame) -> Data
     return near.select("u", F.col("fp").alias("v"))
 
 
+def by_fingerprint(base: DataFrame) -> DataFrame:
+    """(u, v): candidates by SimHash. Sets of one fingerprint meet at the least of them, which stands for it in the pigeonring join."""
+    sims = materialise(base.groupBy("fp").agg(F.first("sim").alias("sim")))
+    heads = materialise(sims.groupBy("sim").agg(F.min("fp").alias("head")))
+    alike = sims.join(heads, "sim").where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v"))
+    first, second = heads.select(F.col("sim").alias("u"), F.col("head").alias("a")), heads.select(F.col("sim").alias("v"), F.col("head").alias("b"))
+    apart = all_links(heads.select(F.col("sim").alias("fp"))).join(first, "u").join(second, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return alike.unionByName(apart)
+
+
 def links(base: DataFrame) -> DataFrame:
     """``sets`` -> (u, v): links of near sets whose components are those of all near pairs."""
     index = base.groupBy("fp").agg(F.first(F.size("shingles")).alias("n"), F.first("bands").alias("bands"))
@@ -120,7 +132,8 @@ def links(base: DataFrame) -> DataFrame:
 
     buckets = index.groupBy("band").agg(F.count("*").alias("members"), centre(0).alias("c")).where("members > 1")
     shared = materialise(index.join(buckets.select("band", "members", F.col("c.fp").alias("c"), F.col("c.n").alias("c_n")), "band"))
-    near = _verified(shared.where("fp <> c and " + _SIZES.format("n", "c_n")).select(F.col("fp").alias("u"), F.col("c").alias("v")), base)
+    central = shared.where("fp <> c and " + _SIZES.format("n", "c_n")).select(F.col("fp").alias("u"), F.col("c").alias("v"))
+    near = _verified(by_fingerprint(base).unionByName(central), base)
     entries = index.count()
     for k in range(ROUNDS + 1):
         names = connected_components(near).select(F.col("node").alias("fp"), F.col("component").alias("label"))

@@ -47,7 +47,12 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
     n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
+    return voted(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without any."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for part in np.array_split(hashes, max(1, n // 4096)):
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
