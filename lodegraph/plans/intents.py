@@ -320,7 +320,7 @@ def holders(t):
     long = items.where(F.size("w") >= run + 2).select("query", "passage", F.array_join(F.slice("w", 2, run), " ").alias("run"))
     texts = t.documents.select(F.col("doc_id").alias("key"), words("text").alias("w")).where(F.size("w") >= run)
     runs = texts.select("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.array_join(F.slice("w", i, run), " ")))).alias("run"))
-    near = runs.join(long, "run").select("query", "passage", "key")
+    near = stored(runs.join(long, "run").select("query", "passage", "key").distinct())  # few, so that they go to the texts
     found = near.join(t.documents.select(F.col("doc_id").alias("key"), "text"), "key").where(F.contains("text", F.col("passage"))).select("query", "key")
     return found.distinct()
 
