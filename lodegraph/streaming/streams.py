@@ -92,12 +92,23 @@ def polled(log: Arrivals, group: str, value: str) -> DataFrame:
     return rows.groupBy(group).agg(F.max("seq").alias("cursor"), F.max(value).alias("newest"), F.count("*").alias("handled"))
 
 
+#: Neighbouring keys that share a group: bounded, so a group's state is too, however many keys there are.
+BUNDLE = 256
+
+
+def _bundle(key: str) -> Column:
+    return F.floor(F.col(key) / BUNDLE).alias("bundle")
+
+
 class TimedFold(StatefulProcessor):
     """A fold over each key's events in the order of their times that also acts when nothing arrives.
 
     Events wait until the watermark has passed them, then no earlier one can come. ``step(state, *event)`` takes an event in; where
     ``due(state)`` names a time, ``lapse(state)`` is what becomes of the state then, before any event at or after it: a timer
     sees to it if none comes. Both return (state, row or None). With ``shown`` a row of the state follows each change.
+
+    The group is a bundle of ``BUNDLE`` neighbouring keys, as Spark calls Python and its state once for each group; every key in it
+    has a state and waiting events of its own.
     """
 
     def __init__(self, kinds: str, event: str, rows: str, start: tuple, step, due, lapse, shown=None):
@@ -107,13 +118,11 @@ class TimedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state, self.waiting = handle.getValueState("state", self.kinds), handle.getListState("waiting", self.event)
+        self.states, self.waiting = handle.getListState("states", f"of long, {self.kinds}"), handle.getListState("waiting", f"of long, {self.event}")
 
-    def _advance(self, key: tuple, arrived: list[tuple], mark: int) -> Iterator[pd.DataFrame]:
-        before = state = tuple(self.state.get()) if self.state.exists() else self.start
-        events = sorted([*(tuple(x) for x in self.waiting.get()), *arrived])
-        rows, rest = [], [e for e in events if e[0] >= mark]
-        for e in [*(e for e in events if e[0] < mark), None]:
+    def _followed(self, state: tuple, events: list[tuple], mark: int) -> tuple[tuple, list[tuple]]:
+        rows = []
+        for e in [*events, None]:
             at = self.due(state)
             if at is not None and at <= (mark if e is None else e[0]):
                 state, row = self.lapse(state)
@@ -121,23 +130,42 @@ class TimedFold(StatefulProcessor):
             if e is not None:
                 state, row = self.step(state, *e)
                 rows += [row] if row else []
-        self.state.update(state)
+        return state, rows
+
+    def _advance(self, arrived: dict[int | None, list[tuple]], mark: int) -> Iterator[pd.DataFrame]:
+        states = {of: tuple(state) for of, *state in self.states.get()} if self.states.exists() else {}
+        waiting = {of: [*events] for of, events in arrived.items()}
+        for of, *event in self.waiting.get() if self.waiting.exists() else ():
+            waiting.setdefault(of, []).append(tuple(event))
+        rows, rest, times = [], [], []
+        for of in {**states, **waiting}:
+            before = state = states.get(of, self.start)
+            events = sorted(waiting.get(of, ()))
+            state, made = self._followed(state, [e for e in events if e[0] < mark], mark)
+            later = [e for e in events if e[0] >= mark]
+            states[of] = state
+            rest += [(of, *e) for e in later]
+            times += [t for t in (later[0][0] if later else None, self.due(state)) if t is not None]
+            if self.shown and (state != before or of in arrived):
+                made.append(self.shown(state))
+            rows += [(of, *r) for r in made]
+        self.states.put([(of, *state) for of, state in states.items()])
         if rest or self.waiting.exists():
             self.waiting.put(rest) if rest else self.waiting.clear()
-        times = [t for t in (rest[0][0] if rest else None, self.due(state)) if t is not None]
         if times:
             self.handle.registerTimer(max(min(times) // 1000 + 1, mark // 1000 + 1))
-        if self.shown and (state != before or arrived):
-            rows.append(self.shown(state))
         if rows:
-            yield pd.DataFrame([(key[0], *r) for r in rows], columns=self.names)
+            yield pd.DataFrame(rows, columns=self.names)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = [tuple(x) for frame in rows for x in frame[self.columns].itertuples(index=False, name=None)]
-        yield from self._advance(key, arrived, timerValues.getCurrentWatermarkInMs() * 1000)
+        arrived: dict[int | None, list[tuple]] = {}
+        for frame in rows:
+            for of, *event in frame[[self.names[0], *self.columns]].itertuples(index=False, name=None):
+                arrived.setdefault(None if key[0] is None else of, []).append(tuple(event))  # keys that are null have a bundle of their own
+        yield from self._advance(arrived, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._advance({}, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass
@@ -145,8 +173,8 @@ class TimedFold(StatefulProcessor):
 
 def timed(stream: DataFrame, key: str, event: dict[str, Column], fold: TimedFold, rows: str, delay: str) -> DataFrame:
     """``fold`` over the events of each key; the first column of an event is its time in microseconds."""
-    marked = stream.withWatermark("ts", delay).select(key, "ts", *[c.alias(k) for k, c in event.items()])
-    return marked.groupBy(key).transformWithStateInPandas(statefulProcessor=fold, outputStructType=rows, outputMode="Update", timeMode="EventTime")
+    marked = stream.withWatermark("ts", delay).select(_bundle(key), key, "ts", *[c.alias(k) for k, c in event.items()])
+    return marked.groupBy("bundle").transformWithStateInPandas(statefulProcessor=fold, outputStructType=rows, outputMode="Update", timeMode="EventTime")
 
 
 @contextmanager
@@ -235,27 +263,43 @@ def accepted(stream: DataFrame, key: str, gap: int, delay: str) -> DataFrame:
     order of their times.
 
     Events wait in the state until the watermark has passed them, then no earlier one can come; those more than ``delay``
-    behind the newest are late and dropped by Spark. A row tells what the waiting ones would add so far.
+    behind the newest are late and dropped by Spark. A row tells what the waiting ones would add so far. Keys share groups as in ``TimedFold``.
     """
     step = suppression(gap)
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n, waiting = state.get if state.exists else (-1, 0, [])
-        every = sorted({*waiting, *(s for frame in frames for s in frame["s"].tolist())})
+        held, waiting, arrived = {}, {}, set()
+        if state.exists:
+            keys, lasts, counts, owners, times = state.get
+            held = {of: (last, n) for of, last, n in zip(keys, lasts, counts, strict=True)}
+            for of, s in zip(owners, times, strict=True):
+                waiting.setdefault(of, set()).add(s)
+        for frame in frames:
+            for of, s in zip(frame[key].tolist(), frame["s"].tolist(), strict=True):
+                of = None if k[0] is None else of  # noqa: PLW2901
+                arrived.add(of)
+                waiting.setdefault(of, set()).add(s)
         mark = state.getCurrentWatermarkMs() // 1000
-        past, waiting = [s for s in every if s < mark], [s for s in every if s >= mark]
-        for s in past:
-            last, n = step((last, n), s)
-        state.update((last, n, waiting))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0] * 1000 + 1000, state.getCurrentWatermarkMs() + 1))
-        shown = (last, n)
-        for s in waiting:
-            shown = step(shown, s)
-        yield pd.DataFrame({key: [k[0]], "last": [shown[0]], "accepted": [shown[1]]})
-
-    rows = stream.withWatermark("ts", delay).select(key, "ts", F.unix_timestamp("ts").alias("s"))
-    return rows.groupBy(key).applyInPandasWithState(fold, f"{key} long, last long, accepted long", "last long, n long, waiting array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+        rows, rest = [], []
+        for of, every in waiting.items():
+            last, n = held.get(of, (-1, 0))
+            past, later = sorted(s for s in every if s < mark), sorted(s for s in every if s >= mark)
+            for s in past:
+                last, n = step((last, n), s)
+            held[of] = shown = (last, n)
+            rest += [(of, s) for s in later]
+            for s in later:
+                shown = step(shown, s)
+            if past or of in arrived:
+                rows.append((of, *shown))
+        state.update(([*held], [x for x, _ in held.values()], [x for _, x in held.values()], [x for x, _ in rest], [x for _, x in rest]))
+        if rest:
+            state.setTimeoutTimestamp(max(min(s for _, s in rest) * 1000 + 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=[key, "last", "accepted"])
+
+    rows = stream.withWatermark("ts", delay).select(_bundle(key), key, "ts", F.unix_timestamp("ts").alias("s"))
+    kinds = "keys array<long>, lasts array<long>, counts array<long>, owners array<long>, times array<long>"
+    return rows.groupBy("bundle").applyInPandasWithState(fold, f"{key} long, last long, accepted long", kinds, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def near_in_time(stream: DataFrame, delay: str) -> DataFrame:

@@ -138,3 +138,20 @@ def test_debounce_tells_when_it_is_quiet(spark):
     quiet = [(4, DAY + 10 * HOUR, 2, "view")]
     out = fed(spark, R.debounced, [first, quiet])
     assert sorted(out) == [(1, 2), (1, 3)]
+
+
+def test_neighbouring_keys_share_a_group(spark):
+    """600 users are three calls of Python with state, not 600; what one does leaves the others as they are."""
+    users = 600
+    first = [(u, DAY + datetime.timedelta(minutes=u % 50), u, "click") for u in range(users)]
+    out = fed(spark, R.leases, [first, [(users, DAY + 14 * HOUR, 7, "view")], [(users + 1, DAY + 40 * HOUR, users - 1, "view")]])
+    newest = {r[0]: r[1:] for r in out}
+    assert {u: newest[u] for u in range(users)} == {u: ("queued", 1, 1, 1 if u == 7 else 0) for u in range(users)}
+    stream = R.leases(spark.readStream.schema(EVENT).parquet(folder_of(spark)), "1 hour")
+    assert "bundle" in stream._jdf.queryExecution().analyzed().toString()
+
+
+def folder_of(spark):
+    path = folder(spark)
+    spark.createDataFrame([], EVENT).write.parquet(path)
+    return path
