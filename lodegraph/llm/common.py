@@ -40,6 +40,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that shuffles both sides, never a broadcast. Spark sizes what comes out of an explode as what went in, and a table
+    by its compressed files, so many times its threshold would go to the driver."""
+    return rows.hint("merge")
+
+
 def text_column(docs: DataFrame, name: str = "text") -> Column:
     """The text as a string, empty where null."""
     return F.coalesce(docs[name].cast("string"), F.lit(""))

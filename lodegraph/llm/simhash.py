@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, spread, text_column
+from .common import materialise, shuffled, small_batches, spread, text_column
 from .components import connected_components
 
 MAX_BITS = 3
@@ -100,7 +100,7 @@ def stars(fps: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(64)])
     near = fps.select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("meet"))
     least = near.groupBy("meet").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1").select("meet", "v")
-    return near.join(least, "meet").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
+    return near.join(shuffled(least), "meet").select(F.col("fp").alias("u"), "v").where("u <> v").distinct()
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     # all conditions stand in the join, so only links are rows
     on = (probes["key"] == index["key"]) & (F.col("u") < F.col("v")) & (F.col("u_label") != F.col("v_label")) & chain & (F.bit_count(differ) <= MAX_BITS)
-    return probes.join(index, on).select("u", "v").distinct()
+    return probes.join(shuffled(index), on).select("u", "v").distinct()
 
 
 def all_links(fps: DataFrame) -> DataFrame:

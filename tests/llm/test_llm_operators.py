@@ -140,6 +140,13 @@ def test_crowds_have_the_same_classes(spark, monkeypatch, crowd):
     assert all(comp.get(x, x) == root(x) for x in signed)
 
 
+def test_exploded_fingerprints_are_not_broadcast(spark):
+    """Spark sizes an explode as its input: 68 rows for each fingerprint looked few enough for the driver."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    for found in (simhash.links(fps.withColumn("label", F.col("fp"))), simhash.stars(fps)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
