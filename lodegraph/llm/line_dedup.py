@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffled
 
 #: Words from which a line may differ by one word from an earlier one.
 LEAST_WORDS = 5
@@ -162,10 +162,10 @@ def near_later(keyed: DataFrame, lines: DataFrame) -> DataFrame:
     least = met.groupBy("key", "kind").agg(F.min(F.struct("first", "h1", "h2")).alias("r"))
     other = F.when(F.col("kind") == 0, 0).otherwise(3 - F.col("kind"))
     partner = least.select("key", other.alias("kind"), "r")
-    pairs = met.join(partner, ["key", "kind"]).where("r.first < first").select("h1", "h2", F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2")).distinct()
+    pairs = met.join(shuffled(partner), ["key", "kind"]).where("r.first < first").select("h1", "h2", F.col("r.h1").alias("r1"), F.col("r.h2").alias("r2")).distinct()
     words = lines.select("h1", "h2", _words().alias("x"))
     theirs = lines.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), _words().alias("y"))
-    return pairs.join(words, ["h1", "h2"]).join(theirs, ["r1", "r2"]).where(_one_edit("x", "y")).select("h1", "h2").distinct()
+    return pairs.join(shuffled(words), ["h1", "h2"]).join(shuffled(theirs), ["r1", "r2"]).where(_one_edit("x", "y")).select("h1", "h2").distinct()
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, spread, text_column
+from .common import materialise, shuffled, small_batches, spread, text_column
 from .components import connected_components
 from .simhash import LOWER, all_links, classes, least_of_class, voted
 
@@ -107,7 +107,7 @@ def _sharing_prefixes(some: DataFrame, all_: DataFrame, base: DataFrame) -> Data
     u = first.where("asks").select("token", F.col("fp").alias("u"), F.col("place").alias("u_place"), F.col("n").alias("u_n"), F.col("label").alias("u_label"))
     # after the first shingle that both have, no more can be common than either has left
     left = "9 * (1 + least(u_n - u_place, n - place)) >= 4 * (u_n + n)"
-    near = u.join(first, "token").where(f"(asks is null or u < fp) and u_label <> label and {left} and " + _SIZES.format("u_n", "n"))
+    near = u.join(shuffled(first), "token").where(f"(asks is null or u < fp) and u_label <> label and {left} and " + _SIZES.format("u_n", "n"))
     return near.select("u", F.col("fp").alias("v"))
 
 
@@ -155,7 +155,7 @@ def links(base: DataFrame) -> DataFrame:
     mine = lambda rows: rows.select("band", F.col("fp").alias("u"), F.col("n").alias("u_n"), F.col("label").alias("u_label"))
     theirs = lambda rows: rows.select("band", "fp", "n", "label")
     differ = "u_label <> label and " + _SIZES.format("u_n", "n")
-    pairs = mine(few).join(theirs(few), "band").where("u < fp and " + differ).select("u", F.col("fp").alias("v"))
+    pairs = mine(few).join(shuffled(theirs(few)), "band").where("u < fp and " + differ).select("u", F.col("fp").alias("v"))
     crossing = _sharing_prefixes(outside, many.join(largest.select("band"), "band", "left_semi"), base)
     return near.unionByName(_verified(pairs.unionByName(crossing), base))
 

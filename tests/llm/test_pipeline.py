@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SMALL
-from lodegraph.llm import near_copies, simhash, toxicity
+from lodegraph.llm import line_dedup, near_copies, simhash, toxicity
 from test_llm_operators import DOC, ODD, brute_classes, brute_lines, texts
 
 
@@ -92,3 +92,14 @@ def test_candidates_come_by_fingerprint_too(spark):
     base = near_copies.materialise(near_copies.sets(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))).withColumn("bands", F.array().cast("array<long>"))
     of = {r["fp"]: r["key"] for r in base.select("key", "fp").collect()}
     assert {tuple(sorted((of[r.u], of[r.v]))) for r in near_copies.links(base).collect()} == {(0, 1)}
+
+
+def test_pairs_are_not_broadcast(spark):
+    """Files of hashes that repeat are far smaller than their rows, so joins that make pairs of them don't send a side to the driver."""
+    plan = lambda found: found._jdf.queryExecution().executedPlan().toString()
+    base = near_copies.sets(spark.createDataFrame([(i, f"a b c d e f {i % 3}") for i in range(9)], "doc_id long, text string"))
+    some = base.select("fp", F.size("shingles").alias("n"), F.col("fp").alias("label"))
+    assert "Broadcast" not in plan(near_copies._sharing_prefixes(some, some, base))
+    kind = "h1 long, h2 long, first struct<doc:long,version:long,place:int>, shared array<int>, line string"
+    lines = spark.createDataFrame([(i, i, (i, i, 0), [0, 1, 2, 3], f"a b c d e {i}") for i in range(9)], kind)
+    assert "Broadcast" not in plan(line_dedup.near_later(line_dedup.variants(lines), lines))
