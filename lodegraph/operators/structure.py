@@ -165,6 +165,27 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "component").select("node", F.col("least").alias("component"))
 
 
+def _meeting(pairs: DataFrame, ahead: DataFrame, back: DataFrame) -> DataFrame:
+    """(start, goal, node): the nodes that the fronts (start, node) and (goal, node) of a pair's ends have in common.
+
+    Pairs take all nodes of their start or of their goal first, or the fronts meet at their nodes and what is no pair goes; the rows
+    that each would make are counted, as many pairs of a few goals with large fronts are few meetings, and a node in many fronts is many.
+    """
+    size = lambda rows, by, n: rows.groupBy(by).agg(F.count("*").alias(n))
+    made = {
+        "start": pairs.join(size(ahead, "start", "n"), "start"),
+        "goal": pairs.join(size(back, "goal", "n"), "goal"),
+        "node": size(ahead, "node", "a").join(size(back, "node", "b"), "node").withColumn("n", F.col("a") * F.col("b")),
+    }
+    rows = {first: found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for first, found in made.items()}
+    first = min(rows, key=rows.get)
+    if first == "start":
+        return pairs.join(ahead, "start").join(back, ["goal", "node"])
+    if first == "goal":
+        return pairs.join(back, "goal").join(ahead, ["start", "node"])
+    return ahead.join(back, "node").join(pairs, ["start", "goal"], "left_semi")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
     """(start, goal) -> (start, goal, length, path): for each pair that up to ``most`` edges join, the shortest path; of several the
     least in the order of its nodes.
@@ -194,9 +215,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
         sizes[side] = front[side].count()
         seen[side] = seen[side].unionByName(front[side])
         # a pair that is open meets at both fronts, or it would have met before
-        less = min(sizes, key=sizes.get)
-        more = "back" if less == "ahead" else "ahead"
-        now = todo.join(front[less], ends[less]).join(front[more], [ends[more], "node"]).select(*key, "node", F.lit(sum(depth.values())).alias("length"), F.lit(depth["ahead"]).alias("at"))
+        now = _meeting(todo, front["ahead"], front["back"]).select(*key, "node", F.lit(sum(depth.values())).alias("length"), F.lit(depth["ahead"]).alias("at"))
         met = stored(met.unionByName(now))
 
     # the edges of all shortest paths, from the meeting nodes to both ends

@@ -217,7 +217,8 @@ _LEVELS = "".join(
  SELECT start, goal, len(path) - 1 AS length, array_to_string(path, '>') AS path FROM s{_MOST} WHERE node = goal""", "functions", "calls"))
 def g20p(t):
     """How a function is connected with the hub of each module, by calls in either direction: the shortest path."""
-    hubs = G.degrees(t.calls).join(t.functions.select("id", "module"), "id").groupBy("module").agg(F.min_by("id", F.struct((-F.col("fan_in")).alias("f"), "id")).alias("goal"))
+    modules = t.functions.select("id", "module").hint("merge")  # its file is far smaller than its rows, too many for a broadcast
+    hubs = G.degrees(t.calls).join(modules, "id").groupBy("module").agg(F.min_by("id", F.struct((-F.col("fan_in")).alias("f"), "id")).alias("goal"))
     pairs = t.functions.where("end_line = 11").select(F.col("id").alias("start")).crossJoin(F.broadcast(hubs.select("goal")))  # a row for each module type
     ways = t.calls.select("src", "dst").unionByName(t.calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     found = R.shortest_paths(ways, pairs, _MOST)

@@ -116,6 +116,35 @@ def test_pairs_share_the_search_of_an_end(spark, monkeypatch):
     assert sum(kept) <= 2 * len(chain)
 
 
+def test_open_pairs_do_not_meet_the_whole_front(spark, monkeypatch):
+    """400 starts of one goal that none reaches: a join made a row for each pair and node of the goal's front."""
+    made, store = [], R.stored
+
+    def rows(plan):
+        name = plan.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return rows(plan.executedPlan())
+        if "QueryStage" in name:
+            return rows(plan.plan())
+        if "Join" in name:
+            made.append(plan.metrics().apply("numOutputRows").value())
+        for i in range(plan.children().size()):
+            rows(plan.children().apply(i))
+
+    def watched(df):
+        df.collect()
+        rows(df._jdf.queryExecution().executedPlan())
+        return store(df)
+
+    monkeypatch.setattr(R, "stored", watched)
+    edges = [("goal", "hub")] + [("hub", f"x{i}") for i in range(300)]
+    ways = edges + [(b, a) for a, b in edges]
+    pairs = [(f"s{i}", "goal") for i in range(400)] + [("x7", "goal")]
+    got = R.shortest_paths(spark.createDataFrame(ways, EDGE), spark.createDataFrame(pairs, "start string, goal string"), 4).collect()
+    assert [r.path for r in got] == [["x7", "hub", "goal"]]
+    assert max(made) <= 1000
+
+
 def accepted(times, gap):
     last, n = None, 0
     for t in sorted(times):
