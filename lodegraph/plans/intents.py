@@ -308,19 +308,30 @@ def p03(t):
 
 #: Words of an item that it is looked up by, and results of a ranked method.
 _ASKED_WORDS, _TOP = 8, 5
+#: Characters that short passages are looked up by, and candidates that a broadcast may have; neither changes what is found.
+_GRAM, _HELD = 16, 200_000
 
 
 def holders(t):
     """(query, key): the documents that hold an item's passage as it is. Some inner words of the item, which a document that holds it has
-    one after the other, are joined with such runs of the documents' words; what they find is compared as a whole."""
+    one after the other, are joined with such runs of the documents' words; a short item's first characters with as many of the documents' from
+    any place on. What they find is compared as a whole."""
     run = 8
     words = lambda c: X.tokens(F.col(c))
     # the first and last word may be part of a longer one in a document
-    items = t.benchmark.select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("passage"), words("text").alias("w"))
+    items = t.benchmark.select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("passage"), words("text").alias("w")).where("passage is not null")
     long = items.where(F.size("w") >= run + 2).select("query", "passage", F.array_join(F.slice("w", 2, run), " ").alias("run"))
     texts = t.documents.select(F.col("doc_id").alias("key"), words("text").alias("w")).where(F.size("w") >= run)
     runs = texts.select("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.array_join(F.slice("w", i, run), " ")))).alias("run"))
-    near = stored(runs.join(long, "run").select("query", "passage", "key").distinct())  # few, so that they go to the texts
+    near = runs.join(long, "run").select("query", "passage", "key")
+    short = items.where(F.size("w") < run + 2).select("query", "passage", F.substring("passage", 1, _GRAM).alias("gram"))
+    for n in sorted(r.n for r in short.select(F.length("gram").alias("n")).distinct().collect()):  # ``_GRAM`` + 1 at most
+        letters = t.documents.where("text is not null").select(F.col("doc_id").alias("key"), F.split("text", "").alias("c")).where(F.size("c") >= n)
+        grams = letters.select("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("c") - n + 1), lambda i: F.array_join(F.slice("c", i, n), "")))).alias("gram"))  # noqa: B023
+        near = near.unionByName(grams.join(short.where(F.length("gram") == n), "gram").select("query", "passage", "key"))
+    near = stored(near.distinct())
+    if near.count() > _HELD:  # else few, so that they go to the texts
+        near = near.hint("merge")
     found = near.join(t.documents.select(F.col("doc_id").alias("key"), "text"), "key").where(F.contains("text", F.col("passage"))).select("query", "key")
     return found.distinct()
 
@@ -331,7 +342,7 @@ post AS (SELECT doc_id, term, count(*) AS tf, dl FROM (SELECT doc_id, len(w) AS
 stats AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9_]+)', 1))) AS avgdl FROM documents),
 df AS (SELECT term, count(*) AS d FROM post GROUP BY term),
 scored AS (SELECT query, doc_id, count(*) AS words, sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM asked JOIN post USING (term) JOIN df USING (term), stats GROUP BY query, doc_id),
-relevant AS (SELECT query, doc_id FROM items JOIN documents ON contains(text, passage) WHERE len(w) >= 10),
+relevant AS (SELECT query, doc_id FROM items JOIN documents ON contains(text, passage)),
 ranked AS (SELECT 'keywords' AS method, query, doc_id, row_number() OVER (PARTITION BY query ORDER BY words DESC, doc_id) AS rn FROM scored
  UNION ALL SELECT * FROM (SELECT 'bm25', query, doc_id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rn FROM scored) WHERE rn <= {_TOP}),
 sums AS (SELECT method, r.query, count(*) AS found, count(v.doc_id) AS hits, coalesce(1.0 / min(CASE WHEN v.doc_id IS NOT NULL AND rn <= {_TOP} THEN rn END), 0) AS mrr, coalesce(sum(CASE WHEN v.doc_id IS NOT NULL AND rn <= {_TOP} THEN 1 / log2(rn + 1) END), 0) AS dcg

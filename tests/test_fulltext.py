@@ -149,3 +149,27 @@ def test_repeated_keys_are_one_document(spark):
     index.append(spark.createDataFrame([(1, "a b"), (1, "a c d"), (2, "b")] * 2, "k long, x string").repartition(3), "k", "x")
     got = {(r.term, tuple(d)) for r in index._postings(None).collect() for d in r.docs}
     assert got == {("a", (1, 4, 3)), ("b", (1, 2, 2)), ("b", (2, 2, 1)), ("c", (1, 2, 3)), ("d", (1, 2, 3))}
+
+
+def test_short_passages_are_looked_for(spark, tmp_path, monkeypatch):
+    """Items of less than ten words count for the benchmark too; their passage may begin and end within a word, or have none."""
+    import duckdb
+
+    from lodegraph.plans import ORACLE, QUERIES, intents
+    from lodegraph.sources.bindings import Tables
+
+    texts = ["the quick brown fox jumps over the lazy dog by the old red barn door", "Quick brown foxes", "a \U0001f600\U0001f600 face, naïve café", "", None, "!!", "quick  brown", "x" * 40]
+    items = ["quick brown fox", "ick brown fo", "Quick bro", "fox jumps over the lazy dog by the old red barn", "\U0001f600 face", "", "!!", None, "x" * 30, "ïve caf", "missing words here", "quick brown fox jumps over a lazy cat by"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {(str(i), k) for i, x in enumerate(items) for k, y in enumerate(texts) if x is not None and y is not None and x in y}
+    for held in (0, 1000):
+        monkeypatch.setattr(intents, "_HELD", held, raising=False)
+        assert {tuple(r) for r in intents.holders(Tables(spark, str(tmp_path))).collect()} == want
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    asked = con.execute(ORACLE["p25_retrieval_benchmark"]).fetchall()
+    got = QUERIES["p25_retrieval_benchmark"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(asked) and any(r.recall == 1 and r.query == "2" for r in got)
